@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signascope.llm import mixing, warc
+from signascope.llm import mixing, pii, quality, toxicity, warc
 from signascope.llm.common import read
 
 
@@ -15,7 +15,19 @@ def op6_warc(spark, sf_dir):
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op6_warc": op6_warc}
+def op2_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark, sf_dir):
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.digest(pii.find(read(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii}
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
