@@ -39,3 +39,22 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def held_out(doc_id):
     """True for the third of the documents that no classifier may learn from (null ids: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """(v, root): the smallest vertex that each vertex of ``edges`` (a, b) can reach.
+
+    Labels fall along edges and then jump to their label's label, until no label moves; each round is written to
+    the shared folder, so its lineage is short and it outlives executors.
+    """
+    both = edges.select("a", "b").where("a <> b")
+    both = materialise(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), name)
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("root")), name)
+    while True:
+        low = both.join(labels, both["b"] == labels["v"]).groupBy(F.col("a").alias("v")).agg(F.min("root").alias("low"))
+        fell = materialise(labels.join(low, "v").select("v", "root", F.least("root", "low").alias("new")), name)
+        jump = fell.select(F.col("v").alias("new"), F.col("new").alias("far"))
+        moved = materialise(fell.join(jump, "new", "left").select("v", F.least("new", F.coalesce("far", "new")).alias("new"), "root"), name)
+        labels = moved.select("v", F.col("new").alias("root"))
+        if moved.where("new <> root").isEmpty():
+            return labels

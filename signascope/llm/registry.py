@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signascope.llm import mixing, pii, quality, toxicity, warc
+from signascope.llm import jaccard, mixing, pii, quality, toxicity, warc
 from signascope.llm.common import read
 
 
@@ -27,7 +27,11 @@ def op8_pii(spark, sf_dir):
     return pii.digest(pii.find(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii}
+def op4_jaccard(spark, sf_dir):
+    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+QUERIES = {"op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii}
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
@@ -62,7 +66,16 @@ def mixing_sql(docs: str, budget_pct: int = 60, max_epochs: int = 2, seed: str =
       taken AS (SELECT *, whole + CASE WHEN sum(n_tokens) OVER (PARTITION BY domain, lang_, source_ ORDER BY k, id_ ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS copies FROM keyed)"""
 
 
+JACCARD_SQL = """w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \\t\\n\\r]+'), lambda x: x <> '') AS ws FROM {docs}),
+      sh AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [ws] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: ws[i:i + 4])) END) AS g FROM w),
+      sz AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+      pr AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+      ln AS (SELECT a, b FROM pr JOIN sz p ON a = p.doc_id JOIN sz q ON b = q.doc_id WHERE c * 10 >= 8 * (p.n + q.n - c)),
+      rc AS (SELECT doc_id AS a, doc_id AS b FROM {docs} UNION SELECT rc.a, ln.b FROM rc JOIN ln ON rc.b = ln.a),
+      cl AS (SELECT doc_id, min(r.b) AS class_id, any_value(coalesce(k.n, 0)) AS n_links FROM {docs} JOIN rc r ON r.a = doc_id LEFT JOIN (SELECT a, count(*) AS n FROM ln GROUP BY a) k ON k.a = doc_id GROUP BY doc_id)"""
+
 ORACLES = {
+    "op4_jaccard": f"WITH RECURSIVE {JACCARD_SQL.format(docs='documents')} SELECT doc_id, class_id, n_links FROM cl",
     "op3_mixing": f"WITH {mixing_sql('documents')} SELECT doc_id, lang, source, n_tokens, copies FROM taken WHERE copies > 0",
     "op6_warc": """
       WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
