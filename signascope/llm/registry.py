@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signascope.llm import jaccard, mixing, pii, quality, toxicity, warc
+from signascope.llm import decontam, jaccard, mixing, pii, quality, toxicity, warc
 from signascope.llm.common import read
 
 
@@ -31,7 +31,11 @@ def op4_jaccard(spark, sf_dir):
     return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii}
+def op9_decontam(spark, sf_dir):
+    return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam}
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
