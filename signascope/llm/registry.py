@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signascope.llm import decontam, jaccard, mixing, pii, quality, toxicity, warc
+from signascope.llm import decontam, jaccard, mixing, neardup, pii, quality, toxicity, warc
 from signascope.llm.common import read
 
 
@@ -35,7 +35,11 @@ def op9_decontam(spark, sf_dir):
     return decontam.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam}
+def op10_neardup(spark, sf_dir):
+    return neardup.link(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam, "op10_neardup": op10_neardup}
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
@@ -88,4 +92,12 @@ ORACLES = {
         CASE WHEN first_page IS NOT NULL AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
         CASE WHEN first_page IS NOT NULL AND page_id <> first_page THEN first_page END AS refers_to
       FROM p LEFT JOIN f USING (payload_digest)""",
+    "op10_neardup": """
+      WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+      n AS (SELECT *, sqrt(list_dot_product(v, v)) AS r FROM e),
+      ln AS (SELECT x.vec_id AS a, y.vec_id AS b FROM n x JOIN n y ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v) WHERE list_dot_product(x.v, y.v) / (x.r * y.r) >= 0.98),
+      rc AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT rc.a, ln.b FROM rc JOIN ln ON rc.b = ln.a)
+      SELECT vec_id, any_value(coalesce(k.n, 0)) AS n_links, min(r.b) AS component_id, vec_id = min(r.b) AS kept
+      FROM embeddings JOIN rc r ON r.a = vec_id LEFT JOIN (SELECT a, count(*) AS n FROM ln GROUP BY a) k ON k.a = vec_id GROUP BY vec_id""",
 }
