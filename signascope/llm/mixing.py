@@ -88,10 +88,16 @@ def mix(docs: DataFrame, budget_pct: int = 60, max_epochs: int = 2, seed: str =
     plan = leaf_budgets(leaves, budget_pct, max_epochs)
     plan = plan.select(*LEVELS, F.when(F.col("tokens") > 0, F.floor(F.col("got") / F.col("tokens"))).otherwise(0).cast("long").alias("whole"), F.when(F.col("tokens") > 0, F.col("got") % F.col("tokens")).otherwise(0).alias("rest"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.col("id").cast("string"), F.col("digest")).cast("binary"))
+    plan = _small(materialise(plan, "mix"))
     keyed = [x.join(plan, list(LEVELS)).withColumn("key", key).drop("digest") for x in (rows, slim)]
     return _take(*keyed, refinements).select("row.*", "n_tokens", "copies")
 
 
+def _small(leaves: DataFrame, most: int = 100_000) -> DataFrame:
+    """A table of a row for each leaf, sent to every task where it is known to be small; so hot leaves deal out no rows."""
+    return F.broadcast(leaves) if leaves.count() <= most else leaves
+
+
 def _take(rows: DataFrame, counted: DataFrame, refinements: int) -> DataFrame:
     """The prefix of each leaf in key order that holds ``rest`` tokens; ``counted``: the rows without their data.
 
@@ -107,7 +113,7 @@ def _take(rows: DataFrame, counted: DataFrame, refinements: int) -> DataFrame:
         upto = F.sum("t").over(Window.partitionBy(*leaf).orderBy("slot"))
         over = slots.withColumn("upto", upto).where("upto > rest")
         first = over.groupBy(*leaf).agg(F.min(F.struct("slot", "edge", (F.col("rest") - F.col("upto") + F.col("t")).alias("left"))).alias("m"))
-        cuts.append(first.select(*leaf, F.concat("m.edge", "m.slot").alias("edge"), F.col("m.left").alias("left")))
+        cuts.append(_small(materialise(first.select(*leaf, F.concat("m.edge", "m.slot").alias("edge"), F.col("m.left").alias("left")), "mix")))
     # a leaf without a cut at a level takes all that the level before left open
     for k, c in enumerate(cuts):
         rows = rows.join(c.select(*leaf, F.col("edge").alias(f"edge{k}"), F.col("left").alias(f"left{k}")), leaf, "left")
