@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signascope.llm import decontam, jaccard, mixing, neardup, pii, quality, toxicity, warc
+from signascope.llm import decontam, jaccard, mixing, neardup, pii, quality, suffix, toxicity, warc
 from signascope.llm.common import read
 
 
@@ -15,6 +15,10 @@ def op6_warc(spark, sf_dir):
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op1_suffix(spark, sf_dir):
+    return suffix.repeats(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_quality(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -39,7 +43,7 @@ def op10_neardup(spark, sf_dir):
     return neardup.link(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam, "op10_neardup": op10_neardup}
+QUERIES = {"op1_suffix": op1_suffix, "op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam, "op10_neardup": op10_neardup}
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
