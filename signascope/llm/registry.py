@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from signascope.llm import decontam, jaccard, mixing, neardup, pii, quality, suffix, toxicity, warc
+from signascope.llm import decontam, jaccard, licenses, mixing, neardup, pii, quality, suffix, toxicity, warc
 from signascope.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "n_tokens", "copies")
 
 
+def op5_licenses(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
     return warc.archive(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -43,7 +47,7 @@ def op10_neardup(spark, sf_dir):
     return neardup.link(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op1_suffix": op1_suffix, "op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam, "op10_neardup": op10_neardup}
+QUERIES = {"op1_suffix": op1_suffix, "op4_jaccard": op4_jaccard, "op2_quality": op2_quality, "op3_mixing": op3_mixing, "op5_licenses": op5_licenses, "op6_warc": op6_warc, "op7_toxicity": op7_toxicity, "op8_pii": op8_pii, "op9_decontam": op9_decontam, "op10_neardup": op10_neardup}
 
 
 def _case(col: str, weights: dict[str, int]) -> str:
