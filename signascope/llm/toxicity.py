@@ -7,13 +7,13 @@ training alternates between picking the worst token of each toxic sentence group
 Nystroem features over landmark tokens.  The machine is linear in the landmarks' subsequences, so what it learned
 folds into one weight per subsequence, and scoring a token is a few table look-ups.
 
-Labels are learned from at most ``max_docs`` documents of each class, the ones with the smallest md5 of their id; half of
-them fit the machine and half set the threshold.  Everything is scored, whole texts, at every size.
+Labels are learned from at most ``max_docs`` documents of each class, the ones with the smallest md5 of their id.  Everything is scored, whole texts, at every size.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -158,16 +158,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 25) -> np.ndarray:
-    """Newton steps of a linear SVM with squared hinge loss; the last column of x is the bias."""
+def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Newton steps with halving of a linear SVM with squared hinge loss; the last column of x is the bias."""
     w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1])
+
+    def loss(w):
+        return w @ w + (cost * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+
+    now = loss(w)
     for _ in range(rounds):
         on = y * (x @ w) < 1
         a = x[on] * cost[on, None]
-        new = np.linalg.solve(eye + a.T @ x[on], a.T @ y[on])
-        if np.allclose(new, w, atol=1e-7):
+        step, size = np.linalg.solve(eye + a.T @ x[on], a.T @ y[on]) - w, 1.0
+        while (new := loss(w + size * step)) > now and size > 1e-4:
+            size /= 2
+        if now - new <= 1e-9 * now:
             break
-        w = new
+        w, now = w + size * step, new
     return w
 
 
@@ -210,31 +217,60 @@ def _first_guess(bags: list[tuple[int, list[str]]], vocabulary: list[str]) -> di
         row, h, w = subsequences([("^" + t)[:WIDTH] for t in block])
         out.append(np.bincount(row, odds[slots(h)] * w, len(block)) / np.maximum(np.bincount(row, w, len(block)), 1e-9))
     out = np.concatenate(out)
-    own = np.log((counts[1] + 0.3) / max(n[1], 1)) - np.log((counts[0] + 0.3) / max(n[0], 1))
-    return dict(zip(vocabulary, out + 0.7 * own))
+    own = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
+    return dict(zip(vocabulary, out + own))
+
+
+def fit(bags: list[tuple[int, list[str]]]) -> Model:
+    """Train on (label, tokens) of labelled documents; with one class only, everything scores below the threshold.
+
+    The machine learns from all; the cut between the classes comes from two machines that learned half each,
+    on the half that they have not seen.
+    """
+    halves: list[list] = [[], []]
+    for y in (0, 1):
+        for k, bag in enumerate(b for b in bags if b[0] == y):
+            halves[k % 2].append(bag)
+    model, seen = machine(bags), []
+    for learn, tune in (halves, halves[::-1]):
+        scorer = Scorer(machine(learn))
+        seen += [(max(scorer.margins(bag)), y) for y, bag in tune if bag]
+    margin, label = np.array([m for m, _ in seen]), np.array([y for _, y in seen])
+    if len(model.hashes) and len(set(label.tolist())) == 2:
+        # the cut that errs least, in the middle of its gap
+        edges = np.unique(margin)
+        cuts = np.r_[edges[0] - 1, (edges[1:] + edges[:-1]) / 2, edges[-1] + 1]
+        up, down = np.sort(margin[label == 1]), np.sort(margin[label == 0])
+        wrong = np.searchsorted(up, cuts) / len(up) + 2 * (len(down) - np.searchsorted(down, cuts)) / len(down)
+        best = np.flatnonzero(wrong == wrong.min())
+        model.cut = float((cuts[best[0]] + cuts[best[-1]]) / 2)
+        model.slope = float(4 / max(0.2, up.mean() - down.mean()))
+    return model
 
 
-def fit(bags: list[tuple[int, list[str]]], seed: int = 7, landmarks: int = 384, rounds: int = 3) -> Model:
-    """Train on (label, tokens) of labelled documents; with one class only, everything scores below the threshold."""
+def machine(learn: list[tuple[int, list[str]]], seed: int = 7, landmarks: int = 384, rounds: int = 4) -> Model:
+    """Nystroem SVM on the worst tokens of toxic documents against tokens of clean ones."""
     rng = np.random.default_rng(seed)
-    nothing = Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, 1.0, 5.0)
-    learn, tune = [b for k, b in enumerate(bags) if k % 2 == 0], [b for k, b in enumerate(bags) if k % 2]
     if len({y for y, _ in learn}) < 2:
-        return nothing
+        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, 1.0, 5.0)
     vocabulary = sorted({t for _, bag in learn for t in bag})
     guess = _first_guess(learn, vocabulary)
-    clean = sorted({t for y, bag in learn if not y for t in bag}, key=lambda t: -guess[t])
+    clean = sorted({t for y, bag in learn if not y for t in bag})
+    pure, common = set(clean), Counter(t for y, bag in learn if not y for t in set(bag))
+    # tokens that toxic documents alone hold, too often for chance, speak for them; the worst token does where there is none
+    share, held = np.mean([y for y, _ in learn]), Counter(t for y, bag in learn if y for t in set(bag))
+    telling = {t for t, c in held.items() if share**c < 1e-4}.difference(pure)
+    hard = set(sorted(clean, key=lambda t: (-common[t], t))[:1500]) | {clean[i] for i in rng.permutation(len(clean))[:1000]}
     for step in range(rounds):
         worst: dict[str, int] = {}
         for y, bag in learn:
-            if y:
-                top = max(bag, key=guess.__getitem__)
-                worst[top] = worst.get(top, 0) + 1
+            if y and (own := [t for t in bag if t not in pure]):  # what a clean document holds is clean
+                for t in telling.intersection(own) or [max(own, key=guess.__getitem__)]:
+                    worst[t] = worst.get(t, 0) + 1
         bad = sorted(worst, key=lambda t: (-worst[t], t))
-        clean.sort(key=lambda t: -guess[t])
-        good = [t for t in clean if t not in worst]
-        rest = good[1500:]
-        good = good[:1500] + [rest[i] for i in rng.permutation(len(rest))[:2000]]
+        # negatives pile up: the most common clean tokens, some at random, and after each round those that score worst
+        hard.update(sorted(clean, key=lambda t: (-guess[t], t))[:1000])
+        good = sorted(hard, key=lambda t: (-guess[t], t))
         marks = ["^" + t for t in bad[: landmarks // 2] + good[: landmarks // 4] + good[-(landmarks // 4) :]]
         marks = sorted(set(m[:WIDTH] for m in marks))
         space = _Sparse(marks)
@@ -243,26 +279,13 @@ def fit(bags: list[tuple[int, list[str]]], seed: int = 7, landmarks: int = 384,
         words = bad + good
         x = np.hstack([space.kernel(["^" + t for t in words]) @ root, np.ones((len(words), 1))])
         y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-        cost = np.r_[np.minimum(np.array([worst[t] for t in bad], float), 20), np.ones(len(good))] * 10
+        cost = np.r_[np.sqrt(np.minimum([worst[t] for t in bad], 100)), np.sqrt(np.minimum([common[t] for t in good], 100))] * 1.5
         w = _squared_hinge(x, y, cost)
         folded = space.dense.T @ (root @ w[:-1])
         order = np.argsort(np.abs(folded))
         model = Model(space.ids[order], folded[order].astype(np.float32), float(w[-1]), 0.0, 1.0)
         if step < rounds - 1:
             guess = dict(zip(vocabulary, Scorer(model).margins(vocabulary).tolist()))
-    scorer = Scorer(model)
-    margin = np.array([max(scorer.margins(bag)) if bag else model.bias for _, bag in tune])
-    label = np.array([y for y, _ in tune])
-    if len(set(label.tolist())) < 2:
-        return model
-    # the cut that errs least on the other half, in the middle of its gap
-    edges = np.unique(margin)
-    cuts = np.r_[edges[0] - 1, (edges[1:] + edges[:-1]) / 2, edges[-1] + 1]
-    up, down = np.sort(margin[label == 1]), np.sort(margin[label == 0])
-    wrong = np.searchsorted(up, cuts) / len(up) + 2 * (len(down) - np.searchsorted(down, cuts)) / len(down)
-    best = np.flatnonzero(wrong == wrong.min())
-    model.cut = float((cuts[best[0]] + cuts[best[-1]]) / 2)
-    model.slope = float(4 / max(0.2, up.mean() - down.mean()))
     return model
 
 
@@ -285,9 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) -> Model:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
     got = rows.mapInPandas(_bags, "doc_id long, y int, bag array<string>").collect()
     by_label = {y: sorted((r["doc_id"], r["bag"]) for r in got if r["y"] == y) for y in (0, 1)}
-    mixed = sorted((k / max(1, len(v)), y, tuple(bag)) for y, v in by_label.items() for k, (_, bag) in enumerate(v))
-    # classes alternate in proportion, so that each half has its share of either
-    return fit([(y, list(bag)) for _, y, bag in mixed if bag])
+    return fit([(y, bag) for y in (0, 1) for _, bag in by_label[y] if bag])
 
 
 _SCORERS: dict[bytes, Scorer] = {}
