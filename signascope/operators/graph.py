@@ -131,7 +131,7 @@ def chi2_of_table(table: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "chi2", F.when(F.col("k") > 1, F.sqrt(F.col("chi2") / F.col("n") / (F.col("k") - 1))).otherwise(0.0).alias("v"), "df", "p")
 
 
-def louvain_levels(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def louvain_levels(edges: DataFrame, rounds: int = 20) -> DataFrame:
     """(id, cluster): communities by synchronous local moves on modularity, joins only.
 
     In each round half of the nodes (by hash of node and round, so that neighbours do not swap) move to the neighbouring
@@ -140,10 +140,11 @@ def louvain_levels(edges: DataFrame, rounds: int = 10) -> DataFrame:
     from pyspark.sql import Observation
 
     both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
-    both = _saved(both)
-    degree = _saved(both.groupBy("i").agg(F.sum("w").alias("k")))
+    both = saved(both)
+    degree = saved(both.groupBy("i").agg(F.sum("w").alias("k")))
     m2 = degree.agg(F.sum("k")).first()[0] or 1.0
     label = degree.select(F.col("i").alias("id"), F.col("i").alias("cluster"))
+    still = 0
     for r in range(rounds):
         size = label.join(degree, F.col("id") == F.col("i")).groupBy("cluster").agg(F.sum("k").alias("tot"))
         to = both.join(label.select(F.col("id").alias("j"), F.col("cluster").alias("c")), "j").where("i <> j").groupBy("i", "c").agg(F.sum("w").alias("win"))
@@ -153,16 +154,17 @@ def louvain_levels(edges: DataFrame, rounds: int = 10) -> DataFrame:
         best = gain.groupBy("i").agg(F.max(F.struct("g", -F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
         new = label.join(best, F.col("id") == F.col("i"), "left").select("id", F.when(turn & (F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), -F.col("b.col2")).otherwise(F.col("cluster")).alias("cluster"), F.col("cluster").alias("old"))
-        moved, seen = _saved(new), Observation()
+        moved, seen = saved(new), Observation()
         moved.observe(seen, F.sum((F.col("cluster") != F.col("old")).cast("long")).alias("n")).write.format("noop").mode("overwrite").save()
         label = moved.select("id", "cluster")
-        if not seen.get["n"]:
+        still = 0 if seen.get["n"] else still + 1
+        if still == 4:  # either half has had its turn and more
             break
     least = label.groupBy("cluster").agg(F.min("id").alias("least"))
     return label.join(least, "cluster").select("id", F.col("least").alias("cluster"))
 
 
-def _saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the session names, else in /tmp/checkpoints."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():

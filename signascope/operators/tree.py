@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from signascope.operators.graph import saved
+
 
 def closure(tree: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """(anc, node, hops) for every node and each of its ancestors, itself at 0 hops."""
@@ -94,7 +96,7 @@ def fitch_sets(tree: DataFrame, labels: DataFrame, up: DataFrame) -> DataFrame:
         count = votes.groupBy("parent", "l").agg(F.count(F.lit(1)).alias("n")).join(kids, "parent")
         top = count.withColumn("top", F.max("n").over(Window.partitionBy("parent"))).where("n = top")
         new = top.groupBy(F.col("parent").alias("node")).agg(F.sort_array(F.collect_list("l")).alias("labels"), (F.max("kids") - F.max("top")).alias("cost"))
-        sets = sets.unionByName(new)
+        sets = saved(sets.unionByName(new))
     return sets
 
 
@@ -106,7 +108,7 @@ def fitch_assignment(tree: DataFrame, sets: DataFrame, up: DataFrame) -> DataFra
     done = full.where("depth = 0").select("node", F.array_min("labels").alias("level"))
     for d in range(1, deepest + 1):
         own = full.where(F.col("depth") == d).join(done.select(F.col("node").alias("parent"), F.col("level").alias("above")), "parent")
-        done = done.unionByName(own.select("node", F.when(F.array_contains("labels", F.col("above")), F.col("above")).otherwise(F.array_min("labels")).alias("level")))
+        done = saved(done.unionByName(own.select("node", F.when(F.array_contains("labels", F.col("above")), F.col("above")).otherwise(F.array_min("labels")).alias("level"))))
     return done
 
 

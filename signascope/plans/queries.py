@@ -448,6 +448,7 @@ FITCH = f"{TREE}, f0 AS (SELECT 'c' || c_custkey AS node, [c_mktsegment] AS labe
 
 def _sets(spark, d):
     t, up = _tree(spark, d)
+    up = graph.saved(up)  # read once for each level
     return t, up, trees.fitch_sets(t, b.tip_levels(spark, d), up)
 
 
