@@ -191,3 +191,28 @@ def test_streaming_counts(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.table("counts").agg(F.sum("value")).first()[0] == src.count()
+
+
+def test_whole_analysis(spark):
+    from signascope.plans import analysis, report
+
+    rng = random.Random(5)
+    rows = [(c, f"g{g}", float(rng.randrange(1, 9)) + (5 if (c < 20) == (g < 8) else 0)) for c in range(40) for g in range(16) if rng.random() < 0.8]
+    data = analysis.Dataset(
+        expr=spark.createDataFrame(rows, "cell long, gene string, value double"),
+        sigs=spark.createDataFrame([(s, f"g{g}", 1.0 if g % 3 else -1.0) for s, gs in (("low", range(8)), ("high", range(8, 16))) for g in gs], "sig string, gene string, sign double"),
+        numbers=spark.createDataFrame([(c, "depth", float(c % 7)) for c in range(40)], "id long, feature string, value double"),
+        factors=spark.createDataFrame([(c, "half", "a" if c < 20 else "b") for c in range(40)], "id long, var string, level string"),
+        params=analysis.Parameters(threshold=1, filter="threshold", components=3, permutations=5, null_size=4, neighbours=5),
+    )
+    done = analysis.analyze(data)
+    assert report.signature_scores(done, "low").count() == 40
+    auto = {r["feature"]: r for r in report.signature_autocorrelation(done).collect()}
+    assert {"low", "high"} <= set(auto) and auto["low"]["c"] > 0.2
+    assert set(report.differential(done, "half").columns) == {"feature", "a", "b"}
+    assert report.differential_expression(done, report.cell_levels(done, "half").where("level = 'a'")).count() == 16
+    assert report.search(report.gene_list(done), "G1,!g15", "gene").count() == 6
+    assert report.selection_factors(done, report.cell_levels(done, "half")).first()["entropy"] == pytest.approx(1.0)
+    assert report.histogram(data.numbers).agg(F.sum("n")).first()[0] == 40
+    with pytest.raises(KeyError):
+        report.signature_scores(data, "low")
