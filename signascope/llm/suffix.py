@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from signascope.llm.common import materialise
 
-LENGTH, GRAM, COVER, HOT = 400, 144, 32, 64
+LENGTH, GRAM, COVER, HOT = 400, 144, 32, 4000
 REACH = LENGTH - GRAM + 1  # places at which an anchor can stand in a window
 WIDTH = REACH - 1 + LENGTH
 PIECE = 1 << 21
@@ -324,18 +324,27 @@ def repeats(docs: DataFrame) -> DataFrame:
     wanted = found.join(count, "key").groupBy("id", "h").agg(F.collect_list(F.struct("pos", (F.col("c") > HOT).alias("hot"))).alias("w"))
     wanted = materialise(wanted.select("id", "h", F.col("w.pos").alias("pos"), F.col("w.hot").alias("hot")), "wanted")
     texts = _with(base.select("id", "h", "text"), wanted.select("id", "h"), "left_semi").join(wanted, ["id", "h"])
-    context = materialise(texts.mapInArrow(_context_rows, "key long, hot boolean, id long, h long, start long, at int, n int, ctx binary"), "contexts")
+    context = texts.mapInArrow(_context_rows, "key long, hot boolean, id long, h long, start long, at int, n int, ctx binary")
+    any_hot = not wanted.where(F.exists("hot", lambda x: x)).isEmpty()
+    if any_hot:  # read twice
+        context = materialise(context, "contexts")
     cold = context.where("not hot").repartition("key").sortWithinPartitions("key", "id", "h", "start")
     ranges = cold.mapInArrow(_sort_buckets, "id long, h long, a long, b long")
-    window = context.where("hot").mapInArrow(_digests, "id long, h long, a long, d binary").distinct()
-    again = window.groupBy("d").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d")
-    hot = window.join(again, "d").select("id", "h", "a", (F.col("a") + LENGTH).alias("b"))
-    ranges = ranges.unionByName(hot).groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    if any_hot:
+        ranges = ranges.unionByName(_count_windows(context.where("hot")))
+    ranges = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = materialise(ranges, "ranges")
     twice = copies.where("n > 1").select("m")
     return _result(base, ranges, twice)
 
 
+def _count_windows(context: DataFrame) -> DataFrame:
+    """(id, h, a, b) of windows in hot buckets whose digest occurs again; a repeated row's contexts count once."""
+    window = context.dropDuplicates(["key", "id", "h", "start"]).mapInArrow(_digests, "id long, h long, a long, d binary")
+    again = window.groupBy("d").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d")
+    return window.join(again, "d").select("id", "h", "a", (F.col("a") + LENGTH).alias("b"))
+
+
 def _result(base: DataFrame, ranges: DataFrame, twice: DataFrame) -> DataFrame:
     size = F.octet_length("text").cast("long").alias("n_bytes")
     none = F.array().cast("array<struct<a: bigint, b: bigint>>")
