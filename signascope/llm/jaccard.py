@@ -94,7 +94,7 @@ def band_keys(sig: np.ndarray) -> list[int]:
 def _sketches(batches):
     for b in batches:
         sets = [shingle_set(t) for t in b["text"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "s": [set_id(x) for x in sets], "keys": [band_keys(sketch(x)) if len(x) else None for x in sets]})
+        yield b[["doc_id", "k", "h"]].assign(s=[set_id(x) for x in sets], keys=[band_keys(sketch(x)) if len(x) else None for x in sets])
 
 
 def _payloads(batches):
@@ -251,14 +251,14 @@ def classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9) ->
     their own class.  Rows count as documents even if their doc_id repeats or is null (a class of null ids
     only has class_id null).  An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
-    keyed = materialise(rows.mapInPandas(_sketches, "doc_id long, s string, keys array<long>"), "jaccard")
-    texts = keyed.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"))
+    # (k, h) finds a text again, whatever its id
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), F.col("text"))
+    keyed = materialise(rows.mapInPandas(_sketches, "doc_id long, k long, h long, s string, keys array<long>"), "jaccard")
+    texts = keyed.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"), F.min(F.struct("k", "h")).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"))
     texts = materialise(texts, "jaccard")
     groups = materialise(_groups(texts.select("s", F.posexplode("keys").alias("band", "key"))), "jaccard")
-    wanted = groups.select("s").distinct().join(texts.select("s", "n", "first"), "s")
-    payload = rows.join(keyed.select("doc_id", "s").where("s is not null").join(wanted.select("s", "first"), "s").where("doc_id = first").select("doc_id", "s").distinct(), "doc_id")
-    payload = payload.mapInPandas(_payloads, "s string, sig binary, sh binary").groupBy("s").agg(F.any_value("sig").alias("sig"), F.any_value("sh").alias("sh"))
+    wanted = groups.select("s").distinct().join(texts.select("s", "at.k", "at.h"), "s")
+    payload = rows.join(wanted, ["k", "h"]).select("s", "text").mapInPandas(_payloads, "s string, sig binary, sh binary").groupBy("s").agg(F.any_value("sig").alias("sig"), F.any_value("sh").alias("sh"))
     full = groups.join(payload, "s").join(texts.select("s", "n"), "s")
     found = full.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(threshold, tolerance), "a string, b string, links long")
     found = materialise(found, "jaccard")
