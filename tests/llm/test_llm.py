@@ -199,9 +199,10 @@ def test_licenses_find_notices_and_near_forms(spark):
     names = list(licenses.NOTICES)
     got = {(r["doc_id"], r["license"]) for r in licenses.scan(docs_of(spark, texts)).collect()}
     assert {(k, names[k]) for k in range(len(names))} <= got
-    near = licenses.NOTICES["mit-grant"].replace("obtaining", "getting hold of")
-    found = licenses.scan(docs_of(spark, [near, "all rights", "", None, licenses.NOTICES["mit"].upper()])).collect()
-    assert {(r["doc_id"], r["license"]) for r in found} == {(0, "mit-grant"), (4, "mit")}
+    grant = licenses.NOTICES["mit-grant"]  # 27 words, 23 shingles: 0.8 of them are 19
+    near = [grant.replace("is hereby", "shall be"), grant.replace("obtaining", "getting hold of")]  # 20 are left, and 18
+    found = licenses.scan(docs_of(spark, [*near, "all rights", "", None, licenses.NOTICES["mit"].upper()])).collect()
+    assert {(r["doc_id"], r["license"]) for r in found} == {(0, "mit-grant"), (5, "mit")}
 
 
 def test_licenses_match_brute_force(spark):
