@@ -10,7 +10,7 @@ A byte goes if some string of ``LENGTH`` bytes that covers it starts anywhere el
   compared by the bytes up to its next sample place, that sample's rank, and the bytes after the ranked stretch.
   So ties of any length cost a look-up, and memory is bounded by the block.
 * Hot buckets (more than ``HOT`` suffix runs) are no task's alone: their windows are counted by 128-bit digest, partly
-  before the shuffle.
+  before the shuffle, and equal stretches of windows are one before that.
 * Equal texts are one text; where there are two, everything that a window covers goes.
 """
 
@@ -109,20 +109,30 @@ def _pieces(column: pa.Array):
 
 
 def _anchor_rows(batches):
+    """(id, h, key, pos): the places in a text of each anchor's string."""
     for b in batches:
         for data, owner, items in _pieces(b.column("text")):
             h, _, at = anchors(data, owner)
-            who = owner[at]
-            rows = np.array([r for r, _, _ in items])[who]
-            pos = at - np.array([p for _, _, p in items])[who] + np.array([f for _, f, _ in items])[who]
+            if not len(at):
+                continue
+            row, first, place = (np.array(x, np.int64) for x in zip(*items))
+            who, key = owner[at], h[at].view(np.int64)
+            pos = at - place[who] + first[who]
+            order = np.lexsort((pos, key, who))
+            who, key, pos = who[order], key[order], pos[order]
+            cut = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (key[1:] != key[:-1])))
+            rows = pa.array(row[who[cut]])
             yield pa.record_batch(
-                [b.column("id").take(pa.array(rows)), b.column("h").take(pa.array(rows)), pa.array(pos.astype(np.int64)), pa.array(h[at].view(np.int64))],
-                names=["id", "h", "pos", "key"],
+                [b.column("id").take(rows), b.column("h").take(rows), pa.array(key[cut]), pa.ListArray.from_arrays(pa.array(np.append(cut, len(pos)).astype(np.int32)), pa.array(pos))],
+                names=["id", "h", "key", "pos"],
             )
 
 
 def _context_rows(batches):
-    """For each wanted anchor the windows it owns: (key, hot, id, h, start, at, n, ctx)."""
+    """For each wanted anchor the windows it owns: (key, hot, id, h, starts, at, n, ctx).
+
+    In a text, equal windows of hot anchors are one row with all their starts.
+    """
     for b in batches:
         wants = [(np.array(p), np.array(x)) for p, x in zip(b.column("pos").to_pylist(), b.column("hot").to_pylist())]
         for data, owner, items in _pieces(b.column("text")):
@@ -147,16 +157,24 @@ def _context_rows(batches):
                 starts = at[:, None] - (REACH - 1) + np.arange(REACH)
                 good = (starts >= place) & (starts < len(low)) & (starts > before[:, None])
                 good &= low[np.clip(starts, 0, len(low) - 1)] == h[at][:, None]
+                same: dict[bytes, list[int]] = {}
                 for n in np.flatnonzero(good.any(1)):
                     o, m = int(good[n].argmax()), int(good[n].sum())
                     s = int(starts[n, o])
-                    out.append((int(h[at[n]].view(np.int64)), bool(hot[n]), row, s - place + first, o, m, data[s : s + m - 1 + LENGTH].tobytes()))
+                    ctx = data[s : s + m - 1 + LENGTH].tobytes()
+                    if hot[n] and ctx in same:
+                        same[ctx].append(s - place + first)
+                        continue
+                    own = [s - place + first]
+                    if hot[n]:
+                        same[ctx] = own
+                    out.append((int(h[at[n]].view(np.int64)), bool(hot[n]), row, own, o, m, ctx))
             if out:
                 key, hot, row, start, o, m, ctx = zip(*out)
                 take = pa.array(row)
                 yield pa.record_batch(
-                    [pa.array(key, pa.int64()), pa.array(hot), b.column("id").take(take), b.column("h").take(take), pa.array(start, pa.int64()), pa.array(o, pa.int32()), pa.array(m, pa.int32()), pa.array(ctx, pa.binary())],
-                    names=["key", "hot", "id", "h", "start", "at", "n", "ctx"],
+                    [pa.array(key, pa.int64()), pa.array(hot), b.column("id").take(take), b.column("h").take(take), pa.array(start, pa.list_(pa.int64())), pa.array(o, pa.int32()), pa.array(m, pa.int32()), pa.array(ctx, pa.binary())],
+                    names=["key", "hot", "id", "h", "starts", "at", "n", "ctx"],
                 )
 
 
@@ -267,11 +285,11 @@ def _ranges(rows) -> pa.RecordBatch:
 def _digests(batches):
     for b in batches:
         out = []
-        for i, h, start, n, ctx in zip(*(b.column(c).to_pylist() for c in ("id", "h", "start", "n", "ctx"))):
-            out += [(i, h, start + k, xxhash.xxh3_128_digest(ctx[k : k + LENGTH])) for k in range(n)]
+        for c, m, n, ctx in zip(*(b.column(c).to_pylist() for c in ("c", "m", "n", "ctx"))):
+            out += [(c, m, k, xxhash.xxh3_128_digest(ctx[k : k + LENGTH])) for k in range(n)]
         if out:
-            i, h, s, d = zip(*out)
-            yield pa.record_batch([pa.array(i, pa.int64()), pa.array(h, pa.int64()), pa.array(s, pa.int64()), pa.array(d, pa.binary())], names=["id", "h", "a", "d"])
+            c, m, k, d = zip(*out)
+            yield pa.record_batch([pa.array(c, pa.string()), pa.array(m, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], names=["c", "m", "k", "d"])
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -318,31 +336,44 @@ def repeats(docs: DataFrame) -> DataFrame:
     copies = copies.groupBy("m").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
     copies = materialise(copies, "copies")
     first = copies.select("first.id", "first.h")
-    found = materialise(base.select("id", "h", "text").mapInArrow(_anchor_rows, "id long, h long, pos long, key long"), "anchors")
+    found = materialise(base.select("id", "h", "text").mapInArrow(_anchor_rows, "id long, h long, key long, pos array<long>"), "anchors")
     found = _with(found, first, "left_semi")
-    count = found.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    wanted = found.join(count, "key").groupBy("id", "h").agg(F.collect_list(F.struct("pos", (F.col("c") > HOT).alias("hot"))).alias("w"))
+    count = found.groupBy("key").agg(F.sum(F.size("pos")).alias("c")).where("c > 1")
+    places = F.transform("pos", lambda p: F.struct(p.alias("pos"), (F.col("c") > HOT).alias("hot")))
+    wanted = found.join(count, "key").groupBy("id", "h").agg(F.flatten(F.collect_list(places)).alias("w"))
     wanted = materialise(wanted.select("id", "h", F.col("w.pos").alias("pos"), F.col("w.hot").alias("hot")), "wanted")
     texts = _with(base.select("id", "h", "text"), wanted.select("id", "h"), "left_semi").join(wanted, ["id", "h"])
-    context = texts.mapInArrow(_context_rows, "key long, hot boolean, id long, h long, start long, at int, n int, ctx binary")
+    context = texts.mapInArrow(_context_rows, "key long, hot boolean, id long, h long, starts array<long>, at int, n int, ctx binary")
     any_hot = not wanted.where(F.exists("hot", lambda x: x)).isEmpty()
     if any_hot:  # read twice
         context = materialise(context, "contexts")
-    cold = context.where("not hot").repartition("key").sortWithinPartitions("key", "id", "h", "start")
-    ranges = cold.mapInArrow(_sort_buckets, "id long, h long, a long, b long")
+    cold = context.where("not hot").select("key", "id", "h", F.element_at("starts", 1).alias("start"), "at", "n", "ctx").repartition("key").sortWithinPartitions("key", "id", "h", "start")
+    ranges = cold.mapInArrow(_sort_buckets, "id long, h long, a long, b long").select("id", "h", F.array(F.struct("a", "b")).alias("r"))
     if any_hot:
         ranges = ranges.unionByName(_count_windows(context.where("hot")))
-    ranges = ranges.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = ranges.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges"))
     ranges = materialise(ranges, "ranges")
     twice = copies.where("n > 1").select("m")
     return _result(base, ranges, twice)
 
 
 def _count_windows(context: DataFrame) -> DataFrame:
-    """(id, h, a, b) of windows in hot buckets whose digest occurs again; a repeated row's contexts count once."""
-    window = context.dropDuplicates(["key", "id", "h", "start"]).mapInArrow(_digests, "id long, h long, a long, d binary")
-    again = window.groupBy("d").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("d")
-    return window.join(again, "d").select("id", "h", "a", (F.col("a") + LENGTH).alias("b"))
+    """(id, h, r) with ranges of windows in hot buckets that occur again.
+
+    Equal contexts are one before their windows are counted, with the number of their places; a context with several
+    places goes whole.  A repeated row's contexts count once.
+    """
+    named = context.withColumn("c", F.md5("ctx"))
+    once = named.select("c", "id", "h", "starts").distinct()
+    places = once.groupBy("c").agg(F.sum(F.size("starts")).alias("m"))
+    same = materialise(named.groupBy("c").agg(F.any_value("ctx").alias("ctx"), F.any_value("n").alias("n")).join(places, "c"), "same")
+    window = same.mapInArrow(_digests, "c string, m long, k int, d binary")
+    again = window.groupBy("d").agg(F.sum("m").alias("s")).where("s > 1").select("d")
+    span = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    some = window.where("m = 1").join(again, "d").groupBy("c").agg(F.collect_list(span(F.col("k"), F.col("k") + LENGTH)).alias("x"))
+    whole = same.where("m > 1").select("c", F.array(span(F.lit(0), F.col("n") - 1 + LENGTH)).alias("x"))
+    moved = F.transform("starts", lambda s: F.transform("x", lambda x: F.struct((s + x["lo"]).alias("a"), (s + x["hi"]).alias("b"))))
+    return once.join(some.unionByName(whole), "c").select("id", "h", F.flatten(moved).alias("r"))
 
 
 def _result(base: DataFrame, ranges: DataFrame, twice: DataFrame) -> DataFrame:
