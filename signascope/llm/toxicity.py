@@ -188,11 +188,11 @@ class _Sparse:
 
     def kernel(self, words: list[str]) -> np.ndarray:
         out, n = [], len(self.ids)
-        for k in range(0, len(words), 500):
-            row, h, w = subsequences([x[:WIDTH] for x in words[k : k + 500]])
+        for k in range(0, len(words), 100):
+            row, h, w = subsequences([x[:WIDTH] for x in words[k : k + 100]])
             at = np.minimum(np.searchsorted(self.ids, h), n - 1)
             some = self.ids[at] == h
-            m = len(words[k : k + 500])
+            m = len(words[k : k + 100])
             out.append(np.bincount(row[some] * n + at[some], w[some], m * n).reshape(m, n) @ self.dense.T)
         return np.concatenate(out)
 
@@ -205,12 +205,12 @@ def _first_guess(bags: list[tuple[int, list[str]]], vocabulary: list[str]) -> di
         counts[y, [index[t] for t in bag]] += 1
     totals = np.maximum(counts.sum(1, keepdims=True), 1)
     n = np.bincount([y for y, _ in bags], minlength=2)
-    size, blocks = 1 << 20, [vocabulary[k : k + 4000] for k in range(0, len(vocabulary), 4000)]
+    size, blocks = 1 << 20, [vocabulary[k : k + 1000] for k in range(0, len(vocabulary), 1000)]
     seen, slots = np.zeros((2, size)), lambda h: (h >> np.uint64(44)).astype(np.int64)
     for k, block in enumerate(blocks):
         row, h, w = subsequences([("^" + t)[:WIDTH] for t in block])
         for y in (0, 1):
-            seen[y] += np.bincount(slots(h), counts[y, 4000 * k + row], size)
+            seen[y] += np.bincount(slots(h), counts[y, 1000 * k + row], size)
     odds = np.log((seen[1] / totals[1] + 1e-7) / (seen[0] / totals[0] + 1e-7))
     out = []
     for block in blocks:
