@@ -4,11 +4,14 @@
    the large ones dealt out by salt.
 2. Neighbours of neighbours: around each node, its neighbours and those that list it are compared with each
    other, and each keeps its best ``K``; again until few lists change.
-3. Edges at the threshold join nodes into components.  A node whose list is full of such edges needs a longer one:
-   its list is enlarged to its whole component, compared exactly, a pair of blocks at a time, and only counts
-   leave a task.  So link counts are exact within components.
-4. The audit compares a bounded sample of nodes with all rows; while recall is under ``recall``, more buckets are
-   drawn and the descent runs again.
+3. Edges at the threshold join nodes into components.  A list that is full of such edges can hide a link only where the
+   lists of both ends are full.  Such nodes get second lists, of neighbours outside their component, by the same
+   descent; what they find merges components, until no second list has an edge at the threshold.
+4. Components are compared exactly, a pair of blocks at a time, and only counts leave a task.  So link counts are
+   exact within components.
+5. The audit compares bounded samples of all nodes, of those with links and of those with full lists with all rows,
+   after each attempt; while recall is under ``recall``, more buckets are drawn and the descent runs again.  After the
+   last attempt all vectors of a label are compared exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -89,7 +92,7 @@ def _groups(batches, cols: tuple[str, ...]):
 
 
 def _compare(k: int):
-    """Within each group, the ``k`` nearest of every member."""
+    """Within each group, the ``k`` nearest of every member, outside its own ``root`` where members have one."""
 
     def run(batches):
         a, nbrs = [], []
@@ -101,10 +104,15 @@ def _compare(k: int):
                 continue
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
+            if "root" in group.schema.names:
+                root = np.asarray(group.column("root"))[first]
+                sim[root[:, None] == root] = -2
             top = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
             for r in range(len(ids)):
-                a.append(ids[r])
-                nbrs.append([{"far": round(1 - float(sim[r, c]), 12), "id": int(ids[c])} for c in top[r]])
+                near = [{"far": round(1 - float(sim[r, c]), 12), "id": int(ids[c])} for c in top[r] if sim[r, c] > -1.5]
+                if near:
+                    a.append(ids[r])
+                    nbrs.append(near)
             if len(a) > 5000:
                 yield _lists(a, nbrs)
                 a, nbrs = [], []
@@ -130,25 +138,93 @@ def _join_locally(groups: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     salt = F.pmod(F.xxhash64("g", "id"), F.ceil(F.col("m") / BUCKET))
     dealt = groups.join(size, "g").select(F.concat_ws("/", "g", salt).alias("g"), "id")
-    full = dealt.join(nodes.select("id", "v"), "id").repartition("g").sortWithinPartitions("g")
+    full = dealt.join(nodes.select("id", "v", *(c for c in nodes.columns if c == "root")), "id").repartition("g").sortWithinPartitions("g")
     return full.mapInArrow(_compare(k), f"id long, nbrs {NBRS}")
 
 
-def descend(nodes: DataFrame, lists: DataFrame, k: int, rounds: int, settled: float) -> DataFrame:
-    """Neighbours-of-neighbours joins until at most the share ``settled`` of the lists changes."""
+def descend(nodes: DataFrame, lists: DataFrame, k: int, rounds: int, settled: float, own: DataFrame | None = None) -> DataFrame:
+    """Neighbours-of-neighbours joins until at most the share ``settled`` of the lists changes.
+
+    ``own`` has further lists whose members are neighbours too, but are not kept.
+    """
     for _ in range(rounds):
         edge = lists.select("id", F.explode("nbrs.id").alias("other"))
+        edge = edge if own is None else edge.unionByName(own.select("id", F.explode("nbrs.id").alias("other")))
         around = edge.select(F.col("id").cast("string").alias("g"), F.col("other").alias("id")).unionByName(edge.select(F.col("other").cast("string").alias("g"), "id"))
         around = around.unionByName(lists.select(F.col("id").cast("string").alias("g"), "id")).distinct()
         found = _join_locally(around, nodes, k)
         new = materialise(_best(lists.select("id", "nbrs").unionByName(found), k), "descent")
-        changed = new.join(lists.withColumnRenamed("nbrs", "old"), "id").where(F.col("nbrs") != F.col("old")).count()
+        changed = new.join(lists.withColumnRenamed("nbrs", "old"), "id", "left").where(~F.col("nbrs").eqNullSafe(F.col("old"))).count()
         lists = new
         if changed <= settled * max(1, nodes.count()):
             break
     return lists
 
 
+def _edges(lists: DataFrame, threshold: float) -> DataFrame:
+    some = lists.select(F.col("id").alias("a"), F.explode("nbrs").alias("e")).where(F.col("e.far") <= 1 - threshold + 1e-12)
+    return some.select("a", F.col("e.id").alias("b"))
+
+
+def full_lists(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+    """(id, nbrs) of the nodes whose list has ``k`` edges at the threshold, so that further ones may be hidden."""
+    return lists.where((F.size("nbrs") >= k) & (F.element_at("nbrs", -1)["far"] <= 1 - threshold + 1e-12))
+
+
+def _bits():
+    return F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (BUCKET * 0.75))))).cast("int")
+
+
+def _coded(nodes: DataFrame) -> DataFrame:
+    sizes = nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
+    return nodes.join(sizes, "space").withColumn("bits", _bits()).select("id", "space", "bits", "v")
+
+
+def merge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, roots: DataFrame, k: int, threshold: float, rounds: int, settled: float, seed: int) -> DataFrame:
+    """``roots`` after links between nodes with full lists in different components are followed, until none is found."""
+    full = full_lists(lists, k, threshold)
+    while True:
+        member = full.select("id").join(nodes, "id").join(roots.withColumnRenamed("v", "id"), "id")
+        several = member.groupBy("space").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("space")
+        member = materialise(member.join(several, "space").select("id", "space", "v", "root"), "full")
+        if member.isEmpty():
+            return roots
+        seed += 1
+        buckets = materialise(_coded(member).mapInArrow(_codes(seed), "id long, g string"), "buckets")
+        beyond = materialise(_best(_join_locally(buckets, member, k), k), "beyond")
+        beyond = descend(member, beyond, k, rounds, settled, own=full.join(member.select("id"), "id", "left_semi"))
+        found = materialise(_edges(beyond, threshold), "found")
+        if found.isEmpty():
+            return roots
+        edges = edges.unionByName(found)
+        roots = components(edges, "graph")
+
+
+def _lowest(sim: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each row of the symmetric ``sim`` reaches."""
+    low = ids.copy()
+    while True:
+        new = np.minimum(low, np.where(sim, low, np.iinfo(np.int64).max).min(1))
+        if (new == low).all():
+            return low
+        low = new
+
+
+def _join_blocks(threshold: float):
+    """(a, b): of the links of a pair of blocks, as many as connect what they connect."""
+
+    def run(batches):
+        for _, group in _groups(batches, ("id", "side", "v")):
+            ids, side, x = np.asarray(group.column("id")), np.asarray(group.column("side")), _matrix(group, "v")
+            sim = x @ x.T >= threshold
+            if (side == 2).any():
+                sim &= (side < 2)[:, None] != (side < 2)
+            low = _lowest(sim, ids)
+            yield pa.record_batch([pa.array(ids[low < ids], pa.int64()), pa.array(low[low < ids], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _count_blocks(threshold: float):
     def run(batches):
         for _, group in _groups(batches, ("id", "side", "copies", "v")):
@@ -166,22 +242,40 @@ def _count_blocks(threshold: float):
     return run
 
 
-def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """(id, links): linked vectors within each component, from blocks compared exactly."""
+def _block_pairs(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of blocks of each component: g, id, side, copies, v, sorted by g."""
     member = nodes.join(roots.withColumnRenamed("v", "id"), "id")
     size = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"))
     member = member.join(size, "root").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
     pairs = member.select(F.concat_ws(":", "root", F.least("own", "other"), F.greatest("own", "other")).alias("g"), "id", side.alias("side"), "copies", "v")
-    counted = pairs.repartition("g").sortWithinPartitions("g").mapInArrow(_count_blocks(threshold), "id long, links long")
+    return pairs.repartition("g").sortWithinPartitions("g")
+
+
+def count_links(nodes: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
+    """(id, links): linked vectors within each component, from blocks compared exactly."""
+    counted = _block_pairs(nodes, roots).mapInArrow(_count_blocks(threshold), "id long, links long")
     return counted.groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int = AUDIT) -> float:
-    """Share of the true links of at most ``sample`` nodes (smallest md5 of id) that were counted; 1 where there are none."""
-    some = nodes.orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(sample).select("id", "space", "v").collect()
-    held = [(r["id"], r["space"], np.array(r["v"])) for r in some]
+def exactly(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Roots from comparing all nodes of a space, a pair of blocks at a time."""
+    whole = nodes.select(F.col("id").alias("v"), F.col("space").alias("root"))
+    return components(_block_pairs(nodes, whole).mapInArrow(_join_blocks(threshold), "a long, b long"), "exact")
+
+
+def audit(nodes: DataFrame, counted: DataFrame, threshold: float, full: DataFrame | None = None, sample: int = AUDIT) -> float:
+    """Share of the true links of samples that were counted, over all and as a mean of nodes, whichever is less; 1 where there are none.
+
+    The samples are the ``sample`` smallest md5 of id among all nodes, among those with links and among ``full``.
+    """
+    linked = counted.where("links > 0").select("id")
+    held = {}
+    for ids in (nodes.select("id"), linked, *([] if full is None else [full.select("id")])):
+        some = ids.orderBy(F.md5(F.col("id").cast("string").cast("binary"))).limit(sample)
+        held |= {r["id"]: (r["id"], r["space"], np.array(r["v"])) for r in nodes.join(F.broadcast(some), "id").select("id", "space", "v").collect()}
+    held = list(held.values())
 
     def run(batches):
         for b in batches:
@@ -198,8 +292,9 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, sample: int =
                 yield pa.record_batch([pa.array(q, pa.int64()), pa.array(n, pa.int64())], names=["id", "true"])
 
     truth = nodes.select("id", "space", "copies", "v").mapInArrow(run, "id long, true long").groupBy("id").agg(F.sum("true").alias("true"))
-    both = truth.join(counted, "id", "left").agg(F.sum("true").alias("t"), F.sum(F.coalesce("links", F.lit(0))).alias("f")).first()
-    return (both["f"] or 0) / both["t"] if both["t"] else 1.0
+    f = F.coalesce("links", F.lit(0))
+    both = truth.join(counted, "id", "left").where(F.col("true") > 0).agg(F.sum("true").alias("t"), F.sum(f).alias("f"), F.avg(f / F.col("true")).alias("m")).first()
+    return min(both["f"] / both["t"], both["m"]) if both["t"] else 1.0
 
 
 def link(vectors: DataFrame, threshold: float = 0.98, k: int = K, rounds: int = 3, settled: float = 0.02, recall: float = 0.999, tries: int = 3) -> DataFrame:
@@ -212,20 +307,22 @@ def link(vectors: DataFrame, threshold: float = 0.98, k: int = K, rounds: int =
     """
     rows, nodes = nodes_of(vectors)
     rows, nodes = materialise(rows, "vectors"), materialise(nodes, "nodes")
-    sizes = nodes.groupBy("space").agg(F.count(F.lit(1)).alias("n"))
-    bits = F.least(F.lit(32), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (BUCKET * 0.75))))).cast("int")
-    coded = nodes.select("id", "space", "v").join(sizes, "space").withColumn("bits", bits)
+    coded = _coded(nodes)
     lists = None
     for attempt in range(tries):
         buckets = coded.mapInArrow(_codes(attempt), "id long, g string")
         found = _join_locally(materialise(buckets, "buckets"), nodes, k)
         lists = materialise(_best(found if lists is None else found.unionByName(lists), k), "lists")
         lists = descend(nodes, lists, k, rounds, settled)
-        edges = lists.select(F.col("id").alias("a"), F.explode("nbrs").alias("e")).where(F.col("e.far") <= 1 - threshold + 1e-12)
-        roots = components(edges.select("a", F.col("e.id").alias("b")), "graph")
+        edges = _edges(lists, threshold)
+        roots = components(edges, "graph")
+        roots = merge(nodes, lists, edges, roots, k, threshold, rounds, settled, tries + 1000 * attempt)
         counted = materialise(count_links(nodes, roots, threshold), "links")
-        if attempt == tries - 1 or audit(nodes, counted, threshold) >= recall:
+        if audit(nodes, counted, threshold, full_lists(lists, k, threshold)) >= recall:
             break
+    else:
+        roots = exactly(nodes, threshold)
+        counted = materialise(count_links(nodes, roots, threshold), "links")
     return _result(rows, nodes, roots, counted)
 
 

@@ -348,6 +348,33 @@ def test_neardup_matches_brute_force(spark):
     assert neardup.link(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).collect() == []
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_neardup_joins_tight_groups(spark, monkeypatch, exact):
+    rng = np.random.default_rng(8)
+    base, away = np.linalg.qr(rng.normal(size=(16, 2)))[0].T
+    far = base * 0.985 + away * np.sqrt(1 - 0.985**2)  # two groups of 14, cosine over 0.999 inside and about 0.985 between, and 200 others
+    x = np.concatenate([base + rng.normal(size=(14, 16)) * 0.003, far + rng.normal(size=(14, 16)) * 0.003, rng.normal(size=(200, 16))])
+    rows = [(i, [float(a) for a in v], 0) for i, v in enumerate(x)]
+    if exact:  # nothing is found before the last attempt has failed the audit
+        monkeypatch.setattr(neardup, "audit", lambda *a, **k: 0.0)
+        monkeypatch.setattr(neardup, "merge", lambda nodes, lists, edges, roots, *a: roots)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in neardup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tries=1).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.98
+    assert link[:28, :28].all() and link.sum() == 28 * 28 + 200
+    assert got == {i: (27, 0) if i < 28 else (0, i) for i in range(228)}
+
+
+def test_neardup_audit_draws_linked_nodes(spark):
+    x = np.eye(300)
+    x[299] = x[298] + 1e-3 * x[299]
+    nodes = spark.createDataFrame([(i, "s", 1, [float(a) for a in v / np.linalg.norm(v)]) for i, v in enumerate(x)], "id long, space string, copies long, v array<double>")
+    counted = spark.createDataFrame([(298, 1)], "id long, links long")
+    assert neardup.audit(nodes, counted, 0.98, sample=4) == 1.0
+    full = spark.createDataFrame([(299,)], "id long")
+    assert neardup.audit(nodes, counted, 0.98, full, sample=4) == 0.5
+
+
 # pipeline
 def test_pipeline_against_plain_python(spark):
     import corpus_pipeline as cp
