@@ -225,6 +225,20 @@ def test_licenses_match_brute_force(spark):
         assert {m[0] for m in held.matches(" ".join(text))} == expect
 
 
+def test_licenses_find_standard_texts(spark):
+    rng = random.Random(3)
+    full = [licenses.standard_text(name) for name in licenses.TEXTS]
+    docs = [f"{prose(rng, 60)}\n# {text}\n{prose(rng, 60)}" for text in full] + ["/*\n * " + full[licenses.TEXTS.index("bsd-3-clause")].replace("\n", "\n * ").replace("copyright holder nor", "University nor") + "*/"]
+    rows = licenses.scan(docs_of(spark, docs)).collect()
+    names = [n.removesuffix("-header").removesuffix("-permission") for n in licenses.TEXTS] + ["bsd-3-clause"]
+    notes = {"apache-2.0", "mpl-2.0", "mit-grant"}  # one-line notices that stand in headers
+    for k, name in enumerate(names):
+        mine = [r for r in rows if r["doc_id"] == k]
+        assert name in {r["license"] for r in mine} <= {name, *notes}, (k, name, mine)
+        if k < len(full):
+            assert max(r["containment"] for r in mine) == 1 and max(r["end"] - r["start"] for r in mine) >= 0.9 * len(full[k].strip()), (k, name, mine)
+
+
 # op6
 def test_warc_round_trip(spark):
     big = "<p>" + "x" * 200
