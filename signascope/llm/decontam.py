@@ -9,7 +9,9 @@ An item leaks into a document when some stretch of the document is within floor(
 * The CGK embedding reads a window by a random walk: at step j it writes the current word and moves on or stays, by
   a random bit of (j, word).  After an edit two walks fall into step again, so few edits become few differing places.
 * Each repetition has a walk and samples ``BITS`` places of it; windows that agree with an item there are candidates.
-  ``REPETITIONS`` is set for the recall named in the tests, at the largest allowed number of edits.
+  The longer an item, the more walks stay out of step, so these alone lose long items with many edits.
+* So every window is a candidate, too, that shares a run with an item where the document shares as many runs as edits
+  must leave: of n-g+1 runs of g words each edit breaks g at most.  This drops no match, whatever the length.
 * A candidate counts only if the edit distance to its best stretch, computed in full, is small enough.
 
 The items are taken in blocks of at most ``block`` so that what each task holds is bounded; a block is one pass.
@@ -48,15 +50,34 @@ def run_length(n: int, rate: float = RATE) -> int:
 
 def best_stretch(item: np.ndarray, seq: np.ndarray) -> tuple[int, int, int]:
     """(edits, start, end) of the stretch of ``seq`` nearest to ``item``; of equals the one that ends first, then is shortest."""
-    prev = [(0, -j) for j in range(len(seq) + 1)]  # start as its negative: the shorter stretch wins
-    for i, w in enumerate(item.tolist(), 1):
-        cur = [(i, 0)]
-        for j, x in enumerate(seq.tolist(), 1):
-            a, b, c = prev[j - 1], prev[j], cur[j - 1]
-            cur.append(min((a[0] + (w != x), a[1]), (b[0] + 1, b[1]), (c[0] + 1, c[1])))
-        prev = cur
-    end = min(range(len(prev)), key=lambda j: (prev[j][0], j))
-    return prev[end][0], -prev[end][1], end
+    scores = [len(item), *_edits(item, seq, False)]
+    edits = min(scores)
+    end = scores.index(edits)
+    back = [len(item), *_edits(item[::-1], seq[:end][::-1], True)]
+    return edits, end - back.index(edits), end
+
+
+def _edits(item: np.ndarray, seq: np.ndarray, anchored: bool) -> list[int]:
+    """Edits of ``item`` against what ends at each word of ``seq`` and starts anywhere, or at its start if ``anchored``.
+
+    Myers' bit-parallel columns, a bit for each word of the item.
+    """
+    where: dict[int, int] = defaultdict(int)
+    for j, w in enumerate(item.tolist()):
+        where[w] |= 1 << j
+    n = len(item)
+    full, top, first, score, out = (1 << n) - 1, 1 << (n - 1), int(anchored), n, []
+    up, down = full, 0
+    for w in seq.tolist():
+        eq = where.get(w, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        right, left = down | (full & ~(h | up)), up & h
+        score += bool(right & top) - bool(left & top)
+        right, left = (right << 1) | first, left << 1
+        up, down = (left | ~(v | right)) & full, right & v & full
+        out.append(score)
+    return out
 
 
 class Items:
@@ -70,10 +91,14 @@ class Items:
         self.base = len(self.vocab) + 1
         self.bags = [Counter(s.tolist()) for s in self.seqs]
         posts: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.owners: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        self.needs = []
         for k, s in enumerate(self.seqs):
             g = run_length(len(s), rate)
+            self.needs.append(max(1, len(s) - g + 1 - allowed(len(s), rate) * g))
             for q, code in enumerate(self.codes(s, g).tolist()):
                 posts[g][code].append((len(s), q))
+                self.owners[g][code].append((k, q))
         self.posts = {g: {c: sorted(set(v)) for c, v in p.items()} for g, p in posts.items()}
         self.grams = {g: np.array(sorted(p), np.int64) for g, p in self.posts.items()}
         rng = np.random.default_rng(seed)
@@ -124,17 +149,38 @@ class Items:
         bag = self.bags[k]
         return sum(min(c, bag[w]) for w, c in Counter(s.tolist()).items() if w in bag)
 
-    def starts(self, s: np.ndarray) -> dict[int, set[int]]:
-        """Window starts worth a look, by window length."""
+    def starts(self, s: np.ndarray) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
+        """Window starts worth a look, by window length; and those where an item shares runs enough, by item."""
         found: dict[int, set[int]] = defaultdict(set)
+        near: dict[int, set[int]] = defaultdict(set)
+        runs: dict[int, set[int]] = defaultdict(set)
         for g, grams in self.grams.items():
             codes = self.codes(s, g)
             hits = np.flatnonzero(codes >= 0)
             at = np.minimum(np.searchsorted(grams, codes[hits]), len(grams) - 1)
             for p in hits[grams[at] == codes[hits]].tolist():
-                for n, q in self.posts[g][int(codes[p])]:
+                code = int(codes[p])
+                for n, q in self.posts[g][code]:
                     found[n].add(p - q)
-        return found
+                for k, q in self.owners[g][code]:
+                    near[k].add(p - q)
+                    runs[k].add(q)
+        return found, {k: v for k, v in near.items() if len(runs[k]) >= self.needs[k]}
+
+    def verified(self, k: int, firsts: set[int], s: np.ndarray) -> tuple[int, int, int] | None:
+        """(edits, start, end) of the best stretch of ``s`` for item ``k`` around the starts ``firsts``, if it is near enough."""
+        n = len(self.seqs[k])
+        reach = allowed(n, self.rate)
+        places: list[list[int]] = []
+        for a in sorted(firsts):
+            lo, hi = max(0, a - reach - 1), min(len(s), a + n + reach + 1)
+            if lo < hi and hi - lo >= n - reach and self.shared(k, s[lo:hi]) >= n - reach:  # each edit costs one shared word at most
+                if places and lo <= places[-1][1]:
+                    places[-1][1] = max(hi, places[-1][1])
+                else:
+                    places.append([lo, hi])
+        got = ((e, lo + x, lo + y) for lo, hi in places for e, x, y in [best_stretch(self.seqs[k], s[lo:hi])] if e <= reach and y > x)
+        return min(got, default=None)
 
     def matches(self, text: str | None) -> list[tuple[int, int, int, int]]:
         return self.matches_of([text])[0]
@@ -145,32 +191,30 @@ class Items:
         Windows of all texts are embedded together, which is what makes the walks cheap.
         """
         get, seqs = self.vocab.get, []
+        candidates: dict[tuple[int, int], set[int]] = defaultdict(set)
         looks: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for d, text in enumerate(texts):
             s = np.array([get(w, 0) for w in words_of(text)], np.int64)
             seqs.append(s)
-            for n, firsts in self.starts(s).items():
+            found, near = self.starts(s)
+            for k, firsts in near.items():
+                candidates[d, k] |= firsts
+            for n, firsts in found.items():
                 shifts = SHIFTS if allowed(n, self.rate) else (0,)
                 looks[n] += [(d, a) for a in sorted({a + x for a in firsts for x in shifts}) if -n < a < len(s)]
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for n, at in looks.items():
-            reach = allowed(n, self.rate)
             for c in range(0, len(at), 500):
                 some = at[c : c + 500]
                 windows = np.zeros((len(some), n), np.int64)
                 for row, (d, a) in zip(windows, some):
                     part = seqs[d][max(0, a) : a + n]
                     row[max(0, -a) : max(0, -a) + len(part)] = part
-                seen = set()
                 for table, keys in zip(self.tables[n], self.keys(windows, n).tolist()):
-                    seen.update((d, a, k) for (d, a), key in zip(some, keys) if key in table for k in table[key])
-                for d, a, k in sorted(seen):
-                    s, known = seqs[d], best.get((d, k), (reach + 1, 0, 0))
-                    lo, hi = max(0, a - reach - 1), min(len(s), a + n + reach + 1)
-                    if known[0] and lo < hi and self.shared(k, s[lo:hi]) >= n - reach:  # each edit costs one shared word at most
-                        edits, x, y = best_stretch(self.seqs[k], s[lo:hi])
-                        if edits <= reach and y > x and (edits, lo + x, lo + y) < known:
-                            best[d, k] = (edits, lo + x, lo + y)
+                    for (d, a), key in zip(some, keys):
+                        if key in table:
+                            for k in table[key]:
+                                candidates[d, k].add(a)
+        best = {dk: got for dk, firsts in candidates.items() if (got := self.verified(dk[1], firsts, seqs[dk[0]]))}
         out: list[list] = [[] for _ in texts]
         spans: dict[int, list | None] = {}
         for (d, k), (edits, x, y) in sorted(best.items()):

@@ -318,6 +318,37 @@ def test_decontam_recall_at_most_edits():
     assert np.mean(hit) >= 0.99
 
 
+@pytest.mark.parametrize("n", [100, 200, 400, 1000])
+@pytest.mark.parametrize("kind", ["insert", "delete"])
+def test_decontam_recall_on_long_items(n, kind):
+    rng = random.Random(n)
+    items = [(k, " ".join(f"{rng.choice(VOCAB)}{rng.randrange(40)}" for _ in range(n))) for k in range(12)]
+    texts = []
+    for _, t in items:
+        w = t.split()
+        places = sorted(rng.sample(range(1, n - 1), decontam.allowed(n)), reverse=True)
+        for p in places:
+            w[p : p + (kind == "delete")] = [] if kind == "delete" else ["yy"]
+        texts.append(" ".join(["foo"] * 9 + w + ["bar"] * 9))
+    found = decontam.Items(items).matches_of(texts)
+    assert [[(m[0], m[3]) for m in f] for f in found] == [[(k, decontam.allowed(n))] for k in range(12)]
+
+
+def test_decontam_best_stretch_is_the_plain_one():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        item, seq = rng.integers(1, 5, rng.integers(1, 90)), rng.integers(0, 5, rng.integers(1, 120))
+        prev = [(0, -j) for j in range(len(seq) + 1)]
+        for i, w in enumerate(item, 1):
+            cur = [(i, 0)]
+            for j, x in enumerate(seq, 1):
+                cur.append(min((prev[j - 1][0] + (w != x), prev[j - 1][1]), (prev[j][0] + 1, prev[j][1]), (cur[j - 1][0] + 1, cur[j - 1][1])))
+            prev = cur
+        end = min(range(len(prev)), key=lambda j: (prev[j][0], j))
+        if prev[end][0] < len(item):
+            assert decontam.best_stretch(item, seq) == (prev[end][0], -prev[end][1], end)
+
+
 def test_decontam_is_exact_where_it_matches(spark):
     rng = random.Random(10)
     items = [(k, prose(rng, 20)) for k in range(10)] + [(99, None), (98, ""), (97, "lone")]
