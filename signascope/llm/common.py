@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no shared folder (tests on one machine).
+#: Used only where the session names no shared folder and runs on one machine, as in tests.
 LOCAL_FALLBACK = "/tmp/checkpoints"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (named or LOCAL_FALLBACK).rstrip("/")
 
 
@@ -24,7 +27,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
-    This cuts lineage and survives lost executors, unlike a cache or a local checkpoint.
+    This cuts lineage and survives lost executors, unlike a cache or a local checkpoint.  The files stay until the shared
+    folder is cleared: lazy results read them.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
@@ -32,6 +36,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches of at most ``rows`` rows: what a task makes of each is let go before the next."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -25,9 +25,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signascope.llm.common import slices
+
 RATE, BITS, REPETITIONS, SHIFTS = 0.2, 2, 64, (0, -1, 1)
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -39,6 +42,15 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) in ``text`` of each word of its lower case, which some characters lengthen."""
+    low = text.lower()
+    if len(low) == len(text):
+        return [m.span() for m in _WORD.finditer(low)]
+    source = [k for k, c in enumerate(text) for _ in range(len(c.lower()))]
+    return [(source[a], source[b - 1] + 1) for a, b in (m.span() for m in _WORD.finditer(low))]
+
+
 def allowed(n: int, rate: float = RATE) -> int:
     return int(n * rate + 1e-9)
 
@@ -216,13 +228,11 @@ class Items:
                                 candidates[d, k].add(a)
         best = {dk: got for dk, firsts in candidates.items() if (got := self.verified(dk[1], firsts, seqs[dk[0]]))}
         out: list[list] = [[] for _ in texts]
-        spans: dict[int, list | None] = {}
+        spans: dict[int, list] = {}
         for (d, k), (edits, x, y) in sorted(best.items()):
             if d not in spans:
-                same = len(texts[d]) == len(texts[d].lower())
-                spans[d] = [m.span() for m in _WORD.finditer(texts[d].lower())] if same else None
-            at = (spans[d][x][0], spans[d][y - 1][1]) if spans[d] else (-1, -1)
-            out[d].append((self.ids[k], *at, edits))
+                spans[d] = word_spans(texts[d])
+            out[d].append((self.ids[k], spans[d][x][0], spans[d][y - 1][1], edits))
         return [sorted(x, key=lambda m: (m[0] is None, m)) for x in out]
 
 
@@ -237,8 +247,7 @@ def blocks(items: DataFrame, block: int, id_col: str = "item_id") -> list[list[t
 def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = 20_000) -> DataFrame:
     """doc_id, item_id, start, end, edits: for each document and item that leaks into it, the best stretch.
 
-    Offsets are code points, -1 for texts whose lower case has another length.  Null and empty texts match nothing;
-    items without words never match; repeated rows repeat.
+    Offsets are code points of the text.  Null and empty texts match nothing; items without words never match; repeated rows repeat.
     """
     rows, parts = docs.select(F.col("doc_id"), F.col("text")), []
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -246,12 +255,12 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = 20_
 
         def scan(batches, some=some):
             held = Items(some, rate)
-            for b in batches:
-                got = [(d, *m) for d, found in zip(b["doc_id"], held.matches_of(list(b["text"]))) for m in found]
-                out = pd.DataFrame(got, columns=["doc_id", "item_id", "start", "end", "edits"])
-                yield out.astype({"doc_id": b["doc_id"].dtype})
+            for b in slices(batches):
+                got = [(row, *m) for row, found in enumerate(held.matches_of(b.column("text").to_pylist())) for m in found]
+                row, *cols = zip(*got) if got else [()] * 5
+                yield pa.record_batch([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "item_id", "start", "end", "edits"])
 
-        parts.append(rows.mapInPandas(scan, f"doc_id {kind}, item_id long, start long, end long, edits long"))
+        parts.append(rows.mapInArrow(scan, f"doc_id {kind}, item_id long, start long, end long, edits long"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -261,7 +270,8 @@ def leaks_column(items: list[tuple[int, str | None]], text, rate: float = RATE):
     def leaked(it):
         held = Items(items, rate)
         for texts in it:
-            yield pd.Series([bool(m) for m in held.matches_of(list(texts))], dtype=bool)
+            texts = list(texts)
+            yield pd.Series([bool(m) for k in range(0, len(texts), 256) for m in held.matches_of(texts[k : k + 256])], dtype=bool)
 
     return F.pandas_udf(leaked, "boolean", F.PandasUDFType.SCALAR_ITER)(text)
 

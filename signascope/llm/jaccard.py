@@ -15,33 +15,39 @@ from __future__ import annotations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signascope.llm.common import components, materialise
+from signascope.llm.common import components, materialise, slices
 
 WORDS, BANDS, ROWS, HASHES, STEP = 5, 24, 4, 128, 16
 BLOCK = 400
 _A = (np.random.default_rng(20).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_KNOWN: dict[str, int] = {}
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    known = _KNOWN
-    if len(known) > 500_000:
-        known.clear()
-    for w in set(words).difference(known):
-        known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+class WordHashes(dict):
+    """Hash of each word; keeps at most ``bound`` words of up to 32 characters, and lives as long as its task."""
 
+    bound = 60_000
 
-def shingle_hashes(words: list[str], k: int = WORDS) -> np.ndarray:
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 32:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_hashes(words: list[str], hashes: WordHashes, k: int = WORDS) -> np.ndarray:
     """A hash for each run of ``k`` words; fewer words are one shingle, none are none."""
-    h = word_hashes(words)
+    h = hashes.of(words)
     n = len(h) - k + 1
     if n < 1:
         h, n = np.concatenate([h, np.zeros(k - len(h), np.uint64)]), min(1, len(h))
@@ -52,9 +58,9 @@ def shingle_hashes(words: list[str], k: int = WORDS) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+def shingle_set(text: str | None, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct shingle hashes of the lower-case words of a text; null and empty texts have none."""
-    return np.unique(shingle_hashes((text or "").lower().split()))
+    return np.unique(shingle_hashes((text or "").lower().split(), WordHashes() if hashes is None else hashes))
 
 
 def set_id(shingles: np.ndarray) -> str | None:
@@ -92,15 +98,32 @@ def band_keys(sig: np.ndarray) -> list[int]:
 
 
 def _sketches(batches):
-    for b in batches:
-        sets = [shingle_set(t) for t in b["text"]]
-        yield b[["doc_id", "k", "h"]].assign(s=[set_id(x) for x in sets], keys=[band_keys(sketch(x)) if len(x) else None for x in sets])
+    """A text's set id and band keys beside its ids; a text's shingles are let go before the next."""
+    hashes = WordHashes()
+    for b in slices(batches):
+        sets, keys = [], []
+        for text in b.column("text"):
+            x = shingle_set(text.as_py(), hashes)
+            sets.append(set_id(x))
+            keys.append(band_keys(sketch(x)) if len(x) else None)
+        yield pa.record_batch([*(b.column(c) for c in ("doc_id", "k", "h")), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "k", "h", "s", "keys"])
 
 
 def _payloads(batches):
-    for b in batches:
-        sets = [shingle_set(t) for t in b["text"]]
-        yield pd.DataFrame({"s": b["s"], "sig": [sketch(x).tobytes() for x in sets], "sh": [x.tobytes() for x in sets]})
+    hashes = WordHashes()
+    for b in slices(batches):
+        sigs, sets = [], []
+        for text in b.column("text"):
+            x = shingle_set(text.as_py(), hashes)
+            sigs.append(sketch(x).tobytes())
+            sets.append(x.tobytes())
+        yield pa.record_batch([b.column("s"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["s", "sig", "sh"])
+
+
+def _set_ids(batches):
+    hashes = WordHashes()
+    for texts in batches:
+        yield texts.map(lambda t: set_id(shingle_set(t, hashes)))
 
 
 def links_within(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, bands: int, threshold: float, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -253,12 +276,12 @@ def classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9) ->
     """
     # (k, h) finds a text again, whatever its id
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("k"), F.xxhash64("text").alias("h"), F.col("text"))
-    keyed = materialise(rows.mapInPandas(_sketches, "doc_id long, k long, h long, s string, keys array<long>"), "jaccard")
+    keyed = materialise(rows.mapInArrow(_sketches, "doc_id long, k long, h long, s string, keys array<long>"), "jaccard")
     texts = keyed.where("s is not null").groupBy("s").agg(F.min("doc_id").alias("first"), F.min(F.struct("k", "h")).alias("at"), F.count(F.lit(1)).alias("n"), F.any_value("keys").alias("keys"))
     texts = materialise(texts, "jaccard")
     groups = materialise(_groups(texts.select("s", F.posexplode("keys").alias("band", "key"))), "jaccard")
     wanted = groups.select("s").distinct().join(texts.select("s", "at.k", "at.h"), "s")
-    payload = rows.join(wanted, ["k", "h"]).select("s", "text").mapInPandas(_payloads, "s string, sig binary, sh binary").groupBy("s").agg(F.any_value("sig").alias("sig"), F.any_value("sh").alias("sh"))
+    payload = rows.join(wanted, ["k", "h"]).select("s", "text").mapInArrow(_payloads, "s string, sig binary, sh binary").groupBy("s").agg(F.any_value("sig").alias("sig"), F.any_value("sh").alias("sh"))
     full = groups.join(payload, "s").join(texts.select("s", "n"), "s")
     found = full.repartition("g").sortWithinPartitions("g").mapInArrow(_verify(threshold, tolerance), "a string, b string, links long")
     found = materialise(found, "jaccard")
@@ -284,7 +307,7 @@ def one_of_each(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
         kept = kept.dropDuplicates(["doc_id", "text"])
     if not found.where("doc_id is null").isEmpty():
         orphans = found.where("class_id is null and s is not null").select("s").distinct()
-        with_set = docs.where("doc_id is null").withColumn("_set_id", F.pandas_udf(lambda t: t.map(lambda x: set_id(shingle_set(x))), "string")("text"))
+        with_set = docs.where("doc_id is null").withColumn("_set_id", F.pandas_udf(_set_ids, "string", F.PandasUDFType.SCALAR_ITER)("text"))
         rest = with_set.join(orphans, with_set["_set_id"] == orphans["s"], "left_semi").dropDuplicates(["_set_id"])
         kept = kept.unionByName(rest.drop("_set_id")).unionByName(with_set.where("_set_id is null").drop("_set_id"))
     return kept.select(*docs.columns)

@@ -25,11 +25,12 @@ from collections import Counter, defaultdict
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signascope.llm.decontam import blocks
+from signascope.llm.common import slices
+from signascope.llm.decontam import blocks, word_spans
 
 WORDS, BANDS, ROWS, CONTAINMENT = 5, 28, 2, 0.8
 _WORD = re.compile(r"\w+")
@@ -182,8 +183,8 @@ class Templates:
                 if not any(2 * (min(b, y) - max(a, x)) > min(b - a, y - x) for _, _, x, y in kept):
                     kept.append((t, share, a, b))
             best = [x for x in best if x[0] not in self.rivals] + kept
-        spans = [m.span() for m in _WORD.finditer(low)] if len(low) == len(text) else None
-        return sorted((self.ids[t], *((spans[a][0], spans[b - 1][1]) if spans else (-1, -1)), share) for t, share, a, b in best)
+        spans = word_spans(text)
+        return sorted((self.ids[t], spans[a][0], spans[b - 1][1], share) for t, share, a, b in best)
 
 
 def notices(spark) -> DataFrame:
@@ -195,8 +196,8 @@ def notices(spark) -> DataFrame:
 def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float = CONTAINMENT, block: int = 20_000) -> DataFrame:
     """doc_id, license, start, end, containment: each stretch of each document that carries a template.
 
-    Of overlapping stretches of one template the fullest stays, then the first.  Offsets are code points, -1 for texts whose
-    lower case has another length.  Null and empty texts carry nothing, templates without words are never found,
+    Of overlapping stretches of one template the fullest stays, then the first.  Offsets are code points of the
+    text.  Null and empty texts carry nothing, templates without words are never found,
     repeated rows repeat.  Without ``templates`` the built-in ones are looked for.
     """
     rivals = frozenset(range(len(NOTICES), len(NOTICES) + len(TEXTS))) if templates is None else frozenset()
@@ -207,10 +208,14 @@ def scan(docs: DataFrame, templates: DataFrame | None = None, containment: float
 
         def run(batches, some=some):
             held = Templates(some, containment, rivals=rivals)
-            for b in batches:
-                got = [(d, *m) for d, t in zip(b["doc_id"], b["text"]) for m in held.matches(t)]
-                yield pd.DataFrame(got, columns=["doc_id", "license_id", "start", "end", "containment"]).astype({"doc_id": b["doc_id"].dtype})
-
-        parts.append(rows.mapInPandas(run, f"doc_id {kind}, license_id long, start long, end long, containment double"))
+            for b in slices(batches):
+                got = [(row, *m) for row, t in enumerate(b.column("text").to_pylist()) for m in held.matches(t)]
+                row, *cols, share = zip(*got) if got else [()] * 5
+                yield pa.record_batch(
+                    [b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in cols), pa.array(share, pa.float64())],
+                    names=["doc_id", "license_id", "start", "end", "containment"],
+                )
+
+        parts.append(rows.mapInArrow(run, f"doc_id {kind}, license_id long, start long, end long, containment double"))
     out = reduce(DataFrame.unionByName, parts)
     return out.join(templates.select("license_id", "name"), "license_id").select("doc_id", F.col("name").alias("license"), "start", "end", "containment") if "name" in templates.columns else out

@@ -1,163 +1,208 @@
-"""Toxicity by a string-kernel support vector machine.
-
-The kernel counts character subsequences of length ``ORDER`` that two tokens share, each weighted by ``DECAY`` to the
-number of skipped characters (up to ``SPAN``), so an insult with gaps or inserted characters still shares most of
-them.  A sentence is as toxic as its worst token, and a document as its worst sentence (multiple-instance SVM):
-training alternates between picking the worst token of each toxic sentence group and fitting a squared-hinge SVM on
-Nystroem features over landmark tokens.  The machine is linear in the landmarks' subsequences, so what it learned
-folds into one weight per subsequence, and scoring a token is a few table look-ups.
-
-Labels are learned from at most ``max_docs`` documents of each class, the ones with the smallest md5 of their id.  Everything is scored, whole texts, at every size.
+"""Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks, trained on labelled sentences.
+
+* Rows of the machine are stretches of sentences: from a word's start (every ``STRIDE`` characters inside longer words) the
+  ``WIDTH`` places at which a subsequence may start, spaces included, within the sentence.  Whitespace runs are one space; a
+  sentence ends at a line end and at ``.!?`` before whitespace.  Characters count as ``CLASSES`` classes (letters a to z
+  without case, space, digits, symbols, other letters by code).
+* The kernel counts the subsequences of ``ORDER`` characters that two stretches share, each weighted by ``DECAY`` to the number
+  of skipped characters (within ``SPAN`` places), so an insult with gaps, inserted characters or a split in two still shares most.
+* Training (multiple-instance SVM) alternates between picking the worst stretch of each toxic document's sentences and fitting
+  a squared-hinge SVM on Nystroem features over landmark stretches; the worst stretches of clean documents pile up as
+  negatives.  It starts from the log-odds of subsequences in the sentences of both classes.
+* The machine is linear in the landmarks' subsequences, so it folds into one weight a subsequence.  A sentence is as toxic as
+  its worst stretch, a document as its worst sentence.
+
+Labels are learned from at most ``max_docs`` documents of each class of at most ``max_chars`` characters, the ones with the
+smallest md5 of their id.  Everything is scored, whole texts, at every size.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signascope.llm.common import held_out
+from signascope.llm.common import held_out, materialise
 
-ORDER, SPAN, DECAY = 4, 7, 0.6
-WIDTH = 32  # a longer token is read in overlapping pieces of this length
+ORDER, SPAN, DECAY = 4, 6, 0.6
+WIDTH, STRIDE = 8, 4
+CLASSES = 40
 THRESHOLD = 0.7
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_BITS = 22
-_SENTENCE = re.compile(r"[.!?\n]+")
-_SPACED = re.compile(r"(?<!\w)(?:\w[ ._*-]){2,}\w(?!\w)")
-_EDGE = " \t\r\n.,;:!?\"'()[]{}<>|%$&*#~`"
-
-
-def tokens(text: str) -> set[str]:
-    """Distinct lower-case tokens without edge punctuation; letters spelled one by one count as one token too."""
-    low = text.lower()
-    out = {w.strip(_EDGE) for w in set(low.split())}
-    for m in _SPACED.finditer(low):
-        out.add("".join(c for c in m[0] if c.isalnum()))
-    out.discard("")
+COST, FOLDS = 1.0, 4
+BLOCK_CHARS = 1 << 16
+#: (offsets after the first character, weight) of each pattern of places.
+PATTERNS = [(o, DECAY ** (o[-1] - ORDER + 1)) for o in combinations(range(1, SPAN), ORDER - 1)]
+_BREAK, _SPACE, _DIGIT, _SYMBOL, _OTHER = 0, 1, 28, 29, 30
+
+
+def _classes() -> np.ndarray:
+    """Class of each character of the basic plane; line ends are breaks."""
+    out = np.full(1 << 16, _SYMBOL, np.uint8)
+    for code in range(len(out) - 1):
+        c = chr(code).lower()[0]
+        if "a" <= c <= "z":
+            out[code] = 2 + ord(c) - ord("a")
+        elif c.isspace():
+            out[code] = _SPACE
+        elif c.isdigit():
+            out[code] = _DIGIT
+        elif c.isalpha():
+            out[code] = _OTHER + ord(c) % (CLASSES - _OTHER)
+    out[ord("\n")] = _BREAK
     return out
 
 
-def sentences(text: str) -> list[str]:
-    return [s for s in _SENTENCE.split(text) if s.strip()]
-
-
-def _pieces(token: str) -> list[str]:
-    token = "^" + token
-    return [token[k : k + WIDTH] for k in range(0, max(1, len(token) - WIDTH // 2), WIDTH // 2)] if len(token) > WIDTH else [token]
-
-
-def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of all words in a row with ``SPAN`` zeros after each, where each starts, and the words' lengths."""
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(lens + SPAN) - lens - SPAN
-    gap = "\0" * SPAN
-    codes = np.frombuffer((gap.join(words) + gap).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    return codes, starts, lens
-
-
-def _step(h: np.ndarray, codes: np.ndarray, k: int) -> np.ndarray:
-    h = (h ^ codes) * _MIX[k]
-    return h ^ (h >> np.uint64(29))
-
+_CLASS = _classes()
+_ENDS = np.zeros(1 << 16, bool)
+_ENDS[[ord(c) for c in ".!?"]] = True
 
-def _chains(codes: np.ndarray):
-    """(offset of the last character, weight, hash by place of the first character) of each pattern of places."""
-    n = len(codes) - SPAN
-    at = [codes[o : o + n] for o in range(SPAN)]
 
-    def grow(h, last, k):
-        if k == ORDER:
-            yield last, DECAY ** (last - ORDER + 1), h
-            return
-        for o in range(last + 1, SPAN - (ORDER - 1 - k)):
-            yield from grow(_step(h, at[o], k), o, k + 1)
+def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(classes of all texts in a row, where each text starts).
 
-    yield from grow(_step(np.uint64(0), at[0], 0), 0, 1)
-
-
-def _norms(lens: np.ndarray) -> np.ndarray:
-    """Root of the summed squared weights of a word's subsequences, by its length."""
-    top = int(lens.max(initial=0)) + 1
-    sums = np.zeros(top)
-    for last, w, _ in _chains(np.zeros(SPAN + 1, np.uint64)):
-        sums += np.maximum(np.arange(top) - last, 0) * w * w
-    return np.maximum(np.sqrt(sums), 1e-9)[lens]
-
-
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word, hash, weight) of every subsequence; each word's weights have length 1."""
-    codes, starts, lens = _flat(words)
-    row = np.repeat(np.arange(len(words)), lens + SPAN)[: len(codes) - SPAN]
-    norm, out = _norms(lens), []
-    for last, w, h in _chains(codes):
-        ok = codes[last : last + len(h)] > 0
-        ok &= codes[: len(h)] > 0
-        out.append((row[ok], h[ok], w / norm[row[ok]]))
+    Each sentence starts with a space and ends with ``SPAN`` breaks, so no subsequence leaves it.
+    """
+    joined = "\n".join(texts) + "\n"
+    codes = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 0xFFFF)
+    cls = _CLASS[codes]
+    gap = cls <= _SPACE
+    end = _ENDS[codes]
+    end[:-1] &= gap[1:]
+    cls[end] = _BREAK
+    # breaks become SPAN breaks and a space; a space after a space or break goes
+    reps = np.ones(len(cls), np.int64)
+    reps[cls == _BREAK] = SPAN + 1
+    reps[1:][(cls[1:] == _SPACE) & (cls[:-1] <= _SPACE)] = 0
+    reps[:1][cls[:1] == _SPACE] = 0
+    at = np.cumsum(reps)
+    out = np.repeat(cls, reps)
+    out[at[cls == _BREAK] - 1] = _SPACE
+    lens = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    first = np.cumsum(lens) - lens
+    starts = np.where(first > 0, at[first - 1], 0)
+    head = np.array([_SPACE], np.uint8)  # for the first sentence of all; the rest have theirs from the break before
+    return np.concatenate([head, out]), np.where(starts > 0, starts, 0)
+
+
+def stretches(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, place after the last) of each stretch: where its subsequences may start."""
+    word = cls > _SPACE
+    begins = np.flatnonzero((cls == _SPACE) & np.append(word[1:], False))
+    stop = np.append(np.flatnonzero(~word), len(cls))
+    length = stop[np.searchsorted(stop, begins, side="right")] - begins
+    more = np.maximum(0, -(-length // STRIDE) - 1)  # further stretches of longer words
+    at = np.repeat(begins, more + 1)
+    at += STRIDE * (np.arange(len(at)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1))
+    breaks = np.append(np.flatnonzero(cls == _BREAK), len(cls))
+    return at, np.minimum(at + WIDTH, breaks[np.searchsorted(breaks, at)])
+
+
+def features(cls: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """(number of the subsequence from each place, weight) by pattern; what touches a break has no valid number."""
+    n = len(cls) - SPAN
+    by = [cls.astype(np.int32) * CLASSES ** (ORDER - 1 - k) for k in range(ORDER)]
+    sums: dict[tuple, np.ndarray] = {(): by[0][:n]}
+    for o, w in PATTERNS:
+        for k in range(1, ORDER):
+            if o[:k] not in sums:
+                sums[o[:k]] = sums[o[: k - 1]] + by[k][o[k - 1] : o[k - 1] + n]
+        yield sums.pop(o), w
+
+
+def squares(cls: np.ndarray) -> np.ndarray:
+    """Summed squared weights of the subsequences from each place."""
+    n = len(cls) - SPAN
+    on = (cls > _BREAK).astype(np.float32)
+    out = np.zeros(n, np.float32)
+    for last in sorted({o[-1] for o, _ in PATTERNS}):
+        out += sum(w * w for o, w in PATTERNS if o[-1] == last) * on[last : last + n]
+    return out * on[:n]
+
+
+def subsequences(cls: np.ndarray, at: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, weight) of every subsequence of stretches; each stretch's weights have length 1."""
+    lens = np.maximum(end - at, 0)
+    row = np.repeat(np.arange(len(at)), lens)
+    place = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens) + at[row]
+    cls = np.concatenate([cls, np.zeros(SPAN, np.uint8)])
+    norm = np.maximum(np.sqrt(np.bincount(row, squares(cls)[place], len(at))), 1e-9)
+    out = []
+    for (o, _), (number, w) in zip(PATTERNS, features(cls)):
+        ok = (cls[place] > 0) & (cls[place + o[-1]] > 0)
+        out.append((row[ok], number[place[ok]], w / norm[row[ok]]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
 @dataclass
 class Model:
-    """Weight of each known subsequence, bias, and the threshold and slope that turn a margin into a score."""
+    """Weight of each known subsequence, bias, and the cut and slope that turn a margin into a score."""
 
-    hashes: np.ndarray
+    numbers: np.ndarray
     weights: np.ndarray
-    bias: float
-    cut: float
-    slope: float
+    bias: float = 0.0
+    cut: float = 1.0
+    slope: float = 5.0
 
 
 class Scorer:
-    """Scores tokens by a model; what a worker has scored it keeps, up to a bound."""
-
-    def __init__(self, model: Model, bound: int = 300_000):
-        self.model, self.bound, self.known = model, bound, {}
-        size = 1 << _BITS
-        self.table, self.check = np.zeros(size, np.float32), np.zeros(size, np.uint16)
-        slot = (model.hashes >> np.uint64(64 - _BITS)).astype(np.int64)
-        self.table[slot], self.check[slot] = model.weights, (model.hashes & np.uint64(0xFFFF)).astype(np.uint16)
-
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words))
-        for k in range(0, len(words), 2000):
-            parts = [_pieces(w) for w in words[k : k + 2000]]
-            codes, starts, lens = _flat([p for x in parts for p in x])
-            sums = np.zeros(len(codes) - SPAN, np.float32)
-            for _, w, h in _chains(codes):
-                slot = h >> np.uint64(64 - _BITS)
-                hit = self.table[slot]
-                some = np.flatnonzero(hit)
-                some = some[self.check[slot[some]] == (h[some] & np.uint64(0xFFFF))]
-                sums[some] += np.float32(w) * hit[some]
-            m = np.add.reduceat(sums, starts) / _norms(lens)
-            out[k : k + 2000] = np.maximum.reduceat(m, np.cumsum([0, *map(len, parts[:-1])]))
-        return out + self.model.bias
+    """Margins of texts; holds one weight for each possible subsequence (10 MB)."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.table = np.zeros(CLASSES**ORDER, np.float32)
+        self.table[model.numbers] = model.weights
+
+    def margins(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(margin by stretch, its text, its first place, its end, classes)."""
+        cls, starts = encode(texts)
+        at, end = stretches(cls)
+        sums = np.zeros(len(cls) + 1)
+        norm = np.zeros(len(cls) + 1)
+        part = np.zeros(len(cls), np.float32)
+        for lo in range(0, len(cls), BLOCK_CHARS):  # a block stays in the processor's cache
+            own = np.append(cls[lo : lo + BLOCK_CHARS + SPAN], np.zeros(max(0, lo + BLOCK_CHARS + SPAN - len(cls)), np.uint8))
+            acc = part[lo : lo + BLOCK_CHARS]
+            for number, w in features(own):
+                acc += np.float32(w) * self.table.take(number[: len(acc)], mode="clip")
+            norm[lo + 1 : lo + 1 + len(acc)] = squares(own)[: len(acc)]
+        np.cumsum(part, dtype=np.float64, out=sums[1:])
+        np.cumsum(norm, out=norm)
+        length = norm[end] - norm[at]
+        m = np.where(length > 1e-6, (sums[end] - sums[at]) / np.sqrt(np.maximum(length, 1e-6)), 0.0) + self.model.bias
+        return m, np.searchsorted(starts, at, side="right") - 1, at, end, cls
 
     def worst(self, texts: list[str | None]) -> np.ndarray:
-        """The worst token's margin of each text; one without tokens has that of a token without known subsequences."""
-        out = []
-        for k in range(0, len(texts), 200):
-            bags = [tokens(t or "") for t in texts[k : k + 200]]
-            new = set().union(*bags).difference(self.known)
-            if len(self.known) + len(new) > self.bound:
-                self.known.clear()
-                new = set().union(*bags)
-            new = list(new)
-            self.known.update(zip(new, self.margins(new).tolist()))
-            out += [max(map(self.known.__getitem__, bag), default=self.model.bias) for bag in bags]
-        return np.array(out, float)
+        """The worst stretch's margin of each text; one without words has the bias."""
+        out = np.full(len(texts), self.model.bias)
+        for group in _slices([t or "" for t in texts]):
+            m, text, *_ = self.margins([texts[k] or "" for k in group])
+            np.maximum.at(found := np.full(len(group), -np.inf), text, m)
+            out[group] = np.where(np.isfinite(found), found, self.model.bias)
+        return out
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         z = np.log(THRESHOLD / (1 - THRESHOLD)) + self.model.slope * (self.worst(texts) - self.model.cut)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _slices(texts: list[str], most: int = 1 << 20) -> Iterator[list[int]]:
+    """Numbers of texts in groups of about ``most`` characters."""
+    held, size = [], 0
+    for k, t in enumerate(texts):
+        if held and size + len(t) > most:
+            yield held
+            held, size = [], 0
+        held.append(k)
+        size += len(t)
+    if held:
+        yield held
+
+
 def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> np.ndarray:
     """Newton steps with halving of a linear SVM with squared hinge loss; the last column of x is the bias."""
     w, eye = np.zeros(x.shape[1]), np.eye(x.shape[1])
@@ -178,155 +223,177 @@ def _squared_hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return w
 
 
-class _Sparse:
-    """Words by their subsequences, against the subsequences of a set of landmarks."""
-
-    def __init__(self, landmarks: list[str]):
-        row, h, w = subsequences(landmarks)
-        self.ids, at = np.unique(h, return_inverse=True)
-        self.dense = np.bincount(row * len(self.ids) + at, w, len(landmarks) * len(self.ids)).reshape(len(landmarks), -1)
-
-    def kernel(self, words: list[str]) -> np.ndarray:
-        out, n = [], len(self.ids)
-        for k in range(0, len(words), 100):
-            row, h, w = subsequences([x[:WIDTH] for x in words[k : k + 100]])
-            at = np.minimum(np.searchsorted(self.ids, h), n - 1)
-            some = self.ids[at] == h
-            m = len(words[k : k + 100])
-            out.append(np.bincount(row[some] * n + at[some], w[some], m * n).reshape(m, n) @ self.dense.T)
-        return np.concatenate(out)
-
-
-def _first_guess(bags: list[tuple[int, list[str]]], vocabulary: list[str]) -> dict[str, float]:
-    """Token scores to start from: mean log-odds of a token's subsequences by the documents that hold them."""
-    index = {t: k for k, t in enumerate(vocabulary)}
-    counts = np.zeros((2, len(vocabulary)))
-    for y, bag in bags:
-        counts[y, [index[t] for t in bag]] += 1
-    totals = np.maximum(counts.sum(1, keepdims=True), 1)
-    n = np.bincount([y for y, _ in bags], minlength=2)
-    size, blocks = 1 << 20, [vocabulary[k : k + 1000] for k in range(0, len(vocabulary), 1000)]
-    seen, slots = np.zeros((2, size)), lambda h: (h >> np.uint64(44)).astype(np.int64)
-    for k, block in enumerate(blocks):
-        row, h, w = subsequences([("^" + t)[:WIDTH] for t in block])
-        for y in (0, 1):
-            seen[y] += np.bincount(slots(h), counts[y, 1000 * k + row], size)
-    odds = np.log((seen[1] / totals[1] + 1e-7) / (seen[0] / totals[0] + 1e-7))
-    out = []
-    for block in blocks:
-        row, h, w = subsequences([("^" + t)[:WIDTH] for t in block])
-        out.append(np.bincount(row, odds[slots(h)] * w, len(block)) / np.maximum(np.bincount(row, w, len(block)), 1e-9))
-    out = np.concatenate(out)
-    own = np.log((counts[1] + 1) / (n[1] + 2)) - np.log((counts[0] + 1) / (n[0] + 2))
-    return dict(zip(vocabulary, out + own))
-
+class _Landmarks:
+    """Stretches by their subsequences, against those of a set of landmark stretches (each a row of classes)."""
+
+    def __init__(self, rows: list[bytes]):
+        row, number, w = subsequences(*_laid(rows))
+        self.numbers, at = np.unique(number, return_inverse=True)
+        self.dense = np.bincount(at * len(rows) + row, w, len(rows) * len(self.numbers)).reshape(-1, len(rows)).astype(np.float32)
+
+    def kernel(self, rows: list[bytes]) -> np.ndarray:
+        out, n = np.zeros((len(rows), self.dense.shape[1])), len(self.numbers)
+        for k in range(0, len(rows), 200):
+            row, number, w = subsequences(*_laid(rows[k : k + 200]))
+            at = np.minimum(np.searchsorted(self.numbers, number), n - 1)
+            some = np.flatnonzero(self.numbers[at] == number)
+            some = some[np.argsort(row[some], kind="stable")]
+            first = np.flatnonzero(np.diff(row[some], prepend=-1))
+            if len(some):
+                out[k + row[some[first]]] = np.add.reduceat(self.dense[at[some]] * w[some, None].astype(np.float32), first)
+        return out
+
+
+def _laid(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches (with their tails of up to ``SPAN`` - 1 classes) one after the other: classes, starts, ends."""
+    lens = np.array([len(r) for r in rows])
+    at = np.cumsum(lens + SPAN) - lens - SPAN
+    cls = np.frombuffer(bytes(SPAN).join(rows) + bytes(SPAN), np.uint8)
+    return cls, at, at + np.minimum(lens, WIDTH)
+
+
+def _cut_out(cls: np.ndarray, at: np.ndarray, end: np.ndarray) -> list[bytes]:
+    """A stretch with the classes after it that its subsequences may reach."""
+    data, out = cls.tobytes(), []
+    for a, e in zip(at.tolist(), end.tolist()):
+        piece = data[a : e + SPAN - 1] if e - a == WIDTH else data[a:e]
+        out.append(piece.split(b"\0")[0])
+    return out
 
-def fit(bags: list[tuple[int, list[str]]]) -> Model:
-    """Train on (label, tokens) of labelled documents; with one class only, everything scores below the threshold.
 
-    The machine learns from all; the cut between the classes comes from two machines that learned half each,
-    on the half that they have not seen.
-    """
-    halves: list[list] = [[], []]
+def _first_guess(docs: list[tuple[int, str]]) -> Model:
+    """Log-odds of each subsequence between the sentences of toxic and clean documents."""
+    count, total = np.zeros((2, CLASSES**ORDER), np.float32), np.zeros(2)
     for y in (0, 1):
-        for k, bag in enumerate(b for b in bags if b[0] == y):
-            halves[k % 2].append(bag)
-    model, seen = machine(bags), []
-    for learn, tune in (halves, halves[::-1]):
-        scorer = Scorer(machine(learn))
-        seen += [(max(scorer.margins(bag)), y) for y, bag in tune if bag]
-    margin, label = np.array([m for m, _ in seen]), np.array([y for _, y in seen])
-    if len(model.hashes) and len(set(label.tolist())) == 2:
-        # the cut that errs least, in the middle of its gap
-        edges = np.unique(margin)
-        cuts = np.r_[edges[0] - 1, (edges[1:] + edges[:-1]) / 2, edges[-1] + 1]
-        up, down = np.sort(margin[label == 1]), np.sort(margin[label == 0])
-        wrong = np.searchsorted(up, cuts) / len(up) + 2 * (len(down) - np.searchsorted(down, cuts)) / len(down)
-        best = np.flatnonzero(wrong == wrong.min())
-        model.cut = float((cuts[best[0]] + cuts[best[-1]]) / 2)
-        model.slope = float(4 / max(0.2, up.mean() - down.mean()))
-    return model
-
-
-def machine(learn: list[tuple[int, list[str]]], seed: int = 7, landmarks: int = 384, rounds: int = 4) -> Model:
-    """Nystroem SVM on the worst tokens of toxic documents against tokens of clean ones."""
-    rng = np.random.default_rng(seed)
-    if len({y for y, _ in learn}) < 2:
-        return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, 1.0, 5.0)
-    vocabulary = sorted({t for _, bag in learn for t in bag})
-    guess = _first_guess(learn, vocabulary)
-    clean = sorted({t for y, bag in learn if not y for t in bag})
-    pure, common = set(clean), Counter(t for y, bag in learn if not y for t in set(bag))
-    # tokens that toxic documents alone hold, too often for chance, speak for them; the worst token does where there is none
-    share, held = np.mean([y for y, _ in learn]), Counter(t for y, bag in learn if y for t in set(bag))
-    telling = {t for t, c in held.items() if share**c < 1e-4}.difference(pure)
-    hard = set(sorted(clean, key=lambda t: (-common[t], t))[:1500]) | {clean[i] for i in rng.permutation(len(clean))[:1000]}
+        texts = [t for k, t in docs if k == y]
+        for group in _slices(texts):
+            cls, _ = encode([texts[k] for k in group])
+            cls = np.append(cls, np.zeros(SPAN, np.uint8))
+            for (o, w), (number, _) in zip(PATTERNS, features(cls)):
+                ok = (cls[: len(number)] > 0) & (cls[o[-1] : o[-1] + len(number)] > 0)
+                count[y] += np.bincount(number[ok], minlength=CLASSES**ORDER).astype(np.float32) * np.float32(w)
+        total[y] = max(count[y].sum(), 1)
+    rate = total[1] / total[0]
+    odds = np.log((count[1] + 1) / (count[0] * rate + 1))
+    known = np.flatnonzero(odds)
+    return Model(known, odds[known].astype(np.float32))
+
+
+def machine(docs: list[tuple[int, str]], seed: int = 7, landmarks: int = 512, rounds: int = 4, per_doc: int = 3, most: int = 6000) -> Model:
+    """Nystroem SVM on the worst stretches of toxic documents against stretches of clean ones, at most ``most`` of these a round."""
+    if len({y for y, _ in docs}) < 2:
+        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32))
+    rng, model = np.random.default_rng(seed), _first_guess(docs)
+    negatives: dict[bytes, int] = {}
     for step in range(rounds):
-        worst: dict[str, int] = {}
-        for y, bag in learn:
-            if y and (own := [t for t in bag if t not in pure]):  # what a clean document holds is clean
-                for t in telling.intersection(own) or [max(own, key=guess.__getitem__)]:
-                    worst[t] = worst.get(t, 0) + 1
-        bad = sorted(worst, key=lambda t: (-worst[t], t))
-        # negatives pile up: the most common clean tokens, some at random, and after each round those that score worst
-        hard.update(sorted(clean, key=lambda t: (-guess[t], t))[:1000])
-        good = sorted(hard, key=lambda t: (-guess[t], t))
-        marks = ["^" + t for t in bad[: landmarks // 2] + good[: landmarks // 4] + good[-(landmarks // 4) :]]
-        marks = sorted(set(m[:WIDTH] for m in marks))
-        space = _Sparse(marks)
-        val, vec = np.linalg.eigh(space.dense @ space.dense.T)
-        root = vec[:, val > 1e-8] / np.sqrt(val[val > 1e-8])
-        words = bad + good
-        x = np.hstack([space.kernel(["^" + t for t in words]) @ root, np.ones((len(words), 1))])
+        scorer, positives, hard = Scorer(model), {}, {}
+        for group in _slices([t for _, t in docs]):
+            own = [docs[k] for k in group]
+            m, text, at, end, cls = scorer.margins([t for _, t in own])
+            label = np.array([y for y, _ in own])[text]
+            order = np.lexsort((at, -m, text))
+            rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
+            worst = order[(label[order] == 1) & (rank == 0)]
+            for row in _cut_out(cls, at[worst], end[worst]):
+                positives[row] = positives.get(row, 0) + 1
+            near = order[(label[order] == 0) & (rank < per_doc) & ((m[order] > -1) | (step == 0))]
+            for row, far in zip(_cut_out(cls, at[near], end[near]), m[near].tolist()):
+                n, _ = hard.get(row, (0, 0.0))
+                hard[row] = (n + 1, far)
+            if step == 0 and (label == 0).any():  # and some by chance
+                some = rng.choice(np.flatnonzero(label == 0), len(own))
+                hard.update((row, (1, np.inf)) for row in _cut_out(cls, at[some], end[some]) if row not in hard)
+        for row in sorted(hard, key=lambda r: (-hard[r][1], r))[:most]:
+            negatives[row] = max(negatives.get(row, 0), hard[row][0])
+        bad, good = sorted(positives), sorted(negatives)
+        marks = sorted({*_some(bad, landmarks // 2, rng), *_some(good, landmarks // 2, rng)})
+        space = _Landmarks(marks)
+        val, vec = np.linalg.eigh((space.dense.T @ space.dense).astype(np.float64))
+        root = vec[:, val > 1e-6] / np.sqrt(val[val > 1e-6])
+        x = np.hstack([space.kernel(bad + good) @ root, np.ones((len(bad) + len(good), 1))])
         y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
-        cost = np.r_[np.sqrt(np.minimum([worst[t] for t in bad], 100)), np.sqrt(np.minimum([common[t] for t in good], 100))] * 1.5
-        w = _squared_hinge(x, y, cost)
-        folded = space.dense.T @ (root @ w[:-1])
-        order = np.argsort(np.abs(folded))
-        model = Model(space.ids[order], folded[order].astype(np.float32), float(w[-1]), 0.0, 1.0)
-        if step < rounds - 1:
-            guess = dict(zip(vocabulary, Scorer(model).margins(vocabulary).tolist()))
+        cost = np.r_[np.sqrt([positives[r] for r in bad]), np.sqrt([negatives[r] for r in good])]
+        w = _squared_hinge(x, y, COST * cost)
+        model = Model(space.numbers, (space.dense @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
     return model
 
 
-def _bags(rows):
-    for batch in rows:
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "y": batch["y"], "bag": [sorted(set().union(*map(tokens, sentences(t)), tokens(t))) for t in batch["text"]]})
+def _some(rows: list[bytes], n: int, rng) -> list[bytes]:
+    return [rows[k] for k in sorted(rng.permutation(len(rows))[:n])]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000) -> Model:
-    """Fit on at most ``max_docs`` labelled documents of each class, none of them held out.
+def mean_of(both: list[Model]) -> Model:
+    table = np.zeros(CLASSES**ORDER, np.float32)
+    for made in both:
+        table[made.numbers] += made.weights / len(both)
+    known = np.flatnonzero(table)
+    return Model(known, table[known], sum(made.bias for made in both) / len(both))
+
+
+def with_cut(model: Model, margin: np.ndarray, label: np.ndarray) -> Model:
+    """``model`` with the cut that errs least (a clean document counts twice), in the middle of its gap."""
+    if len(set(label.tolist())) < 2:
+        return model
+    edges = np.unique(margin)
+    cuts = np.r_[edges[0] - 1, (edges[1:] + edges[:-1]) / 2, edges[-1] + 1]
+    up, down = np.sort(margin[label == 1]), np.sort(margin[label == 0])
+    wrong = np.searchsorted(up, cuts) / len(up) + 2 * (len(down) - np.searchsorted(down, cuts)) / len(down)
+    best = np.flatnonzero(wrong == wrong.min())
+    return replace(model, cut=float((cuts[best[0]] + cuts[best[-1]]) / 2), slope=float(4 / max(0.2, up.mean() - down.mean())))
 
-    Rows with a null id, label or text are not learned from; a document with several labels counts as its largest.
-    """
-    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null")
-    ids = ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.md5(F.col("doc_id").cast("string").cast("binary")))
-    some = [r for y in (0, 1) for r in ids.where(F.col("y") == y).orderBy("o", "doc_id").limit(max_docs).collect()]
-    if not some:
-        return fit([])
-    chosen = docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in some], "doc_id long, y int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    got = rows.mapInPandas(_bags, "doc_id long, y int, bag array<string>").collect()
-    by_label = {y: sorted((r["doc_id"], r["bag"]) for r in got if r["y"] == y) for y in (0, 1)}
-    return fit([(y, bag) for y in (0, 1) for _, bag in by_label[y] if bag])
 
+def _fit_part(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.sort_values(["y", "doc_id", "text"])
+    made = machine(list(zip(rows["y"].tolist(), rows["text"])))
+    return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "numbers": [made.numbers.tolist()], "weights": [made.weights.tolist()], "bias": [made.bias]})
 
-_SCORERS: dict[bytes, Scorer] = {}
 
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = 2000, max_chars: int = 1 << 20) -> Model:
+    """Fit on at most ``max_docs`` labelled documents of each class, none of them held out; with one class only, everything scores below the threshold.
 
-def _scorer(model: Model) -> Scorer:
-    key = model.hashes[:64].tobytes() + model.weights[:64].tobytes() + str((model.bias, model.cut, len(model.hashes))).encode()
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
+    ``FOLDS`` machines learn all but one fold each, in a task each; the model is their mean.  The cut between the classes comes
+    from the margins that each machine gives the fold that it has not seen.  Rows with a null id, label or text are not learned
+    from; a document with several labels counts as its largest.
+    """
+    ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y")).where("doc_id is not null and y is not null")
+    ids = ids.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.md5(F.col("doc_id").cast("string").cast("binary")))
+    some = [(r["doc_id"], y, k % FOLDS) for y in (0, 1) for k, r in enumerate(ids.where(F.col("y") == y).orderBy("o", "doc_id").limit(max_docs).collect())]
+    none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32))
+    if not some:
+        return none
+    chosen = docs.sparkSession.createDataFrame(some, "doc_id long, y int, fold int")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.char_length("text") <= max_chars).join(F.broadcast(chosen), "doc_id")
+    rows = materialise(rows, "labelled")
+    there = {(r["fold"], r["y"]) for r in rows.select("fold", "y").distinct().collect()}
+    if {y for _, y in there} != {0, 1}:
+        return none
+    # where a class is in one fold only, one machine learns all
+    whole = any(len({fold for fold, y in there if y == label}) < 2 for label in (0, 1))
+    parts = F.array(F.lit(0)) if whole else F.array(*(F.lit(k) for k in range(FOLDS)))
+    dealt = rows.withColumn("part", F.explode(parts)).where(F.lit(whole) | (F.col("part") != F.col("fold")))
+    made = dealt.groupBy("part").applyInPandas(_fit_part, "part int, numbers array<long>, weights array<float>, bias double").collect()
+    machines = {r["part"]: Model(np.array(r["numbers"], np.int64), np.array(r["weights"], np.float32), r["bias"]) for r in made}
+
+    def unseen(batches):
+        scorers: dict[int, Scorer] = {}
+        for b in batches:
+            for fold, part in b.groupby("fold"):
+                k = 0 if whole else int(fold)
+                if k not in scorers:
+                    scorers[k] = Scorer(machines[k])
+                yield pd.DataFrame({"y": part["y"], "margin": scorers[k].worst(list(part["text"]))})
+
+    seen = rows.select("fold", "y", "text").mapInPandas(unseen, "y int, margin double").collect()
+    return with_cut(mean_of(list(machines.values())), np.array([r["margin"] for r in seen]), np.array([r["y"] for r in seen]))
 
 
 def score_column(model: Model, text):
     """Column: the toxicity of a text, 0 to 1 (null and empty texts too)."""
 
-    def scored(texts: pd.Series) -> pd.Series:
-        return pd.Series(_scorer(model).scores(list(texts)), dtype="float64")
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(model)
+        for texts in batches:
+            yield pd.Series(scorer.scores(list(texts)), dtype="float64")
 
     return F.pandas_udf(scored, "double")(text)
 
