@@ -9,25 +9,26 @@ A byte goes if some string of ``LENGTH`` bytes that covers it starts anywhere el
   from the anchor are the cover sample.  Sample suffixes get ranks by prefix doubling; any other suffix is
   compared by the bytes up to its next sample place, that sample's rank, and the bytes after the ranked stretch.
   So ties of any length cost a look-up, and memory is bounded by the block.
-* Hot buckets (more than ``HOT`` suffix runs) are no task's alone: their windows are counted by 128-bit digest, partly
-  before the shuffle, and equal stretches of windows are one before that.
+* A bucket of more than ``BUCKET`` rows is refined before it is sorted, as is usual for large suffix buckets: equal
+  contexts become one row with their places, and the rest is dealt by the cover sample that the windows of a piece share,
+  ``COVER`` windows to a piece, then half as many while a piece's bucket is still too large.  A bucket in which all rows are
+  equal, or a piece of one window, needs no sorting.  So no task holds more than a block, and a row becomes about ten.
 * Equal texts are one text; where there are two, everything that a window covers goes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signascope.llm.common import materialise
+from signascope.llm.common import materialise, slices
 
-LENGTH, GRAM, COVER, HOT = 400, 144, 32, 4000
+LENGTH, GRAM, COVER, BUCKET = 400, 144, 32, 4000
 REACH = LENGTH - GRAM + 1  # places at which an anchor can stand in a window
 WIDTH = REACH - 1 + LENGTH
 PIECE = 1 << 21
@@ -129,12 +130,12 @@ def _anchor_rows(batches):
 
 
 def _context_rows(batches):
-    """For each wanted anchor the windows it owns: (key, hot, id, h, starts, at, n, ctx).
+    """For each wanted anchor the windows it owns: (key, large, id, h, starts, at, n, ctx).
 
-    In a text, equal windows of hot anchors are one row with all their starts.
+    In a text, equal windows of anchors with large buckets are one row with all their starts.
     """
     for b in batches:
-        wants = [(np.array(p), np.array(x)) for p, x in zip(b.column("pos").to_pylist(), b.column("hot").to_pylist())]
+        wants = [(np.array(p), np.array(x)) for p, x in zip(b.column("pos").to_pylist(), b.column("large").to_pylist())]
         for data, owner, items in _pieces(b.column("text")):
             h, low, _ = anchors(data, owner)
             out = []
@@ -174,7 +175,7 @@ def _context_rows(batches):
                 take = pa.array(row)
                 yield pa.record_batch(
                     [pa.array(key, pa.int64()), pa.array(hot), b.column("id").take(take), b.column("h").take(take), pa.array(start, pa.list_(pa.int64())), pa.array(o, pa.int32()), pa.array(m, pa.int32()), pa.array(ctx, pa.binary())],
-                    names=["key", "hot", "id", "h", "starts", "at", "n", "ctx"],
+                    names=["key", "large", "id", "h", "starts", "at", "n", "ctx"],
                 )
 
 
@@ -251,14 +252,14 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[0::2].tolist(), edge[1::2].tolist()))
 
 
-def _sorted_blocks(batches, most: int = 4000):
-    """Blocks of whole buckets from rows sorted by key; at most ``most`` rows and one bucket more."""
+def _sorted_blocks(batches):
+    """Blocks of whole buckets from rows sorted by key; at most ``BUCKET`` rows and one bucket more."""
     held: list[tuple] = []
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "h", "start", "at", "n", "ctx"))):
             if held and held[-1][:4] == row[:4]:
                 continue  # a repeated row of the same document
-            if len(held) >= most and held[-1][0] != row[0]:
+            if len(held) >= BUCKET and held[-1][0] != row[0]:
                 yield held
                 held = []
             held.append(row)
@@ -275,21 +276,7 @@ def _sort_buckets(batches):
         hit = repeated(text, at, n)
         out = [(x[1], x[2], x[3] + a - x[4], x[3] + b - 1 - x[4] + LENGTH) for r, x in enumerate(block) if hit[r].any() for a, b in _runs(hit[r])]
         if out:
-            yield _ranges(out)
-
-
-def _ranges(rows) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], names=["id", "h", "a", "b"])
-
-
-def _digests(batches):
-    for b in batches:
-        out = []
-        for c, m, n, ctx in zip(*(b.column(c).to_pylist() for c in ("c", "m", "n", "ctx"))):
-            out += [(c, m, k, xxhash.xxh3_128_digest(ctx[k : k + LENGTH])) for k in range(n)]
-        if out:
-            c, m, k, d = zip(*out)
-            yield pa.record_batch([pa.array(c, pa.string()), pa.array(m, pa.int64()), pa.array(k, pa.int32()), pa.array(d, pa.binary())], names=["c", "m", "k", "d"])
+            yield pa.record_batch([pa.array(c) for c in zip(*out)], names=["id", "h", "a", "b"])
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -303,9 +290,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
-    for b in batches:
+    for b in slices(batches):
         rows = []
-        for text, ranges in zip(b["text"], b["ranges"]):
+        for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist()):
             data = text.encode("utf-8", "surrogatepass")
             spans = merged([(r["a"], r["b"]) for r in ranges])
             kept, at = hashlib.sha256(), 0
@@ -314,13 +301,18 @@ def _cut(batches):
                 at = y
             kept.update(data[at:])
             rows.append((len(data), sum(y - x for x, y in spans), len(spans), kept.hexdigest(), [{"a": x, "b": y} for x, y in spans]))
-        out = pd.DataFrame(rows, columns=["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
-        yield pd.concat([b[["doc_id"]].reset_index(drop=True), out], axis=1)
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
+        yield pa.record_batch([b.column("doc_id"), *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
+
+
+def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` for every task where it is counted and few rows of a few numbers, else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
-def _with(docs: DataFrame, ids: DataFrame, how: str, most: int = 1_000_000) -> DataFrame:
-    """Semi or anti join on (id, h); the ids go to every task only where they are counted and few."""
-    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, ["id", "h"], how)
+def _with(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join on (id, h)."""
+    return docs.join(_few(ids), ["id", "h"], how)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -338,55 +330,76 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = copies.select("first.id", "first.h")
     found = materialise(base.select("id", "h", "text").mapInArrow(_anchor_rows, "id long, h long, key long, pos array<long>"), "anchors")
     found = _with(found, first, "left_semi")
-    count = found.groupBy("key").agg(F.sum(F.size("pos")).alias("c")).where("c > 1")
-    places = F.transform("pos", lambda p: F.struct(p.alias("pos"), (F.col("c") > HOT).alias("hot")))
-    wanted = found.join(count, "key").groupBy("id", "h").agg(F.flatten(F.collect_list(places)).alias("w"))
-    wanted = materialise(wanted.select("id", "h", F.col("w.pos").alias("pos"), F.col("w.hot").alias("hot")), "wanted")
+    count = materialise(found.groupBy("key").agg(F.sum(F.size("pos")).alias("c")).where("c > 1"), "anchors")
+    # keys with large buckets are few, so no task gets all rows of one
+    large = _few(count.where(F.col("c") > BUCKET).select("key", F.lit(True).alias("large")))
+    flagged = found.join(large, "key", "left")
+    small = flagged.where("large is null").drop("large").join(count.where(F.col("c") <= BUCKET).select("key"), "key").withColumn("large", F.lit(False))
+    places = F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("large").alias("large")))
+    wanted = flagged.where("large").unionByName(small).groupBy("id", "h").agg(F.flatten(F.collect_list(places)).alias("w"))
+    wanted = materialise(wanted.select("id", "h", F.col("w.pos").alias("pos"), F.col("w.large").alias("large")), "wanted")
     texts = _with(base.select("id", "h", "text"), wanted.select("id", "h"), "left_semi").join(wanted, ["id", "h"])
-    context = texts.mapInArrow(_context_rows, "key long, hot boolean, id long, h long, starts array<long>, at int, n int, ctx binary")
-    any_hot = not wanted.where(F.exists("hot", lambda x: x)).isEmpty()
-    if any_hot:  # read twice
+    context = texts.mapInArrow(_context_rows, "key long, large boolean, id long, h long, starts array<long>, at int, n int, ctx binary")
+    any_large = not wanted.where(F.exists("large", lambda x: x)).isEmpty()
+    if any_large:  # read twice
         context = materialise(context, "contexts")
-    cold = context.where("not hot").select("key", "id", "h", F.element_at("starts", 1).alias("start"), "at", "n", "ctx").repartition("key").sortWithinPartitions("key", "id", "h", "start")
+    cold = context.where("not large").select("key", "id", "h", F.element_at("starts", 1).alias("start"), "at", "n", "ctx").repartition("key").sortWithinPartitions("key", "id", "h", "start")
     ranges = cold.mapInArrow(_sort_buckets, "id long, h long, a long, b long").select("id", "h", F.array(F.struct("a", "b")).alias("r"))
-    if any_hot:
-        ranges = ranges.unionByName(_count_windows(context.where("hot")))
+    if any_large:
+        ranges = ranges.unionByName(_refined(context.where("large")))
     ranges = ranges.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges"))
     ranges = materialise(ranges, "ranges")
     twice = copies.where("n > 1").select("m")
     return _result(base, ranges, twice)
 
 
-def _count_windows(context: DataFrame) -> DataFrame:
-    """(id, h, r) with ranges of windows in hot buckets that occur again.
+def _refined(context: DataFrame) -> DataFrame:
+    """(id, h, r) with ranges of windows in large buckets that occur again.
 
-    Equal contexts are one before their windows are counted, with the number of their places; a context with several
-    places goes whole.  A repeated row's contexts count once.
+    A context is one row whatever its places; one with several places goes whole.  A repeated row's contexts count once.
     """
     named = context.withColumn("c", F.md5("ctx"))
-    once = named.select("c", "id", "h", "starts").distinct()
+    once = materialise(named.select("c", "id", "h", "starts").distinct(), "places")
     places = once.groupBy("c").agg(F.sum(F.size("starts")).alias("m"))
-    same = materialise(named.groupBy("c").agg(F.any_value("ctx").alias("ctx"), F.any_value("n").alias("n")).join(places, "c"), "same")
-    window = same.mapInArrow(_digests, "c string, m long, k int, d binary")
-    again = window.groupBy("d").agg(F.sum("m").alias("s")).where("s > 1").select("d")
-    span = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
-    some = window.where("m = 1").join(again, "d").groupBy("c").agg(F.collect_list(span(F.col("k"), F.col("k") + LENGTH)).alias("x"))
-    whole = same.where("m > 1").select("c", F.array(span(F.lit(0), F.col("n") - 1 + LENGTH)).alias("x"))
-    moved = F.transform("starts", lambda s: F.transform("x", lambda x: F.struct((s + x["lo"]).alias("a"), (s + x["hi"]).alias("b"))))
-    return once.join(some.unionByName(whole), "c").select("id", "h", F.flatten(moved).alias("r"))
+    # equal contexts have one anchor, at one place
+    same = materialise(named.groupBy("c").agg(*(F.any_value(x).alias(x) for x in ("key", "at", "n", "ctx"))).join(places, "c"), "same")
+    hits = [same.where("m > 1").select("c", F.lit(0).cast("long").alias("a"), (F.col("n") - 1 + LENGTH).cast("long").alias("b"))]
+    todo, width = same.select("c", "key", F.col("at").alias("first"), "at", "n", "ctx"), COVER
+    while True:
+        # the windows of a piece share the bytes from its last window's start to its first window's end
+        piece = F.explode(F.sequence(F.floor(F.col("at") / width).cast("int"), F.floor((F.col("at") + F.col("n") - 1) / width).cast("int")))
+        cut = todo.withColumn("p", piece).withColumn("lo", F.greatest("at", F.col("p") * width)).withColumn("hi", F.least(F.col("at") + F.col("n"), (F.col("p") + 1) * width))
+        shared = F.substring("ctx", F.col("p") * width + width - F.col("at"), F.lit(LENGTH + 1 - width))
+        x = F.substring("ctx", F.col("lo") - F.col("at") + 1, F.col("hi") - F.col("lo") - 1 + LENGTH)
+        g = F.md5(F.concat(F.concat_ws(":", F.col("key").cast("string"), F.col("p").cast("string"), F.lit("")).cast("binary"), shared))
+        cut = materialise(cut.select("c", "key", "first", "lo", (F.col("hi") - F.col("lo")).alias("k"), x.alias("x"), g.alias("g")), "pieces")
+        whole = F.md5(F.concat(F.concat(F.col("lo").cast("string"), F.lit(":")).cast("binary"), F.col("x")))
+        size = cut.groupBy("g").agg(F.count(F.lit(1)).alias("m"), (F.min(whole) == F.max(whole)).alias("equal")).where("m > 1")
+        member = materialise(cut.join(size, "g").withColumn("start", (F.col("lo") - F.col("first")).cast("long")), "pieces")
+        done = F.col("equal") | F.lit(width == 1)
+        hits.append(member.where(done).select("c", F.col("start").alias("a"), (F.col("start") + F.col("k") - 1 + LENGTH).alias("b")))
+        ready = member.where(~done & (F.col("m") <= BUCKET)).select(F.col("g").alias("key"), F.col("c").alias("id"), F.lit(0).alias("h"), "start", F.col("lo").alias("at"), F.col("k").alias("n"), F.col("x").alias("ctx"))
+        ready = ready.repartition("key").sortWithinPartitions("key", "id", "start")
+        hits.append(ready.mapInArrow(_sort_buckets, "id string, h long, a long, b long").select(F.col("id").alias("c"), "a", "b"))
+        more = member.where(~done & (F.col("m") > BUCKET))
+        if more.isEmpty():
+            break
+        todo, width = more.select("c", "key", "first", F.col("lo").alias("at"), F.col("k").alias("n"), F.col("x").alias("ctx")), width // 2
+    found = reduce(DataFrame.unionByName, hits).groupBy("c").agg(F.collect_set(F.struct("a", "b")).alias("x"))
+    moved = F.transform("starts", lambda s: F.transform("x", lambda x: F.struct((s + x["a"]).alias("a"), (s + x["b"]).alias("b"))))
+    return once.join(found, "c").select("id", "h", F.flatten(moved).alias("r"))
 
 
 def _result(base: DataFrame, ranges: DataFrame, twice: DataFrame) -> DataFrame:
     size = F.octet_length("text").cast("long").alias("n_bytes")
     none = F.array().cast("array<struct<a: bigint, b: bigint>>")
     keyed = base.withColumn("m", F.md5(F.col("text").cast("binary")))
-    few = twice.count() <= 1_000_000
-    sides = F.broadcast(twice) if few else twice
+    sides = _few(twice)
     gone = keyed.join(sides, "m", "left_semi")
     rest = keyed.join(sides, "m", "left_anti")
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: bigint, b: bigint>>"
     ids = ranges.select("id", "h")
-    cut = _with(rest, ids, "left_semi").join(ranges, ["id", "h"]).select("doc_id", "text", "ranges").mapInPandas(_cut, schema)
+    cut = _with(rest, ids, "left_semi").join(ranges, ["id", "h"]).select("doc_id", "text", "ranges").mapInArrow(_cut, schema)
     zero = F.lit(0).cast("long")
     whole = _with(rest, ids, "left_anti").select("doc_id", size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), none.alias("spans"))
     gone = gone.select("doc_id", size, size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.array(F.struct(zero.alias("a"), F.octet_length("text").cast("long").alias("b"))).alias("spans"))

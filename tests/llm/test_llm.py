@@ -48,9 +48,9 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("hot", [64, 1])
-def test_suffix_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT", hot)
+@pytest.mark.parametrize("bucket", [64, 6, 2, 1])
+def test_suffix_matches_brute_force(spark, monkeypatch, bucket):
+    monkeypatch.setattr(suffix, "BUCKET", bucket)
     texts = odd_texts()
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffix.repeats(docs_of(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts)
@@ -502,8 +502,11 @@ def test_pipeline_against_plain_python(spark):
 
 
 def test_extra_columns_do_not_clash(spark):
-    docs = docs_of(spark, ["some text here", "some text here"]).withColumns({c: F.lit(1) for c in ("h", "m", "s", "score", "key", "copies", "n_tokens_", "g", "y", "bag")})
+    docs = docs_of(spark, ["some text here", "some text here"]).withColumns({c: F.lit(1) for c in ("h", "m", "s", "score", "key", "copies", "n_tokens", "start", "item_id", "license", "vec_id", "g", "y", "bag")})
     labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").withColumn("y", F.lit(2))
     assert suffix.repeats(docs).count() == 2 and jaccard.one_of_each(docs).columns == docs.columns
     assert toxicity.keep_clean(docs, labels).columns == docs.columns and quality.classify(docs, labels).count() == 2
-    assert mixing.mix(docs).count() >= 0 and pii.redact(docs).columns == docs.columns
+    mixed = mixing.mix(docs)
+    assert mixed.columns[-2:] == ["n_tokens", "copies"] and mixed.columns.count("copies") == 1 and mixed.select("copies", "n_tokens").count() >= 0
+    assert licenses.scan(docs).columns[0] == "doc_id" and decontam.find(docs, docs.select(F.col("doc_id").alias("item_id_"), "text").withColumnRenamed("item_id_", "item_id")).count() == 4
+    assert pii.redact(docs).columns == docs.columns
