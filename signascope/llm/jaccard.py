@@ -12,6 +12,7 @@
 
 from __future__ import annotations
 
+import re
 from math import comb
 
 import numpy as np
@@ -26,28 +27,38 @@ WORDS, BANDS, ROWS, HASHES, STEP = 5, 24, 4, 128, 16
 BLOCK = 400
 _A = (np.random.default_rng(20).integers(1, 2**63, HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _C = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-class WordHashes(dict):
-    """Hash of each word; keeps at most ``bound`` words of up to 32 characters, and lives as long as its task."""
-
-    bound = 60_000
-
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        if len(word) <= 32:
-            if len(self) >= self.bound:
-                self.clear()
-            self[word] = h
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_hashes(words: list[str], hashes: WordHashes, k: int = WORDS) -> np.ndarray:
-    """A hash for each run of ``k`` words; fewer words are one shingle, none are none."""
-    h = hashes.of(words)
+#: whitespace beyond what ``_GAP`` knows as bytes
+_RARE_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_GAP = np.zeros(256, bool)
+_GAP[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_BYTES = np.random.default_rng(21).integers(1, 2**63, 256, dtype=np.uint64)
+_BYTES[_GAP] = 0
+_P = np.uint64(0xA0761D6478BD642F)
+_FACTORS = np.cumprod(np.full(4096, _P, np.uint64))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each lower-case word, words being what whitespace leaves: sums over the UTF-8 bytes, no string a word."""
+    low = (text or "").lower()
+    if _RARE_SPACE.search(low):
+        low = _RARE_SPACE.sub(" ", low)
+    data = np.frombuffer(low.encode("utf-8", "surrogatepass"), np.uint8)
+    gap = _GAP[data]
+    starts = np.flatnonzero(~gap & np.append(True, gap[:-1])) if len(data) else np.zeros(0, np.int64)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    # the place of each byte in its word picks its factor; the bytes before the first word count as none
+    data, starts = data[starts[0] :], starts - starts[0]
+    place = np.arange(len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    longest = int(place.max()) + 1
+    factor = _FACTORS if longest <= len(_FACTORS) else np.cumprod(np.full(longest, _P, np.uint64))
+    h = np.add.reduceat(_BYTES[data] * factor[place], starts)
+    h = (h ^ (h >> np.uint64(32))) * _C[1]
+    return h ^ (h >> np.uint64(29))
+
+
+def shingle_hashes(h: np.ndarray, k: int = WORDS) -> np.ndarray:
+    """A hash for each run of ``k`` word hashes; fewer words are one shingle, none are none."""
     n = len(h) - k + 1
     if n < 1:
         h, n = np.concatenate([h, np.zeros(k - len(h), np.uint64)]), min(1, len(h))
@@ -58,9 +69,9 @@ def shingle_hashes(words: list[str], hashes: WordHashes, k: int = WORDS) -> np.n
     return out
 
 
-def shingle_set(text: str | None, hashes: WordHashes | None = None) -> np.ndarray:
+def shingle_set(text: str | None) -> np.ndarray:
     """Sorted distinct shingle hashes of the lower-case words of a text; null and empty texts have none."""
-    return np.unique(shingle_hashes((text or "").lower().split(), WordHashes() if hashes is None else hashes))
+    return np.unique(shingle_hashes(word_hashes(text)))
 
 
 def set_id(shingles: np.ndarray) -> str | None:
@@ -99,31 +110,28 @@ def band_keys(sig: np.ndarray) -> list[int]:
 
 def _sketches(batches):
     """A text's set id and band keys beside its ids; a text's shingles are let go before the next."""
-    hashes = WordHashes()
     for b in slices(batches):
         sets, keys = [], []
         for text in b.column("text"):
-            x = shingle_set(text.as_py(), hashes)
+            x = shingle_set(text.as_py())
             sets.append(set_id(x))
             keys.append(band_keys(sketch(x)) if len(x) else None)
         yield pa.record_batch([*(b.column(c) for c in ("doc_id", "k", "h")), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "k", "h", "s", "keys"])
 
 
 def _payloads(batches):
-    hashes = WordHashes()
     for b in slices(batches):
         sigs, sets = [], []
         for text in b.column("text"):
-            x = shingle_set(text.as_py(), hashes)
+            x = shingle_set(text.as_py())
             sigs.append(sketch(x).tobytes())
             sets.append(x.tobytes())
         yield pa.record_batch([b.column("s"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["s", "sig", "sh"])
 
 
 def _set_ids(batches):
-    hashes = WordHashes()
     for texts in batches:
-        yield texts.map(lambda t: set_id(shingle_set(t, hashes)))
+        yield texts.map(lambda t: set_id(shingle_set(t)))
 
 
 def links_within(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, bands: int, threshold: float, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
