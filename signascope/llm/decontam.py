@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from signascope.llm.common import slices
 
 RATE, BITS, REPETITIONS, SHIFTS = 0.2, 2, 64, (0, -1, 1)
+TOGETHER = 4000  # texts whose windows are embedded together
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 #: one salt for each step of the walk, from the seeded generator
@@ -255,7 +256,7 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = 20_
 
         def scan(batches, some=some):
             held = Items(some, rate)
-            for b in slices(batches):
+            for b in slices(batches, TOGETHER):
                 got = [(row, *m) for row, found in enumerate(held.matches_of(b.column("text").to_pylist())) for m in found]
                 row, *cols = zip(*got) if got else [()] * 5
                 yield pa.record_batch([b.column("doc_id").take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)], names=["doc_id", "item_id", "start", "end", "edits"])
@@ -271,7 +272,7 @@ def leaks_column(items: list[tuple[int, str | None]], text, rate: float = RATE):
         held = Items(items, rate)
         for texts in it:
             texts = list(texts)
-            yield pd.Series([bool(m) for k in range(0, len(texts), 256) for m in held.matches_of(texts[k : k + 256])], dtype=bool)
+            yield pd.Series([bool(m) for k in range(0, len(texts), TOGETHER) for m in held.matches_of(texts[k : k + TOGETHER])], dtype=bool)
 
     return F.pandas_udf(leaked, "boolean", F.PandasUDFType.SCALAR_ITER)(text)
 
