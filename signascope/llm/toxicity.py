@@ -229,12 +229,13 @@ class _Landmarks:
     def __init__(self, rows: list[bytes]):
         row, number, w = subsequences(*_laid(rows))
         self.numbers, at = np.unique(number, return_inverse=True)
-        self.dense = np.bincount(at * len(rows) + row, w, len(rows) * len(self.numbers)).reshape(-1, len(rows)).astype(np.float32)
+        self.dense = np.zeros((len(self.numbers), len(rows)), np.float32)
+        np.add.at(self.dense, (at, row), w.astype(np.float32))
 
     def kernel(self, rows: list[bytes]) -> np.ndarray:
         out, n = np.zeros((len(rows), self.dense.shape[1])), len(self.numbers)
-        for k in range(0, len(rows), 200):
-            row, number, w = subsequences(*_laid(rows[k : k + 200]))
+        for k in range(0, len(rows), 64):
+            row, number, w = subsequences(*_laid(rows[k : k + 64]))
             at = np.minimum(np.searchsorted(self.numbers, number), n - 1)
             some = np.flatnonzero(self.numbers[at] == number)
             some = some[np.argsort(row[some], kind="stable")]
