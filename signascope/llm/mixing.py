@@ -72,7 +72,7 @@ def mix(docs: DataFrame, budget_pct: int = 60, max_epochs: int = 2, seed: str =
     source is the leaf "".  The order of an epoch is md5(seed:epoch:doc_id:text digest), then doc_id, so ties
     are rows that do not differ.  A row without tokens is taken where its place in the order is.  The last
     document that would pass a leaf's budget is left out, so a leaf stays under it by less than a document.
-    An empty table, or no tokens at all, gives no budget: only rows without tokens at the front are taken.
+    Columns of ``docs`` named ``n_tokens`` or ``copies`` give way to the mixture's.  An empty table, or no tokens at all, gives no budget: only rows without tokens at the front are taken.
     """
     domain_weights = DOMAIN_WEIGHTS if domain_weights is None else domain_weights
     lang_weights = LANG_WEIGHTS if lang_weights is None else lang_weights
@@ -90,7 +90,8 @@ def mix(docs: DataFrame, budget_pct: int = 60, max_epochs: int = 2, seed: str =
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole").cast("string"), F.col("id").cast("string"), F.col("digest")).cast("binary"))
     plan = _small(materialise(plan, "mix"))
     keyed = [x.join(plan, list(LEVELS)).withColumn("key", key).drop("digest") for x in (rows, slim)]
-    return _take(*keyed, refinements).select("row.*", "n_tokens", "copies")
+    own = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("n_tokens", "copies")]
+    return _take(*keyed, refinements).select(*own, "n_tokens", "copies")
 
 
 def _small(leaves: DataFrame, most: int = 100_000) -> DataFrame:

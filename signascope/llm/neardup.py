@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from signascope.llm.common import components, materialise
 
 K, TABLES, BUCKET, BLOCK, AUDIT = 10, 10, 192, 512, 64
-NBRS = "array<struct<far: double, id: long>>"
+NBRS = "array<struct<far: double, id: long, ok: boolean>>"
 
 
 def _matrix(batch, name: str) -> np.ndarray:
@@ -33,6 +33,19 @@ def _matrix(batch, name: str) -> np.ndarray:
     return flat.reshape(len(col), -1) if len(col) else flat.reshape(0, 1)
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cosines of unit rows, and which reach the threshold.
+
+    Products of blocks may differ in the last bit from block to block; pairs this near the threshold are summed alone, so that
+    every step decides alike on a pair.
+    """
+    sim = x @ y.T
+    ok = sim >= threshold
+    i, j = np.nonzero(np.abs(sim - threshold) < 1e-9)
+    ok[i, j] = (x[i] * y[j]).sum(1) >= threshold
+    return sim, ok
+
+
 def nodes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with vec_id and node key; nodes id, space, copies, v): one node for each distinct usable vector of a label."""
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -91,8 +104,8 @@ def _groups(batches, cols: tuple[str, ...]):
         yield held[0][0], pa.Table.from_batches([h[1] for h in held]).combine_chunks().to_batches()[0]
 
 
-def _compare(k: int):
-    """Within each group, the ``k`` nearest of every member, outside its own ``root`` where members have one."""
+def _compare(k: int, threshold: float):
+    """Within each group, the ``k`` nearest of every member, outside its own ``root`` where members have one, and whether they link."""
 
     def run(batches):
         a, nbrs = [], []
@@ -102,14 +115,14 @@ def _compare(k: int):
             x = x[first]
             if len(ids) < 2:
                 continue
-            sim = x @ x.T
+            sim, ok = _linked(x, x, threshold)
             np.fill_diagonal(sim, -2)
             if "root" in group.schema.names:
                 root = np.asarray(group.column("root"))[first]
                 sim[root[:, None] == root] = -2
             top = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(ids) - 1)]
             for r in range(len(ids)):
-                near = [{"far": round(1 - float(sim[r, c]), 12), "id": int(ids[c])} for c in top[r] if sim[r, c] > -1.5]
+                near = [{"far": round(1 - float(sim[r, c]), 12), "id": int(ids[c]), "ok": bool(ok[r, c])} for c in top[r] if sim[r, c] > -1.5]
                 if near:
                     a.append(ids[r])
                     nbrs.append(near)
@@ -123,7 +136,7 @@ def _compare(k: int):
 
 
 def _lists(a, nbrs) -> pa.RecordBatch:
-    kind = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
+    kind = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64()), ("ok", pa.bool_())]))
     return pa.record_batch([pa.array(a, pa.int64()), pa.array(nbrs, kind)], names=["id", "nbrs"])
 
 
@@ -133,16 +146,16 @@ def _best(lists: DataFrame, k: int) -> DataFrame:
     return lists.groupBy("id", F.pmod(F.xxhash64("nbrs"), F.lit(16)).alias("salt")).agg(top).groupBy("id").agg(top)
 
 
-def _join_locally(groups: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+def _join_locally(groups: DataFrame, nodes: DataFrame, k: int, threshold: float) -> DataFrame:
     """Lists from comparing the members of each group (g, id); large groups are dealt out by salt."""
     size = groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     salt = F.pmod(F.xxhash64("g", "id"), F.ceil(F.col("m") / BUCKET))
     dealt = groups.join(size, "g").select(F.concat_ws("/", "g", salt).alias("g"), "id")
     full = dealt.join(nodes.select("id", "v", *(c for c in nodes.columns if c == "root")), "id").repartition("g").sortWithinPartitions("g")
-    return full.mapInArrow(_compare(k), f"id long, nbrs {NBRS}")
+    return full.mapInArrow(_compare(k, threshold), f"id long, nbrs {NBRS}")
 
 
-def descend(nodes: DataFrame, lists: DataFrame, k: int, rounds: int, settled: float, own: DataFrame | None = None) -> DataFrame:
+def descend(nodes: DataFrame, lists: DataFrame, k: int, threshold: float, rounds: int, settled: float, own: DataFrame | None = None) -> DataFrame:
     """Neighbours-of-neighbours joins until at most the share ``settled`` of the lists changes.
 
     ``own`` has further lists whose members are neighbours too, but are not kept.
@@ -152,7 +165,7 @@ def descend(nodes: DataFrame, lists: DataFrame, k: int, rounds: int, settled: fl
         edge = edge if own is None else edge.unionByName(own.select("id", F.explode("nbrs.id").alias("other")))
         around = edge.select(F.col("id").cast("string").alias("g"), F.col("other").alias("id")).unionByName(edge.select(F.col("other").cast("string").alias("g"), "id"))
         around = around.unionByName(lists.select(F.col("id").cast("string").alias("g"), "id")).distinct()
-        found = _join_locally(around, nodes, k)
+        found = _join_locally(around, nodes, k, threshold)
         new = materialise(_best(lists.select("id", "nbrs").unionByName(found), k), "descent")
         changed = new.join(lists.withColumnRenamed("nbrs", "old"), "id", "left").where(~F.col("nbrs").eqNullSafe(F.col("old"))).count()
         lists = new
@@ -161,14 +174,14 @@ def descend(nodes: DataFrame, lists: DataFrame, k: int, rounds: int, settled: fl
     return lists
 
 
-def _edges(lists: DataFrame, threshold: float) -> DataFrame:
-    some = lists.select(F.col("id").alias("a"), F.explode("nbrs").alias("e")).where(F.col("e.far") <= 1 - threshold + 1e-12)
+def _edges(lists: DataFrame) -> DataFrame:
+    some = lists.select(F.col("id").alias("a"), F.explode("nbrs").alias("e")).where("e.ok")
     return some.select("a", F.col("e.id").alias("b"))
 
 
-def full_lists(lists: DataFrame, k: int, threshold: float) -> DataFrame:
+def full_lists(lists: DataFrame, k: int) -> DataFrame:
     """(id, nbrs) of the nodes whose list has ``k`` edges at the threshold, so that further ones may be hidden."""
-    return lists.where((F.size("nbrs") >= k) & (F.element_at("nbrs", -1)["far"] <= 1 - threshold + 1e-12))
+    return lists.where((F.size("nbrs") >= k) & F.element_at("nbrs", -1)["ok"])
 
 
 def _bits():
@@ -182,7 +195,7 @@ def _coded(nodes: DataFrame) -> DataFrame:
 
 def merge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, roots: DataFrame, k: int, threshold: float, rounds: int, settled: float, seed: int) -> DataFrame:
     """``roots`` after links between nodes with full lists in different components are followed, until none is found."""
-    full = full_lists(lists, k, threshold)
+    full = full_lists(lists, k)
     while True:
         member = full.select("id").join(nodes, "id").join(roots.withColumnRenamed("v", "id"), "id")
         several = member.groupBy("space").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("space")
@@ -191,9 +204,9 @@ def merge(nodes: DataFrame, lists: DataFrame, edges: DataFrame, roots: DataFrame
             return roots
         seed += 1
         buckets = materialise(_coded(member).mapInArrow(_codes(seed), "id long, g string"), "buckets")
-        beyond = materialise(_best(_join_locally(buckets, member, k), k), "beyond")
-        beyond = descend(member, beyond, k, rounds, settled, own=full.join(member.select("id"), "id", "left_semi"))
-        found = materialise(_edges(beyond, threshold), "found")
+        beyond = materialise(_best(_join_locally(buckets, member, k, threshold), k), "beyond")
+        beyond = descend(member, beyond, k, threshold, rounds, settled, own=full.join(member.select("id"), "id", "left_semi"))
+        found = materialise(_edges(beyond), "found")
         if found.isEmpty():
             return roots
         edges = edges.unionByName(found)
@@ -216,7 +229,7 @@ def _join_blocks(threshold: float):
     def run(batches):
         for _, group in _groups(batches, ("id", "side", "v")):
             ids, side, x = np.asarray(group.column("id")), np.asarray(group.column("side")), _matrix(group, "v")
-            sim = x @ x.T >= threshold
+            _, sim = _linked(x, x, threshold)
             if (side == 2).any():
                 sim &= (side < 2)[:, None] != (side < 2)
             low = _lowest(sim, ids)
@@ -231,7 +244,7 @@ def _count_blocks(threshold: float):
             ids, side, copies, x = (np.asarray(group.column(c)) if c != "v" else _matrix(group, c) for c in ("id", "side", "copies", "v"))
             left = side < 2
             right = ~left if (side == 2).any() else left
-            sim = x[left] @ x[right].T >= threshold
+            _, sim = _linked(x[left], x[right], threshold)
             if right is left:
                 np.fill_diagonal(sim, False)
                 out_id, n = ids[left], sim @ copies[right]
@@ -285,7 +298,7 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float, full: DataFram
                 at = np.flatnonzero(spaces == space)
                 if len(at):
                     x = _matrix(b.take(pa.array(at)), "v")
-                    hit = (x @ v >= threshold) & (np.array(ids)[at] != q)
+                    hit = _linked(x, v[None, :], threshold)[1][:, 0] & (np.array(ids)[at] != q)
                     out.append((q, int(copies[at][hit].sum())))
             if out:
                 q, n = zip(*out)
@@ -311,14 +324,14 @@ def link(vectors: DataFrame, threshold: float = 0.98, k: int = K, rounds: int =
     lists = None
     for attempt in range(tries):
         buckets = coded.mapInArrow(_codes(attempt), "id long, g string")
-        found = _join_locally(materialise(buckets, "buckets"), nodes, k)
+        found = _join_locally(materialise(buckets, "buckets"), nodes, k, threshold)
         lists = materialise(_best(found if lists is None else found.unionByName(lists), k), "lists")
-        lists = descend(nodes, lists, k, rounds, settled)
-        edges = _edges(lists, threshold)
+        lists = descend(nodes, lists, k, threshold, rounds, settled)
+        edges = _edges(lists)
         roots = components(edges, "graph")
         roots = merge(nodes, lists, edges, roots, k, threshold, rounds, settled, tries + 1000 * attempt)
         counted = materialise(count_links(nodes, roots, threshold), "links")
-        if audit(nodes, counted, threshold, full_lists(lists, k, threshold)) >= recall:
+        if audit(nodes, counted, threshold, full_lists(lists, k)) >= recall:
             break
     else:
         roots = exactly(nodes, threshold)
