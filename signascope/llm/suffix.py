@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 
 from signascope.llm.common import materialise, slices
 
-LENGTH, GRAM, COVER, BUCKET = 400, 144, 32, 4000
+LENGTH, GRAM, COVER, BUCKET, BLOCK = 400, 144, 32, 1000, 4000
 REACH = LENGTH - GRAM + 1  # places at which an anchor can stand in a window
 WIDTH = REACH - 1 + LENGTH
 PIECE = 1 << 21
+SENT = 64 << 20  # bytes that may go to every task
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -253,13 +254,13 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sorted_blocks(batches):
-    """Blocks of whole buckets from rows sorted by key; at most ``BUCKET`` rows and one bucket more."""
+    """Blocks of whole buckets from rows sorted by key; at most ``BLOCK`` rows and one bucket more."""
     held: list[tuple] = []
     for b in batches:
         for row in zip(*(b.column(c).to_pylist() for c in ("key", "id", "h", "start", "at", "n", "ctx"))):
             if held and held[-1][:4] == row[:4]:
                 continue  # a repeated row of the same document
-            if len(held) >= BUCKET and held[-1][0] != row[0]:
+            if len(held) >= BLOCK and held[-1][0] != row[0]:
                 yield held
                 held = []
             held.append(row)
@@ -290,29 +291,25 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _cut(batches):
+    """What is left of each text: all of it without ``ranges``, nothing where it is ``gone``."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
     for b in slices(batches):
         rows = []
-        for text, ranges in zip(b.column("text").to_pylist(), b.column("ranges").to_pylist()):
+        for text, gone, ranges in zip(*(b.column(c).to_pylist() for c in ("text", "gone", "ranges"))):
             data = text.encode("utf-8", "surrogatepass")
-            spans = merged([(r["a"], r["b"]) for r in ranges])
+            spans = [(0, len(data))] if gone else merged([(r["a"], r["b"]) for r in ranges or []])
             kept, at = hashlib.sha256(), 0
             for x, y in spans:
                 kept.update(data[at:x])
                 at = y
             kept.update(data[at:])
             rows.append((len(data), sum(y - x for x, y in spans), len(spans), kept.hexdigest(), [{"a": x, "b": y} for x, y in spans]))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
         yield pa.record_batch([b.column("doc_id"), *(pa.array(c, kind) for c, kind in zip(zip(*rows), kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _few(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """``df`` for every task where it is counted and few rows of a few numbers, else as it is."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def _with(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join on (id, h)."""
-    return docs.join(_few(ids), ["id", "h"], how)
+def _few(ids: DataFrame) -> bool:
+    """Whether rows of a few numbers are within ``SENT`` bytes, at 80 bytes a row, and so may go to every task."""
+    return ids.count() * 80 <= SENT
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -324,21 +321,22 @@ def repeats(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), text.alias("text"))
     base = base.withColumn("h", F.xxhash64("text"))
-    copies = base.select("id", "h", F.md5(F.col("text").cast("binary")).alias("m"), F.octet_length("text").alias("size")).where(F.col("size") >= LENGTH)
-    copies = copies.groupBy("m").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n"))
-    copies = materialise(copies, "copies")
-    first = copies.select("first.id", "first.h")
+    slim = materialise(base.where(F.octet_length("text") >= LENGTH).select("id", "h", F.md5(F.col("text").cast("binary")).alias("m")), "slim")
+    copies = slim.groupBy("m").agg(F.min(F.struct("id", "h")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = materialise(slim.join(copies, "m").select("id", "h", ((F.col("id") == F.col("first.id")) & (F.col("h") == F.col("first.h"))).alias("first")).distinct(), "copies")
+    again = gone.where("not first").select("id", "h")
     found = materialise(base.select("id", "h", "text").mapInArrow(_anchor_rows, "id long, h long, key long, pos array<long>"), "anchors")
-    found = _with(found, first, "left_semi")
+    found = found.join(F.broadcast(again) if _few(again) else again, ["id", "h"], "left_anti")
     count = materialise(found.groupBy("key").agg(F.sum(F.size("pos")).alias("c")).where("c > 1"), "anchors")
-    # keys with large buckets are few, so no task gets all rows of one
-    large = _few(count.where(F.col("c") > BUCKET).select("key", F.lit(True).alias("large")))
-    flagged = found.join(large, "key", "left")
+    # where keys with large buckets are few, no task gets all rows of one
+    large = count.where(F.col("c") > BUCKET).select("key", F.lit(True).alias("large"))
+    flagged = found.join(F.broadcast(large) if _few(large) else large, "key", "left")
     small = flagged.where("large is null").drop("large").join(count.where(F.col("c") <= BUCKET).select("key"), "key").withColumn("large", F.lit(False))
     places = F.transform("pos", lambda p: F.struct(p.alias("pos"), F.col("large").alias("large")))
     wanted = flagged.where("large").unionByName(small).groupBy("id", "h").agg(F.flatten(F.collect_list(places)).alias("w"))
     wanted = materialise(wanted.select("id", "h", F.col("w.pos").alias("pos"), F.col("w.large").alias("large")), "wanted")
-    texts = _with(base.select("id", "h", "text"), wanted.select("id", "h"), "left_semi").join(wanted, ["id", "h"])
+    texts, ids = base.select("id", "h", "text"), wanted.select("id", "h")
+    texts = (texts.join(F.broadcast(ids), ["id", "h"], "left_semi") if _few(ids) else texts).join(wanted, ["id", "h"])
     context = texts.mapInArrow(_context_rows, "key long, large boolean, id long, h long, starts array<long>, at int, n int, ctx binary")
     any_large = not wanted.where(F.exists("large", lambda x: x)).isEmpty()
     if any_large:  # read twice
@@ -347,10 +345,10 @@ def repeats(docs: DataFrame) -> DataFrame:
     ranges = cold.mapInArrow(_sort_buckets, "id long, h long, a long, b long").select("id", "h", F.array(F.struct("a", "b")).alias("r"))
     if any_large:
         ranges = ranges.unionByName(_refined(context.where("large")))
-    ranges = ranges.groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges"))
-    ranges = materialise(ranges, "ranges")
-    twice = copies.where("n > 1").select("m")
-    return _result(base, ranges, twice)
+    ranges = ranges.join(F.broadcast(gone) if _few(gone) else gone, ["id", "h"], "left_anti").groupBy("id", "h").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    nothing = F.lit(None).cast("array<struct<a: bigint, b: bigint>>")
+    marks = ranges.select("id", "h", F.lit(False).alias("gone"), "ranges").unionByName(gone.select("id", "h", F.lit(True).alias("gone"), nothing.alias("ranges")))
+    return _result(base, materialise(marks, "marks"))
 
 
 def _refined(context: DataFrame) -> DataFrame:
@@ -390,17 +388,13 @@ def _refined(context: DataFrame) -> DataFrame:
     return once.join(found, "c").select("id", "h", F.flatten(moved).alias("r"))
 
 
-def _result(base: DataFrame, ranges: DataFrame, twice: DataFrame) -> DataFrame:
-    size = F.octet_length("text").cast("long").alias("n_bytes")
-    none = F.array().cast("array<struct<a: bigint, b: bigint>>")
-    keyed = base.withColumn("m", F.md5(F.col("text").cast("binary")))
-    sides = _few(twice)
-    gone = keyed.join(sides, "m", "left_semi")
-    rest = keyed.join(sides, "m", "left_anti")
+def _result(base: DataFrame, marks: DataFrame) -> DataFrame:
     schema = f"doc_id {base.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<a: bigint, b: bigint>>"
-    ids = ranges.select("id", "h")
-    cut = _with(rest, ids, "left_semi").join(ranges, ["id", "h"]).select("doc_id", "text", "ranges").mapInArrow(_cut, schema)
-    zero = F.lit(0).cast("long")
-    whole = _with(rest, ids, "left_anti").select("doc_id", size, zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), none.alias("spans"))
-    gone = gone.select("doc_id", size, size.alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.array(F.struct(zero.alias("a"), F.octet_length("text").cast("long").alias("b"))).alias("spans"))
-    return cut.unionByName(whole).unionByName(gone)
+    ids = marks.select("id", "h")
+    if not _few(ids):
+        return base.join(marks, ["id", "h"], "left").select("doc_id", "text", "gone", "ranges").mapInArrow(_cut, schema)
+    # only texts that lose something meet their marks
+    cut = base.join(F.broadcast(ids), ["id", "h"], "left_semi").join(marks, ["id", "h"]).select("doc_id", "text", "gone", "ranges").mapInArrow(_cut, schema)
+    size, zero, none = F.octet_length("text").cast("long"), F.lit(0).cast("long"), F.array().cast("array<struct<a: bigint, b: bigint>>")
+    whole = base.join(F.broadcast(ids), ["id", "h"], "left_anti").select("doc_id", size.alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), none.alias("spans"))
+    return cut.unionByName(whole)

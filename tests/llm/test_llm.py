@@ -48,9 +48,10 @@ def brute_repeats(texts):
     return out
 
 
-@pytest.mark.parametrize("bucket", [64, 6, 2, 1])
-def test_suffix_matches_brute_force(spark, monkeypatch, bucket):
+@pytest.mark.parametrize("bucket,sent", [(64, 1 << 20), (6, 0), (2, 1 << 20), (1, 0)])
+def test_suffix_matches_brute_force(spark, monkeypatch, bucket, sent):
     monkeypatch.setattr(suffix, "BUCKET", bucket)
+    monkeypatch.setattr(suffix, "SENT", sent)
     texts = odd_texts()
     got = {r["doc_id"]: tuple(r)[1:5] for r in suffix.repeats(docs_of(spark, texts)).collect()}
     assert [got[k] for k in range(len(texts))] == brute_repeats(texts)
