@@ -48,6 +48,17 @@ def chi2_one_vs_rest(factors: DataFrame, levels: DataFrame) -> DataFrame:
     return chi2_of_table(table, keys).select(*keys, "chi2", "v", "df", "p")
 
 
+def meta_comparison(numbers: DataFrame, factors: DataFrame, levels: DataFrame) -> DataFrame:
+    """(feature, var, level, stat, p, fdr): metadata of each level's cells against the rest.
+
+    Numbers (id, feature, value) by rank-sum with ties and without missing values (stat: AUC), factors (id, var, level) by
+    chi-square (stat: Cramer's V); p-values of both are adjusted together for each level.
+    """
+    ranked = one_vs_rest(numbers, levels, ties=True).select("feature", "var", "level", F.col("auc").alias("stat"), "p")
+    tables = chi2_one_vs_rest(factors, levels).select(F.col("factor").alias("feature"), "var", "level", F.col("v").alias("stat"), "p")
+    return stats.bh(ranked.unionByName(tables), "p", ["var", "level"], ["feature"])
+
+
 def sparse_rank_sum(expr: DataFrame, groups: DataFrame) -> DataFrame:
     """(gene, auc, p): rank-sum per gene of group A against group B, zeros as one tie block.
 
@@ -109,6 +120,17 @@ def enrichment(first: DataFrame, second: DataFrame, n_genes: int) -> DataFrame:
     return full.select("sig", "mod", "overlap", stat.alias("stat"), stats.hypergeometric_tail(o, m, k, n).alias("p"))
 
 
+def directional_sets(sigs: DataFrame, skip_down: bool = True) -> DataFrame:
+    """(sig, gene) to hold against modules: a signature with +1 and -1 is its ``_UP`` set and, unless ``skip_down``, its ``_DOWN``
+    set; one with -1 only is left out under ``skip_down``; any other is all its genes."""
+    kind = sigs.groupBy("sig").agg(F.max((F.col("sign") == 1).cast("int")).alias("up"), F.max((F.col("sign") == -1).cast("int")).alias("down"), F.min((F.col("sign") == -1).cast("int")).alias("only"))
+    full = sigs.join(kind, "sig")
+    both = (F.col("up") == 1) & (F.col("down") == 1)
+    name = F.when(both & (F.col("sign") == 1), F.concat("sig", F.lit("_UP"))).when(both & (F.col("sign") == -1), F.lit(None) if skip_down else F.concat("sig", F.lit("_DOWN"))).when(~both, F.col("sig"))
+    kept = full.where(F.col("only") == 0) if skip_down else full
+    return kept.select(name.alias("sig"), "gene").where("sig is not null").distinct()
+
+
 def best_module(enriched: DataFrame) -> DataFrame:
     """(sig, mod): the module with the largest statistic, ties by name."""
     return enriched.groupBy("sig").agg(F.min_by("mod", F.struct(-F.col("stat"), F.col("mod"))).alias("mod"))

@@ -2,47 +2,62 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
 
 
-def knn(latent: DataFrame, k: int, block: int = 20_000) -> DataFrame:
+def knn(latent: DataFrame, k: int, block: int = 4_000) -> DataFrame:
     """(i, j, rank, dist): the ``k`` nearest other nodes of each node of ``latent`` (id, vec), ties by id.
 
-    The nodes are taken as queries in blocks of at most about ``block`` vectors; each block goes to the tasks that hold all rows.
+    Exact: nodes are dealt into blocks of about ``block``, and each pair of blocks is compared in one task, both ways; what
+    leaves a task is the ``k`` best of each row.  A task holds two blocks.
     """
     rows = latent.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
-    n = rows.count()
-    parts = max(1, -(-n // block))
-    own = F.pmod(F.xxhash64("id"), F.lit(parts))
-    near = []
-    for p in range(parts):
-        held = sorted((r["id"], r["vec"]) for r in rows.where(own == p).collect())
-        if not held:
-            continue
-        ids, x = np.array([i for i, _ in held]), np.array([v for _, v in held])
-
-        def search(batches, ids=ids, x=x):
-            for b in batches:
-                mine, y = b["id"].to_numpy(), np.array(b["vec"].tolist())
-                for q in range(0, len(ids), 256):
-                    d = np.sqrt(((x[q : q + 256, None, :] - y[None, :, :]) ** 2).sum(2))
-                    d[ids[q : q + 256, None] == mine[None, :]] = np.inf
-                    top = np.lexsort((np.broadcast_to(mine, d.shape), d), axis=1)[:, :k]
-                    i, j = np.repeat(ids[q : q + 256], top.shape[1]), top.ravel()
-                    got = pd.DataFrame({"i": i, "j": mine[j], "dist": np.take_along_axis(d, top, 1).ravel()})
-                    yield got[np.isfinite(got["dist"])]
-
-        near.append(rows.mapInPandas(search, "i long, j long, dist double"))
-    found = reduce(DataFrame.unionByName, near) if near else rows.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("dist")).limit(0)
-    best = F.slice(F.sort_array(F.collect_list(F.struct("dist", "j"))), 1, k)
-    return found.groupBy("i").agg(best.alias("b")).select("i", F.posexplode("b")).select("i", F.col("col.j").alias("j"), (F.col("pos") + 1).alias("rank"), F.col("col.dist").alias("dist"))
+    parts = max(1, -(-rows.count() // block))
+    own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pair = F.least("own", "other") * parts + F.greatest("own", "other")
+    met = met.select(pair.alias("g"), "own", "id", "vec")
+    near = met.groupBy("g").applyInPandas(_nearest_in_blocks(k), "i long, b array<struct<dist: double, j: long>>")
+    best = F.slice(F.sort_array(F.flatten(F.collect_list("b"))), 1, k)
+    found = near.groupBy("i").agg(best.alias("b")).select("i", F.posexplode("b"))
+    return found.select("i", F.col("col.j").alias("j"), (F.col("pos") + 1).alias("rank"), F.col("col.dist").alias("dist"))
+
+
+def _nearest_in_blocks(k: int):
+    """The ``k`` nearest of each row of a pair of blocks in the other block (in its own, if the pair is one block twice)."""
+
+    def one_way(ids, x, other, y):
+        for q in range(0, len(ids), 512):
+            # products find a few more than k, differences settle their order
+            rough = (x[q : q + 512] ** 2).sum(1)[:, None] + (y**2).sum(1) - 2 * x[q : q + 512] @ y.T
+            rough[ids[q : q + 512, None] == other[None, :]] = np.inf
+            n = min(len(other), k + 16)
+            top = np.argpartition(rough, n - 1, axis=1)[:, :n]
+            d = np.sqrt(((x[q : q + 512, None, :] - y[top]) ** 2).sum(2))
+            d[np.isinf(np.take_along_axis(rough, top, 1))] = np.inf
+            order = np.lexsort((other[top], d), axis=1)[:, :k]
+            d, j = np.take_along_axis(d, order, 1), other[np.take_along_axis(top, order, 1)]
+            for r in range(len(d)):
+                yield ids[q + r], [{"dist": float(a), "j": int(b)} for a, b in zip(d[r], j[r]) if np.isfinite(a)]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        ids, x, own = group["id"].to_numpy(), np.array(group["vec"].tolist()), group["own"].to_numpy()
+        left = own == own.min()
+        if left.all():
+            got = list(one_way(ids, x, ids, x))
+        else:
+            got = [*one_way(ids[left], x[left], ids[~left], x[~left]), *one_way(ids[~left], x[~left], ids[left], x[left])]
+        return pd.DataFrame(got, columns=["i", "b"])
+
+    return run
 
 
 def weights(edges: DataFrame) -> DataFrame:
@@ -82,25 +97,62 @@ def autocorrelation(values: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.join(found, "feature", "left").select("feature", F.coalesce(1 - F.col("c"), F.lit(0.0)).alias("c"))
 
 
-def permuted(values: DataFrame, reps: int, seed: str = "perm") -> DataFrame:
-    """(id, feature, rep, value): values dealt anew among ids by md5 order, the same for every engine."""
+def permuted(values: DataFrame, reps: int, seed: str = "perm", together: int = 100) -> DataFrame:
+    """(id, feature, part, values): for each repetition the value that id gets when the feature's values are dealt anew, ``together`` repetitions a row.
+
+    Ids are put in order of md5(seed:repetition:id) for each repetition, the same for every engine, and the n-th of them gets the
+    value of the n-th id.  Every feature has a value for every id.
+    """
     base = Window.partitionBy("feature").orderBy("id")
-    deal = Window.partitionBy("feature", "rep").orderBy("key", "id")
-    ids = values.withColumn("place", F.row_number().over(base))
-    many = values.select("id", "feature").withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    deal = Window.partitionBy("rep").orderBy("key", "id")
+    placed = values.select("feature", "value", F.row_number().over(base).alias("place"))
+    many = values.select("id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("id").cast("string")).cast("binary"))
-    dealt = many.withColumn("key", key).withColumn("place", F.row_number().over(deal))
-    return dealt.select("id", "feature", "rep", "place").join(ids.select("feature", "place", "value"), ["feature", "place"]).select("id", "feature", "rep", "value")
+    dealt = many.withColumn("key", key).select("id", "rep", F.row_number().over(deal).alias("place"))
+    part = F.floor((F.col("rep") - 1) / together).cast("int").alias("part")
+    got = dealt.join(placed, "place").groupBy("id", "feature", part).agg(F.sort_array(F.collect_list(F.struct("rep", "value"))).alias("v"))
+    return got.select("id", "feature", "part", F.transform("v", lambda x: x["value"]).alias("values"))
 
 
 def permutation_p(values: DataFrame, edges: DataFrame, reps: int = 3000, seed: str = "perm") -> DataFrame:
-    """(feature, c, p): autocorrelation and the share of permutations that reach it, (count + 1) / (reps + 1)."""
-    observed = autocorrelation(values, edges)
-    ranked = stats.average_rank(values, ["feature"], "value").select("id", "feature", F.col("rank").alias("value"))
-    shuffled = permuted(ranked, reps, seed).select("id", F.concat_ws("#", "feature", "rep").alias("feature"), "value")
-    null = geary(shuffled, edges).select(F.regexp_extract("feature", "^(.*)#[0-9]+$", 1).alias("feature"), (1 - F.col("c")).alias("bg"))
-    count = null.join(observed, "feature").groupBy("feature").agg(F.sum((F.col("bg") >= F.col("c")).cast("long")).alias("n"))
-    return observed.join(count, "feature", "left").select("feature", "c", ((F.coalesce("n", F.lit(reps)) + 1) / (reps + 1)).alias("p"))
+    """(feature, c, p): autocorrelation and the share of permutations that reach it, (count + 1) / (reps + 1).
+
+    A node's row holds the values of many repetitions; edges add up arrays.  Features that are constant or hold
+    nulls have c 0 and p 1.
+    """
+    observed = saved(autocorrelation(values, edges))
+    ranked = stats.average_rank(values.where("value is not null"), ["feature"], "value").select("id", "feature", F.col("rank").alias("value"))
+    whole = values.groupBy("feature").agg((F.count("value") == F.count(F.lit(1))).alias("whole"), (F.min("value") < F.max("value")).alias("varies")).where("whole and varies")
+    ranked = ranked.join(whole.select("feature"), "feature", "left_semi")
+    var = ranked.groupBy("feature").agg(F.var_samp("value").alias("v"))
+    deal = saved(permuted(ranked, reps, seed))
+    a, b = (deal.select(F.col("id").alias(s), "feature", "part", F.col("values").alias("x" + s)) for s in "ij")
+    both = edges.select("i", "j", "w").join(a, "i").join(b, ["j", "feature", "part"])
+    summed = both.select("feature", "part", "w", "xi", "xj").mapInArrow(_edge_sums, "feature string, part int, sums array<double>, w double")
+    at = summed.select("feature", "part", "w", F.posexplode("sums").alias("rep", "num")).groupBy("feature", "part", "rep").agg(F.sum("num").alias("num"), F.sum("w").alias("w"))
+    # as 1 - num / (2 w v) >= c, to twelve places, so that the order of sums does not decide
+    null = at.join(var, "feature").join(observed, "feature").groupBy("feature").agg(F.sum((F.round(1 - F.col("num") / (2 * F.col("w") * F.col("v")) - F.col("c"), 12) >= 0).cast("long")).alias("n"))
+    return observed.join(null, "feature", "left").select("feature", "c", ((F.coalesce("n", F.lit(reps)) + 1) / (reps + 1)).alias("p"))
+
+
+def _edge_sums(batches):
+    """(feature, part, sums, w): w (xi - xj)^2 of each repetition, summed over the edges that a task has, and their weights."""
+    sums: dict[tuple, list] = {}
+    for b in batches:
+        for row in range(0, b.num_rows, 256):
+            some = b.slice(row, 256)
+            w, names = np.asarray(some.column("w")), list(zip(some.column("feature").to_pylist(), some.column("part").to_pylist()))
+            xi, xj = some.column("xi"), some.column("xj")
+            for k, name in enumerate(names):
+                d = (np.asarray(xi[k].values) - np.asarray(xj[k].values)) ** 2 * w[k]
+                if name in sums:
+                    sums[name][0] += d
+                    sums[name][1] += w[k]
+                else:
+                    sums[name] = [d, w[k]]
+    if sums:
+        feature, part = zip(*sums)
+        yield pa.record_batch([pa.array(feature), pa.array(part, pa.int32()), pa.array([s.tolist() for s, _ in sums.values()]), pa.array([float(w) for _, w in sums.values()])], names=["feature", "part", "sums", "w"])
 
 
 def factor_association(levels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,44 +183,79 @@ def chi2_of_table(table: DataFrame, by: list[str]) -> DataFrame:
     return out.select(*by, "chi2", F.when(F.col("k") > 1, F.sqrt(F.col("chi2") / F.col("n") / (F.col("k") - 1))).otherwise(0.0).alias("v"), "df", "p")
 
 
-def louvain_levels(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(id, cluster): communities by synchronous local moves on modularity, joins only.
+def louvain_weights(edges: DataFrame) -> DataFrame:
+    """(i, j, w): exp(-d^2 / s^2) with s the median distance of i to its neighbours (0 counts as 1)."""
+    mid = F.median("dist").over(Window.partitionBy("i"))
+    return edges.select("i", "j", F.exp(-F.col("dist") * F.col("dist") / F.pow(F.when(mid == 0, 1.0).otherwise(mid), 2)).alias("w"))
 
-    In each round half of the nodes (by hash of node and round, so that neighbours do not swap) move to the neighbouring
-    community with the largest gain; clusters carry their smallest member's id.
-    """
-    from pyspark.sql import Observation
 
-    both = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w")).groupBy("i", "j").agg(F.sum("w").alias("w"))
-    both = saved(both)
+def louvain_levels(edges: DataFrame, least_gain: float = 1e-6) -> DataFrame:
+    """(id, cluster): communities by Louvain's method on the undirected graph of ``edges`` (i, j, w), joins only.
+
+    Local moves until modularity rests, then communities become nodes of a smaller graph, until a level gains less than
+    ``least_gain``; the best labelling seen counts.  Clusters carry their smallest member's id.
+    """
+    ends = edges.select("i", "j", "w").unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
+    both = saved(ends.groupBy("i", "j").agg(F.sum("w").alias("w")))
+    label = saved(both.select(F.col("i").alias("id"), F.col("i").alias("cluster")).distinct())
+    best = _modularity(both, label)
+    names = label
+    while True:
+        moved, q = _local_moves(both, least_gain)
+        if q <= best + least_gain:
+            break
+        best = q
+        # of each community the smallest member names it, so that names hold at every level
+        names = saved(names.select("id", F.col("cluster").alias("at")).join(moved.select(F.col("id").alias("at"), "cluster"), "at").select("id", "cluster"))
+        a, b = (moved.select(F.col("id").alias(s), F.col("cluster").alias("c" + s)) for s in "ij")
+        both = saved(both.join(a, "i").join(b, "j").groupBy(F.col("ci").alias("i"), F.col("cj").alias("j")).agg(F.sum("w").alias("w")))
+    least = names.groupBy("cluster").agg(F.min("id").alias("least"))
+    return names.join(least, "cluster").select("id", F.col("least").alias("cluster"))
+
+
+def _modularity(both: DataFrame, label: DataFrame) -> float:
+    """Modularity of labels (id, cluster) on edges listed both ways."""
+    a, b = (label.select(F.col("id").alias(s), F.col("cluster").alias("c" + s)) for s in "ij")
+    inner = both.join(a, "i").join(b, "j").agg(F.sum("w").alias("m2"), F.sum(F.when(F.col("ci") == F.col("cj"), F.col("w")).otherwise(0.0)).alias("inside")).first()
+    if not inner["m2"]:
+        return 0.0
+    total = both.join(a, "i").groupBy("ci").agg(F.sum("w").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0]
+    return inner["inside"] / inner["m2"] - total / inner["m2"] ** 2
+
+
+def _local_moves(both: DataFrame, least_gain: float) -> tuple[DataFrame, float]:
+    """(id, cluster) and its modularity: in each round half of the nodes, by hash of node and round so that neighbours do not
+    swap, move to the neighbouring community with the largest gain; until four rounds in a row gain too little."""
     degree = saved(both.groupBy("i").agg(F.sum("w").alias("k")))
     m2 = degree.agg(F.sum("k")).first()[0] or 1.0
     label = degree.select(F.col("i").alias("id"), F.col("i").alias("cluster"))
-    still = 0
-    for r in range(rounds):
+    best, top, still, r = label, _modularity(both, label), 0, 0
+    while still < 4:
         size = label.join(degree, F.col("id") == F.col("i")).groupBy("cluster").agg(F.sum("k").alias("tot"))
         to = both.join(label.select(F.col("id").alias("j"), F.col("cluster").alias("c")), "j").where("i <> j").groupBy("i", "c").agg(F.sum("w").alias("win"))
         own = label.select(F.col("id").alias("i"), F.col("cluster").alias("own"))
         gain = to.join(own, "i").join(degree, "i").join(size.withColumnRenamed("cluster", "c"), "c")
         gain = gain.withColumn("g", F.col("win") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2)
-        best = gain.groupBy("i").agg(F.max(F.struct("g", -F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
+        choice = gain.groupBy("i").agg(F.max(F.struct("g", -F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
         turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        new = label.join(best, F.col("id") == F.col("i"), "left").select("id", F.when(turn & (F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), -F.col("b.col2")).otherwise(F.col("cluster")).alias("cluster"), F.col("cluster").alias("old"))
-        moved, seen = saved(new), Observation()
-        moved.observe(seen, F.sum((F.col("cluster") != F.col("old")).cast("long")).alias("n")).write.format("noop").mode("overwrite").save()
-        label = moved.select("id", "cluster")
-        still = 0 if seen.get["n"] else still + 1
-        if still == 4:  # either half has had its turn and more
-            break
-    least = label.groupBy("cluster").agg(F.min("id").alias("least"))
-    return label.join(least, "cluster").select("id", F.col("least").alias("cluster"))
+        new = F.when(turn & (F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), -F.col("b.col2")).otherwise(F.col("cluster"))
+        label = saved(label.join(choice, F.col("id") == F.col("i"), "left").select("id", new.alias("cluster")))
+        q = _modularity(both, label)
+        still, r = 0 if q > top + least_gain else still + 1, r + 1
+        if q > top:
+            best, top = label, q
+    return best, top
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names, else in /tmp/checkpoints."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a cluster must name one."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or "/tmp/checkpoints")
     return df.checkpoint()
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from math import gcd
+from statistics import NormalDist
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from signascope.operators.graph import saved
+
 
 def vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
     """(cell, gene index, value) entries of chosen genes as (cell, idx, val) sparse rows; ``genes``: (gene)."""
@@ -56,21 +61,32 @@ def _dense(b: pd.DataFrame, g: int) -> np.ndarray:
     return x
 
 
+def _numbered(cells: DataFrame) -> DataFrame:
+    """(cell, place): places from 0 in order, from the sizes of sorted partitions instead of one sort in one task."""
+    parts = saved(cells.repartitionByRange("cell").sortWithinPartitions("cell")).withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = sorted((r["_part"], r["n"]) for r in parts.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect())
+    before = parts.sparkSession.createDataFrame([(p, sum(n for q, n in sizes if q < p)) for p, _ in sizes], "_part int, before long")
+    return parts.join(F.broadcast(before), "_part").select("cell", (F.col("before") + F.col("_row")).alias("place"))
+
+
 def permutation_components(expr: DataFrame, genes: DataFrame, components: int = 50, times: int = 20, level: float = 0.05, least: int = 5) -> int:
-    """How many components hold more variance than in gene-wise permuted data (z-test of the share), ``least`` at least."""
-    from pyspark.sql import Window
+    """How many components hold more variance than in gene-wise permuted data (z-test of the share), ``least`` at least.
 
+    A gene's cells are permuted by place -> place x step + shift modulo their number, with steps that share no factor with it.
+    """
     _, real = pca(expr, genes, components)
-    cells = expr.select("cell").distinct().withColumn("place", F.row_number().over(Window.orderBy("cell")))
+    cells = saved(_numbered(expr.select("cell").distinct()))
     n = cells.count()
+    steps = [k for k in np.random.default_rng(n).integers(1, max(2, n), 400).tolist() if gcd(k, n) == 1][:64] or [1]
     null = []
     for t in range(times):
-        spot = F.pmod(F.xxhash64("gene", F.lit(t)) + F.col("place") * (2 * F.pmod(F.xxhash64("gene", F.lit(-t - 1)), F.lit(n // 2 + 1)) + 1), F.lit(n)) + 1
-        dealt = expr.join(cells, "cell").withColumn("place", spot).drop("cell").join(cells, "place").groupBy("cell", "gene").agg(F.sum("value").alias("value"))
+        step = F.array(*map(F.lit, steps))[F.pmod(F.xxhash64("gene", F.lit(-t - 1)), F.lit(len(steps))).cast("int")]
+        spot = F.pmod(F.pmod(F.xxhash64("gene", F.lit(t)), F.lit(n)) + F.col("place") * step, F.lit(n))
+        dealt = expr.join(cells, "cell").withColumn("place", spot).drop("cell").join(cells, "place").select("cell", "gene", "value")
         null.append(pca(dealt, genes, components)[1])
     null = np.array(null)
     z = (real - null.mean(0)) / np.maximum(null.std(0, ddof=1), 1e-12)
-    over = np.flatnonzero(z < 1.6448536269514722)
+    over = np.flatnonzero(z < NormalDist().inv_cdf(1 - level))
     return max(least, int(over[0]) if len(over) else len(real))
 
 

@@ -25,6 +25,11 @@ def undo_log1p(expr: DataFrame) -> DataFrame:
     return expr.withColumn("value", F.expm1("value"))
 
 
+def clip_bottom(df: DataFrame, least: float, col: str = "value") -> DataFrame:
+    """Values under ``least`` become ``least``; nulls stay."""
+    return df.withColumn(col, F.when(F.col(col) < least, F.lit(float(least))).otherwise(F.col(col)))
+
+
 def drop_duplicate_genes(genes: DataFrame) -> DataFrame:
     """Gene names that occur once; of a repeated name every copy goes."""
     return genes.groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("gene")

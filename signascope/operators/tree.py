@@ -1,6 +1,6 @@
-"""Trees as tables (node, parent): closure, clade sizes, distances, parsimony of traits.
+"""Trees as tables (node, parent): closure, clade sizes, distances, neighbours, clusters, parsimony of traits.
 
-Levels come from a recursive query; everything else is a join with the closure (anc, node, hops).
+The closure (anc, node, hops) comes from joins that double the hops; everything else is a join with it.
 """
 
 from __future__ import annotations
@@ -12,14 +12,22 @@ from signascope.operators.graph import saved
 
 
 def closure(tree: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """(anc, node, hops) for every node and each of its ancestors, itself at 0 hops."""
-    spark, name = tree.sparkSession, f"_tree_{abs(id(tree))}"
-    tree.select("node", "parent").createOrReplaceTempView(name)
-    return spark.sql(f"""
-        WITH RECURSIVE up(anc, node, hops) MAX RECURSION LEVEL {max_depth} AS (
-          SELECT node, node, 0 FROM {name}
-          UNION ALL SELECT t.parent, up.node, up.hops + 1 FROM up JOIN {name} t ON t.node = up.anc WHERE t.parent IS NOT NULL)
-        SELECT anc, node, hops FROM up""")
+    """(anc, node, hops) for every node and each of its ancestors, itself at 0 hops.
+
+    Each round joins the ancestors known so far (up to 2^r - 1 hops) with those at 2^r hops and is written, so a tree of depth
+    d takes log2(d) rounds, whatever its number of rows.  Raises ValueError beyond ``max_depth``, as for a cycle.
+    """
+    known = tree.select(F.col("node").alias("anc"), "node", F.lit(0).alias("hops"))
+    step = saved(tree.where("parent is not null").select(F.col("parent").alias("anc"), "node"))  # exactly 2^r hops
+    width = 1
+    while not step.isEmpty():
+        if width > max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth}")
+        far = known.select("anc", F.col("node").alias("mid"), "hops").join(step.select(F.col("anc").alias("mid"), "node"), "mid")
+        known = saved(known.unionByName(far.select("anc", "node", (F.col("hops") + width).alias("hops"))))
+        step = saved(step.select("anc", F.col("node").alias("mid")).join(step.select(F.col("anc").alias("mid"), "node"), "mid").select("anc", "node"))
+        width *= 2
+    return known
 
 
 def tips(tree: DataFrame) -> DataFrame:
@@ -65,21 +73,34 @@ def lca_depth(up: DataFrame, sizes: DataFrame, pairs: DataFrame) -> DataFrame:
 def tree_knn(up: DataFrame, tip: DataFrame, k: int) -> DataFrame:
     """(i, j, rank, dist): the ``k`` nearest tips by edges, ties by id.
 
-    Tips that share low ancestors come first, so each tip climbs only as far as its k-th neighbour needs.
+    Seen from below, an ancestor's tips at the same hops are alike but for their ids, so only the ``k`` + 1 smallest of them
+    (the tip itself may be one) can be neighbours.  Each tip meets these of its ancestors, up to the lowest one that
+    holds more than ``k`` tips and as far up as a tip could still be nearer.
     """
-    sizes = up.join(tip, "node").groupBy("anc").agg(F.count(F.lit(1)).alias("size"))
-    path = up.join(tip, "node").join(sizes, "anc")
-    # the lowest ancestor with more than k tips reaches every neighbour within its farthest tip
-    far = up.join(tip, "node").groupBy("anc").agg(F.max("hops").alias("deep"))
-    first = path.groupBy("node").agg(F.coalesce(F.min(F.when(F.col("size") > k, F.col("hops"))), F.max("hops")).alias("h"))
-    bound = first.join(path.select("node", "anc", F.col("hops").alias("h")), ["node", "h"]).join(far, "anc").select("node", (F.col("h") + F.col("deep")).alias("bound"))
-    mine = path.join(bound, "node").where("hops <= bound").select(F.col("node").alias("i"), "anc", F.col("hops").alias("hi"), "bound")
-    other = up.join(tip, "node").select(F.col("node").alias("j"), "anc", F.col("hops").alias("hj"))
-    pairs = mine.join(other, "anc").where("i <> j and hi + hj <= bound").groupBy("i", "j").agg(F.min(F.col("hi") + F.col("hj")).alias("dist"))
+    low = up.join(tip, "node")
+    # ids by hops in two steps, so that a large clade is no single task's
+    some = lambda d, by: d.groupBy(*by).agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    dealt = low.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).groupBy("anc", "hops", "salt").agg(F.slice(F.sort_array(F.collect_set("node")), 1, k + 1).alias("ids"), F.count(F.lit(1)).alias("n"))
+    size = dealt.groupBy("anc").agg(F.sum("n").alias("size"))
+    near = some(dealt, ["anc", "hops"])
+    # by ancestor: its tips by hops, at most k + 1 a hop
+    listed = near.groupBy("anc").agg(F.sort_array(F.collect_list(F.struct(F.col("hops").alias("hj"), "ids"))).alias("by")).join(size, "anc")
+    path = low.select(F.col("node").alias("i"), "anc", F.col("hops").alias("hi"))
+    full = path.join(listed, "anc")
+    deepest = F.element_at("by", -1)["hj"]
+    bound = full.where(F.col("size") > k).groupBy("i").agg(F.min(F.struct("hi", deepest.alias("deep"))).alias("b")).select("i", (F.col("b.hi") + F.col("b.deep")).alias("bound"))
+    pairs = full.join(bound, "i", "left").where("bound is null or hi <= bound").select("i", "hi", F.explode("by").alias("e"))
+    pairs = pairs.select("i", (F.col("hi") + F.col("e.hj")).alias("dist"), F.explode("e.ids").alias("j")).where("i <> j").groupBy("i", "j").agg(F.min("dist").alias("dist"))
     best = F.slice(F.sort_array(F.collect_list(F.struct("dist", "j"))), 1, k)
     return pairs.groupBy("i").agg(best.alias("b")).select("i", F.posexplode("b")).select("i", F.col("col.j").alias("j"), (F.col("pos") + 1).alias("rank"), F.col("col.dist").cast("double").alias("dist"))
 
 
+def clade_neighbours(up: DataFrame, tip: DataFrame, sizes: DataFrame, size: int = 20) -> DataFrame:
+    """(i, j, w): for each tip the other tips of its lowest clade with more than ``size`` tips, weight 1 (all others have 0)."""
+    own = ancestor_at_size(up.join(tip, "node"), sizes, size + 1).select(F.col("node").alias("i"), "anc")
+    return own.join(up.join(tip, "node").select("anc", F.col("node").alias("j")), "anc").where("i <> j").select("i", "j", F.lit(1.0).alias("w"))
+
+
 def fitch_sets(tree: DataFrame, labels: DataFrame, up: DataFrame) -> DataFrame:
     """(node, labels, cost): plurality label set of each node (sorted) and, for inner nodes, children minus the largest count.
 
@@ -160,3 +181,50 @@ def clusters_to_target(tree: DataFrame, up: DataFrame, sizes: DataFrame, target:
         else:
             high = mid - 1
     return clusters_by_size(tree, up, sizes, low)
+
+
+def clusters_at_depth(tree: DataFrame, up: DataFrame, sizes: DataFrame, target: int = 10) -> DataFrame:
+    """(node, cluster): each tip's lowest ancestor with at least d tips, d found by halving between 0 and the number of tips.
+
+    The search moves up where a cut gives at least ``target`` clusters and down where it gives fewer, and keeps the cut it
+    tried last, which may be one with fewer (halves are rounded to even).
+    """
+    low, high, tip = 0, int(sizes.agg(F.max("size")).first()[0] or 1), tips(tree)
+    path, found = up.join(tip, "node"), tip.select("node", F.col("node").alias("cluster"))
+    while low != high and (d := round((low + high) / 2)):
+        found = ancestor_at_size(path, sizes, d).withColumnRenamed("anc", "cluster")
+        enough = found.select("cluster").distinct().count() >= target
+        if d == (low if enough else high):
+            break
+        low, high = (d, high) if enough else (low, d)
+    return found
+
+
+def clusters_cladewise(tree: DataFrame, up: DataFrame, sizes: DataFrame, target: int = 10, by: str = "size") -> DataFrame:
+    """(node, cluster): clades are opened from the root, the largest first, until there are at least ``target``.
+
+    Largest by tips (``by="size"``) or by the largest child clade (``by="most"``); of equals the one nearer the root, then by
+    name.  A clade is never larger than the one that holds it, so those opened are a prefix of all inner nodes in that order.
+    """
+    order = child_clades(tree, sizes).join(sizes, "node").join(up.groupBy("node").agg(F.max("hops").alias("depth")), "node")
+    order = order.select("node", F.col(by).alias("key"), "depth", (F.col("n_children") - 1).alias("more"))
+    # the key at which the target is reached, from one row a key; the rest is settled among nodes of that key
+    totals = order.groupBy("key").agg(F.sum("more").alias("more")).withColumn("upto", F.sum("more").over(Window.orderBy(F.desc("key"))))
+    cut = totals.where(F.col("upto") + 1 >= target).agg(F.max("key").alias("cut")).first()["cut"]
+    if cut is None:
+        opened = order.select("node")
+    else:
+        before = int(totals.where(F.col("key") > cut).agg(F.coalesce(F.max("upto"), F.lit(0))).first()[0]) + 1
+        tied = order.where(F.col("key") == cut)
+        # a node with several children adds one cluster or more, so as many of them are enough
+        most = max(1, target) + tied.where("more < 1").count()
+        edge = tied.orderBy("depth", "node").limit(most).withColumn("upto", F.sum("more").over(Window.orderBy("depth", "node")) - F.col("more"))
+        opened = order.where(F.col("key") > cut).select("node").unionByName(edge.where(F.lit(before) + F.col("upto") < target).select("node"))
+    path = up.join(tips(tree), "node").join(opened.select(F.col("node").alias("anc"), F.lit(True).alias("open")), "anc", "left")
+    return path.where("open is null").groupBy("node").agg(F.max_by("anc", "hops").alias("cluster"))
+
+
+def parsimony_rate(tree: DataFrame, assigned: DataFrame) -> DataFrame:
+    """(rate): label changes over edges."""
+    n = tree.agg((F.count(F.lit(1)) - 1).alias("edges"))
+    return parsimony(tree, assigned).crossJoin(F.broadcast(n)).select((F.col("score") / F.col("edges")).alias("rate"))

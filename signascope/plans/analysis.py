@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
-from signascope.operators import contrast, graph, latent, matrix, score
+from signascope.operators import contrast, graph, latent, matrix, pools, score, trajectory
 from signascope.operators import tree as trees
 
 SCHEMA_VERSION = 1
@@ -38,13 +38,15 @@ class Parameters:
 
 @dataclass(frozen=True)
 class Dataset:
-    """expr (cell, gene, value), sigs (sig, gene, sign), numbers (id, feature, value), factors (id, var, level), latent (id, vec), tree (node, parent)."""
+    """expr (cell, gene, value), sigs (sig, gene, sign), numbers and proteins (id, feature, value), factors (id, var, level), modules
+    (mod, gene), latent (id, vec), tree (node, parent) with the cells as tips, pools (pool, cell)."""
 
     expr: DataFrame
     sigs: DataFrame | None = None
     numbers: DataFrame | None = None
     factors: DataFrame | None = None
     proteins: DataFrame | None = None
+    modules: DataFrame | None = None
     latent: DataFrame | None = None
     tree: DataFrame | None = None
     raw: DataFrame | None = None
@@ -56,7 +58,7 @@ class Dataset:
         return getattr(self, table) is not None
 
     def __repr__(self) -> str:
-        there = [t for t in ("sigs", "numbers", "factors", "proteins", "latent", "tree", "raw", "pools") if self.has(t)]
+        there = [t for t in ("sigs", "numbers", "factors", "proteins", "modules", "latent", "tree", "raw", "pools") if self.has(t)]
         return f"Dataset(expr with {', '.join(there) or 'nothing else'}; results: {', '.join(self.results) or 'none'})"
 
 
@@ -114,39 +116,103 @@ def latent_space(data: Dataset) -> Dataset:
 
 
 def null_signatures(data: Dataset, groups: DataFrame, size: int, seed: str = "null") -> DataFrame:
-    """(sig, gene, sign) of ``size`` random signatures for each group (grp, k, up): genes in md5 order, the first ``up`` positive."""
+    """(sig, gene, sign) of ``size`` random signatures for each group (grp, k, balance): genes in md5 order, the first ones positive.
+
+    ``balance`` x k are positive; what is left of a whole one is drawn, by md5 of group and repetition.
+    """
     genes = data.expr.select("gene").distinct()
     many = groups.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(size))))
+    name = F.concat_ws(":", F.lit(seed), F.col("grp").cast("string"), F.col("rep").cast("string"))
+    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    up = F.col("balance") * F.col("k")
+    many = many.withColumn("up", (F.floor(up) + (u < up - F.floor(up)).cast("int")).cast("int"))
     names = genes.agg(F.collect_list("gene").alias("all"))
     full = many.crossJoin(F.broadcast(names))  # one list of gene names
-    key = lambda g: F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col("grp").cast("string"), F.col("rep").cast("string"), g).cast("binary")).alias("h"), g.alias("g"))
+    key = lambda g: F.struct(F.md5(F.concat_ws(":", name, g).cast("binary")).alias("h"), g.alias("g"))
     drawn = F.slice(F.array_sort(F.transform("all", key)), 1, F.col("k"))
     return full.select(F.concat_ws("#", F.col("grp").cast("string"), F.col("rep").cast("string")).alias("sig"), "up", F.posexplode(drawn)).select("sig", F.col("col.g").alias("gene"), F.when(F.col("pos") < F.col("up"), 1.0).otherwise(-1.0).alias("sign"))
 
 
 def size_groups(sigs: DataFrame, groups: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(sig, grp) and (grp, k, up): signatures in up to ``groups`` classes of size, each with its mean size and balance."""
-    from pyspark.sql import Window
-
-    s = sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("sign") > 0).cast("double")).alias("u"))
-    s = s.withColumn("b", F.greatest("u", 1 - F.col("u"))).withColumn("grp", F.ntile(groups).over(Window.orderBy(F.log10("n"), "b", "sig")))
-    center = s.groupBy("grp").agg(F.round(F.pow(F.lit(10.0), F.avg(F.log10("n")))).cast("int").alias("k"), F.avg("b").alias("b"))
-    return s.select("sig", "grp"), center.select("grp", "k", F.round(F.col("b") * F.col("k")).cast("int").alias("up"))
-
-
-def signature_autocorrelation(data: Dataset, logs: DataFrame, scores: DataFrame, edges: DataFrame) -> DataFrame:
-    """(feature, c, p, fdr): autocorrelation of signatures against random signatures of like size and balance."""
+    """(sig, grp) and (grp, k, balance): signatures in up to ``groups`` clusters of log size and balance, each with its rounded size.
+
+    Lloyd's iterations from the smallest signature and then always the one farthest from all centres, so that runs agree;
+    groups are numbered by size and balance.
+    """
+    s = sigs.groupBy("sig").agg(F.log10(F.count(F.lit(1))).alias("n"), F.avg((F.col("sign") >= 0).cast("double")).alias("u"))
+    s = graph.saved(s.select("sig", "n", F.greatest("u", 1 - F.col("u")).alias("b")))
+    first = s.orderBy("n", "b", "sig").first()
+    centres = [(first["n"], first["b"])] if first else []
+    far = lambda: F.array_min(F.array(*[F.pow(F.col("n") - x, 2) + F.pow(F.col("b") - y, 2) for x, y in centres]))
+    while 0 < len(centres) < groups:
+        r = s.withColumn("d", far()).orderBy(F.desc("d"), "sig").first()
+        if r["d"] <= 0:
+            break
+        centres.append((r["n"], r["b"]))
+    for _ in range(100):
+        at = F.array_min(F.array(*[F.struct((F.pow(F.col("n") - x, 2) + F.pow(F.col("b") - y, 2)).alias("d"), F.lit(k).alias("k")) for k, (x, y) in enumerate(centres)]))["k"]
+        mean = {r["k"]: (r["n"], r["b"]) for r in s.groupBy(at.alias("k")).agg(F.avg("n").alias("n"), F.avg("b").alias("b")).collect()}
+        new = [mean.get(k, c) for k, c in enumerate(centres)]
+        if max((abs(a - b) for x, y in zip(new, centres) for a, b in zip(x, y)), default=0.0) < 1e-12:
+            break
+        centres = new
+    place = {k: g for g, k in enumerate(sorted(range(len(centres)), key=lambda k: centres[k]), 1)}
+    at = F.array_min(F.array(*[F.struct((F.pow(F.col("n") - x, 2) + F.pow(F.col("b") - y, 2)).alias("d"), F.lit(place[k]).alias("grp")) for k, (x, y) in enumerate(centres)]))["grp"]
+    rows = [(place[k], round(10 ** x), float(y)) for k, (x, y) in enumerate(centres)]
+    return s.select("sig", at.alias("grp")), s.sparkSession.createDataFrame(sorted(rows), "grp int, k int, balance double")
+
+
+def signature_autocorrelation(data: Dataset, sigs: DataFrame, logs: DataFrame, scores: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, c, p): autocorrelation of signatures (or modules) against random signatures of like size and balance."""
     p = data.params
-    member, groups = size_groups(score.weights(data.sigs, data.expr).withColumnRenamed("w", "sign"))
+    member, groups = size_groups(score.weights(sigs, data.expr).withColumnRenamed("w", "sign"))
     null = score.scores(logs, null_signatures(data, groups, p.null_size), p.normalisation)
-    as_values = lambda s: s.select(F.col("cell").alias("id"), F.col("sig").alias("feature"), F.col("score").alias("value"))
     observed = graph.autocorrelation(as_values(scores), edges)
     background = graph.autocorrelation(as_values(null), edges).select(F.split("feature", "#")[0].cast("int").alias("grp"), F.col("c").alias("bg"))
-    # each group's null in order; a signature's place in it is its count
-    sorted_null = background.groupBy("grp").agg(F.sort_array(F.collect_list("bg")).alias("null"))
-    at = observed.join(member.withColumnRenamed("sig", "feature"), "feature").join(sorted_null, "grp", "left")
-    over = F.size(F.filter("null", lambda x: x >= F.col("c")))
-    return stats.bh(at.select("feature", "c", ((over + 1) / (F.size("null") + 1)).alias("p")), "p", [], ["feature"])
+    at = observed.join(member.withColumnRenamed("sig", "feature"), "feature")
+    # a signature's count is that of its group's random ones which reach it
+    reached = at.join(background, "grp").groupBy("feature").agg(F.sum((F.col("bg") >= F.col("c")).cast("long")).alias("n"), F.count(F.lit(1)).alias("of"))
+    return at.join(reached, "feature").select("feature", "c", ((F.col("n") + 1) / (F.col("of") + 1)).alias("p"))
+
+
+def as_values(scores: DataFrame) -> DataFrame:
+    return scores.select(F.col("cell").alias("id"), F.col("sig").alias("feature"), F.col("score").alias("value"))
+
+
+def neighbour_graph(data: Dataset) -> DataFrame:
+    """(i, j, rank, dist, w): the cells' neighbours by edges of the tree where there is one, else in the latent space."""
+    p = data.params
+    if data.tree is not None:
+        tip = trees.tips(data.tree)
+        k = p.neighbours or max(1, round(tip.count() ** 0.5))
+        return graph.weights(trees.tree_knn(graph.saved(trees.closure(data.tree)), tip, k))
+    k = p.neighbours or max(1, round(data.latent.count() ** 0.5))
+    return graph.weights(graph.knn(data.latent, k))
+
+
+def trajectory_graph(edges: DataFrame, progressions: DataFrame, k: int | None = None) -> DataFrame:
+    """(i, j, rank, dist, w): the cells' neighbours along a trajectory."""
+    k = k or max(1, round(progressions.count() ** 0.5))
+    return graph.weights(trajectory.knn(edges, progressions, k))
+
+
+def protein_autocorrelation(proteins: DataFrame, edges: DataFrame) -> DataFrame:
+    """(feature, c, p, fdr): autocorrelation of protein abundances (id, feature, value); no permutations, so p and FDR are 1."""
+    return graph.autocorrelation(proteins, edges).select("feature", "c", F.lit(1.0).alias("p"), F.lit(1.0).alias("fdr"))
+
+
+def comparisons(data: Dataset, scores: DataFrame | None, modules: DataFrame | None, numbers: DataFrame | None, factors: DataFrame) -> dict[str, DataFrame]:
+    """Each level of each factor against the rest: signatures and modules without ties, metadata together, proteins with ties."""
+    out = {}
+    if scores is not None:
+        out["one_vs_rest"] = contrast.one_vs_rest(as_values(scores), factors)
+    if modules is not None:
+        out["modules_one_vs_rest"] = contrast.one_vs_rest(as_values(modules), factors)
+    if numbers is not None:
+        out["meta_one_vs_rest"] = contrast.meta_comparison(numbers, factors, factors)
+    if data.proteins is not None:
+        out["proteins_one_vs_rest"] = contrast.one_vs_rest(data.proteins, factors, ties=True)
+    return out
 
 
 def significant(auto: DataFrame, fdr: float = 0.05, least: float = 0.2) -> DataFrame:
@@ -161,21 +227,20 @@ def analyze(data: Dataset) -> Dataset:
         data = pooled(data)
     data = latent_space(data)
     p, out = data.params, {}
-    n = data.latent.count()
-    k = p.neighbours or max(1, round(n**0.5))
-    edges = graph.saved(graph.weights(graph.knn(data.latent, k)))
+    edges = graph.saved(neighbour_graph(data))
     out["knn"], out["latent"] = edges, data.latent
-    out["clusters"] = graph.louvain_levels(edges.where(F.col("rank") <= p.cluster_neighbours))
+    near = edges if data.tree is None else graph.knn(data.latent, p.cluster_neighbours)
+    out["clusters"] = graph.louvain_levels(graph.louvain_weights(near.where(F.col("rank") <= p.cluster_neighbours)))
     logs = matrix.log2p1(data.expr)
     coords = data.latent.select("id", F.posexplode("vec")).select("id", (F.col("pos") + 1).alias("comp"), F.col("col").alias("coord"))
-    values = []
+    values, tested = [], []
     if data.sigs is not None:
         sigs = score.split_directions(score.process_signatures(data.sigs, data.expr, p.min_signature_genes, p.gene_share))
         data = replace(data, sigs=sigs)
         out["scores"] = graph.saved(score.scores(logs, sigs, p.normalisation))
         out["gene_importance"] = score.gene_importance(logs, sigs, out["scores"], p.normalisation)
-        out["signature_autocorrelation"] = signature_autocorrelation(data, logs, out["scores"], edges)
-        values.append(out["scores"].select(F.col("cell").alias("id"), F.col("sig").alias("feature"), F.col("score").alias("value")))
+        tested.append(signature_autocorrelation(data, sigs, logs, out["scores"], edges).withColumn("kind", F.lit("signature")))
+        values.append(as_values(out["scores"]))
     numbers = data.numbers
     if data.tree is not None and data.factors is not None:
         up = graph.saved(trees.closure(data.tree))
@@ -184,19 +249,44 @@ def analyze(data: Dataset) -> Dataset:
             tip = trees.plasticity(data.tree, trees.node_scores(trees.fitch_sets(data.tree, own, up), up), up)
             named = tip.select(F.col("node").alias("id"), F.lit(r["var"] + "_plasticity").alias("feature"), F.col("plasticity").alias("value"))
             numbers = named if numbers is None else numbers.unionByName(named)
-    if numbers is not None:
-        out["numbers"] = numbers
-        out["meta_autocorrelation"] = stats.bh(graph.permutation_p(numbers, edges, p.permutations), "p", [], ["feature"])
-        values.append(numbers)
+    factors = None
     if data.factors is not None:
         eligible = data.factors.groupBy("var").agg(F.count_distinct("level").alias("n")).where(f"n > 1 and n <= {p.max_levels}").select("var")
         factors = data.factors.join(eligible, "var", "left_semi")
         out["factor_autocorrelation"] = graph.factor_association(factors, edges)
-        if values:
-            every = values[0] if len(values) == 1 else values[0].unionByName(values[1])
-            out["one_vs_rest"] = contrast.one_vs_rest(every, factors)
-        out["factors_one_vs_rest"] = contrast.chi2_one_vs_rest(factors, factors)
-    if values:
-        every = values[0] if len(values) == 1 else values[0].unionByName(values[1])
-        out["component_correlation"] = latent.correlations(every, coords)
+        tested.append(out["factor_autocorrelation"].select(F.col("var").alias("feature"), F.col("v").alias("c"), "p", F.lit("factor").alias("kind")))
+    if numbers is not None:
+        out["numbers"] = numbers
+        tested.append(graph.permutation_p(numbers, edges, p.permutations).withColumn("kind", F.lit("number")))
+        values.append(numbers)
+    if tested:  # p-values of signatures and metadata are adjusted together
+        every = tested[0]
+        for more in tested[1:]:
+            every = every.unionByName(more)
+        every = graph.saved(stats.bh(every, "p", [], ["feature"]))
+        out["signature_autocorrelation"] = every.where("kind = 'signature'").drop("kind")
+        out["meta_autocorrelation"] = every.where("kind <> 'signature'").drop("kind")
+        numeric = values[0] if len(values) == 1 else values[0].unionByName(values[1]) if values else None
+        if numeric is not None:
+            out["signature_clusters"] = pools.signature_clusters(numeric, every)
+            out["component_correlation"] = latent.correlations(numeric, coords)
+    modules = None
+    if data.modules is not None:
+        signed = data.modules.select(F.col("mod").alias("sig"), "gene", F.lit(1.0).alias("sign"))
+        modules = out["module_scores"] = graph.saved(score.scores(logs, signed, p.normalisation))
+        out["module_importance"] = score.gene_importance(logs, signed, modules, p.normalisation)
+        auto = signature_autocorrelation(data, signed, logs, modules, edges)
+        out["module_autocorrelation"] = stats.bh(auto, "p", [], ["feature"])
+        out["module_component_correlation"] = latent.correlations(as_values(modules), coords)
+        if data.sigs is not None:
+            sets = contrast.directional_sets(data.sigs)
+            out["module_enrichment"] = contrast.enrichment(sets, data.modules, data.expr.select("gene").distinct().count())
+            out["module_assignment"] = contrast.best_module(out["module_enrichment"])
+    if data.proteins is not None:
+        out["protein_autocorrelation"] = protein_autocorrelation(data.proteins, edges)
+        out["protein_component_correlation"] = latent.correlations(data.proteins, coords)
+    if factors is not None:
+        out |= comparisons(data, out.get("scores"), modules, numbers, factors)
+        if numbers is not None:
+            out["meta_clusters"] = pools.meta_clusters(factors, numbers.select("feature").distinct())
     return replace(data, results={**data.results, **out})

@@ -51,13 +51,21 @@ def numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.col("c_custkey").alias("id"), F.inline(F.array(pair("balance", F.col("c_acctbal")), pair("orders", F.coalesce("n", F.lit(0.0))), pair("spent", F.col("total")))))
 
 
+def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, feature, value): number of each customer's orders by priority, zeros too."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("feature")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    names = o.select("feature").distinct().agg(F.collect_list("feature").alias("all"))  # five priorities
+    every = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).crossJoin(F.broadcast(names)).select("id", F.explode("all").alias("feature"))
+    return every.join(o, ["id", "feature"], "left").select("id", "feature", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def latent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def latent_values(spark: SparkSession, sf_dir: str, n: int = 4) -> DataFrame:
-    """(id, feature, value): the first coordinates of each vector as features."""
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, n)))
+def latent_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, feature, value): the coordinates of each vector as features."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding"))
     return v.select("id", F.concat(F.lit("d"), F.col("pos").cast("string")).alias("feature"), F.col("col").cast("double").alias("value"))
 
 

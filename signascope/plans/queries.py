@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
 from signascope.operators import contrast, graph, latent, matrix, score, trajectory
 from signascope.operators import tree as trees
+from signascope.plans import analysis, report
 from signascope.plans import bindings as b
 from signascope.streaming import ingest
 
@@ -208,7 +209,7 @@ K = 8
 KNN = f"""e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), pr AS (SELECT x.id AS i, y.id AS j, list_distance(x.v, y.v) AS dist FROM e x JOIN e y ON x.id <> y.id),
     kn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY dist, j) AS rank FROM pr) WHERE rank <= {K}),
     raw AS (SELECT *, exp(-dist * dist / pow(CASE WHEN max(dist) OVER (PARTITION BY i) = 0 THEN 1 ELSE max(dist) OVER (PARTITION BY i) END, 2)) AS q FROM kn), wk AS (SELECT i, j, rank, dist, q / sum(q) OVER (PARTITION BY i) AS w FROM raw)"""
-VALS = "vals AS (SELECT vec_id AS id, 'd' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS k))"
+VALS = "vals AS (SELECT vec_id AS id, 'd' || k AS feature, embedding[k + 1]::DOUBLE AS value FROM embeddings, (SELECT unnest(range(0, 64)) AS k))"
 RANKED = VALS.replace("vals AS", "v0 AS") + ", vals AS (SELECT id, feature, rank() OVER (PARTITION BY feature ORDER BY value) + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0::DOUBLE AS value FROM v0)"
 GEARY = "g AS (SELECT a.feature, sum(w * (a.value - c.value) * (a.value - c.value)) / (2 * sum(w)) AS num FROM wk JOIN vals a ON a.id = i JOIN vals c ON c.id = j AND c.feature = a.feature GROUP BY 1), va AS (SELECT feature, var_samp(value) AS v FROM vals GROUP BY 1)"
 
@@ -242,19 +243,6 @@ def autocorrelation_ranked(spark, d):
     return r6(graph.autocorrelation(b.latent_values(spark, d), _edges(spark, d)))
 
 
-PERM = f"""{KNN}, {RANKED}, rp AS (SELECT unnest(range(1, 21)) AS rep), pl AS (SELECT id, feature, value, row_number() OVER (PARTITION BY feature ORDER BY id) AS place FROM vals),
-    dl AS (SELECT id, feature, rep, row_number() OVER (PARTITION BY feature, rep ORDER BY md5('perm:' || rep || ':' || id), id) AS place FROM vals, rp), pv AS (SELECT dl.id, dl.feature, rep, value FROM dl JOIN pl USING (feature, place)),
-    bg AS (SELECT a.feature, a.rep, sum(w * (a.value - c.value) * (a.value - c.value)) / (2 * sum(w)) AS num FROM wk JOIN pv a ON a.id = i JOIN pv c ON c.id = j AND c.feature = a.feature AND c.rep = a.rep GROUP BY 1, 2), {GEARY}"""
-
-
-@query(f"WITH {PERM} SELECT g.feature, round(1 - any_value(g.num) / any_value(v), 6) AS c, round((count(*) FILTER (1 - bg.num / v >= 1 - g.num / v) + 1) / 21, 6) AS p FROM g JOIN va USING (feature) JOIN bg USING (feature) GROUP BY 1")
-def meta_perm_pvalue(spark, d):
-    return r6(graph.permutation_p(b.latent_values(spark, d), _edges(spark, d), 20))
-
-
-CHI = "{src}, rs AS (SELECT {by}, a, sum(o) AS r FROM tb GROUP BY ALL), cl AS (SELECT {by}, b, sum(o) AS c FROM tb GROUP BY ALL), tt AS (SELECT {by}, sum(o) AS n, count(DISTINCT a) AS nr, count(DISTINCT b) AS nc FROM tb GROUP BY ALL)"
-
-
 @query(f"""WITH {KNN}, tb AS (SELECT x.label AS a, y.label AS b, sum(w) AS o FROM wk JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j GROUP BY 1, 2), rs AS (SELECT a, sum(o) AS r FROM tb GROUP BY 1), cl AS (SELECT b, sum(o) AS c FROM tb GROUP BY 1),
     t AS (SELECT sum(o) AS n FROM tb), ex AS (SELECT r * c / n AS e, coalesce(o, 0) AS o FROM rs CROSS JOIN cl CROSS JOIN t LEFT JOIN tb USING (a, b))
     SELECT 'label' AS var, round(sum((o - e) * (o - e) / e), 4) AS chi2, round(sqrt(sum((o - e) * (o - e) / e) / (SELECT n FROM t) / (least((SELECT count(*) FROM rs), (SELECT count(*) FROM cl)) - 1)), 6) AS v FROM ex""")
@@ -264,7 +252,7 @@ def factor_autocorr(spark, d):
 
 @query()
 def louvain(spark, d):
-    return graph.louvain_levels(graph.weights(graph.knn(b.latent(spark, d), K)))
+    return graph.louvain_levels(graph.louvain_weights(graph.knn(b.latent(spark, d), K)))
 
 
 # --- contrasts
@@ -354,11 +342,6 @@ def sig_module_assign(spark, d):
     return contrast.best_module(_enriched(spark, d).withColumn("stat", F.round("stat", 9)))
 
 
-@query(f"WITH {ENR} SELECT sig || '_OVERLAP_' || mod AS sig, gene, 1.0::DOUBLE AS sign FROM en JOIN s1 USING (sig) JOIN s2 USING (mod, gene) WHERE p < 0.9")
-def overlap_sigs(spark, d):
-    return contrast.overlap_signatures(_enriched(spark, d), b.type_signatures(spark, d), b.brand_modules(spark, d), 0.9)
-
-
 # --- trees
 
 TREE = """tree AS (SELECT 'root' AS node, NULL AS parent UNION ALL SELECT 'r' || r_regionkey, 'root' FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer),
@@ -513,9 +496,9 @@ def traj_knn(spark, d):
 # --- latent space
 
 
-@query("WITH v AS (SELECT vec_id AS id, k, embedding[k]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 9)) AS k)), w AS (SELECT vec_id AS id, 'd' || k AS feature, embedding[k + 1]::DOUBLE AS y FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS k)) SELECT feature, CAST(k AS INT) AS comp, round(coalesce(corr(y, x), 0), 6) + 0.0 AS r FROM v JOIN w USING (id) GROUP BY 1, 2")
+@query("WITH v AS (SELECT vec_id AS id, k, embedding[k]::DOUBLE AS x FROM embeddings, (SELECT unnest(range(1, 65)) AS k)) SELECT 'd' || (w.k - 1) AS feature, CAST(v.k AS INT) AS comp, round(coalesce(corr(w.x, v.x), 0), 6) + 0.0 AS r FROM v JOIN v w USING (id) GROUP BY v.k, w.k")
 def lc_pearson(spark, d):
-    lat = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode(F.slice("embedding", 1, 8))).select("id", (F.col("pos") + 1).alias("comp"), F.col("col").cast("double").alias("coord"))
+    lat = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.posexplode("embedding")).select("id", (F.col("pos") + 1).alias("comp"), F.col("col").cast("double").alias("coord"))
     return r6(latent.correlations(b.latent_values(spark, d), lat))
 
 
@@ -550,18 +533,13 @@ def layout_rbf(spark, d):
 
 @query(f"WITH {LOG}, m AS (SELECT gene, c_mktsegment AS level, sum(x) AS s FROM lx JOIN customer ON c_custkey = cell GROUP BY 1, 2), z AS (SELECT c_mktsegment AS level, count(*) AS n FROM customer WHERE c_custkey IN (SELECT cell FROM expr) GROUP BY 1), a AS (SELECT gene, level, s / n AS mean FROM m JOIN z USING (level)) SELECT gene, level, round(mean, 6) AS mean, round((mean - avg(mean) OVER g) / stddev_samp(mean) OVER g, 6) + 0.0 AS z FROM a WINDOW g AS (PARTITION BY gene)")
 def sig_expression_heatmap(spark, d):
-    e = log_expr(spark, d)
-    lev = b.factor(spark, d).where("var = 'segment'").select(F.col("id").alias("cell"), "level")
-    size = lev.join(e.select("cell").distinct(), "cell", "left_semi").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
-    mean = e.join(lev, "cell").groupBy("gene", "level").agg(F.sum("value").alias("s")).join(size, "level").select("gene", "level", (F.col("s") / F.col("n")).alias("mean"))
-    g = Window.partitionBy("gene")
-    return r6(mean.withColumn("z", (F.col("mean") - F.avg("mean").over(g)) / F.stddev_samp("mean").over(g)))
+    own = analysis.Dataset(b.expr(spark, d), b.genes(spark, d).select(F.lit("all").alias("sig"), "gene", F.lit(1.0).alias("sign")), factors=b.factor(spark, d))
+    return r6(report.signature_expression(own, "all", "segment"))
 
 
 @query(f"WITH {NUMBERS} SELECT feature, round(min(value), 6) AS least, round(median(value), 6) AS mid, round(max(value), 6) AS most FROM num WHERE pool = 3 GROUP BY 1")
 def cells_meta_summary(spark, d):
-    chosen = b.pools(spark, d).where("pool = 3").select(F.col("cell").alias("id"))
-    return r6(b.numbers(spark, d).join(chosen, "id", "left_semi").groupBy("feature").agg(F.min("value").alias("least"), F.median("value").alias("mid"), F.max("value").alias("most")))
+    return r6(report.selection_numbers(analysis.Dataset(b.expr(spark, d), numbers=b.numbers(spark, d)), b.pools(spark, d).where("pool = 3")))
 
 
 @query("WITH s AS (SELECT c_nationkey AS pool, c_mktsegment, count(*) / sum(count(*)) OVER (PARTITION BY c_nationkey) AS p FROM customer GROUP BY 1, 2) SELECT pool, 'segment' AS var, round(-sum(p * log2(p)), 6) + 0.0 AS entropy FROM s GROUP BY 1")

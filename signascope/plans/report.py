@@ -38,15 +38,82 @@ def meta_autocorrelation(data: Dataset) -> DataFrame:
     return _need(data, "meta_autocorrelation").orderBy("p", F.desc("c"), "feature")
 
 
-def differential(data: Dataset, var: str) -> DataFrame:
-    """A row for each feature, a column of AUC for each level of ``var``."""
-    rows = _need(data, "one_vs_rest").where(F.col("var") == var)
-    return rows.groupBy("feature").pivot("level").agg(F.first("auc"))
+#: By kind of feature: the result with its comparisons, the column with the statistic, the result with its correlations.
+KINDS = {
+    "signatures": ("one_vs_rest", "auc", "component_correlation"),
+    "meta": ("meta_one_vs_rest", "stat", "component_correlation"),
+    "modules": ("modules_one_vs_rest", "auc", "module_component_correlation"),
+    "proteins": ("proteins_one_vs_rest", "auc", "protein_component_correlation"),
+}
 
 
-def correlations(data: Dataset) -> DataFrame:
-    """A row for each feature, a column for each component."""
-    return _need(data, "component_correlation").groupBy("feature").pivot("comp").agg(F.first("r"))
+def differential(data: Dataset, var: str, kind: str = "signatures") -> DataFrame:
+    """A row for each feature of a kind, a column of AUC (Cramer's V for factors) for each level of ``var``."""
+    result, stat, _ = KINDS[kind]
+    rows = _need(data, result).where(F.col("var") == var)
+    return rows.groupBy("feature").pivot("level").agg(F.first(stat))
+
+
+def correlations(data: Dataset, kind: str = "signatures") -> DataFrame:
+    """A row for each feature, a column for each component; signatures and metadata are one table."""
+    return _need(data, KINDS[kind][2]).groupBy("feature").pivot("comp").agg(F.first("r"))
+
+
+def protein_values(data: Dataset, name: str) -> DataFrame:
+    """(cell, value) of a protein."""
+    return data.proteins.where(F.col("feature") == name).select(F.col("id").alias("cell"), "value")
+
+
+def meta_values(data: Dataset, name: str) -> DataFrame:
+    """(cell, value) of a number or (cell, level) of a factor."""
+    if data.numbers is not None and not (own := data.numbers.where(F.col("feature") == name)).isEmpty():
+        return own.select(F.col("id").alias("cell"), "value")
+    return cell_levels(data, name)
+
+
+def module_values(data: Dataset, name: str) -> DataFrame:
+    """(cell, score) of a module."""
+    return _need(data, "module_scores").where(F.col("sig") == name).select("cell", "score")
+
+
+def module_genes(data: Dataset, name: str) -> DataFrame:
+    return data.modules.where(F.col("mod") == name).select("gene").distinct()
+
+
+def module_enrichment(data: Dataset) -> DataFrame:
+    """(sig, mod, stat, p, assigned): every pair, and whether the module is the signature's own."""
+    own = _need(data, "module_assignment").withColumn("assigned", F.lit(True))
+    return _need(data, "module_enrichment").join(own, ["sig", "mod"], "left").select("sig", "mod", "stat", "p", F.coalesce("assigned", F.lit(False)).alias("assigned"))
+
+
+def module_autocorrelation(data: Dataset) -> DataFrame:
+    return _need(data, "module_autocorrelation").orderBy("p", F.desc("c"), "feature")
+
+
+def protein_autocorrelation(data: Dataset) -> DataFrame:
+    return _need(data, "protein_autocorrelation").orderBy("p", F.desc("c"), "feature")
+
+
+def signature_groups(data: Dataset) -> DataFrame:
+    """(feature, cluster) of signatures."""
+    return _need(data, "signature_clusters")
+
+
+def meta_groups(data: Dataset) -> DataFrame:
+    return _need(data, "meta_clusters")
+
+
+def protein_groups(data: Dataset) -> DataFrame:
+    """(feature, cluster): proteins are all in cluster 1."""
+    return data.proteins.select("feature").distinct().withColumn("cluster", F.lit(1))
+
+
+def module_groups(data: Dataset) -> DataFrame:
+    """(feature, cluster): the place of a module among all module names, of ``<sig>_OVERLAP_<mod>`` that of its module."""
+    names = data.modules.select("mod").distinct()
+    plain = names.where(~F.contains("mod", F.lit("_OVERLAP_"))).agg(F.sort_array(F.collect_list("mod")).alias("all"))
+    own = F.element_at(F.split("mod", "_OVERLAP_"), -1)
+    return names.crossJoin(F.broadcast(plain)).select(F.col("mod").alias("feature"), F.array_position("all", own).cast("int").alias("cluster"))
 
 
 def gene_values(data: Dataset, gene: str) -> DataFrame:
@@ -63,7 +130,7 @@ def gene_list(data: Dataset) -> DataFrame:
 def signature_expression(data: Dataset, name: str, var: str) -> DataFrame:
     """(gene, level, mean, z): mean log expression of a signature's genes by level, and its z-score over levels."""
     logs = matrix.log2p1(data.expr).join(data.sigs.where(F.col("sig") == name).select("gene").distinct(), "gene", "left_semi")
-    lev = data.factors.where(F.col("var") == var).select(F.col("id").alias("cell"), "level")
+    lev = data.factors.where(F.col("var") == var).select(F.col("id").alias("cell"), "level").join(data.expr.select("cell").distinct(), "cell", "left_semi")
     size = lev.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
     mean = logs.join(lev, "cell").groupBy("gene", "level").agg(F.sum("value").alias("s")).join(size, "level").select("gene", "level", (F.col("s") / F.col("n")).alias("mean"))
     g = Window.partitionBy("gene")
