@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -225,38 +226,43 @@ def _modularity(both: DataFrame, label: DataFrame) -> float:
 
 def _local_moves(both: DataFrame, least_gain: float) -> tuple[DataFrame, float]:
     """(id, cluster) and its modularity: in each round half of the nodes, by hash of node and round so that neighbours do not
-    swap, move to the neighbouring community with the largest gain; until four rounds in a row gain too little."""
+    swap, move to the neighbouring community with the largest gain; until four rounds together gain too little."""
     degree = saved(both.groupBy("i").agg(F.sum("w").alias("k")))
     m2 = degree.agg(F.sum("k")).first()[0] or 1.0
     label = degree.select(F.col("i").alias("id"), F.col("i").alias("cluster"))
-    best, top, still, r = label, _modularity(both, label), 0, 0
-    while still < 4:
-        size = label.join(degree, F.col("id") == F.col("i")).groupBy("cluster").agg(F.sum("k").alias("tot"))
-        to = both.join(label.select(F.col("id").alias("j"), F.col("cluster").alias("c")), "j").where("i <> j").groupBy("i", "c").agg(F.sum("w").alias("win"))
-        own = label.select(F.col("id").alias("i"), F.col("cluster").alias("own"))
-        gain = to.join(own, "i").join(degree, "i").join(size.withColumnRenamed("cluster", "c"), "c")
-        gain = gain.withColumn("g", F.col("win") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2)
-        choice = gain.groupBy("i").agg(F.max(F.struct("g", -F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-        new = F.when(turn & (F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), -F.col("b.col2")).otherwise(F.col("cluster"))
-        label = saved(label.join(choice, F.col("id") == F.col("i"), "left").select("id", new.alias("cluster")))
-        q = _modularity(both, label)
-        still, r = 0 if q > top + least_gain else still + 1, r + 1
-        if q > top:
-            best, top = label, q
-    return best, top
+    best, top, r = label, _modularity(both, label), 0
+    while True:
+        for _ in range(4):
+            label, r = saved(_moved(both, degree, label, m2, r)), r + 1
+        if (q := _modularity(both, label)) <= top + least_gain:
+            return (label, q) if q > top else (best, top)
+        best, top = label, q
+
+
+def _moved(both: DataFrame, degree: DataFrame, label: DataFrame, m2: float, r: int) -> DataFrame:
+    size = label.join(degree, F.col("id") == F.col("i")).groupBy("cluster").agg(F.sum("k").alias("tot"))
+    to = both.join(label.select(F.col("id").alias("j"), F.col("cluster").alias("c")), "j").where("i <> j").groupBy("i", "c").agg(F.sum("w").alias("win"))
+    own = label.select(F.col("id").alias("i"), F.col("cluster").alias("own"))
+    gain = to.join(own, "i").join(degree, "i").join(size.withColumnRenamed("cluster", "c"), "c")
+    gain = gain.withColumn("g", F.col("win") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2)
+    choice = gain.groupBy("i").agg(F.max(F.struct("g", -F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
+    turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
+    new = F.when(turn & (F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), -F.col("b.col2")).otherwise(F.col("cluster"))
+    return label.join(choice, F.col("id") == F.col("i"), "left").select("id", new.alias("cluster"))
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; a cluster must name one."""
+    """``df`` written to the folder that ``spark.checkpoint.dir`` names and read back; a cluster must name one.
+
+    This cuts lineage, computes ``df`` once and survives lost executors.
+    """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not named and not re.match(r"local(\[|$)", sc.master):
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or "/tmp/checkpoints")
-    return df.checkpoint()
+    path = f"{(named or '/tmp/checkpoints').rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def modularity(edges: DataFrame, label: DataFrame) -> Column:

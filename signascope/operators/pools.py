@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from signascope.operators.graph import knn, louvain_levels, louvain_weights, saved
 
 FANOUT = 16  # centres that one cluster is split into at a time
+LEAST = 1e-3  # share of the spread that another iteration must take away
 
 
 def _squared(x, y):
@@ -32,7 +33,7 @@ def _kmeans(points: DataFrame, wanted: DataFrame, rounds: int) -> DataFrame:
         near = F.array_min(F.transform("all", lambda c: F.struct(_squared(F.col("vec"), c["vec"]).alias("d"), c["k"].alias("k"))))
         member = saved(points.join(listed, "cluster").select("id", "cluster", "vec", near.alias("near")).select("id", "cluster", "vec", "near.k", "near.d"))
         spread = member.agg(F.sum("d")).first()[0] or 0.0
-        if before is not None and spread >= before * (1 - 1e-9):
+        if before is not None and spread >= before * (1 - LEAST):
             break
         before, centres = spread, _means(member, ["cluster", "k"])
     return member.select("id", "cluster", "vec", "k")
@@ -115,7 +116,7 @@ def spherical_mixture(corr: np.ndarray, cells: int, most: int) -> np.ndarray:
         alive.remove(b)
         cuts[len(alive)] = [list(groups[x]) for x in alive]
     best, chosen = -np.inf, np.zeros(m, int)
-    for g in range(1, min(most, m) + 1):
+    for g in range(1, min(most, m - 1) + 1):
         z = np.zeros((m, g))
         for k, members in enumerate(cuts[g]):
             z[members, k] = 1
@@ -123,7 +124,9 @@ def spherical_mixture(corr: np.ndarray, cells: int, most: int) -> np.ndarray:
         for _ in range(200):
             w = z / np.maximum(z.sum(0), 1e-12)
             far = np.maximum(np.diag(gram)[:, None] - 2 * gram @ w + np.einsum("ik,ij,jk->k", w, gram, w), 0)
-            var = max((z * far).sum() / (m * cells), 1e-12)
+            var = (z * far).sum() / (m * cells)
+            if var < 1e-9:  # components that hold equal vectors only have no likelihood
+                break
             log = np.log(np.maximum(z.mean(0), 1e-300)) - cells / 2 * np.log(2 * np.pi * var) - far / (2 * var)
             top = log.max(1, keepdims=True)
             each = top[:, 0] + np.log(np.exp(log - top).sum(1))
@@ -131,6 +134,8 @@ def spherical_mixture(corr: np.ndarray, cells: int, most: int) -> np.ndarray:
             if each.sum() - previous < 1e-8 * abs(previous):
                 break
             previous = each.sum()
+        if var < 1e-9:
+            break
         bic = 2 * each.sum() - (g - 1 + g * cells + 1) * np.log(m)
         if bic > best:
             best, chosen = bic, z.argmax(1)
