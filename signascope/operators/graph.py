@@ -20,13 +20,14 @@ def knn(latent: DataFrame, k: int, block: int = 4_000) -> DataFrame:
     Exact: nodes are dealt into blocks of about ``block``, and each pair of blocks is compared in one task, both ways; what
     leaves a task is the ``k`` best of each row.  A task holds two blocks.
     """
-    rows = latent.select(F.col("id").cast("long").alias("id"), F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    rows = latent.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec"))
+    kind = rows.schema["id"].dataType.simpleString()
     parts = max(1, -(-rows.count() // block))
     own = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pair = F.least("own", "other") * parts + F.greatest("own", "other")
     met = met.select(pair.alias("g"), "own", "id", "vec")
-    near = met.groupBy("g").applyInPandas(_nearest_in_blocks(k), "i long, b array<struct<dist: double, j: long>>")
+    near = met.groupBy("g").applyInPandas(_nearest_in_blocks(k), f"i {kind}, b array<struct<dist: double, j: {kind}>>")
     best = F.slice(F.sort_array(F.flatten(F.collect_list("b"))), 1, k)
     found = near.groupBy("i").agg(best.alias("b")).select("i", F.posexplode("b"))
     return found.select("i", F.col("col.j").alias("j"), (F.col("pos") + 1).alias("rank"), F.col("col.dist").alias("dist"))
@@ -47,10 +48,10 @@ def _nearest_in_blocks(k: int):
             order = np.lexsort((other[top], d), axis=1)[:, :k]
             d, j = np.take_along_axis(d, order, 1), other[np.take_along_axis(top, order, 1)]
             for r in range(len(d)):
-                yield ids[q + r], [{"dist": float(a), "j": int(b)} for a, b in zip(d[r], j[r]) if np.isfinite(a)]
+                yield ids[q + r].item(), [{"dist": a, "j": b} for a, b in zip(d[r].tolist(), j[r].tolist()) if np.isfinite(a)]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        ids, x, own = group["id"].to_numpy(), np.array(group["vec"].tolist()), group["own"].to_numpy()
+        ids, x, own = np.array(group["id"].tolist()), np.array(group["vec"].tolist()), group["own"].to_numpy()
         left = own == own.min()
         if left.all():
             got = list(one_way(ids, x, ids, x))
@@ -245,9 +246,9 @@ def _moved(both: DataFrame, degree: DataFrame, label: DataFrame, m2: float, r: i
     own = label.select(F.col("id").alias("i"), F.col("cluster").alias("own"))
     gain = to.join(own, "i").join(degree, "i").join(size.withColumnRenamed("cluster", "c"), "c")
     gain = gain.withColumn("g", F.col("win") - F.col("k") * (F.col("tot") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / m2)
-    choice = gain.groupBy("i").agg(F.max(F.struct("g", -F.col("c"))).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
+    choice = gain.groupBy("i").agg(F.min(F.struct((-F.col("g")).alias("loss"), "c")).alias("b"), F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay"))
     turn = F.pmod(F.xxhash64("id", F.lit(r)), F.lit(2)) == 0
-    new = F.when(turn & (F.col("b.g") > F.coalesce("stay", F.lit(0.0)) + 1e-12), -F.col("b.col2")).otherwise(F.col("cluster"))
+    new = F.when(turn & (-F.col("b.loss") > F.coalesce("stay", F.lit(0.0)) + 1e-12), F.col("b.c")).otherwise(F.col("cluster"))
     return label.join(choice, F.col("id") == F.col("i"), "left").select("id", new.alias("cluster"))
 
 
