@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from signascope.operators import contrast, graph, latent, matrix, pools, trajectory
 from signascope.operators import tree as trees
-from signascope.plans import analysis, report
+from signascope.plans import analysis
 from signascope.sources import files
 
 
@@ -177,36 +177,6 @@ def test_sparse_columns_become_entries(spark):
     assert [r["value"] for r in e.orderBy("id").collect()] == [1.0, 3.0, None]
 
 
-def test_analysis_over_a_tree_with_modules_and_proteins(spark):
-    rng = random.Random(8)
-    cells = [f"t{c:02d}" for c in range(40)]
-    rows = [(c, f"g{g}", float(rng.randrange(1, 9)) + (5 if (int(c[1:]) < 20) == (g < 8) else 0)) for c in cells for g in range(16) if rng.random() < 0.8]
-    t = [("root", None)] + [(f"i{k}", "root") for k in range(4)] + [(c, f"i{int(c[1:]) // 10}") for c in cells]
-    data = analysis.Dataset(
-        expr=spark.createDataFrame(rows, "cell string, gene string, value double"),
-        sigs=spark.createDataFrame([(s, f"g{g}", 1.0) for s, gs in (("low", range(8)), ("high", range(8, 16))) for g in gs], "sig string, gene string, sign double"),
-        numbers=spark.createDataFrame([(c, "depth", float(int(c[1:]) // 10)) for c in cells], "id string, feature string, value double"),
-        factors=spark.createDataFrame([(c, "half", "a" if int(c[1:]) < 20 else "b") for c in cells], "id string, var string, level string"),
-        proteins=spark.createDataFrame([(c, "p1", float(int(c[1:]) // 20)) for c in cells], "id string, feature string, value double"),
-        modules=spark.createDataFrame([("m", f"g{g}") for g in range(8)], "mod string, gene string"),
-        tree=spark.createDataFrame(t, "node string, parent string"),
-        params=analysis.Parameters(threshold=1, filter="threshold", components=3, permutations=9, null_size=9, neighbours=5),
-    )
-    done = analysis.analyze(data)
-    near = done.results["knn"].select("i", "j").collect()
-    assert all(int(r["i"][1:]) // 10 == int(r["j"][1:]) // 10 for r in near) and len(near) == 200
-    auto = {r["feature"]: r["c"] for r in report.meta_autocorrelation(done).collect()}
-    assert auto["depth"] > 0.9 and "half_plasticity" in auto
-    assert report.module_autocorrelation(done).first()["c"] > 0.5 and report.protein_autocorrelation(done).first()["c"] > 0.9
-    assert report.module_values(done, "m").count() == 40 and {r["gene"] for r in report.module_genes(done, "m").collect()} == {f"g{g}" for g in range(8)}
-    assert {(r["sig"], r["mod"]) for r in report.module_enrichment(done).where("assigned").collect()} >= {("low", "m")}
-    assert report.differential(done, "half", "proteins").first()["b"] == 1.0 and set(report.differential(done, "half", "modules").columns) == {"feature", "a", "b"}
-    assert {r["feature"] for r in report.differential(done, "half", "meta").collect()} >= {"depth", "half"}
-    assert report.correlations(done, "proteins").count() == 1 and report.signature_groups(done).count() >= 2
-    assert report.meta_values(done, "depth").count() == 40 and report.meta_values(done, "half").columns == ["cell", "level"]
-    assert report.signature_info(done, "low").count() == 1
-
-
 def test_permutation_components(spark):
     rng = np.random.default_rng(9)
     base = rng.normal(size=(60, 2)) @ rng.normal(size=(2, 8)) * 3
