@@ -19,6 +19,7 @@ import functools
 import heapq
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -32,11 +33,13 @@ from signascope.llm.common import slices
 #: Ids left free in a window on average; 0.2 % of 2048.
 SPARE = 4
 #: Entries at which a word cache starts anew.  Only speed depends on it.
-CACHED = 1 << 18
+CACHED = 1 << 19
 #: Stripped from the end of words before these are looked up; none of them is part of a letter run in the vocabulary's split.
 MARKS = ".,;:!?"
 #: Python splits words at these, the vocabulary does not: texts that hold one are encoded as they are.
 SEPARATORS = re.compile("[\x1c-\x1f]")
+#: How byte-level vocabularies write a byte that is no visible sign of Latin-1: by the signs from 256 on, in order.
+BYTES = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 
 
 @functools.lru_cache(maxsize=1)
@@ -56,7 +59,7 @@ def default_tokenizer() -> str:
 
 
 class Words:
-    """Ids of whole texts as little-endian 32-bit bytes, by way of their words.
+    """Ids of whole texts as 32-bit numbers in bytes, by way of their words.
 
     The vocabulary drops white space and no token, normalisation or special token reaches across it, so the ids of a
     text are those of its words one after the other.  Marks at a word's end are a run of their own when a letter or
@@ -67,42 +70,48 @@ class Words:
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
     def _encode(self, cores: list[str]) -> None:
         if len(self.cores) > 2 * CACHED:
             self.cores.clear()
-        plain = [c for c in cores if c.isascii() and c.isalpha()]
-        for c in plain:
-            self.cores[c] = np.array([x.id for x in self.model.tokenize(c)], "<u4").tobytes()
-        rest = [c for c in cores if not (c.isascii() and c.isalpha())]
+        rest, put, tokenize = [], self.cores, self.model.tokenize
+        for c in cores:
+            if c.isalpha() and max(c) < "ɐ" and c == c.lower():  # one run of letters in normal form: the model alone
+                put[c] = array("I", [x.id for x in tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(BYTES))]).tobytes()
+            else:
+                rest.append(c)
         for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cores[c] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if SEPARATORS.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
-        new = {w for w in words if w not in self.words}
-        if new:
-            parts = {}
-            for w in new:
-                core = w.rstrip(MARKS)
-                if core and core != w and not (core[-1] < "ɐ" and core[-1].lower()[-1].isalnum()):
-                    core = w
-                end = w[len(core) :]
-                parts[w] = (core.lower() if core.isascii() and core.isalpha() else core, end)
-            cores = dict.fromkeys(x for p in parts.values() for x in p if x)
-            missing = [c for c in cores if c not in self.cores]
-            if missing:
-                self._encode(missing)
-            if any(c not in self.cores for c in cores):  # the cache began anew
-                self._encode([c for c in cores if c not in self.cores])
-            if len(self.words) > CACHED:
-                self.words = {w: self.words[w] for w in set(words) if w in self.words}
-            for w, (core, end) in parts.items():
-                self.words[w] = self.cores.get(core, b"") + (self.cores[end] if end else b"")
-        return b"".join(map(self.words.__getitem__, words))
+            self.cores[c] = array("I", e.ids).tobytes()
+
+    def _learn(self, new: set[str]) -> None:
+        parts = []
+        for w in new:
+            core = w.rstrip(MARKS)
+            if core and core != w and not (core[-1] < "ɐ" and core[-1].lower()[-1].isalnum()):
+                core = w
+            end = w[len(core) :]
+            parts.append((w, core.lower() if core.isalpha() and max(core) < "ɐ" and "İ" not in core else core, end))
+        cores = {core for _, core, _ in parts if core} | {end for *_, end in parts if end}
+        if missing := cores.difference(self.cores):
+            self._encode(sorted(missing))
+        if missing := cores.difference(self.cores):  # the cache began anew
+            self._encode(sorted(missing))
+        get = self.cores.get
+        self.words.update((w, get(core, b"") + get(end, b"")) for w, core, end in parts)
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        split = [[] if SEPARATORS.search(t) else t.split() for t in texts]
+        used = set().union(*split)
+        if len(self.words) > CACHED:
+            self.words, self.old = {}, self.words
+        if new := used.difference(self.words):
+            kept = new.intersection(self.old)
+            self.words.update((w, self.old[w]) for w in kept)
+            self._learn(new.difference(kept))
+        get = self.words.__getitem__
+        return [b"".join(map(get, ws)) if ws else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t, ws in zip(texts, split)]
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
@@ -179,7 +188,7 @@ def _packed(tails: list[tuple], capacity: int, piece: int):
         yield [pieces[k] for k in sorted(window)]
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, piece: int = 256, group: int = 1000, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, piece: int = 512, group: int = 1000, end_id: int = 1, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document in a sequence: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's ids are those of its whole text, then ``end_id``; a null or empty text has ``end_id`` alone.  Every id
@@ -226,8 +235,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = 2048, pi
 
         for b in slices(batches, 64):
             arrow = b.schema.field(0).type
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = words.ids(text.as_py() or "") + stop
+            for doc_id, ids in zip(b.column(0).to_pylist(), words.ids([t or "" for t in b.column(1).to_pylist()])):
+                ids += stop
                 tokens = len(ids) // 4
                 cut = tokens - tokens % capacity
                 for p in range(0, cut, capacity):
