@@ -3,16 +3,17 @@
 An item leaks into a document when some stretch of the document is within floor(``rate`` * words) word edits of the item
 (words: runs of word characters, lower case).
 
-* Where to look: an item of n words with at most k edits keeps an untouched run of ceil((n-k)/(k+1)) words.  Runs
-  of that length (three at most) that an item and the document share give the starts of item-sized windows; this
+* An item of over ``PIECE`` words is cut into near-equal pieces; edits of at most ``rate`` of the item leave a piece with at
+  most ``rate`` of its own words edited, so looking for pieces with their share of edits drops no match.
+* Where to look: a piece of n words with at most k edits keeps an untouched run of ceil((n-k)/(k+1)) words.  Runs
+  of that length (three at most) that a piece and the document share give the starts of piece-sized windows; this
   drops no match.
 * The CGK embedding reads a window by a random walk: at step j it writes the current word and moves on or stays, by
   a random bit of (j, word).  After an edit two walks fall into step again, so few edits become few differing places.
-* Each repetition has a walk and samples ``BITS`` places of it; windows that agree with an item there are candidates.
-  The longer an item, the more walks stay out of step, so these alone lose long items with many edits.
-* So every window is a candidate, too, that shares a run with an item where the document shares as many runs as edits
-  must leave: of n-g+1 runs of g words each edit breaks g at most.  This drops no match, whatever the length.
-* A candidate counts only if the edit distance to its best stretch, computed in full, is small enough.
+* Each repetition has a walk and samples ``BITS`` places of it; windows that agree with a piece there are candidates, and
+  nothing else is.  Pieces are short, so that k edits leave a repetition a chance that does not fall with the item's
+  length; ``REPETITIONS`` of them reach the target recall, which the tests measure by item length and kind of edit.
+* A candidate counts only if the edit distance of the whole item to its best stretch, computed in full, is small enough.
 
 The items are taken in blocks of at most ``block`` so that what each task holds is bounded; a block is one pass.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from signascope.llm.common import slices
 
-RATE, BITS, REPETITIONS, SHIFTS = 0.2, 2, 64, (0, -1, 1)
+RATE, BITS, REPETITIONS, SHIFTS, PIECE = 0.2, 2, 48, (0, -1, 1), 12
 TOGETHER = 4000  # texts whose windows are embedded together
 _WORD = re.compile(r"\w+")
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -103,27 +105,25 @@ class Items:
         self.seqs = [np.array([self.vocab[x] for x in ws], np.int64) for _, ws in split]
         self.base = len(self.vocab) + 1
         self.bags = [Counter(s.tolist()) for s in self.seqs]
-        posts: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.owners: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        self.needs = []
-        for k, s in enumerate(self.seqs):
+        #: (item, place of its first word in the item, its words) of each piece
+        self.pieces = [(k, int(p[0]), s[p]) for k, s in enumerate(self.seqs) for p in np.array_split(np.arange(len(s)), -(-len(s) // PIECE))]
+        posts: dict[int, dict[int, set[tuple[int, int]]]] = defaultdict(lambda: defaultdict(set))
+        for _, _, s in self.pieces:
             g = run_length(len(s), rate)
-            self.needs.append(max(1, len(s) - g + 1 - allowed(len(s), rate) * g))
             for q, code in enumerate(self.codes(s, g).tolist()):
-                posts[g][code].append((len(s), q))
-                self.owners[g][code].append((k, q))
-        self.posts = {g: {c: sorted(set(v)) for c, v in p.items()} for g, p in posts.items()}
+                posts[g][code].add((len(s), q))
+        self.posts = {g: {c: sorted(v) for c, v in p.items()} for g, p in posts.items()}
         self.grams = {g: np.array(sorted(p), np.int64) for g, p in self.posts.items()}
         rng = np.random.default_rng(seed)
         self.walks = rng.integers(1, 2**63, REPETITIONS, dtype=np.uint64)
         self.by_length: dict[int, list[int]] = defaultdict(list)
-        for k, s in enumerate(self.seqs):
+        for k, (_, _, s) in enumerate(self.pieces):
             self.by_length[len(s)].append(k)
         self.places = {n: np.sort(rng.integers(0, max(1, 2 * n), (REPETITIONS, BITS)), axis=1) for n in self.by_length}
         self.tables: dict[int, list[dict[int, list[int]]]] = {}
         for n, members in self.by_length.items():
             tables = [defaultdict(list) for _ in range(REPETITIONS)]
-            keys = self.keys(np.stack([self.seqs[k] for k in members]), n)
+            keys = self.keys(np.stack([self.pieces[k][2] for k in members]), n)
             for r in range(REPETITIONS):
                 for k, key in zip(members, keys[r].tolist()):
                     tables[r][key].append(k)
@@ -162,23 +162,17 @@ class Items:
         bag = self.bags[k]
         return sum(min(c, bag[w]) for w, c in Counter(s.tolist()).items() if w in bag)
 
-    def starts(self, s: np.ndarray) -> tuple[dict[int, set[int]], dict[int, set[int]]]:
-        """Window starts worth a look, by window length; and those where an item shares runs enough, by item."""
+    def starts(self, s: np.ndarray) -> dict[int, set[int]]:
+        """Window starts worth a look, by window length."""
         found: dict[int, set[int]] = defaultdict(set)
-        near: dict[int, set[int]] = defaultdict(set)
-        runs: dict[int, set[int]] = defaultdict(set)
         for g, grams in self.grams.items():
             codes = self.codes(s, g)
             hits = np.flatnonzero(codes >= 0)
             at = np.minimum(np.searchsorted(grams, codes[hits]), len(grams) - 1)
             for p in hits[grams[at] == codes[hits]].tolist():
-                code = int(codes[p])
-                for n, q in self.posts[g][code]:
+                for n, q in self.posts[g][int(codes[p])]:
                     found[n].add(p - q)
-                for k, q in self.owners[g][code]:
-                    near[k].add(p - q)
-                    runs[k].add(q)
-        return found, {k: v for k, v in near.items() if len(runs[k]) >= self.needs[k]}
+        return found
 
     def verified(self, k: int, firsts: set[int], s: np.ndarray) -> tuple[int, int, int] | None:
         """(edits, start, end) of the best stretch of ``s`` for item ``k`` around the starts ``firsts``, if it is near enough."""
@@ -209,10 +203,7 @@ class Items:
         for d, text in enumerate(texts):
             s = np.array([get(w, 0) for w in words_of(text)], np.int64)
             seqs.append(s)
-            found, near = self.starts(s)
-            for k, firsts in near.items():
-                candidates[d, k] |= firsts
-            for n, firsts in found.items():
+            for n, firsts in self.starts(s).items():
                 shifts = SHIFTS if allowed(n, self.rate) else (0,)
                 looks[n] += [(d, a) for a in sorted({a + x for a in firsts for x in shifts}) if -n < a < len(s)]
         for n, at in looks.items():
@@ -225,8 +216,9 @@ class Items:
                 for table, keys in zip(self.tables[n], self.keys(windows, n).tolist()):
                     for (d, a), key in zip(some, keys):
                         if key in table:
-                            for k in table[key]:
-                                candidates[d, k].add(a)
+                            for piece in table[key]:
+                                k, begin, _ = self.pieces[piece]
+                                candidates[d, k].add(a - begin)
         best = {dk: got for dk, firsts in candidates.items() if (got := self.verified(dk[1], firsts, seqs[dk[0]]))}
         out: list[list] = [[] for _ in texts]
         spans: dict[int, list] = {}
@@ -268,13 +260,13 @@ def find(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = 20_
 def leaks_column(items: list[tuple[int, str | None]], text, rate: float = RATE):
     """Column: whether any of the items leaks into a text (null: false)."""
 
-    def leaked(it):
+    def leaked(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held = Items(items, rate)
         for texts in it:
             texts = list(texts)
             yield pd.Series([bool(m) for k in range(0, len(texts), TOGETHER) for m in held.matches_of(texts[k : k + TOGETHER])], dtype=bool)
 
-    return F.pandas_udf(leaked, "boolean", F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(leaked, "boolean")(text)
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, rate: float = RATE, block: int = 20_000) -> DataFrame:
