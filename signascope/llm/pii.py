@@ -38,11 +38,15 @@ _NUMBER = "(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + ")"
 #: three or more digit words in a row, other digits, dots and a leading plus allowed between
 _SPELLED = re.compile(rf"(?<!\w)(?:plus[\x20-]+)?{_NUMBER}(?:(?:[\x20-]+|[\x20]+(?:{_DOT_WORDS})[\x20]+|\.)(?:{_NUMBER}|[0-9]{{1,4}})(?!\w))+(?!\w)", re.I)
 _MAYBE_SPELLED = re.compile(rf"(?<!\w){_NUMBER}[\x20.-]+{_NUMBER}(?!\w)|(?<!\w){_NUMBER}[\x20]+(?:{_DOT_WORDS})\x20", re.I)
-_AT = rf"(?:\x20*[\[({{<]\x20*(?:{_AT_WORDS}|@)\x20*[\])}}>]\x20*|\x20+(?:{_AT_WORDS})\x20+|\x20+@\x20*|@\x20+|@)"
 _DOT = rf"(?:\x20*[\[({{<]\x20*(?:{_DOT_WORDS}|\.)\x20*[\])}}>]\x20*|\x20+(?:{_DOT_WORDS})\x20+|\.)"
-_DISGUISED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{1,63}})+", re.I)
-_HINT = re.compile(rf"[\[({{<]\x20*(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\x20*[\])}}>]|\x20(?:{_DOT_WORDS})\x20|\x20@|@\x20", re.I)
-_AT_PART, _DOT_PART = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+#: the same from right to left
+_TOD = rf"(?:\x20*[\])}}>]\x20*(?:{'|'.join(w[::-1] for w in _DOT_WORDS.split('|'))}|\.)\x20*[\[({{<]\x20*|\x20+(?:{'|'.join(w[::-1] for w in _DOT_WORDS.split('|'))})\x20+|\.)"
+#: where an at sign or its disguise may be; spaces around it are looked at later
+_AT = re.compile(rf"@|\x20(?:{_AT_WORDS})\x20|[\[({{<]\x20*(?:{_AT_WORDS}|@)\x20*[\])}}>]", re.I)
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++", re.I)
+_LOCAL_BACK = re.compile(rf"[A-Za-z0-9_%+-]++(?:{_TOD}[A-Za-z0-9_%+-]++)*+", re.I)
+_DOT_PART = re.compile(_DOT, re.I)
+_SAID_DOT = re.compile(rf"[\x20(\[{{<](?:{_DOT_WORDS})[\x20)\]}}>]", re.I)
 _TOKEN = re.compile(rf"plus(?=[\x20-])|(?:{_DOT_WORDS})|\.|{_NUMBER}|[0-9]+", re.I)
 
 
@@ -122,6 +126,37 @@ def _char_edits(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+def _disguised(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, plain form) of addresses with a disguised at sign or dot, read both ways from the at signs.
+
+    A plain "at" before a plain host ("look at example.com") is no address unless the part before it holds more than letters
+    or the host is a mail host by name.
+    """
+    out, floor, back = [], 0, None
+    for m in _AT.finditer(text):
+        begin, end = m.start(), m.end()
+        while end < len(text) and text[end] == " ":
+            end += 1
+        host = _HOST.match(text, end)
+        if not host:
+            continue
+        while begin > floor and text[begin - 1] == " ":
+            begin -= 1
+        back = back if back is not None else text[::-1]
+        local = _LOCAL_BACK.match(back, len(text) - begin, len(text) - floor)
+        if not local:
+            continue
+        start, plain_host = len(text) - local.end(), _DOT_PART.sub(".", host[0])
+        new = f"{_DOT_PART.sub('.', text[start:begin])}@{plain_host}"
+        if text[start : host.end()] == new:
+            continue
+        if m[0].strip().lower() in _AT_WORDS.split("|") and not _SAID_DOT.search(host[0]) and text[start:begin].isalpha() and "mail" not in plain_host.lower().rsplit(".", 1)[0]:
+            continue
+        out.append((start, host.end(), new))
+        floor = host.end()
+    return out
+
+
 def _word_edits(text: str) -> list[tuple[int, int, str]]:
     out = []
     if _MAYBE_SPELLED.search(text):
@@ -132,16 +167,11 @@ def _word_edits(text: str) -> list[tuple[int, int, str]]:
                 new += "+" if word == "plus" else word if word.isdigit() else str(DIGIT_WORDS[word]) if word in DIGIT_WORDS else "."
             if sum(c.isdigit() for c in new) >= 4:
                 out.append((m.start(), m.end(), new))
-    if _HINT.search(text):
-        for m in _DISGUISED.finditer(text):
-            at = next((x for x in _AT_PART.finditer(m[0])), None)
-            if at is None or m[0] == (new := _DOT_PART.sub(".", m[0][: at.start()]) + "@" + _DOT_PART.sub(".", m[0][at.end() :])):
-                continue
-            bare = at[0].strip().lower() in _AT_WORDS.split("|")
-            if bare and not re.search(rf"[\x20(\[{{](?:{_DOT_WORDS})[\x20)\]}}]", m[0][at.end() :], re.I):
-                continue  # "look at example.com" is no address
-            if not any(a < m.end() and m.start() < b for a, b, _ in out):
-                out.append((m.start(), m.end(), new))
+    ends = [b for _, b, _ in out]  # what is spelled does not overlap, so its ends rise
+    for start, end, new in _disguised(text):
+        k = bisect_right(ends, start)
+        if k == len(ends) or out[k][0] >= end:
+            out.append((start, end, new))
     return sorted(out)
 
 
