@@ -2,10 +2,12 @@
 
 * Rows of the machine are stretches of sentences: from a word's start (every ``STRIDE`` characters inside longer words) the
   ``WIDTH`` places at which a subsequence may start, spaces included, within the sentence.  Whitespace runs are one space; a
-  sentence ends at a line end and at ``.!?`` before whitespace.  Characters count as ``CLASSES`` classes (letters a to z
+  sentence ends at a line end and at ``.!?`` before whitespace.  Signs between two letters and digits go (``g.r-o*b`` is
+  ``grob``), and single letters in a row with spaces between them (three at least) are one word.  Characters count as ``CLASSES`` classes (letters a to z
   without case, space, digits, symbols, other letters by code).
 * The kernel counts the subsequences of ``ORDER`` characters that two stretches share, each weighted by ``DECAY`` to the number
-  of skipped characters (within ``SPAN`` places), so an insult with gaps, inserted characters or a split in two still shares most.
+  of skipped characters (within ``SPAN`` places), so an insult with gaps, inserted letters or a split in two still shares most.
+  Each row that the machine learns from is also shown with one or two letters put into it, so gapped subsequences get weights.
 * Training (multiple-instance SVM) alternates between picking the worst stretch of each toxic document's sentences and fitting
   a squared-hinge SVM on Nystroem features over landmark stretches; the worst stretches of clean documents pile up as
   negatives.  It starts from the log-odds of subsequences in the sentences of both classes.
@@ -38,6 +40,7 @@ BLOCK_CHARS = 1 << 16
 #: (offsets after the first character, weight) of each pattern of places.
 PATTERNS = [(o, DECAY ** (o[-1] - ORDER + 1)) for o in combinations(range(1, SPAN), ORDER - 1)]
 _BREAK, _SPACE, _DIGIT, _SYMBOL, _OTHER = 0, 1, 28, 29, 30
+_LETTERS = [*range(2, 28), *range(30, CLASSES)]
 
 
 def _classes() -> np.ndarray:
@@ -51,8 +54,10 @@ def _classes() -> np.ndarray:
             out[code] = _SPACE
         elif c.isdigit():
             out[code] = _DIGIT
-        elif c.isalpha():
+        elif c.isalpha() and code < 0x250:
             out[code] = _OTHER + ord(c) % (CLASSES - _OTHER)
+        elif c.isalpha():  # other scripts have the classes of all letters
+            out[code] = _LETTERS[ord(c) % len(_LETTERS)]
     out[ord("\n")] = _BREAK
     return out
 
@@ -76,6 +81,22 @@ def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     cls[end] = _BREAK
     # breaks become SPAN breaks and a space; a space after a space or break goes
     reps = np.ones(len(cls), np.int64)
+    sign = cls == _SYMBOL
+    if sign.any():  # runs of signs between letters or digits go
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], sign, [False]]).astype(np.int8)))
+        first, after = edge[::2], edge[1::2]
+        inner = (first > 0) & (cls[first - 1] > _SPACE) & (after < len(cls)) & (cls[np.minimum(after, len(cls) - 1)] > _SPACE)
+        for a, b in zip(first[inner].tolist(), after[inner].tolist()):
+            reps[a:b] = 0
+    word = cls > _SPACE
+    single = word.copy()
+    single[1:] &= ~word[:-1]
+    single[:-1] &= ~word[1:]
+    # spaces with a single letter on both sides, next to another such
+    joint = np.zeros(len(cls), bool)
+    joint[1:-1] = (cls[1:-1] == _SPACE) & single[:-2] & single[2:]
+    joint &= np.concatenate([joint[2:], [False] * min(2, len(joint))])[: len(joint)] | np.concatenate([[False] * min(2, len(joint)), joint[:-2]])[: len(joint)]
+    reps[joint] = 0
     reps[cls == _BREAK] = SPAN + 1
     reps[1:][(cls[1:] == _SPACE) & (cls[:-1] <= _SPACE)] = 0
     reps[:1][cls[:1] == _SPACE] = 0
@@ -311,14 +332,24 @@ def machine(docs: list[tuple[int, str]], seed: int = 7, landmarks: int = 512, ro
         space = _Landmarks(marks)
         val, vec = np.linalg.eigh((space.dense.T @ space.dense).astype(np.float64))
         root = vec[:, val > 1e-6] / np.sqrt(val[val > 1e-6])
-        x = np.hstack([space.kernel(bad + good) @ root, np.ones((len(bad) + len(good), 1))])
-        y = np.r_[np.ones(len(bad)), -np.ones(len(good))]
+        rows = bad + good
+        x = np.hstack([space.kernel(rows + [_with_letters(r, rng) for r in rows]) @ root, np.ones((2 * len(rows), 1))])
+        y = np.tile(np.r_[np.ones(len(bad)), -np.ones(len(good))], 2)
         cost = np.r_[np.sqrt([positives[r] for r in bad]), np.sqrt([negatives[r] for r in good])]
-        w = _squared_hinge(x, y, COST * cost)
+        w = _squared_hinge(x, y, COST * np.r_[cost, cost / 2])
         model = Model(space.numbers, (space.dense @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
     return model
 
 
+def _with_letters(row: bytes, rng) -> bytes:
+    """The stretch with one or two letters put between two of its letters."""
+    out = bytearray(row)
+    inner = [k for k in range(1, len(row)) if row[k - 1] > _SPACE and row[k] > _SPACE]
+    for k in sorted(rng.permutation(inner)[: int(rng.integers(1, 3))].tolist(), reverse=True) if inner else ():
+        out.insert(k, _LETTERS[int(rng.integers(len(_LETTERS)))])
+    return bytes(out)
+
+
 def _some(rows: list[bytes], n: int, rng) -> list[bytes]:
     return [rows[k] for k in sorted(rng.permutation(len(rows))[:n])]
 
@@ -332,7 +363,10 @@ def mean_of(both: list[Model]) -> Model:
 
 
 def with_cut(model: Model, margin: np.ndarray, label: np.ndarray) -> Model:
-    """``model`` with the cut that errs least (a clean document counts twice), in the middle of its gap."""
+    """``model`` with the cut that errs least (a clean document counts twice).
+
+    Of equally good cuts it is a fifth of the way up from the clean side: what is disguised lies between the two classes.
+    """
     if len(set(label.tolist())) < 2:
         return model
     edges = np.unique(margin)
@@ -340,7 +374,8 @@ def with_cut(model: Model, margin: np.ndarray, label: np.ndarray) -> Model:
     up, down = np.sort(margin[label == 1]), np.sort(margin[label == 0])
     wrong = np.searchsorted(up, cuts) / len(up) + 2 * (len(down) - np.searchsorted(down, cuts)) / len(down)
     best = np.flatnonzero(wrong == wrong.min())
-    return replace(model, cut=float((cuts[best[0]] + cuts[best[-1]]) / 2), slope=float(4 / max(0.2, up.mean() - down.mean())))
+    low, high = (edges[max(0, best[0] - 1)], edges[min(len(edges) - 1, best[-1])])
+    return replace(model, cut=float(0.8 * low + 0.2 * high), slope=float(4 / max(0.2, up.mean() - down.mean())))
 
 
 def _fit_part(rows: pd.DataFrame) -> pd.DataFrame:
