@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import uuid
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
+from signascope.functions.tables import saved
+from signascope.operators import background
 
 
 def knn(latent: DataFrame, k: int, block: int = 4_000) -> DataFrame:
@@ -99,62 +97,12 @@ def autocorrelation(values: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.join(found, "feature", "left").select("feature", F.coalesce(1 - F.col("c"), F.lit(0.0)).alias("c"))
 
 
-def permuted(values: DataFrame, reps: int, seed: str = "perm", together: int = 100) -> DataFrame:
-    """(id, feature, part, values): for each repetition the value that id gets when the feature's values are dealt anew, ``together`` repetitions a row.
-
-    Ids are put in order of md5(seed:repetition:id) for each repetition, the same for every engine, and the n-th of them gets the
-    value of the n-th id.  Every feature has a value for every id.
-    """
-    base = Window.partitionBy("feature").orderBy("id")
-    deal = Window.partitionBy("rep").orderBy("key", "id")
-    placed = values.select("feature", "value", F.row_number().over(base).alias("place"))
-    many = values.select("id").distinct().withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("rep").cast("string"), F.col("id").cast("string")).cast("binary"))
-    dealt = many.withColumn("key", key).select("id", "rep", F.row_number().over(deal).alias("place"))
-    part = F.floor((F.col("rep") - 1) / together).cast("int").alias("part")
-    got = dealt.join(placed, "place").groupBy("id", "feature", part).agg(F.sort_array(F.collect_list(F.struct("rep", "value"))).alias("v"))
-    return got.select("id", "feature", "part", F.transform("v", lambda x: x["value"]).alias("values"))
-
-
-def permutation_p(values: DataFrame, edges: DataFrame, reps: int = 3000, seed: str = "perm") -> DataFrame:
+def permutation_p(values: DataFrame, edges: DataFrame, reps: int = 3000, seed: int = 0) -> DataFrame:
     """(feature, c, p): autocorrelation and the share of permutations that reach it, (count + 1) / (reps + 1).
 
-    A node's row holds the values of many repetitions; edges add up arrays.  Features that are constant or hold
-    nulls have c 0 and p 1.
+    Features that are constant or hold nulls have c 0 and p 1.
     """
-    observed = saved(autocorrelation(values, edges))
-    ranked = stats.average_rank(values.where("value is not null"), ["feature"], "value").select("id", "feature", F.col("rank").alias("value"))
-    whole = values.groupBy("feature").agg((F.count("value") == F.count(F.lit(1))).alias("whole"), (F.min("value") < F.max("value")).alias("varies")).where("whole and varies")
-    ranked = ranked.join(whole.select("feature"), "feature", "left_semi")
-    var = ranked.groupBy("feature").agg(F.var_samp("value").alias("v"))
-    deal = saved(permuted(ranked, reps, seed))
-    a, b = (deal.select(F.col("id").alias(s), "feature", "part", F.col("values").alias("x" + s)) for s in "ij")
-    both = edges.select("i", "j", "w").join(a, "i").join(b, ["j", "feature", "part"])
-    summed = both.select("feature", "part", "w", "xi", "xj").mapInArrow(_edge_sums, "feature string, part int, sums array<double>, w double")
-    at = summed.select("feature", "part", "w", F.posexplode("sums").alias("rep", "num")).groupBy("feature", "part", "rep").agg(F.sum("num").alias("num"), F.sum("w").alias("w"))
-    # as 1 - num / (2 w v) >= c, to twelve places, so that the order of sums does not decide
-    null = at.join(var, "feature").join(observed, "feature").groupBy("feature").agg(F.sum((F.round(1 - F.col("num") / (2 * F.col("w") * F.col("v")) - F.col("c"), 12) >= 0).cast("long")).alias("n"))
-    return observed.join(null, "feature", "left").select("feature", "c", ((F.coalesce("n", F.lit(reps)) + 1) / (reps + 1)).alias("p"))
-
-
-def _edge_sums(batches):
-    """(feature, part, sums, w): w (xi - xj)^2 of each repetition, summed over the edges that a task has, and their weights."""
-    sums: dict[tuple, list] = {}
-    for b in batches:
-        for row in range(0, b.num_rows, 256):
-            some = b.slice(row, 256)
-            w, names = np.asarray(some.column("w")), list(zip(some.column("feature").to_pylist(), some.column("part").to_pylist()))
-            xi, xj = some.column("xi"), some.column("xj")
-            for k, name in enumerate(names):
-                d = (np.asarray(xi[k].values) - np.asarray(xj[k].values)) ** 2 * w[k]
-                if name in sums:
-                    sums[name][0] += d
-                    sums[name][1] += w[k]
-                else:
-                    sums[name] = [d, w[k]]
-    if sums:
-        feature, part = zip(*sums)
-        yield pa.record_batch([pa.array(feature), pa.array(part, pa.int32()), pa.array([s.tolist() for s, _ in sums.values()]), pa.array([float(w) for _, w in sums.values()])], names=["feature", "part", "sums", "w"])
+    return background.permutation_p(values, edges, saved(autocorrelation(values, edges)), reps, seed)
 
 
 def factor_association(levels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -252,20 +200,6 @@ def _moved(both: DataFrame, degree: DataFrame, label: DataFrame, m2: float, r: i
     return label.join(choice, F.col("id") == F.col("i"), "left").select("id", new.alias("cluster"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that ``spark.checkpoint.dir`` names and read back; a cluster must name one.
-
-    This cuts lineage, computes ``df`` once and survives lost executors.
-    """
-    spark = df.sparkSession
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    path = f"{(named or '/tmp/checkpoints').rstrip('/')}/saved-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def modularity(edges: DataFrame, label: DataFrame) -> Column:
     """(q) of a labelling (id, cluster) of undirected weighted edges."""
     a, b = (label.select(F.col("id").alias(s), F.col("cluster").alias("c" + s)) for s in ("i", "j"))

@@ -52,6 +52,20 @@ def scores(expr: DataFrame, sigs: DataFrame, method: str = "znorm_columns") -> D
     return out.select("cell", "sig", score.alias("score"))
 
 
+def scaled(expr: DataFrame, method: str = "znorm_columns") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries (cell, gene, v), cells (cell, co, cs) and genes (gene, ro) such that every score is
+    (sum w v + sum w ro + co sum w) cs / sum |w| over a signature's genes."""
+    cells, genes = expr.select("cell").distinct(), expr.select("gene").distinct()
+    if method == "rank_norm_columns":
+        entries = matrix.column_ranks(expr).select("cell", "gene", (F.col("z") - 1).alias("v"))
+        return entries, cells.withColumns({"co": F.lit(1.0), "cs": F.lit(1.0)}), genes.withColumn("ro", F.lit(0.0))
+    rows, cols = matrix.factors(expr, method)
+    entries = expr.select("cell", "gene", F.col("value").alias("v")) if rows is None else expr.join(rows, "gene").select("cell", "gene", (F.col("value") * F.col("rs")).alias("v"))
+    genes = genes.withColumn("ro", F.lit(0.0)) if rows is None else genes.join(rows, "gene", "left").select("gene", F.coalesce(F.col("rs") * F.col("ro"), F.lit(0.0)).alias("ro"))
+    cells = cells.join(cols, "cell", "left").select("cell", F.coalesce("co", F.lit(0.0)).alias("co"), F.coalesce("cs", F.lit(1.0)).alias("cs")) if cols is not None else cells.withColumns({"co": F.lit(0.0), "cs": F.lit(1.0)})
+    return entries, cells, genes
+
+
 def _all_pairs(expr: DataFrame, sizes: DataFrame, part: DataFrame) -> DataFrame:
     """The result has a row for each cell and signature, so each cell carries the list of signatures."""
     listed = sizes.agg(F.collect_list(F.struct("sig", *[c for c in sizes.columns if c != "sig"])).alias("all"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
-from signascope.operators import contrast, graph, latent, matrix, pools, score, trajectory
+from signascope.operators import background, contrast, graph, latent, matrix, pools, score, trajectory
 from signascope.operators import tree as trees
 
 SCHEMA_VERSION = 1
@@ -115,24 +115,6 @@ def latent_space(data: Dataset) -> Dataset:
     return replace(data, latent=scores.groupBy(F.col("cell").alias("id")).agg(vec.alias("vec")))
 
 
-def null_signatures(data: Dataset, groups: DataFrame, size: int, seed: str = "null") -> DataFrame:
-    """(sig, gene, sign) of ``size`` random signatures for each group (grp, k, balance): genes in md5 order, the first ones positive.
-
-    ``balance`` x k are positive; what is left of a whole one is drawn, by md5 of group and repetition.
-    """
-    genes = data.expr.select("gene").distinct()
-    many = groups.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(size))))
-    name = F.concat_ws(":", F.lit(seed), F.col("grp").cast("string"), F.col("rep").cast("string"))
-    u = F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    up = F.col("balance") * F.col("k")
-    many = many.withColumn("up", (F.floor(up) + (u < up - F.floor(up)).cast("int")).cast("int"))
-    names = genes.agg(F.collect_list("gene").alias("all"))
-    full = many.crossJoin(F.broadcast(names))  # one list of gene names
-    key = lambda g: F.struct(F.md5(F.concat_ws(":", name, g).cast("binary")).alias("h"), g.alias("g"))
-    drawn = F.slice(F.array_sort(F.transform("all", key)), 1, F.col("k"))
-    return full.select(F.concat_ws("#", F.col("grp").cast("string"), F.col("rep").cast("string")).alias("sig"), "up", F.posexplode(drawn)).select("sig", F.col("col.g").alias("gene"), F.when(F.col("pos") < F.col("up"), 1.0).otherwise(-1.0).alias("sign"))
-
-
 def size_groups(sigs: DataFrame, groups: int = 5) -> tuple[DataFrame, DataFrame]:
     """(sig, grp) and (grp, k, balance): signatures in up to ``groups`` clusters of log size and balance, each with its rounded size.
 
@@ -166,12 +148,12 @@ def signature_autocorrelation(data: Dataset, sigs: DataFrame, logs: DataFrame, s
     """(feature, c, p): autocorrelation of signatures (or modules) against random signatures of like size and balance."""
     p = data.params
     member, groups = size_groups(score.weights(sigs, data.expr).withColumnRenamed("w", "sign"))
-    null = score.scores(logs, null_signatures(data, groups, p.null_size), p.normalisation)
+    entries, cells, genes = score.scaled(logs, p.normalisation)
+    null = background.random_autocorrelation(entries, cells, genes, edges, [tuple(r) for r in groups.collect()], p.null_size)
     observed = graph.autocorrelation(as_values(scores), edges)
-    background = graph.autocorrelation(as_values(null), edges).select(F.split("feature", "#")[0].cast("int").alias("grp"), F.col("c").alias("bg"))
-    at = observed.join(member.withColumnRenamed("sig", "feature"), "feature")
+    at = graph.saved(observed.join(member.withColumnRenamed("sig", "feature"), "feature"))
     # a signature's count is that of its group's random ones which reach it
-    reached = at.join(background, "grp").groupBy("feature").agg(F.sum((F.col("bg") >= F.col("c")).cast("long")).alias("n"), F.count(F.lit(1)).alias("of"))
+    reached = at.join(graph.saved(null), "grp").groupBy("feature").agg(F.sum((F.col("bg") >= F.col("c")).cast("long")).alias("n"), F.count(F.lit(1)).alias("of"))
     return at.join(reached, "feature").select("feature", "c", ((F.col("n") + 1) / (F.col("of") + 1)).alias("p"))
 
 

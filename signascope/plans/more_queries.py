@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from signascope.operators import contrast, graph, latent, matrix, pools, score, trajectory
+from signascope.operators import background, contrast, graph, latent, matrix, pools, score, trajectory
 from signascope.operators import tree as trees
 from signascope.plans import analysis, report
 from signascope.plans import bindings as b
@@ -191,10 +191,34 @@ def fitch_rate(spark, d):
     return trees.parsimony_rate(t, trees.fitch_assignment(t, sets, up)).select(F.round("rate", 9).alias("rate"))
 
 
+def _perm_sql(reps: int) -> str:
+    """p-values over the same bijections of the tips' places: each round swaps halves, values outside walk on."""
+    turn = "k * 64 + {r}"
+    t1 = f"((r * {background.MULTIPLIERS[0]} + {turn}) & 4294967295)"
+    sub = "SELECT *, {t1} AS t FROM ({src})"
+    walk = "SELECT k, pos, v // m AS l, v % m AS r, m, n FROM ({src})"
+    for r in range(background.ROUNDS):
+        walk = f"SELECT k, pos, r AS l, xor(l, xor(t, t >> 16) % m) AS r, m, n FROM (SELECT *, (xor(t, t >> 15) * {background.MULTIPLIERS[1]}) & 4294967295 AS t FROM ({sub.format(t1=t1.format(r=r), src=walk)}))"
+    step = f"SELECT k, pos, l * m + r AS v, m, n FROM ({walk})"
+    first = f"SELECT range AS k, pos, pos AS v, m, n FROM range({reps}), nd, dm"
+    return f"""nd AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT 'c' || id AS id FROM num)), ct AS (SELECT count(*) AS n FROM nd),
+    dm AS (SELECT n, CAST(pow(2, greatest(1, ceil(ceil(log2(n)) / 2))) AS BIGINT) AS m FROM ct), wa AS ({step.format(src=first)} UNION ALL {step.format(src='SELECT k, pos, v, m, n FROM wa WHERE v >= n')}),
+    pl AS (SELECT k, pos, v FROM wa WHERE v < n), ne AS (SELECT x.pos AS pi, y.pos AS pj, w FROM wk JOIN nd x ON x.id = i JOIN nd y ON y.id = j), rp AS (SELECT feature, pos, value FROM rv JOIN nd USING (id)),
+    sm AS (SELECT a.k, x.feature, sum(w * (x.value - y.value) * (x.value - y.value)) AS num FROM ne JOIN pl a ON a.pos = pi JOIN pl b ON b.pos = pj AND b.k = a.k JOIN rp x ON x.pos = a.v JOIN rp y ON y.pos = b.v AND y.feature = x.feature GROUP BY ALL),
+    hi AS (SELECT feature, count(*) FILTER (round(1 - num / (2 * (SELECT sum(w) FROM ne) * v) - c, 12) >= 0) AS hits FROM sm JOIN va USING (feature) JOIN g USING (feature) GROUP BY feature)
+    SELECT feature, round(c, 6) + 0.0 AS c, round((coalesce(hits, {reps}) + 1) / {reps + 1}, 6) AS p FROM g LEFT JOIN hi USING (feature)"""
+
+
 @query()
 def meta_perm_pvalue(spark, d):
-    """All 3000 permutations; too large for the SQL side, so tests hold the operator against plain Python."""
-    return r6(graph.permutation_p(_tips(b.numbers(spark, d)), _tree_edges(spark, d)))
+    """All 3000 permutations; the SQL side needs too much disk for them, so it follows the first 100 below."""
+    return r6(graph.permutation_p(_tips(b.numbers(spark, d)), graph.saved(_tree_edges(spark, d))))
+
+
+@query(f"WITH RECURSIVE {TREEKNN}, {NUMBERS}, {ranked_geary('num')}, {_perm_sql(100)}")
+def meta_perm_hundred(spark, d):
+    """The first 100 permutations of the same sequence."""
+    return r6(graph.permutation_p(_tips(b.numbers(spark, d)), graph.saved(_tree_edges(spark, d)), 100))
 
 
 # --- trajectories
@@ -288,8 +312,8 @@ def null_groups(spark, d):
 
 @query()
 def signature_pvalues(spark, d):
-    """Autocorrelation of signatures over the tree against 100 random signatures a group (the analysis makes 3000)."""
-    own = analysis.replace(data(spark, d, "scores"), params=analysis.Parameters(null_size=100))
+    """Autocorrelation of signatures over the tree against 3000 random signatures a group."""
+    own = data(spark, d, "scores")
     ids = lambda s: s.withColumn("cell", F.concat(F.lit("c"), F.col("cell")))
     logs = graph.saved(ids(q.log_expr(spark, d)))
     return r6(analysis.signature_autocorrelation(own, own.sigs, logs, ids(own.results["scores"]), graph.saved(_tree_edges(spark, d))))

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from signascope.operators import contrast, graph, latent, matrix, pools, trajectory
+from signascope.functions import stats
+from signascope.operators import background, contrast, graph, latent, matrix, pools, score, trajectory
 from signascope.operators import tree as trees
 from signascope.plans import analysis
 from signascope.sources import files
@@ -78,7 +79,7 @@ def test_tree_neighbours_and_clusters(spark, seed):
     assert len(set(fewest.values())) >= 4
 
 
-def test_permutations_against_numpy(spark):
+def test_permutations_against_numpy(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 5, 30).astype(float)
     values = spark.createDataFrame([(i, f, v) for i in range(30) for f, v in (("a", float(x[i])), ("flat", 1.0), ("gap", None if i == 3 else float(i)))], "id long, feature string, value double")
@@ -86,17 +87,54 @@ def test_permutations_against_numpy(spark):
     e = spark.createDataFrame(edges, "i long, j long, w double")
     got = {r["feature"]: (r["c"], r["p"]) for r in graph.permutation_p(values, e, 40).collect()}
     assert got["flat"] == (0.0, 1.0) and got["gap"] == (0.0, 1.0)
-    import hashlib
-
     rank = np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
     c = lambda y: 1 - sum(w * (y[i] - y[j]) ** 2 for i, j, w in edges) / (2 * sum(w for *_, w in edges) * y.var(ddof=1))
     hits = 0
-    for rep in range(1, 41):
-        order = sorted(range(30), key=lambda i: (hashlib.md5(f"perm:{rep}:{i}".encode()).hexdigest(), i))
-        y = np.empty(30)
-        y[order] = rank
+    for rep in range(40):
+        y = rank[background.places(np.arange(30), 30, np.int64(rep))]
         hits += round(c(y) - c(rank), 12) >= 0
     assert got["a"][0] == pytest.approx(c(rank)) and got["a"][1] == pytest.approx((hits + 1) / 41)
+    # ranks that do not fit one task's share go in blocks of places, each pair of blocks in a pass
+    monkeypatch.setattr(background, "SENT", 13)
+    monkeypatch.setattr(background, "EDGES", 20)
+    again = {r["feature"]: (r["c"], r["p"]) for r in graph.permutation_p(values, e, 40).collect()}
+    assert again == {f: (pytest.approx(c), pytest.approx(p)) for f, (c, p) in got.items()}
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_keyed_bijections(n):
+    every = np.stack([background.places(np.arange(n), n, np.int64(k)) for k in range(300)])
+    assert (np.sort(every, axis=1) == np.arange(n)).all()
+    if n >= 64:  # places are even, and neighbours are not kept together
+        assert abs(every[:, 0].mean() / (n - 1) - 0.5) < 0.06 and len({tuple(r) for r in every.tolist()}) == 300
+        assert abs(np.corrcoef(every[:, 0], every[:, 1])[0, 1]) < 0.2
+
+
+@pytest.mark.parametrize("parts", [1, 3, 64])
+def test_average_ranks_in_ranges(spark, parts):
+    rng = np.random.default_rng(parts)
+    rows = [(i, f, float(v)) for f, many in (("ties", 4), ("all", 10**6)) for i, v in enumerate(rng.integers(0, many, 300))]
+    df = spark.createDataFrame(rows, "id long, f string, v double")
+    x = {f: np.array([v for _, g, v in rows if g == f]) for f in ("ties", "all")}
+    want = {(i, f): (x[f] < v).sum() + ((x[f] == v).sum() + 1) / 2 for i, f, v in rows}
+    assert {(r["id"], r["f"]): r["rank"] for r in stats.average_rank(df, ["f"], "v", parts=parts).collect()} == want
+
+
+@pytest.mark.parametrize("method", ["znorm_columns", "znorm_rows", "znorm_rows_then_columns", "rank_norm_columns", "none"])
+def test_random_signatures_against_plain_scores(spark, monkeypatch, method):
+    """Autocorrelation of random signatures as blocks against that of their score rows."""
+    rng = np.random.default_rng(5)
+    expr = spark.createDataFrame([(f"c{i:02d}", f"g{j:02d}", float(v)) for i in range(25) for j in range(18) if (v := rng.integers(0, 4))], "cell string, gene string, value double")
+    edges = spark.createDataFrame([(f"c{i:02d}", f"c{j:02d}", float(w)) for i in range(25) for j, w in zip(rng.choice([k for k in range(25) if k != i], 3, replace=False), rng.random(3))], "i string, j string, w double")
+    groups = [(1, 3, 1.0), (2, 6, 0.6)]
+    monkeypatch.setattr(background, "HELD", 100)
+    got = background.random_autocorrelation(*score.scaled(expr, method), edges, groups, 7, seed=2).collect()
+    names = sorted(r["gene"] for r in expr.select("gene").distinct().collect())
+    sig, gene, sign = background.drawn(groups, 7, len(names), seed=2)
+    sigs = spark.createDataFrame([(f"s{s}", names[g], float(w)) for s, g, w in zip(sig, gene, sign)], "sig string, gene string, sign double")
+    plain = {r["feature"]: r["c"] for r in graph.autocorrelation(analysis.as_values(score.scores(expr, sigs, method).withColumn("score", F.round("score", 9))), edges).collect()}
+    for g in (1, 2):
+        assert sorted(r["bg"] for r in got if r["grp"] == g) == pytest.approx(sorted(plain[f"s{k}"] for k in range(7 * (g - 1), 7 * g)))
 
 
 def test_louvain_merges_small_cliques(spark):
@@ -144,11 +182,11 @@ def test_signature_background(spark):
     assert rows == {(4, 0.5): 1, (4, 1.0): 2, (40, 0.5): 3, (40, 1.0): 4}
     own = {r["sig"]: r["grp"] for r in member.collect()}
     assert own["s4_1"] == 1 and own["s4_0"] == 2 and own["s40_3"] == 3 and own["s40_2"] == 4
-    expr = spark.createDataFrame([(1, f"g{j}", 1.0) for j in range(60)], "cell long, gene string, value double")
-    odd = spark.createDataFrame([(1, 5, 0.7)], "grp int, k int, balance double")
-    null = analysis.null_signatures(analysis.Dataset(expr), odd, 200).groupBy("sig").agg(F.count_distinct("gene").alias("k"), F.sum((F.col("sign") > 0).cast("int")).alias("up")).collect()
-    assert len(null) == 200 and {r["k"] for r in null} == {5} and {r["up"] for r in null} == {3, 4}
-    assert 0.3 < np.mean([r["up"] == 4 for r in null]) < 0.7
+    sig, gene, sign = background.drawn([(1, 5, 0.7)], 200, 60)
+    drawn = [(sorted(gene[sig == k]), (sign[sig == k] > 0).sum()) for k in range(200)]
+    assert all(len(set(g)) == 5 and max(g) < 60 for g, _ in drawn) and {up for _, up in drawn} == {3, 4}
+    assert 0.3 < np.mean([up == 4 for _, up in drawn]) < 0.7 and len({tuple(g) for g, _ in drawn}) > 195
+    assert [len(x) for x in background.drawn([], 5, 9)] == [0, 0, 0]
 
 
 def test_rank_sum_edges(spark):
