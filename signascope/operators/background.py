@@ -128,7 +128,7 @@ def _sums_of(dealt: DataFrame, names: list[str], n: int, reps: int, splits: int,
             w, split = np.asarray(b.column(2)), np.asarray(b.column(3))
             for s in np.unique(split).tolist():
                 mine = np.flatnonzero(split == s)
-                total = totals.setdefault(s, np.zeros((len(names), min(step, reps - s * step))))
+                total = totals.setdefault(s, np.zeros((len(names), max(0, min(step, reps - s * step)))))
                 for k in range(0, len(mine), EDGES):
                     own = mine[k : k + EDGES]
                     nodes, at = np.unique(np.concatenate([e[own] for e in ends]), return_inverse=True)

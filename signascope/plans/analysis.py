@@ -34,12 +34,15 @@ class Parameters:
     null_size: int = 3000
     max_levels: int = 50
     max_text_levels: int = 20
+    pool_above: int = 100_000  # cells beyond which they are pooled when no pools are given
+    cells_per_pool: int = 10
 
 
 @dataclass(frozen=True)
 class Dataset:
     """expr (cell, gene, value), sigs (sig, gene, sign), numbers and proteins (id, feature, value), factors (id, var, level), modules
-    (mod, gene), latent (id, vec), tree (node, parent) with the cells as tips, pools (pool, cell)."""
+    (mod, gene), latent (id, vec), tree (node, parent) with the cells as tips, pools (pool, cell), milestones (a, b, length) and
+    progressions (cell, a, b, position) of a trajectory."""
 
     expr: DataFrame
     sigs: DataFrame | None = None
@@ -51,6 +54,8 @@ class Dataset:
     tree: DataFrame | None = None
     raw: DataFrame | None = None
     pools: DataFrame | None = None
+    milestones: DataFrame | None = None
+    progressions: DataFrame | None = None
     params: Parameters = field(default_factory=Parameters)
     results: dict[str, DataFrame] = field(default_factory=dict)
 
@@ -58,20 +63,28 @@ class Dataset:
         return getattr(self, table) is not None
 
     def __repr__(self) -> str:
-        there = [t for t in ("sigs", "numbers", "factors", "proteins", "modules", "latent", "tree", "raw", "pools") if self.has(t)]
+        there = [t for t in ("sigs", "numbers", "factors", "proteins", "modules", "latent", "tree", "raw", "pools", "milestones", "progressions") if self.has(t)]
         return f"Dataset(expr with {', '.join(there) or 'nothing else'}; results: {', '.join(self.results) or 'none'})"
 
 
 def validated(data: Dataset) -> Dataset:
-    """Raises on negative entries and on metadata of unknown cells; of repeated (cell, gene) entries all copies go."""
+    """Raises on negative entries, on tables of unknown cells or genes, and where cells lack a place; of repeated (cell, gene)
+    entries all copies go."""
     if not data.expr.where("value < 0").isEmpty():
         raise ValueError("expression holds negative entries")
     once = data.expr.groupBy("cell", "gene").agg(F.max("value").alias("value"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
     cells = once.select(F.col("cell").alias("id")).distinct()
-    for name in ("numbers", "factors"):
-        meta = getattr(data, name)
-        if meta is not None and not cells.join(meta, "id", "left_anti").isEmpty():
+    for name in ("numbers", "factors", "proteins", "latent"):  # a row for each cell, or some for each
+        table = getattr(data, name)
+        if table is not None and not cells.join(table, "id", "left_anti").isEmpty():
             raise ValueError(f"{name} lack cells of the expression table")
+    for name, table, col in (("the tree", data.tree, "node"), ("the pools", data.pools, "cell"), ("the trajectory", data.progressions, "cell")):
+        if table is not None and not cells.join(table.select(F.col(col).alias("id")), "id", "left_anti").isEmpty():
+            raise ValueError(f"{name} lack cells of the expression table")
+    if data.modules is not None and data.modules.join(once.select("gene").distinct(), "gene", "left_semi").isEmpty():
+        raise ValueError("no module has a gene of the expression table")
+    if data.progressions is not None:
+        data = replace(data, progressions=trajectory.validated(data.milestones, data.progressions))
     return replace(data, expr=once)
 
 
@@ -202,9 +215,34 @@ def significant(auto: DataFrame, fdr: float = 0.05, least: float = 0.2) -> DataF
     return auto.where((F.col("fdr") < fdr) & (F.col("c") > least))
 
 
+def automatic_pools(data: Dataset) -> Dataset:
+    """``data`` with pools of about ``cells_per_pool`` cells where it has more than ``pool_above`` and none are given."""
+    if data.pools is not None or data.tree is not None or data.expr.select("cell").distinct().count() <= data.params.pool_above:
+        return data
+    own = latent_space(data)
+    return replace(own, pools=graph.saved(pools.micro_clusters(own.latent, data.params.cells_per_pool)))
+
+
+def consistency(data: Dataset, logs: DataFrame, scores: DataFrame | None, numbers: DataFrame | None, factors: DataFrame | None, edges: DataFrame) -> DataFrame | None:
+    """(feature, c, p, fdr, kind) of signatures, numbers and factors on one graph; their p-values are adjusted together."""
+    tested = []
+    if scores is not None:
+        tested.append(signature_autocorrelation(data, data.sigs, logs, scores, edges).withColumn("kind", F.lit("signature")))
+    if factors is not None:
+        tested.append(graph.factor_association(factors, edges).select(F.col("var").alias("feature"), F.col("v").alias("c"), "p", F.lit("factor").alias("kind")))
+    if numbers is not None:
+        tested.append(graph.permutation_p(numbers, edges, data.params.permutations).withColumn("kind", F.lit("number")))
+    if not tested:
+        return None
+    every = tested[0]
+    for more in tested[1:]:
+        every = every.unionByName(more)
+    return graph.saved(stats.bh(every, "p", [], ["feature"]))
+
+
 def analyze(data: Dataset) -> Dataset:
     """All stages that the tables allow; results are DataFrames by name."""
-    data = validated(data)
+    data = automatic_pools(validated(data))
     if data.pools is not None:
         data = pooled(data)
     data = latent_space(data)
@@ -215,13 +253,11 @@ def analyze(data: Dataset) -> Dataset:
     out["clusters"] = graph.louvain_levels(graph.louvain_weights(near.where(F.col("rank") <= p.cluster_neighbours)))
     logs = matrix.log2p1(data.expr)
     coords = data.latent.select("id", F.posexplode("vec")).select("id", (F.col("pos") + 1).alias("comp"), F.col("col").alias("coord"))
-    values, tested = [], []
+    values = []
     if data.sigs is not None:
-        sigs = score.split_directions(score.process_signatures(data.sigs, data.expr, p.min_signature_genes, p.gene_share))
-        data = replace(data, sigs=sigs)
-        out["scores"] = graph.saved(score.scores(logs, sigs, p.normalisation))
-        out["gene_importance"] = score.gene_importance(logs, sigs, out["scores"], p.normalisation)
-        tested.append(signature_autocorrelation(data, sigs, logs, out["scores"], edges).withColumn("kind", F.lit("signature")))
+        data = replace(data, sigs=score.split_directions(score.process_signatures(data.sigs, data.expr, p.min_signature_genes, p.gene_share)))
+        out["scores"] = graph.saved(score.scores(logs, data.sigs, p.normalisation))
+        out["gene_importance"] = score.gene_importance(logs, data.sigs, out["scores"], p.normalisation)
         values.append(as_values(out["scores"]))
     numbers = data.numbers
     if data.tree is not None and data.factors is not None:
@@ -229,35 +265,41 @@ def analyze(data: Dataset) -> Dataset:
         for r in data.factors.select("var").distinct().collect():  # one trait at a time; there are few
             own = data.factors.where(F.col("var") == r["var"]).select(F.col("id").alias("node"), "level")
             tip = trees.plasticity(data.tree, trees.node_scores(trees.fitch_sets(data.tree, own, up), up), up)
-            named = tip.select(F.col("node").alias("id"), F.lit(r["var"] + "_plasticity").alias("feature"), F.col("plasticity").alias("value"))
+            named = graph.saved(tip.select(F.col("node").alias("id"), F.lit(r["var"] + "_plasticity").alias("feature"), F.col("plasticity").alias("value")))
             numbers = named if numbers is None else numbers.unionByName(named)
     factors = None
     if data.factors is not None:
         eligible = data.factors.groupBy("var").agg(F.count_distinct("level").alias("n")).where(f"n > 1 and n <= {p.max_levels}").select("var")
         factors = data.factors.join(eligible, "var", "left_semi")
         out["factor_autocorrelation"] = graph.factor_association(factors, edges)
-        tested.append(out["factor_autocorrelation"].select(F.col("var").alias("feature"), F.col("v").alias("c"), "p", F.lit("factor").alias("kind")))
     if numbers is not None:
         out["numbers"] = numbers
-        tested.append(graph.permutation_p(numbers, edges, p.permutations).withColumn("kind", F.lit("number")))
         values.append(numbers)
-    if tested:  # p-values of signatures and metadata are adjusted together
-        every = tested[0]
-        for more in tested[1:]:
-            every = every.unionByName(more)
-        every = graph.saved(stats.bh(every, "p", [], ["feature"]))
+    every = consistency(data, logs, out.get("scores"), numbers, factors, edges)
+    if every is not None:
         out["signature_autocorrelation"] = every.where("kind = 'signature'").drop("kind")
         out["meta_autocorrelation"] = every.where("kind <> 'signature'").drop("kind")
-        numeric = values[0] if len(values) == 1 else values[0].unionByName(values[1]) if values else None
-        if numeric is not None:
-            out["signature_clusters"] = pools.signature_clusters(numeric, every)
-            out["component_correlation"] = latent.correlations(numeric, coords)
+    if values:
+        numeric = values[0] if len(values) == 1 else values[0].unionByName(values[1])
+        out["signature_clusters"] = pools.signature_clusters(numeric, every)
+        out["component_correlation"] = latent.correlations(numeric, coords)
+    if data.progressions is not None:
+        along = graph.saved(trajectory_graph(data.milestones, data.progressions, p.neighbours))
+        found = consistency(data, logs, out.get("scores"), numbers, factors, along)
+        out["trajectory_knn"], out["trajectory_meta"] = along, trajectory.metadata(data.progressions)
+        if found is not None:
+            out["trajectory_signature_autocorrelation"] = found.where("kind = 'signature'").drop("kind")
+            out["trajectory_meta_autocorrelation"] = found.where("kind <> 'signature'").drop("kind")
+        if values:
+            out["trajectory_signature_clusters"] = pools.signature_clusters(numeric, found)
+        if data.proteins is not None:
+            out["trajectory_protein_autocorrelation"] = protein_autocorrelation(data.proteins, along)
     modules = None
     if data.modules is not None:
         signed = data.modules.select(F.col("mod").alias("sig"), "gene", F.lit(1.0).alias("sign"))
         modules = out["module_scores"] = graph.saved(score.scores(logs, signed, p.normalisation))
         out["module_importance"] = score.gene_importance(logs, signed, modules, p.normalisation)
-        auto = signature_autocorrelation(data, signed, logs, modules, edges)
+        auto = graph.saved(signature_autocorrelation(data, signed, logs, modules, edges))
         out["module_autocorrelation"] = stats.bh(auto, "p", [], ["feature"])
         out["module_component_correlation"] = latent.correlations(as_values(modules), coords)
         if data.sigs is not None:

@@ -216,3 +216,64 @@ def test_whole_analysis(spark):
     assert report.histogram(data.numbers).agg(F.sum("n")).first()[0] == 40
     with pytest.raises(KeyError):
         report.signature_scores(data, "low")
+
+
+def test_analysis_over_tree_modules_proteins_and_trajectory(spark):
+    """Every stage over 24 cells, each result against the operator that makes it."""
+    from signascope.operators import contrast, graph, score, trajectory
+    from signascope.operators import tree as trees
+    from signascope.plans import analysis
+
+    rng, n = random.Random(6), 24
+    cells = [f"c{k:02d}" for k in range(n)]
+    rows = [(c, f"g{g}", float(rng.randrange(1, 9)) + (6 if (k < n / 2) == (g < 6) else 0)) for k, c in enumerate(cells) for g in range(12) if rng.random() < 0.9]
+    tree = [(c, f"p{k // 3}") for k, c in enumerate(cells)] + [(f"p{k}", f"q{k // 4}") for k in range(n // 3)] + [("q0", "root"), ("q1", "root"), ("root", None)]
+    milestones = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0)], "a string, b string, length double")
+    data = analysis.Dataset(
+        expr=graph.saved(spark.createDataFrame(rows, "cell string, gene string, value double")),
+        sigs=spark.createDataFrame([(s, f"g{g}", 1.0) for s, gs in (("low", range(6)), ("high", range(6, 12))) for g in gs], "sig string, gene string, sign double"),
+        numbers=spark.createDataFrame([(c, "depth", float(k % 7)) for k, c in enumerate(cells)], "id string, feature string, value double"),
+        factors=spark.createDataFrame([(c, "half", "a" if k < n / 2 else "b") for k, c in enumerate(cells)], "id string, var string, level string"),
+        proteins=spark.createDataFrame([(c, "cd", float(k // 6)) for k, c in enumerate(cells)], "id string, feature string, value double"),
+        modules=spark.createDataFrame([("m1", f"g{g}") for g in range(5)] + [("m2", f"g{g}") for g in range(6, 11)], "mod string, gene string"),
+        tree=spark.createDataFrame(tree, "node string, parent string"),
+        latent=spark.createDataFrame([(c, [float(k < n / 2) * 9 + rng.random(), rng.random()]) for k, c in enumerate(cells)], "id string, vec array<double>"),
+        milestones=milestones, progressions=spark.createDataFrame([(c, *(("a", "b") if k < n / 2 else ("b", "c")), (k % 12) / 12) for k, c in enumerate(cells)], "cell string, a string, b string, position double"),
+        params=analysis.Parameters(permutations=20, null_size=20, neighbours=4, cluster_neighbours=4, min_signature_genes=3),
+    )
+    done = analysis.analyze(data)
+    got = {k: v for k, v in done.results.items()}
+    rounded = lambda df, *cols: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.select(*cols).collect())
+    logs = matrix.log2p1(data.expr)
+    assert rounded(got["scores"], "cell", "sig", "score") == rounded(score.scores(logs, data.sigs), "cell", "sig", "score")
+    up = trees.closure(data.tree)
+    edges = got["knn"]
+    assert rounded(edges, "i", "j", "w") == rounded(graph.weights(trees.tree_knn(up, trees.tips(data.tree), 4)), "i", "j", "w")
+    for name, near in (("", edges), ("trajectory_", got["trajectory_knn"])):
+        auto = {r["feature"]: r["c"] for r in graph.autocorrelation(analysis.as_values(got["scores"]).unionByName(data.numbers), near).collect()}
+        sigs, meta = ({r["feature"]: r for r in got[f"{name}{kind}_autocorrelation"].collect()} for kind in ("signature", "meta"))
+        assert {f: r["c"] for f, r in sigs.items()} == {f: pytest.approx(auto[f]) for f in ("low", "high")}
+        assert meta["depth"]["c"] == pytest.approx(auto["depth"]) and set(meta) == {"depth", "half", "half_plasticity"}
+        assert all(0 < r["p"] <= r["fdr"] <= 1 for r in [*sigs.values(), *meta.values()])
+        assert rounded(got[f"{name}protein_autocorrelation"], "feature", "c", "p") == rounded(analysis.protein_autocorrelation(data.proteins, near), "feature", "c", "p")
+        assert {r["feature"] for r in got[f"{name}signature_clusters"].collect()} == {"low", "high", "depth", "half_plasticity"}
+    assert rounded(got["trajectory_knn"], "i", "j", "dist") == rounded(trajectory.knn(milestones, data.progressions, 4), "i", "j", "dist")
+    assert sigs["low"]["c"] > 0.3
+    own = {r["feature"]: r["c"] for r in got["module_autocorrelation"].collect()}
+    assert own == {r["feature"]: pytest.approx(r["c"]) for r in graph.autocorrelation(analysis.as_values(got["module_scores"]), edges).collect()}
+    assert rounded(got["module_enrichment"], "sig", "mod", "p") == rounded(contrast.enrichment(contrast.directional_sets(data.sigs), data.modules, 12), "sig", "mod", "p")
+    assert rounded(got["proteins_one_vs_rest"], "level", "auc") == rounded(contrast.one_vs_rest(data.proteins, data.factors, ties=True), "level", "auc")
+    assert {r["cluster"] for r in got["clusters"].collect()} <= set(cells)
+
+
+def test_pools_are_made_beyond_a_number_of_cells(spark):
+    from signascope.plans import analysis
+
+    expr = spark.createDataFrame([(f"c{k:02d}", f"g{g}", 1.0 + (k + g) % 3) for k in range(40) for g in range(3)], "cell string, gene string, value double")
+    latent = spark.createDataFrame([(f"c{k:02d}", [float(k // 20) * 50, float(k % 20)]) for k in range(40)], "id string, vec array<double>")
+    few = analysis.Dataset(expr, latent=latent, params=analysis.Parameters(pool_above=40))
+    assert analysis.automatic_pools(few) is few
+    own = analysis.automatic_pools(analysis.replace(few, params=analysis.Parameters(pool_above=39, cells_per_pool=5)))
+    assert own.pools.count() == 40 and 4 <= own.pools.select("pool").distinct().count() <= 16
+    with pytest.raises(ValueError, match="latent lack"):
+        analysis.validated(analysis.replace(few, latent=latent.where("id <> 'c03'")))
