@@ -21,44 +21,82 @@ def vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
     return rows.select("cell", F.col("e.k").alias("idx"), F.col("e.value").alias("val"))
 
 
-def pca(expr: DataFrame, genes: DataFrame, components: int = 30) -> tuple[DataFrame, np.ndarray]:
+def pca(expr: DataFrame, genes: DataFrame, components: int = 30, extra: int = 10, tolerance: float = 1e-9, rounds: int = 30) -> tuple[DataFrame, np.ndarray]:
     """(cell, comp, coord) scores of the centred matrix, and the share of variance of each component.
 
-    The gene x gene moments are summed over tasks (genes are a filtered list), one eigen-decomposition follows, and scores are made where the cells are.  Of
-    each loading the largest entry is positive.
+    A randomised range finder: a gene x width block goes through the covariance, in one pass over the cells in which a task
+    multiplies its rows (still sparse) and sends one gene x width sum; what is new in the image is the next block.  The
+    components are those of the space that all blocks span, and the passes end when their residuals are under ``tolerance`` of
+    the total variance, or the blocks span all genes; ValueError if neither comes in ``rounds``.  No gene x gene matrix is
+    made; the driver holds genes x (components + extra) numbers a pass.  Of each loading the largest entry is positive.
     """
-    rows = vectors(expr, genes)
+    rows = saved(vectors(expr, genes))
     g = genes.select("gene").distinct().count()
-
-    def moments(batches):
-        s, ss, n = np.zeros(g), np.zeros((g, g)), 0
-        for b in batches:
-            x = _dense(b, g)
-            s, ss, n = s + x.sum(0), ss + x.T @ x, n + len(x)
-        yield pd.DataFrame({"i": np.arange(g), "n": [n] * g, "s": s, "row": list(ss)})
-
-    got = rows.mapInPandas(moments, "i int, n long, s double, row array<double>").groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.array(*[F.sum(F.col("row")[k]) for k in range(g)]).alias("row")).orderBy("i").collect()
-    n, s = got[0]["n"], np.array([r["s"] for r in got])
-    cov = np.array([r["row"] for r in got]) - np.outer(s, s) / n
-    val, vec = np.linalg.eigh(cov)
-    val, vec = val[::-1][:components], vec[:, ::-1][:, :components]
+    width = min(g, components + extra)
+
+    def through(block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over cells of x (x block), and of (1, x, |x|^2) in the first pass."""
+
+        def product(batches):
+            total, s, n, ss = (None if block is None else np.zeros(block.shape)), np.zeros(g), 0, 0.0
+            for b in batches:
+                lens = np.fromiter(map(len, b["idx"]), np.int64, len(b))
+                idx = np.concatenate([*b["idx"], []]).astype(np.int64)
+                val = np.concatenate([*b["val"], []])
+                n += len(b)
+                if block is None:
+                    s += np.bincount(idx, val, g)
+                    ss += float(val @ val)
+                    continue
+                for c, (i, v) in enumerate(zip(np.split(idx, np.cumsum(lens)[:-1]), np.split(val, np.cumsum(lens)[:-1]))):
+                    total[i] += np.outer(v, v @ block[i])
+            if block is None:
+                yield pd.DataFrame({"k": [0], "row": [np.concatenate([[n, ss], s])]})
+            else:
+                yield pd.DataFrame({"k": np.arange(block.shape[1]), "row": list(total.T)})
+
+        length = g + 2 if block is None else g
+        add = F.aggregate("r", F.array_repeat(F.lit(0.0), length), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q)).alias("row")
+        parts = rows.mapInPandas(product, "k int, row array<double>").withColumn("some", F.spark_partition_id() % 32)
+        parts = parts.groupBy("k", "some").agg(F.collect_list("row").alias("r")).select("k", add)
+        return np.array([r["row"] for r in parts.groupBy("k").agg(F.collect_list("row").alias("r")).select("k", add).orderBy("k").collect()])
+
+    first = through(None)
+    if not len(first) or not first[0][0] or not g:
+        return expr.sparkSession.createDataFrame([], f"cell {expr.schema['cell'].dataType.simpleString()}, comp int, coord double"), np.zeros(0)
+    n, center = first[0][0], first[0][2:] / first[0][0]
+    whole = first[0][1] - n * float(center @ center)
+    block = np.linalg.qr(np.random.default_rng(g).normal(size=(g, width)))[0]
+    basis, images = np.zeros((g, 0)), np.zeros((g, 0))
+    for _ in range(rounds):
+        image = through(block).T - n * np.outer(center, center @ block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        val, turn = np.linalg.eigh(basis.T @ images)
+        val, turn = val[::-1][:components], turn[:, ::-1][:, :components]
+        vec = basis @ turn
+        rest = np.linalg.norm(images @ turn - vec * val, axis=0)
+        if basis.shape[1] == g or rest.max() <= tolerance * max(whole, 1e-300):
+            break
+        new = image
+        for _ in range(2):  # once more for what rounding leaves
+            new = new - basis @ (basis.T @ new)
+        left, size, _ = np.linalg.svd(new, full_matrices=False)
+        block = left[:, (size > 1e-13 * max(whole, 1e-300))][:, : g - basis.shape[1]]
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+        if not block.shape[1]:
+            break
+    else:
+        raise ValueError(f"components have not settled in {rounds} passes")
+    val, vec = val[:components], vec[:, :components]
     vec = vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(vec.shape[1])])
-    center = s / n
 
     def project(batches):
         for b in batches:
-            y = (_dense(b, g) - center) @ vec
+            y = np.array([v @ vec[i.astype(np.int64)] for i, v in zip(b["idx"], b["val"])]).reshape(len(b), -1) - center @ vec
             yield pd.DataFrame({"cell": np.repeat(b["cell"].to_numpy(), y.shape[1]), "comp": np.tile(np.arange(1, y.shape[1] + 1), len(y)), "coord": y.ravel()})
 
     kind = expr.schema["cell"].dataType.simpleString()
-    return rows.mapInPandas(project, f"cell {kind}, comp int, coord double"), val / max(np.trace(cov), 1e-300)
-
-
-def _dense(b: pd.DataFrame, g: int) -> np.ndarray:
-    x = np.zeros((len(b), g))
-    for r, (i, v) in enumerate(zip(b["idx"], b["val"])):
-        x[r, i] = v
-    return x
+    return rows.mapInPandas(project, f"cell {kind}, comp int, coord double"), val / max(whole, 1e-300)
 
 
 def _numbered(cells: DataFrame) -> DataFrame:

@@ -277,3 +277,22 @@ def test_pools_are_made_beyond_a_number_of_cells(spark):
     assert own.pools.count() == 40 and 4 <= own.pools.select("pool").distinct().count() <= 16
     with pytest.raises(ValueError, match="latent lack"):
         analysis.validated(analysis.replace(few, latent=latent.where("id <> 'c03'")))
+
+
+def test_pca_in_several_passes(spark):
+    """More genes than a block is wide, values that fall slowly: equal to numpy, and no pass holds all genes."""
+    rng = np.random.default_rng(3)
+    x = np.round(rng.normal(size=(150, 60)) * np.linspace(3, 0.5, 60) + rng.normal(size=(150, 1)) * 2, 3) * (rng.random((150, 60)) < 0.7)
+    expr = spark.createDataFrame([(i, f"g{j:02d}", float(v)) for i in range(150) for j, v in enumerate(x[i]) if v], "cell long, gene string, value double")
+    scores, share = latent.pca(expr, expr.select("gene").distinct(), 4, extra=4)
+    y = x - x.mean(0)
+    val, vec = np.linalg.eigh(y.T @ y)
+    val, vec = val[::-1][:4], vec[:, ::-1][:, :4]
+    vec = vec * np.sign(vec[np.abs(vec).argmax(0), np.arange(4)])
+    assert share == pytest.approx(val / (y**2).sum())
+    got = np.zeros((150, 4))
+    for r in scores.collect():
+        got[r["cell"], r["comp"] - 1] = r["coord"]
+    assert np.abs(got - y @ vec).max() < 1e-6
+    with pytest.raises(ValueError):
+        latent.pca(expr, expr.select("gene").distinct(), 4, extra=4, rounds=1)
