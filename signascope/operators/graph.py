@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
-from signascope.functions.tables import saved
+from signascope.functions.tables import saved, summed
 from signascope.operators import background
 
 
@@ -97,6 +97,55 @@ def autocorrelation(values: DataFrame, edges: DataFrame) -> DataFrame:
     return whole.join(found, "feature", "left").select("feature", F.coalesce(1 - F.col("c"), F.lit(0.0)).alias("c"))
 
 
+def local_correlation(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b, lc, z) for each pair a < b of features (id, feature, value): how far one goes with the other's neighbours.
+
+    With y the standardised values and s the edges' weights, half each way, lc is the sum of s_ij y_ia y_jb over the sum of s,
+    and z the sum over the root of the sum of squared s, its deviation if the features were dealt independently.  Absent values
+    are zeros.  A task multiplies the rows of its edges' ends and sends one feature x feature sum, so nothing is made for
+    an edge and a pair, and a node of many edges is the work of many tasks.  Constant features have lc and z 0.
+    """
+    names = sorted(r["feature"] for r in values.select("feature").distinct().collect())
+    g, number = len(names), F.create_map(*[F.lit(x) for k, f in enumerate(names) for x in (f, k)]) if names else None
+    if not g:
+        return values.sparkSession.createDataFrame([], "a string, b string, lc double, z double")
+    ids = edges.select(F.explode(F.array("i", "j")).alias("id")).distinct()
+    n = ids.count()
+    own = values.join(ids, "id", "left_semi")
+    moments = own.groupBy("feature").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))
+    mean, sd = np.zeros(g), np.zeros(g)
+    for r in moments.collect():
+        k = names.index(r["feature"])
+        mean[k] = r["s"] / max(n, 1)
+        sd[k] = max(0.0, r["q"] / max(n, 1) - mean[k] ** 2) ** 0.5
+    rows = ids.join(own.groupBy("id").agg(F.collect_list(F.struct(number[F.col("feature")].alias("k"), F.col("value").cast("double").alias("v"))).alias("e")), "id", "left").select("id", "e.k", "e.v")
+    both = edges.select("i", "j", (F.col("w") / 2).alias("w")).unionByName(edges.select(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("w") / 2).alias("w"))).groupBy("i", "j").agg(F.sum("w").alias("w"))
+    a, b = (rows.select(F.col("id").alias(s), F.col("k").alias("k" + s), F.col("v").alias("v" + s)) for s in "ij")
+    met = saved(both.join(a, "i").join(b, "j").select("w", "ki", "vi", "kj", "vj"))
+    scale = np.where(sd > 1e-12 * np.maximum(1, np.abs(mean)), 1 / np.maximum(sd, 1e-300), 0.0)
+
+    def dense(index, value):
+        out = np.tile(-mean * scale, (len(index), 1))
+        for r, (k, v) in enumerate(zip(index, value)):
+            if k is not None and len(k):
+                out[r, np.asarray(k, int)] += np.asarray(v, float) * scale[np.asarray(k, int)]
+        return out
+
+    def products(batches):
+        total = np.zeros((g, g))
+        for b in batches:
+            for lo in range(0, len(b), 2048):
+                c = b.iloc[lo : lo + 2048]
+                total += (dense(c["ki"], c["vi"]) * c["w"].to_numpy()[:, None]).T @ dense(c["kj"], c["vj"])
+        yield pd.DataFrame({"k": np.arange(g), "row": list(total)})
+
+    size = met.agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("w2")).first()
+    sums = summed(met.mapInPandas(products, "k int, row array<double>"), ["k"], "row", g).select("k", F.posexplode("row").alias("m", "h")).where("m > k")
+    name = F.array(*map(F.lit, names))
+    lc = F.col("h") / (size["w"] or 1.0)
+    return sums.select(name[F.col("k")].alias("a"), name[F.col("m")].alias("b"), lc.alias("lc"), (F.col("h") / ((size["w2"] or 1.0) ** 0.5)).alias("z"))
+
+
 def permutation_p(values: DataFrame, edges: DataFrame, reps: int = 3000, seed: int = 0) -> DataFrame:
     """(feature, c, p): autocorrelation and the share of permutations that reach it, (count + 1) / (reps + 1).
 

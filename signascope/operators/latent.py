@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from signascope.operators.graph import saved
+from signascope.functions.tables import saved, summed
 
 
 def vectors(expr: DataFrame, genes: DataFrame) -> DataFrame:
@@ -56,10 +56,8 @@ def pca(expr: DataFrame, genes: DataFrame, components: int = 30, extra: int = 10
                 yield pd.DataFrame({"k": np.arange(block.shape[1]), "row": list(total.T)})
 
         length = g + 2 if block is None else g
-        add = F.aggregate("r", F.array_repeat(F.lit(0.0), length), lambda acc, x: F.zip_with(acc, x, lambda p, q: p + q)).alias("row")
-        parts = rows.mapInPandas(product, "k int, row array<double>").withColumn("some", F.spark_partition_id() % 32)
-        parts = parts.groupBy("k", "some").agg(F.collect_list("row").alias("r")).select("k", add)
-        return np.array([r["row"] for r in parts.groupBy("k").agg(F.collect_list("row").alias("r")).select("k", add).orderBy("k").collect()])
+        parts = rows.mapInPandas(product, "k int, row array<double>")
+        return np.array([r["row"] for r in summed(parts, ["k"], "row", length).orderBy("k").collect()])
 
     first = through(None)
     if not len(first) or not first[0][0] or not g:

@@ -25,9 +25,20 @@ def undo_log1p(expr: DataFrame) -> DataFrame:
     return expr.withColumn("value", F.expm1("value"))
 
 
-def clip_bottom(df: DataFrame, least: float, col: str = "value") -> DataFrame:
-    """Values under ``least`` become ``least``; nulls stay."""
-    return df.withColumn(col, F.when(F.col(col) < least, F.lit(float(least))).otherwise(F.col(col)))
+def clip_bottom(df: DataFrame, least: float, col: str = "value", over: tuple[str, str] | None = None) -> DataFrame:
+    """Values under ``least`` become ``least``; nulls stay.
+
+    ``over`` names the two keys of a sparse matrix, whose absent entries are zeros: with ``least`` over 0 these rise too, so
+    there is a row for every pair of keys then.  The shorter side goes to all tasks as a list if it is that of genes.
+    """
+    clipped = F.when(F.col(col) < least, F.lit(float(least))).otherwise(F.col(col))
+    if over is None or least <= 0:
+        return df.withColumn(col, clipped)
+    a, b = over
+    every = df.select(b).distinct().agg(F.collect_list(b).alias("_all"))  # one row: the names of one axis
+    full = df.select(a).distinct().crossJoin(F.broadcast(every)).select(a, F.explode("_all").alias(b))
+    there = df.select(a, b, clipped.alias(col), F.lit(True).alias("_there"))
+    return full.join(there, [a, b], "left").select(a, b, F.when(F.col("_there"), F.col(col)).otherwise(F.lit(float(least))).alias(col))
 
 
 def drop_duplicate_genes(genes: DataFrame) -> DataFrame:

@@ -221,6 +221,32 @@ def meta_perm_hundred(spark, d):
     return r6(graph.permutation_p(_tips(b.numbers(spark, d)), graph.saved(_tree_edges(spark, d)), 100))
 
 
+def _local(values: str) -> str:
+    return f"""ee AS (SELECT i, j, sum(w) AS w FROM (SELECT i, j, w / 2 AS w FROM wk UNION ALL SELECT j, i, w / 2 FROM wk) GROUP BY 1, 2), ix AS (SELECT DISTINCT i AS id FROM ee), fx AS (SELECT DISTINCT feature FROM {values}),
+    dv AS (SELECT ix.id, fx.feature, coalesce(value, 0)::DOUBLE AS value FROM ix CROSS JOIN fx LEFT JOIN {values} v ON 'c' || v.id = ix.id AND v.feature = fx.feature),
+    sv AS (SELECT id, feature, (value - avg(value) OVER f) / nullif(stddev_pop(value) OVER f, 0) AS y FROM dv WINDOW f AS (PARTITION BY feature)),
+    lc AS (SELECT x.feature AS a, z.feature AS b, sum(w * x.y * z.y) AS h FROM ee JOIN sv x ON x.id = i JOIN sv z ON z.id = j AND x.feature < z.feature GROUP BY ALL)
+    SELECT a, b, round(coalesce(h, 0) / (SELECT sum(w) FROM ee), 6) + 0.0 AS lc, round(coalesce(h, 0) / sqrt((SELECT sum(w * w) FROM ee)), 5) + 0.0 AS z FROM lc"""
+
+
+def _shown(df):
+    return df.select("a", "b", (F.round("lc", 6) + 0.0).alias("lc"), (F.round("z", 5) + 0.0).alias("z"))
+
+
+@query(f"WITH RECURSIVE {TREEKNN}, {NUMBERS}, {PROTEINS}, mx AS (SELECT id, feature, value FROM num UNION ALL SELECT id, feature, value FROM pro), {_local('mx')}")
+def local_correlation(spark, d):
+    """Numbers and proteins against each other's neighbours in the tree."""
+    values = b.numbers(spark, d).select("id", "feature", "value").unionByName(b.proteins(spark, d).select("id", "feature", "value"))
+    return _shown(graph.local_correlation(_tips(values), graph.saved(_tree_edges(spark, d))))
+
+
+@query(f"WITH RECURSIVE {TREEKNN}, {EXPR}, mg AS (SELECT DISTINCT p_brand || '|' || p_type AS gene FROM part WHERE p_brand = 'Brand#12'), mx AS (SELECT cell AS id, gene AS feature, log2(value + 1) AS value FROM expr WHERE gene IN (SELECT gene FROM mg)), {_local('mx')}")
+def report_module_local_correlation(spark, d):
+    """The genes of a module against each other's neighbours, over all cells."""
+    own = data(spark, d)
+    return _shown(report.module_local_correlation(analysis.replace(own, expr=own.expr.withColumn("cell", F.concat(F.lit("c"), F.col("cell"))), results={"knn": graph.saved(_tree_edges(spark, d))}), "Brand#12"))
+
+
 # --- trajectories
 
 KR = 5
@@ -271,9 +297,9 @@ def tree_projection(spark, d):
 # --- matrix and input stages
 
 
-@query(f"WITH {EXPR} SELECT cell, gene, greatest(value, 30.0) AS value FROM expr")
+@query(f"WITH {EXPR} SELECT c.cell, g.gene, greatest(coalesce(value, 0), 30.0) AS value FROM (SELECT DISTINCT cell FROM expr) c CROSS JOIN (SELECT DISTINCT gene FROM expr) g LEFT JOIN expr e ON e.cell = c.cell AND e.gene = g.gene")
 def clip_bottom(spark, d):
-    return matrix.clip_bottom(b.expr(spark, d), 30.0)
+    return matrix.clip_bottom(b.expr(spark, d), 30.0, over=("cell", "gene"))
 
 
 @query(f"WITH {EXPR} SELECT cell, gene, round(exp(value / 50) - 1, 6) AS value FROM expr")

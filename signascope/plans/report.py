@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from signascope.operators import contrast, matrix, score
+from signascope.operators import contrast, graph, matrix, score
 from signascope.plans.analysis import Dataset
 
 
@@ -80,6 +80,12 @@ def module_genes(data: Dataset, name: str) -> DataFrame:
     return data.modules.where(F.col("mod") == name).select("gene").distinct()
 
 
+def module_local_correlation(data: Dataset, name: str) -> DataFrame:
+    """(a, b, lc, z): the module's genes against each other among neighbouring cells."""
+    logs = matrix.log2p1(data.expr.join(module_genes(data, name), "gene", "left_semi"))
+    return graph.local_correlation(logs.select(F.col("cell").alias("id"), F.col("gene").alias("feature"), "value"), _need(data, "knn"))
+
+
 def module_enrichment(data: Dataset) -> DataFrame:
     """(sig, mod, stat, p, assigned): every pair, and whether the module is the signature's own."""
     own = _need(data, "module_assignment").withColumn("assigned", F.lit(True))
