@@ -94,22 +94,31 @@ def hypergeometric_tail(o: Column, m: Column, k: Column, n: Column) -> Column:
     return F.when(o > top, 0.0).otherwise(F.least(F.lit(1.0), more))
 
 
+def running_sum(counts: DataFrame, by: Sequence[str], value: str, weight: str, name: str, parts: int = 64) -> DataFrame:
+    """Adds ``name``: the sum of ``weight`` over the rows of a ``by`` group up to and with this one in the order of ``value``, which no two of them share.
+
+    A group is cut into ``parts`` ranges of about equal numbers of values; each range is added up by itself, from what the ranges before it
+    hold, so a group of any number of values is the work of many tasks.  Where the cuts fall does not change a sum.
+    """
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
+    part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
+    ranged = counts.join(cuts, list(by)).withColumn("_part", part).drop("_cuts")
+    sizes = ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = sizes.select(*by, "_part", F.coalesce(ahead, F.lit(0)).alias("_before"))
+    upto = F.sum(weight).over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_upto", upto).join(before, [*by, "_part"]).withColumn(name, F.col("_before") + F.col("_upto")).drop("_part", "_upto", "_before")
+
+
 def average_rank(df: DataFrame, by: Sequence[str], value: str, name: str = "rank", parts: int = 64) -> DataFrame:
     """Adds ``name``: the rank of ``value`` within ``by``, ties sharing the mean of their places.
 
-    Ranks come from counts of distinct values, so ties (however many) never meet in one task row by row.  The distinct values of
-    a group are cut into ``parts`` ranges of about equal numbers; each range is added up by itself, from what the ranges before it
-    hold, so a group of any number of values is the work of many tasks.  Where the cuts fall does not change a rank.
+    Ranks come from counts of distinct values, so ties (however many) never meet in one task row by row, and from sums over
+    ranges of these (:func:`running_sum`), so neither do the values of one group.
     """
+    # the counts' shuffle is made once and read by all that sums need
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_ties"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
-    # the counts' shuffle is made once and read by all three
-    ranged = counts.join(cuts, list(by)).select(*by, value, "_ties", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)).alias("_part"))
-    sizes = ranged.groupBy(*by, "_part").agg(F.sum("_ties").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    upto = F.sum("_ties").over(Window.partitionBy(*by, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    inside = ranged.withColumn("_upto", upto)
-    ranks = inside.join(before, [*by, "_part"]).select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / 2).alias(name))
+    ranks = running_sum(counts, by, value, "_ties", "_all", parts).select(*by, value, (F.col("_all") - (F.col("_ties") - 1) / 2).alias(name))
     return df.join(ranks, [*by, value])
 
 

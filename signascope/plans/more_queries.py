@@ -5,9 +5,10 @@ Registered with those of ``queries``; each calls the function that the analysis
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from signascope.operators import background, contrast, graph, latent, matrix, pools, score, trajectory
+from signascope.operators import background, contrast, graph, latent, matrix, pools, principal, score, trajectory
 from signascope.operators import tree as trees
 from signascope.plans import analysis, report
 from signascope.plans import bindings as b
@@ -174,6 +175,17 @@ def tree_clusters_cladewise_few(spark, d):
     return trees.clusters_cladewise(t, up, trees.clade_sizes(t, up), 6)
 
 
+_OPENED = """cc AS (SELECT t.parent AS node, count(*) AS n, max(size) AS most FROM tree t JOIN sz USING (node) WHERE t.parent IS NOT NULL GROUP BY 1), dp AS (SELECT node, max(hops) AS depth FROM up GROUP BY 1),
+    od AS (SELECT node, 1 + coalesce(sum(n - 1) OVER (ORDER BY most DESC, depth, node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM cc JOIN dp USING (node)), op AS (SELECT node FROM od WHERE before < (SELECT round(sqrt(count(*))) FROM tip))"""
+
+
+@query(f"WITH RECURSIVE {TREE}, {_OPENED} SELECT up.node, arg_max(up.anc, hops) AS cluster FROM up JOIN tip USING (node) WHERE up.anc NOT IN (SELECT node FROM op) GROUP BY 1")
+def tree_clusters_most(spark, d):
+    """Clades are opened by their largest child clade until there are as many as the root of the number of tips."""
+    t, up = q._tree(spark, d)
+    return trees.clusters_cladewise(t, up, trees.clade_sizes(t, up), round(trees.tips(t).count() ** 0.5), "most")
+
+
 SEARCH = f"""{TREE}, sk AS (SELECT d, count(DISTINCT anc) AS k FROM (SELECT d, up.node, arg_min(up.anc, hops) AS anc FROM up JOIN tip USING (node) JOIN sz ON sz.node = up.anc, (SELECT DISTINCT size AS d FROM sz) WHERE size >= d GROUP BY 1, 2) GROUP BY 1), kl AS (SELECT list({{'d': d, 'k': k}} ORDER BY d) AS l FROM sk),
     se AS (SELECT 0 AS n, 0::BIGINT AS low, (SELECT max(size) FROM sz)::BIGINT AS high, 0::BIGINT AS d, false AS stop UNION ALL SELECT n + 1, CASE WHEN e THEN m ELSE low END, CASE WHEN e THEN high ELSE m END, m, m = CASE WHEN e THEN low ELSE high END
       FROM (SELECT n, low, high, m, list_filter(l, lambda x: x.d >= m)[1].k >= 10 AS e FROM (SELECT n, low, high, round_even((low + high) / 2.0, 0)::BIGINT AS m FROM se WHERE NOT stop AND low <> high), kl WHERE m > 0)), cut AS (SELECT arg_max(d, n) AS d FROM se)"""
@@ -203,8 +215,9 @@ def _perm_sql(reps: int) -> str:
     first = f"SELECT range AS k, pos, pos AS v, m, n FROM range({reps}), nd, dm"
     return f"""nd AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT 'c' || id AS id FROM num)), ct AS (SELECT count(*) AS n FROM nd),
     dm AS (SELECT n, CAST(pow(2, greatest(1, ceil(ceil(log2(n)) / 2))) AS BIGINT) AS m FROM ct), wa AS ({step.format(src=first)} UNION ALL {step.format(src='SELECT k, pos, v, m, n FROM wa WHERE v >= n')}),
-    pl AS (SELECT k, pos, v FROM wa WHERE v < n), ne AS (SELECT x.pos AS pi, y.pos AS pj, w FROM wk JOIN nd x ON x.id = i JOIN nd y ON y.id = j), rp AS (SELECT feature, pos, value FROM rv JOIN nd USING (id)),
-    sm AS (SELECT a.k, x.feature, sum(w * (x.value - y.value) * (x.value - y.value)) AS num FROM ne JOIN pl a ON a.pos = pi JOIN pl b ON b.pos = pj AND b.k = a.k JOIN rp x ON x.pos = a.v JOIN rp y ON y.pos = b.v AND y.feature = x.feature GROUP BY ALL),
+    ne AS MATERIALIZED (SELECT x.pos AS pi, y.pos AS pj, w FROM wk JOIN nd x ON x.id = i JOIN nd y ON y.id = j), rp AS MATERIALIZED (SELECT feature, pos, value FROM rv JOIN nd USING (id)),
+    vl AS MATERIALIZED (SELECT k, wa.pos, feature, value FROM wa JOIN rp ON rp.pos = v WHERE v < n),
+    sm AS (SELECT x.k, x.feature, sum(w * (x.value - y.value) * (x.value - y.value)) AS num FROM ne JOIN vl x ON x.pos = pi JOIN vl y ON y.pos = pj AND y.k = x.k AND y.feature = x.feature GROUP BY ALL),
     hi AS (SELECT feature, count(*) FILTER (round(1 - num / (2 * (SELECT sum(w) FROM ne) * v) - c, 12) >= 0) AS hits FROM sm JOIN va USING (feature) JOIN g USING (feature) GROUP BY feature)
     SELECT feature, round(c, 6) + 0.0 AS c, round((coalesce(hits, {reps}) + 1) / {reps + 1}, 6) AS p FROM g LEFT JOIN hi USING (feature)"""
 
@@ -294,6 +307,25 @@ def tree_projection(spark, d):
     return r6(trajectory.project(points, lines).select("id", "dist"))
 
 
+@query()
+def principal_tree(spark, d):
+    """Nodes of a principal tree of 20 nodes through the vectors that each vector is nearest to."""
+    points = b.latent(spark, d)
+    return r6(principal.assigned(points, principal.fit(points, 20, gamma=10.0, rounds=10)))
+
+
+START = "st AS (SELECT vec_id AS node, list_transform(embedding, lambda x: x::DOUBLE) AS c FROM embeddings ORDER BY vec_id LIMIT 8)"
+
+
+@query(f"""WITH {START}, nd AS (SELECT row_number() OVER (ORDER BY node) - 1 AS node, c FROM st), pt AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+    ds AS (SELECT id, {{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'node': node}} AS e FROM pt, nd) SELECT id, min(e).node AS node, round(min(e).d, 6) AS d2 FROM ds GROUP BY id""")
+def principal_assignment(spark, d):
+    """Nearest of given nodes: the eight first vectors."""
+    points = b.latent(spark, d)
+    first = [r["vec"] for r in points.orderBy("id").limit(8).collect()]
+    return r6(principal.assigned(points, principal.PrincipalTree(np.array(first, float), [], 0.0, [])))
+
+
 # --- matrix and input stages
 
 

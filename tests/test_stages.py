@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
-from signascope.operators import background, contrast, graph, latent, matrix, pools, score, trajectory
+from signascope.operators import background, contrast, graph, latent, matrix, pools, principal, score, trajectory
 from signascope.operators import tree as trees
 from signascope.plans import analysis
 from signascope.sources import files
@@ -210,6 +210,17 @@ def test_trajectory_neighbours(spark, k):
     assert {(r["i"], r["rank"]): (r["j"], r["dist"]) for r in trajectory.knn(edges, prog, k).collect()} == expect
 
 
+def test_trajectory_neighbours_of_cells_at_their_own_places(spark):
+    """A long edge of cells that are apart, some of them together: as many blocks as k gives, equal to all distances."""
+    rng = random.Random(9)
+    edges = spark.createDataFrame([("a", "b", 8.0), ("b", "c", 1.0)], "a string, b string, length double")
+    prog = spark.createDataFrame([(i, *(("a", "b") if i % 9 else ("b", "c")), 0.5 if i % 4 == 0 else rng.random()) for i in range(70)], "cell long, a string, b string, position double")
+    every = trajectory.distances(edges, prog, prog).withColumn("dist", F.round("dist", 9))
+    for k in (1, 4, 9):
+        expect = {(r["i"], r["rank"]): (r["j"], pytest.approx(r["dist"], abs=5e-9)) for r in trajectory.nearest(every, k).collect()}
+        assert {(r["i"], r["rank"]): (r["j"], r["dist"]) for r in trajectory.knn(edges, prog, k).collect()} == expect
+
+
 def test_sparse_columns_become_entries(spark):
     e = matrix.clip_bottom(spark.createDataFrame([(1, 0.5), (2, 3.0), (3, None)], "id long, value double"), 1)
     assert [r["value"] for r in e.orderBy("id").collect()] == [1.0, 3.0, None]
@@ -230,3 +241,59 @@ def test_compressed_columns_and_feature_types(spark):
     kinds = spark.createDataFrame([("f0", "Gene Expression"), ("f1", "Antibody Capture"), ("f2", "Gene Expression")], "gene string, feature_type string")
     genes, proteins = files.split_features(expr, kinds)
     assert genes.count() == 2 and [tuple(r) for r in proteins.collect()] == [(1, "f1", 7.0)]
+
+
+def test_principal_tree_finds_a_fork(spark):
+    """Points along three arms from one place: the tree's nodes lie on the arms, one node or two in the middle branch."""
+    rng = np.random.default_rng(2)
+    arms = np.array([[1.0, 0.0], [-0.5, 0.9], [-0.5, -0.9]])
+    x = np.array([arms[k % 3] * 10 * rng.random() + rng.normal(0, 0.15, 2) for k in range(240)])
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vec array<double>")
+    tree = principal.fit(points, 16, sigma=0.5, gamma=2.0, tolerance=1e-4)
+    assert all(a >= b - 1e-9 for a, b in zip(tree.scores, tree.scores[1:])) and len(tree.scores) > 2
+    off = [min(np.linalg.norm(v - max(0.0, min(10.0, v @ a / (a @ a))) * a) for a in arms) for v in tree.nodes]
+    assert max(off) < 0.6 and len(tree.edges) == 15
+    degree = np.bincount(np.array(tree.edges).ravel(), minlength=16)
+    assert (degree == 1).sum() == 3 and np.linalg.norm(tree.nodes[degree > 2], axis=1).max() < 2.5
+    d2 = ((x[:, None] - tree.nodes[None]) ** 2).sum(2)
+    assert tree.mse == pytest.approx(d2.min(1).mean()) == pytest.approx(principal.mean_squared_error(points, tree).first()["mse"])
+    assert {r["id"]: r["node"] for r in principal.assigned(points, tree).collect()} == dict(enumerate(d2.argmin(1)))
+    assert principal.fit(points.limit(0), 4).edges == []
+
+
+def test_spanning_tree_against_kruskal():
+    rng = np.random.default_rng(3)
+    for m in (1, 2, 9, 30):
+        x = rng.integers(0, 4, (m, 2)).astype(float) if m == 30 else rng.normal(size=(m, 3))
+        ways, part, length = sorted((((x[a] - x[b]) ** 2).sum(), a, b) for a in range(m) for b in range(a)), list(range(m)), 0.0
+        for d, a, b in ways:
+            if part[a] != part[b]:
+                part, length = [part[a] if p == part[b] else p for p in part], length + d
+        found = principal.spanning_tree(x)
+        assert len(found) == m - 1 and sum(((x[a] - x[b]) ** 2).sum() for a, b in found) == pytest.approx(length)
+
+
+def test_local_correlation_against_numpy(spark):
+    rng = np.random.default_rng(8)
+    x = np.where(rng.random((30, 4)) < 0.7, rng.normal(size=(30, 4)), 0.0)
+    x[:, 3] = 0
+    pairs = {(i, int(j)): float(rng.random()) for i in range(30) for j in rng.choice([k for k in range(30) if k != i], 3, replace=False)}
+    values = spark.createDataFrame([(i, f"f{k}", float(x[i, k])) for i in range(30) for k in range(4) if x[i, k] or (i == 0 and k == 3)], "id long, feature string, value double")
+    edges = spark.createDataFrame([(i, j, w) for (i, j), w in pairs.items()], "i long, j long, w double")
+    s = np.zeros((30, 30))
+    for (i, j), w in pairs.items():
+        s[i, j] += w / 2
+        s[j, i] += w / 2
+    sd = x.std(0)
+    y = (x - x.mean(0)) / np.where(sd > 0, sd, np.inf)
+    h = y.T @ s @ y
+    got = {(r["a"], r["b"]): (r["lc"], r["z"]) for r in graph.local_correlation(values, edges).collect()}
+    assert got == {(f"f{a}", f"f{b}"): (pytest.approx(h[a, b] / s.sum()), pytest.approx(h[a, b] / np.sqrt((s**2).sum()))) for a in range(4) for b in range(a + 1, 4)}
+    assert graph.local_correlation(values.limit(0), edges).collect() == []
+
+
+def test_clipping_a_sparse_matrix(spark):
+    e = spark.createDataFrame([(1, "a", 0.5), (2, "b", 3.0), (2, "c", None)], "cell long, gene string, value double")
+    got = {(r["cell"], r["gene"]): r["value"] for r in matrix.clip_bottom(e, 1, over=("cell", "gene")).collect()}
+    assert got == {(1, "a"): 1.0, (1, "b"): 1.0, (1, "c"): 1.0, (2, "a"): 1.0, (2, "b"): 3.0, (2, "c"): None}
+    assert matrix.clip_bottom(e, -1, over=("cell", "gene")).count() == 3
