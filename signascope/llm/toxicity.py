@@ -7,7 +7,8 @@
   without case, space, digits, symbols, other letters by code).
 * The kernel counts the subsequences of ``ORDER`` characters that two stretches share, each weighted by ``DECAY`` to the number
   of skipped characters (within ``SPAN`` places), so an insult with gaps, inserted letters or a split in two still shares most.
-  Each row that the machine learns from is also shown with one or two letters put into it, so gapped subsequences get weights.
+  The toxic rows that the machine learns from, and as many clean ones, are also shown with one or two letters put into them, so
+  gapped subsequences get weights.
 * Training (multiple-instance SVM) alternates between picking the worst stretch of each toxic document's sentences and fitting
   a squared-hinge SVM on Nystroem features over landmark stretches; the worst stretches of clean documents pile up as
   negatives.  It starts from the log-odds of subsequences in the sentences of both classes.
@@ -333,10 +334,12 @@ def machine(docs: list[tuple[int, str]], seed: int = 7, landmarks: int = 512, ro
         val, vec = np.linalg.eigh((space.dense.T @ space.dense).astype(np.float64))
         root = vec[:, val > 1e-6] / np.sqrt(val[val > 1e-6])
         rows = bad + good
-        x = np.hstack([space.kernel(rows + [_with_letters(r, rng) for r in rows]) @ root, np.ones((2 * len(rows), 1))])
-        y = np.tile(np.r_[np.ones(len(bad)), -np.ones(len(good))], 2)
+        clean = _some(good, len(bad), rng)
+        more = [_with_letters(r, rng) for r in bad + clean]
+        x = np.hstack([space.kernel(rows + more) @ root, np.ones((len(rows) + len(more), 1))])
+        y = np.r_[np.ones(len(bad)), -np.ones(len(good)), np.ones(len(bad)), -np.ones(len(clean))]
         cost = np.r_[np.sqrt([positives[r] for r in bad]), np.sqrt([negatives[r] for r in good])]
-        w = _squared_hinge(x, y, COST * np.r_[cost, cost / 2])
+        w = _squared_hinge(x, y, COST * np.r_[cost, np.sqrt([positives[r] for r in bad]) / 2, np.sqrt([negatives[r] for r in clean]) / 2])
         model = Model(space.numbers, (space.dense @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
     return model
 
