@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from signascope.functions.tables import saved
+
 # Coefficients of the double precision rational approximation of the normal distribution (Hart 1968, West 2005).
 NORMAL_TOP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376)
 NORMAL_BOTTOM = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
@@ -100,7 +102,8 @@ def running_sum(counts: DataFrame, by: Sequence[str], value: str, weight: str, n
     A group is cut into ``parts`` ranges of about equal numbers of values; each range is added up by itself, from what the ranges before it
     hold, so a group of any number of values is the work of many tasks.  Where the cuts fall does not change a sum.
     """
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts"))
+    # written, because a second computation could cut elsewhere
+    cuts = saved(counts.groupBy(*by).agg(F.percentile_approx(value, [k / parts for k in range(1, parts)], 10 * parts).alias("_cuts")))
     part = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))
     ranged = counts.join(cuts, list(by)).withColumn("_part", part).drop("_cuts")
     sizes = ranged.groupBy(*by, "_part").agg(F.sum(weight).alias("_n"))

@@ -205,13 +205,12 @@ def fitch_rate(spark, d):
 
 def _perm_sql(reps: int) -> str:
     """p-values over the same bijections of the tips' places: each round swaps halves, values outside walk on."""
-    turn = "k * 64 + {r}"
-    t1 = f"((r * {background.MULTIPLIERS[0]} + {turn}) & 4294967295)"
-    sub = "SELECT *, {t1} AS t FROM ({src})"
-    walk = "SELECT k, pos, v // m AS l, v % m AS r, m, n FROM ({src})"
+    walk = "SELECT k, pos, v // m AS l0, v % m AS r0, m, n FROM ({src})"
     for r in range(background.ROUNDS):
-        walk = f"SELECT k, pos, r AS l, xor(l, xor(t, t >> 16) % m) AS r, m, n FROM (SELECT *, (xor(t, t >> 15) * {background.MULTIPLIERS[1]}) & 4294967295 AS t FROM ({sub.format(t1=t1.format(r=r), src=walk)}))"
-    step = f"SELECT k, pos, l * m + r AS v, m, n FROM ({walk})"
+        once = f"SELECT *, (r{r} * {background.MULTIPLIERS[0]} + k * 64 + {r}) & 4294967295 AS t FROM ({walk})"
+        twice = f"SELECT *, (xor(t, t >> 15) * {background.MULTIPLIERS[1]}) & 4294967295 AS u FROM ({once})"
+        walk = f"SELECT k, pos, r{r} AS l{r + 1}, xor(l{r}, xor(u, u >> 16) % m) AS r{r + 1}, m, n FROM ({twice})"
+    step = f"SELECT k, pos, l{background.ROUNDS} * m + r{background.ROUNDS} AS v, m, n FROM ({walk})"
     first = f"SELECT range AS k, pos, pos AS v, m, n FROM range({reps}), nd, dm"
     return f"""nd AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS pos FROM (SELECT DISTINCT 'c' || id AS id FROM num)), ct AS (SELECT count(*) AS n FROM nd),
     dm AS (SELECT n, CAST(pow(2, greatest(1, ceil(ceil(log2(n)) / 2))) AS BIGINT) AS m FROM ct), wa AS ({step.format(src=first)} UNION ALL {step.format(src='SELECT k, pos, v, m, n FROM wa WHERE v >= n')}),
