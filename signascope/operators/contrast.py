@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from signascope.functions import stats
+from signascope.functions.tables import saved
 from signascope.operators.graph import chi2_of_table
 
 
@@ -26,7 +27,8 @@ def one_vs_rest(values: DataFrame, levels: DataFrame, ties: bool = False) -> Dat
     ``values``: (id, feature, value) with a row for each cell, null where not known (such cells are left out of that feature);
     ``levels``: (id, var, level).  Features are ranked once for all levels.
     """
-    known = values.where("value is not null")
+    # written, because ranks are found by value, and sums of doubles may come out otherwise a second time
+    known = saved(values.where("value is not null"))
     ranked = stats.average_rank(known, ["feature"], "value")
     tie = known.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("t")).groupBy("feature").agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"), F.sum("t").alias("n"))
     part = ranked.join(levels, "id").groupBy("feature", "var", "level").agg(F.sum("rank").alias("r1"), F.count(F.lit(1)).alias("n1"))

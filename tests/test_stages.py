@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from signascope.functions import stats
 from signascope.operators import background, contrast, graph, latent, matrix, pools, principal, score, trajectory
 from signascope.operators import tree as trees
-from signascope.plans import analysis
+from signascope.plans import analysis, bindings
 from signascope.sources import files
 
 
@@ -297,3 +297,28 @@ def test_clipping_a_sparse_matrix(spark):
     got = {(r["cell"], r["gene"]): r["value"] for r in matrix.clip_bottom(e, 1, over=("cell", "gene")).collect()}
     assert got == {(1, "a"): 1.0, (1, "b"): 1.0, (1, "c"): 1.0, (2, "a"): 1.0, (2, "b"): 3.0, (2, "c"): None}
     assert matrix.clip_bottom(e, -1, over=("cell", "gene")).count() == 3
+
+
+def test_sums_do_not_depend_on_the_order_of_orders(spark, tmp_path):
+    """0.1 to 0.3 and 1e16 add up to other doubles in another order; both tables must give the same totals, and keep every row."""
+    rows = [(c * 10 + k, c, x) for c in range(40) for k, x in enumerate((1e16, 0.1, 1.0, -1e16, 0.3, 0.7, None))]
+    spark.createDataFrame([(c, 1.0) for c in range(41)], "c_custkey long, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = []
+    for name, some in (("a", rows), ("b", rows[::-1])):
+        d = f"{tmp_path}/{name}"
+        spark.createDataFrame(some, "o_orderkey long, o_custkey long, o_totalprice double").repartition(3).write.parquet(f"{d}/orders.parquet")
+        spark.read.parquet(f"{tmp_path}/customer.parquet").write.parquet(f"{d}/customer.parquet")
+        got.append({(r["id"], r["feature"]): r["value"] for r in bindings.numbers(spark, d).collect()})
+    assert got[0] == got[1] and len(got[0]) == 123 and got[0][(40, "spent")] is None
+    expect = 0.0
+    for x in (1e16, 0.1, 1.0, -1e16, 0.3, 0.7):
+        expect += x
+    assert got[0][(7, "spent")] == expect and got[0][(7, "orders")] == 7
+
+
+def test_rank_sum_keeps_rows_whose_values_differ_when_made_again(spark):
+    fresh = F.udf(lambda _: random.random(), "double").asNondeterministic()
+    values = spark.range(400).select("id", F.lit("x").alias("feature"), fresh("id").alias("value"))
+    levels = spark.range(400).select("id", F.lit("v").alias("var"), (F.col("id") % 2).cast("string").alias("level"))
+    got = {r["level"]: r["auc"] for r in contrast.one_vs_rest(values, levels).collect()}
+    assert len(got) == 2 and got["0"] + got["1"] == pytest.approx(1.0)
