@@ -322,3 +322,31 @@ def test_rank_sum_keeps_rows_whose_values_differ_when_made_again(spark):
     levels = spark.range(400).select("id", F.lit("v").alias("var"), (F.col("id") % 2).cast("string").alias("level"))
     got = {r["level"]: r["auc"] for r in contrast.one_vs_rest(values, levels).collect()}
     assert len(got) == 2 and got["0"] + got["1"] == pytest.approx(1.0)
+
+
+def test_trajectory_distances_shuffle_no_pairs(spark):
+    """Distances are one row a pair; a cell on two edges counts by the nearer place; neighbours of some cells are theirs among all."""
+    rng = random.Random(5)
+    edges = spark.createDataFrame([("a", "b", 2.0), ("b", "c", 1.0), ("b", "d", 3.0)], "a string, b string, length double")
+    rows = [(i, *rng.choice([("a", "b"), ("b", "c"), ("b", "d")]), rng.randrange(9) / 8) for i in range(40)]
+    prog = spark.createDataFrame(rows, "cell long, a string, b string, position double")
+    asked = prog.where("cell % 10 = 0")
+    length, path = {("a", "b"): 2.0, ("b", "c"): 1.0, ("b", "d"): 3.0}, {"a": 2.0, "b": 0.0, "c": 1.0, "d": 3.0}
+
+    def apart(x, y):
+        if x[1:3] == y[1:3]:
+            return abs(x[3] - y[3]) * length[x[1:3]]
+        ends = lambda r: ((r[1], r[3] * length[r[1:3]]), (r[2], (1 - r[3]) * length[r[1:3]]))
+        return min(p + q + (0.0 if m == n else path[m] + path[n]) for m, p in ends(x) for n, q in ends(y))
+
+    got = trajectory.distances(edges, prog, asked)
+    assert "Exchange hashpartitioning(i" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["i"], r["j"]): round(r["dist"], 9) for r in got.collect()} == {(x[0], y[0]): round(apart(x, y), 9) for x in rows for y in rows if x[0] % 10 == 0 and x[0] != y[0]}
+    near = lambda *a: {(r["i"], r["rank"]): (r["j"], r["dist"]) for r in trajectory.knn(edges, prog, 4, *a).collect()}
+    assert near(asked) == {key: x for key, x in near().items() if key[0] % 10 == 0}
+    twice = prog.unionByName(spark.createDataFrame([(0, "b", "d", 0.125), (0, "b", "c", 0.125)], prog.schema))
+    more = {(r["i"], r["j"]): r["dist"] for r in trajectory.distances(edges, twice, asked).collect()}
+    places = [rows[0], (0, "b", "d", 0.125), (0, "b", "c", 0.125)]
+    assert all(more[0, y[0]] == pytest.approx(min(apart(x, y) for x in places)) for y in rows[1:])
+    best = sorted((round(min(apart(x, y) for x in places), 9), y[0]) for y in rows[1:])[:4]
+    assert [(r["dist"], r["j"]) for r in trajectory.knn(edges, twice, 4, asked).where("i = 0").orderBy("rank").collect()] == best
