@@ -5,9 +5,8 @@ permutation is computed where it is needed, so no permutation is ever sorted, wr
 
 * Permutations: the edges stay where they are; each task computes the places of its edges' ends for one repetition after
   another, looks up the ranks there, and only sums by feature and repetition leave it.
-* Random signatures: a signature's genes are the first places of a permutation of all genes.  Scores are a sparse product of
-  a block of cells with all signatures, sent as dense blocks of cells by signatures; a block of signatures is ranked in one
-  task and the edges pass by it once.
+* Random signatures: a signature's genes are the first places of a permutation of all genes.  The sparse matrix and the edges
+  are written once and pass by each block of signatures; scores are made and ranked where the block is, so none is sent.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +26,11 @@ ROUNDS = 6
 MULTIPLIERS = (2654435761, 1597334677)
 #: Ranks that are sent to every task at once, 16 MB.
 SENT = 1 << 21
-#: Ranks of a block of signatures in one task, 128 MB.
-HELD = 1 << 24
+#: Ranks of a block of signatures in one task, 256 MB.
+HELD = 1 << 25
 EDGES = 1 << 16
+#: Edges of a row that passes by the blocks.
+LISTED = 256
 
 
 def half_bits(n: int) -> int:
@@ -176,12 +178,14 @@ def drawn(groups: list[tuple[int, int, float]], size: int, genes: int, seed: int
     return (np.concatenate(sig), np.concatenate(gene), np.concatenate(sign)) if groups else (none, none, none.astype(float))
 
 
-def ranks(columns: np.ndarray) -> np.ndarray:
-    """Average ranks within each column."""
-    out = np.empty(columns.shape)
-    for k in range(columns.shape[1]):
-        _, at, n = np.unique(columns[:, k], return_inverse=True, return_counts=True)
-        out[:, k] = (np.cumsum(n) - (n - 1) / 2)[at]
+def ranks(x: np.ndarray) -> np.ndarray:
+    """Average ranks of a vector."""
+    order = np.argsort(x)
+    y = x[order]
+    new = (y[1:] != y[:-1]) & ~(np.isnan(y[1:]) & np.isnan(y[:-1]))
+    cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(x)]])
+    out = np.empty(len(x))
+    out[order] = np.repeat((cuts[:-1] + cuts[1:] + 1) / 2, np.diff(cuts))
     return out
 
 
@@ -200,91 +204,85 @@ def random_autocorrelation(entries: DataFrame, cells: DataFrame, genes: DataFram
     offsets = np.zeros(total)
     rows = names.select("place", "ro").toArrow()
     offsets[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
-    listed = entries.join(names.select("gene", F.col("place").alias("g")), "gene").groupBy("cell").agg(F.collect_list(F.struct("g", "v")).alias("e"))
-    wide = own.join(listed, "cell", "left").select("place", F.col("co").cast("double"), F.col("cs").cast("double"), F.col("e.g").alias("g"), F.col("e.v").cast("array<double>").alias("v"))
-    a, b = (own.select(F.col("cell").alias(s), F.col("place").alias("p" + s)) for s in "ij")
+    listed = entries.join(names.select("gene", F.col("place").cast("int").alias("g")), "gene").groupBy("cell").agg(F.collect_list(F.struct("g", "v")).alias("e"))
+    none = F.lit(None).cast("array<int>")
+    wide = own.join(listed, "cell", "left").select("place", F.col("co").cast("double"), F.col("cs").cast("double"), F.col("e.g").alias("g"), none.alias("h"), F.col("e.v").cast("array<double>").alias("v"))
+    a, b = (own.select(F.col("cell").alias(s), F.col("place").cast("int").alias("p" + s)) for s in "ij")
     ends = edges.join(a, "i").join(b, "j").select("pi", "pj", F.col("w").cast("double").alias("w"))
-    step = int(max(1, min(64, HELD // max(1, n))))
-    blocks = -(-len(groups) * size // step)
-    if not groups or not n:
+    many = len(groups) * size
+    if not many or not n:
         return spark.createDataFrame([], "grp int, bg double")
-
-    def scored(batches):
-        """Blocks of cells by signatures: block, 0, places, scores."""
-        sig, gene, sign = drawn(groups, size, total, seed)
-        many = len(groups) * size
-        order = np.lexsort((sig, gene))
-        sig, gene, sign = sig[order], gene[order], sign[order]
-        first = np.searchsorted(gene, np.arange(total + 1))
-        sums = np.bincount(sig, sign, many), np.bincount(sig, sign * offsets[gene], many), np.maximum(np.bincount(sig, np.abs(sign), many), 1e-300)
-        for b in batches:
-            for at in range(0, b.num_rows, 64):
-                part = b.slice(at, 64)
-                score = np.empty((part.num_rows, many))
-                for c, (co, cs, g, v) in enumerate(zip(*[part.column(k).to_pylist() for k in range(1, 5)])):
-                    g = np.array(g or (), np.int64)
-                    v = np.array(v or (), float)
-                    put = np.argsort(g, kind="stable")
-                    g, v = g[put], v[put]
-                    n_sig = first[g + 1] - first[g]
-                    where = np.arange(n_sig.sum()) + np.repeat(first[g] - np.cumsum(n_sig) + n_sig, n_sig)
-                    raw = np.bincount(sig[where], sign[where] * np.repeat(v, n_sig), many)
-                    score[c] = (raw + sums[1] + co * sums[0]) * cs / sums[2]
-                own = np.asarray(part.column(0), np.int64).tobytes()
-                cut = [score[:, k * step : (k + 1) * step].tobytes() for k in range(blocks)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([0] * blocks, pa.int32()), pa.array([own] * blocks, pa.binary()), pa.array(cut, pa.binary())], ["block", "kind", "a", "b"])
+    step = int(max(1, min(HELD // n, -(-many // (2 * spark.sparkContext.defaultParallelism)))))
+    blocks = -(-many // step)
 
     def packed(batches):
-        """Edges, many a row, once for each block of signatures: block, 1, ends, weights."""
+        """Edges, :data:`LISTED` a row."""
         for b in batches:
-            for at in range(0, b.num_rows, EDGES):
-                part = b.slice(at, EDGES)
-                pair = np.stack([np.asarray(part.column(k), np.int64) for k in range(2)]).tobytes()
-                w = np.asarray(part.column(2), float).tobytes()
-                for k in range(0, blocks, 32):
-                    few = range(k, min(blocks, k + 32))
-                    yield pa.RecordBatch.from_arrays([pa.array(few, pa.int32()), pa.array([1] * len(few), pa.int32()), pa.array([pair] * len(few), pa.binary()), pa.array([w] * len(few), pa.binary())], ["block", "kind", "a", "b"])
+            cuts = pa.array(np.append(np.arange(0, b.num_rows, LISTED), b.num_rows), pa.int32())
+            rows = len(cuts) - 1
+            if rows:
+                i, j, w = (pa.ListArray.from_arrays(cuts, b.column(k)) for k in range(3))
+                yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.float64()), i, j, w], ["place", "co", "cs", "g", "h", "v"])
 
     def measured(batches):
-        """Ranks a block's scores once they are there, then adds up its edges."""
-        block, held, top, weight = None, None, None, 0.0
-
-        def done():
-            spread = held.var(axis=0, ddof=1) if n > 1 else np.zeros(held.shape[1])
-            for k in range(held.shape[1]):
-                number = block * step + k
-                c = 1 - top[k] / (2 * weight * spread[k]) if weight and spread[k] > 0 else 0.0
-                out.append((groups[number // size][0], float(c)))
-
-        out: list = []
-        ready = False
+        """Scores of a block of signatures for all cells, their ranks once all cells are there, then sums over the edges."""
+        block, held, top, weight, there, early = None, None, None, 0.0, 0, []
+
+        def scored(b):
+            lengths = b.column("g").value_lengths().fill_null(0).to_numpy()
+            gene, value = np.asarray(b.column("g").flatten()), np.asarray(b.column("v").flatten())
+            put = np.argsort(gene, kind="stable")
+            gene, value, cell = gene[put], value[put], np.repeat(np.arange(len(lengths)), lengths)[put]
+            raw = np.zeros((len(held), b.num_rows))
+            cuts = np.flatnonzero(np.diff(gene, prepend=-1, append=-1)) if len(gene) else []
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if (users := genes_of.get(int(gene[lo]))) is not None:
+                    column = np.bincount(cell[lo:hi], value[lo:hi], b.num_rows)
+                    for c, s in users:
+                        raw[c] += s * column
+            co, cs = np.asarray(b.column("co")), np.asarray(b.column("cs"))
+            for c in range(len(held)):
+                raw[c] = (raw[c] + sums[1][c] + co * sums[0][c]) * cs / sums[2][c]
+            held[:, np.asarray(b.column("place"))] = raw
+
+        def added(b):
+            i, j, w = (np.asarray(b.column(k).flatten()) for k in "ghv")
+            for c in range(len(held)):
+                d = held[c, i] - held[c, j]
+                top[c] += (d * d) @ w
+            return w.sum()
+
         for b in batches:
-            for k, kind, a, c in zip(*[b.column(x) for x in range(4)]):
-                k, kind = k.as_py(), kind.as_py()
-                if k != block:
-                    if block is not None:
-                        held = held if ready else ranks(held)
-                        done()
-                    width = min(step, len(groups) * size - k * step)
-                    block, held, top, weight, ready = k, np.zeros((n, width)), np.zeros(width), 0.0, False
-                if kind == 0:
-                    held[np.frombuffer(a.as_buffer(), np.int64)] = np.frombuffer(c.as_buffer()).reshape(-1, held.shape[1])
-                    continue
-                if not ready:
-                    held, ready = ranks(held), True
-                i, j = np.frombuffer(a.as_buffer(), np.int64).reshape(2, -1)
-                w = np.frombuffer(c.as_buffer())
-                for e in range(0, len(w), 4096):
-                    d = held[i[e : e + 4096]] - held[j[e : e + 4096]]
-                    top += w[e : e + 4096] @ (d * d)
-                weight += w.sum()
-        if block is not None:
-            held = held if ready else ranks(held)
-            done()
-        grp, bg = zip(*out) if out else ((), ())
+            if block is None:
+                block = b.column("block")[0].as_py()
+                sig, gene, sign = drawn(groups, size, total, seed)
+                mine = np.flatnonzero((sig >= block * step) & (sig < (block + 1) * step))
+                sig, gene, sign = sig[mine] - block * step, gene[mine], sign[mine]
+                width = min(step, many - block * step)
+                sums = np.bincount(sig, sign, width), np.bincount(sig, sign * offsets[gene], width), np.maximum(np.bincount(sig, np.abs(sign), width), 1e-300)
+                genes_of: dict[int, list] = {}
+                for g, c, s in zip(gene.tolist(), sig.tolist(), sign.tolist()):
+                    genes_of.setdefault(g, []).append((c, s))
+                held, top = np.zeros((width, n)), np.zeros(width)
+            cell = b.column("place").is_valid()
+            found, rest = b.filter(cell), b.filter(pc.invert(cell))
+            if rest.num_rows:
+                early.append(rest)
+            if there < n:
+                scored(found)
+                there += found.num_rows
+                if there == n:
+                    for c in range(len(held)):
+                        held[c] = ranks(held[c])
+            if there == n:
+                while early:
+                    weight += added(early.pop())
+        spread = [held[c].var(ddof=1) if n > 1 else 0.0 for c in range(len(held))] if block is not None else []
+        bg = [float(1 - top[c] / (2 * weight * v)) if weight and v > 0 else 0.0 for c, v in enumerate(spread)]
+        grp = [groups[(block * step + c) // size][0] for c in range(len(bg))]
         yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(bg, pa.float64())], ["grp", "bg"])
 
-    shape = "block int, kind int, a binary, b binary"
-    both = wide.mapInArrow(scored, shape).unionByName(ends.mapInArrow(packed, shape))
-    both = both.repartition(blocks, "block").sortWithinPartitions("block", "kind")
-    return both.mapInArrow(measured, "grp int, bg double")
+    shape = "place long, co double, cs double, g array<int>, h array<int>, v array<double>"
+    both = saved(wide).unionByName(saved(ends.mapInArrow(packed, shape))).coalesce(1)
+    every = both.hint("shuffle_replicate_nl").crossJoin(spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block")))
+    return every.mapInArrow(measured, "grp int, bg double")

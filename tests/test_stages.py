@@ -137,6 +137,18 @@ def test_random_signatures_against_plain_scores(spark, monkeypatch, method):
         assert sorted(r["bg"] for r in got if r["grp"] == g) == pytest.approx(sorted(plain[f"s{k}"] for k in range(7 * (g - 1), 7 * g)))
 
 
+def test_random_signatures_send_no_scores(spark, monkeypatch):
+    """Signatures' scores, cells times signatures, are made where they are ranked; edges may come before the cells."""
+    expr = spark.createDataFrame([(f"c{i:02d}", f"g{j}", float(i * j % 5)) for i in range(20) for j in range(6)], "cell string, gene string, value double")
+    edges = spark.createDataFrame([(f"c{i:02d}", f"c{(i + k) % 20:02d}", 0.5) for i in range(20) for k in (1, 3)], "i string, j string, w double")
+    plain = background.random_autocorrelation(*score.scaled(expr), edges, [(1, 3, 1.0)], 9)
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    union = type(plain).unionByName
+    monkeypatch.setattr(type(plain), "unionByName", lambda a, b: union(b, a))
+    turned = background.random_autocorrelation(*score.scaled(expr), edges, [(1, 3, 1.0)], 9)
+    assert sorted(r["bg"] for r in turned.collect()) == pytest.approx(sorted(r["bg"] for r in plain.collect()))
+
+
 def test_louvain_merges_small_cliques(spark):
     """A ring of triangles: local moves alone stop at triangles, the larger graph joins some."""
     edges = [(3 * c + a, 3 * c + b, 1.0) for c in range(12) for a, b in ((0, 1), (1, 2), (0, 2))] + [(3 * c, (3 * c + 4) % 36, 1.0) for c in range(12)]
