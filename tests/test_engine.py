@@ -337,3 +337,13 @@ def test_edges_meet_all_features_at_once(spark, monkeypatch):
             assert (f, i) in got if own else (f, i) not in got
             if own:
                 assert got[f, i] == pytest.approx(sum(w * gap(i, j) for j, w in own) / (np.var(v, ddof=1) * (n - 1)))
+
+
+def test_scores_make_the_matrix_once(spark):
+    """Scores of a dataset read the written matrix and not the order lines, which they would for each use."""
+    from signascope.plans import more_queries
+
+    for name in ("scores", "module_scores"):
+        found = more_queries.data(spark, "/root/testdata/sf0.001", name).results[name]
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "gene" in plan
