@@ -362,3 +362,16 @@ def test_trajectory_distances_shuffle_no_pairs(spark):
     assert all(more[0, y[0]] == pytest.approx(min(apart(x, y) for x in places)) for y in rows[1:])
     best = sorted((round(min(apart(x, y) for x in places), 9), y[0]) for y in rows[1:])[:4]
     assert [(r["dist"], r["j"]) for r in trajectory.knn(edges, twice, 4, asked).where("i = 0").orderBy("rank").collect()] == best
+
+
+def test_a_clades_pairs_are_the_work_of_many_tasks(spark):
+    """One clade of 60 tips, and one of three inside it that is too small: lists of about eight, in as many tasks."""
+    rows = [("root", None), ("b", "root"), *[(f"t{k:02}", "b" if k < 3 else "root") for k in range(60)]]
+    t = spark.createDataFrame(rows, "node string, parent string")
+    up = graph.saved(trees.closure(t))
+    found = trees.clade_neighbours(up, trees.tips(t), trees.clade_sizes(t, up), 20, 8)
+    rows = found.select("i", "j", F.spark_partition_id().alias("p")).collect()
+    tips = [f"t{k:02}" for k in range(60)]
+    assert sorted((r["i"], r["j"]) for r in rows) == [(a, b) for a in tips for b in tips if a != b]
+    share = {p: sum(r["p"] == p for r in rows) for p in {r["p"] for r in rows}}
+    assert len(share) > 2 and max(share.values()) < len(rows) / 2
