@@ -4,7 +4,8 @@ Both come from keyed bijections of 0..n-1, a Feistel network over a power of fou
 permutation is computed where it is needed, so no permutation is ever sorted, written or sent.
 
 * Permutations: the edges stay where they are; each task computes the places of its edges' ends for one repetition after
-  another, looks up the ranks there, and only sums by feature and repetition leave it.
+  another, looks up the ranks there, and only sums by feature and repetition leave it.  Nodes with the same neighbours at the
+  same weights, as the tips of a clade, are added up before they meet these.
 * Random signatures: a signature's genes are the first places of a permutation of all genes.  The sparse matrix and the edges
   are written once and pass by each block of signatures; scores are made and ranked where the block is, so none is sent.
 """
@@ -24,11 +25,13 @@ from signascope.functions.tables import numbered, saved
 ROUNDS = 6
 #: Odd multipliers of the round function, small enough for signed 64-bit products.
 MULTIPLIERS = (2654435761, 1597334677)
-#: Ranks that are sent to every task at once, 16 MB.
-SENT = 1 << 21
+#: Ranks that are sent to every task at once, 128 MB.
+SENT = 1 << 25
 #: Ranks of a block of signatures in one task, 256 MB.
 HELD = 1 << 25
-EDGES = 1 << 16
+#: Edges of a task at once, and those of one node from which on they are dealt to several.
+EDGES = 1 << 19
+HEAVY = 1 << 12
 #: Edges of a row that passes by the blocks.
 LISTED = 256
 
@@ -61,6 +64,30 @@ def places(at: np.ndarray, n: int, key: np.ndarray) -> np.ndarray:
     return flat.reshape(out.shape)
 
 
+def places_of_one(at: np.ndarray, n: int, key: int) -> np.ndarray:
+    """:func:`places` for one permutation and many ``at``: what a round adds is looked up for each half, of which there are about the root of n."""
+    h = half_bits(n)
+    mask, halves = (1 << h) - 1, np.arange(1 << h, dtype=np.int64)
+    rounds = [_mixed(halves, key * 64 + r) & mask for r in range(ROUNDS)]
+    out, todo = np.array(at, np.int64), None
+    while todo is None or todo.size:
+        v = out if todo is None else out.take(todo)
+        for k in range(0, len(v), 1 << 13):  # few enough to stay in the cache
+            part = v[k : k + (1 << 13)]
+            left, right = part >> h, part & mask
+            for t in rounds:
+                left ^= t.take(right)
+                left, right = right, left
+            left <<= h
+            np.bitwise_or(left, right, out=part)
+        if todo is None:
+            todo = np.flatnonzero(out >= n)
+        else:
+            out[todo] = v
+            todo = todo[v >= n]
+    return out
+
+
 # --- permutations
 
 
@@ -86,16 +113,19 @@ def permutation_p(values: DataFrame, edges: DataFrame, observed: DataFrame, reps
     cores = spark.sparkContext.defaultParallelism
     chunks = max(1, -(-size["n"] // EDGES))
     splits = min(reps, max(1, -(-cores // chunks)))  # few edges: each task takes a part of the repetitions
-    dealt = ends.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))).repartition(chunks * splits, "split", F.pmod(F.xxhash64("pi", "pj"), F.lit(chunks)))
+    # a node's edges are together, unless they are many
+    heavy = ends.groupBy("pi").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HEAVY).select("pi", F.lit(True).alias("heavy"))
+    part = F.when(F.col("heavy"), F.xxhash64("pi", "pj")).otherwise(F.xxhash64("pi"))
+    dealt = ends.join(F.broadcast(heavy), "pi", "left").select("pi", "pj", "w", F.pmod(part, F.lit(chunks)).alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split")).repartition(chunks * splits, "split", "chunk")
     block = min(n, SENT)
     together = max(1, SENT // block)
     found = None
     for f in range(0, len(names), together):
         some = names[f : f + together]
         for low in range(0, n, block):
-            one = _vectors(ranked, some, low, block)
+            one = _vectors(ranked, some, n, low, block)
             for high in range(low, n, block):
-                other = one if high == low else _vectors(ranked, some, high, block)
+                other = one if high == low else _vectors(ranked, some, n, high, block)
                 sums = _sums_of(dealt, some, n, reps, splits, seed, (low, one), (high, other))
                 found = sums if found is None else found.unionByName(sums)
     nums = found.select("feature", "first", F.posexplode("sums").alias("k", "num")).groupBy("feature", (F.col("first") + F.col("k")).alias("rep")).agg(F.sum("num").alias("num"))
@@ -106,49 +136,91 @@ def permutation_p(values: DataFrame, edges: DataFrame, observed: DataFrame, reps
     return observed.join(reached, "feature", "left").select("feature", "c", ((F.coalesce("n", F.lit(reps)) + 1) / (reps + 1)).alias("p"))
 
 
-def _vectors(ranked: DataFrame, names: list[str], low: int, block: int) -> np.ndarray:
-    """Ranks of features (rows) at places low..low+block, at most :data:`SENT` numbers."""
-    rows = ranked.where(F.col("feature").isin(names) & F.col("place").between(low, low + block - 1)).toArrow()
-    out = np.zeros((len(names), block))
-    number = {f: k for k, f in enumerate(names)}
-    out[[number[f] for f in rows.column("feature").to_pylist()], np.asarray(rows.column("place")) - low] = np.asarray(rows.column("rank"))
+def _vectors(ranked: DataFrame, names: list[str], n: int, low: int, block: int) -> np.ndarray:
+    """Ranks of features (columns) at places low..low+block, at most :data:`SENT` numbers: twice their distance from the mean rank."""
+    out = np.zeros((min(block, n - low), len(names)), np.int32 if n < 1 << 30 else np.int64)
+    for k, f in enumerate(names):
+        rows = ranked.where((F.col("feature") == f) & F.col("place").between(low, low + block - 1))
+        rows = rows.select((F.col("place") - low).alias("at"), (2 * F.col("rank") - (n + 1)).cast("int" if n < 1 << 30 else "long").alias("x")).toArrow()
+        out[np.asarray(rows.column(0)), k] = np.asarray(rows.column(1))
     return out
 
 
+class _Shared:
+    """Edges of a task, by lists of neighbours and weights that nodes share, for sums of w (x_i - x_j)^2."""
+
+    def __init__(self, i: np.ndarray, j: np.ndarray, w: np.ndarray):
+        put = np.lexsort((w, j, i))
+        i, j, w = i[put], j[put], w[put]
+        first = np.flatnonzero(np.diff(i, prepend=-1))
+        size = np.diff(np.append(first, len(i)))
+        both = np.stack([j, w.view(np.int64)], axis=1).tobytes()
+        of: dict[bytes, int] = {}
+        own = np.array([of.setdefault(both[16 * a : 16 * (a + m)], len(of)) for a, m in zip(first.tolist(), size.tolist())])
+        nodes = np.argsort(own, kind="stable")
+        self.cuts = np.flatnonzero(np.diff(own[nodes], prepend=-1))
+        self.count = np.diff(np.append(self.cuts, len(nodes))).astype(float)
+        one = nodes[self.cuts]  # a node of each list
+        length = size[one]
+        self.starts = np.cumsum(length) - length
+        at = np.repeat(first[one] - self.starts, length) + np.arange(length.sum())
+        self.w = w[at][:, None]
+        self.weight = np.add.reduceat(self.w[:, 0], self.starts)
+        # the nodes of the lists, then those that are neighbours only
+        ends, where = np.unique(j[at], return_inverse=True)
+        self.nodes = np.concatenate([i[first[nodes]], ends])
+        self.inner, self.where = len(nodes), where
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """By feature, for values ``x`` of :attr:`nodes` (rows)."""
+        own, far = x[: self.inner], x[self.inner :].take(self.where, axis=0)
+        s, q = np.add.reduceat(own, self.cuts, axis=0), np.add.reduceat(own * own, self.cuts, axis=0)
+        far_w = far * self.w
+        t, u = np.add.reduceat(far_w, self.starts, axis=0), np.add.reduceat(far_w * far, self.starts, axis=0)
+        return self.weight @ q + self.count @ u - 2 * (s * t).sum(0)
+
+
 def _sums_of(dealt: DataFrame, names: list[str], n: int, reps: int, splits: int, seed: int, one, other) -> DataFrame:
     """(feature, first, sums): w (x - y)^2 summed over a task's edges with one end in each block, by repetition from ``first``."""
     (low, x), (high, y) = one, other
     sent = dealt.sparkSession.sparkContext.broadcast((x, None if high == low else y))
-    size, step = x.shape[1], -(-reps // splits)
-    whole = size >= n
+    size, step = x.shape[0], -(-reps // splits)
+    whole, across = size >= n, y.shape[0]
 
     def task(batches):
         x, y = sent.value
         totals: dict[int, np.ndarray] = {}
-        for b in batches:
-            ends = [np.asarray(b.column(k)) for k in range(2)]
-            w, split = np.asarray(b.column(2)), np.asarray(b.column(3))
+
+        def add(held):
+            i, j, w, split = (np.concatenate(c) for c in zip(*held))
             for s in np.unique(split).tolist():
                 mine = np.flatnonzero(split == s)
-                total = totals.setdefault(s, np.zeros((len(names), max(0, min(step, reps - s * step)))))
-                for k in range(0, len(mine), EDGES):
-                    own = mine[k : k + EDGES]
-                    nodes, at = np.unique(np.concatenate([e[own] for e in ends]), return_inverse=True)
-                    i, j = at[: len(own)], at[len(own) :]
-                    for r in range(total.shape[1]):
-                        p = places(nodes, n, np.int64(seed + s * step + r))
-                        if whole:
-                            for f in range(len(names)):
-                                v = x[f, p]
-                                d = v[i] - v[j]
-                                total[f, r] += (d * d) @ w[own]
-                            continue
-                        for u, v in ((p[i], p[j]),) if y is None else ((p[i], p[j]), (p[j], p[i])):
-                            here = np.flatnonzero((u >= low) & (u < low + size) & (v >= high) & (v < high + size))
-                            for f in range(len(names)):
-                                d = x[f, u[here] - low] - (x if y is None else y)[f, v[here] - high]
-                                total[f, r] += (d * d) @ w[own[here]]
-        made = [(names[f], s * step, t[f].tolist()) for s, t in totals.items() for f in range(len(names))]
+                total = totals.setdefault(s, np.zeros((max(0, min(step, reps - s * step)), len(names))))
+                first = seed + s * step
+                if whole:
+                    shared = _Shared(i[mine], j[mine], w[mine])
+                    for r in range(len(total)):
+                        total[r] += shared.sums(x.take(places_of_one(shared.nodes, n, first + r), axis=0).astype(float)) / 4
+                    continue
+                nodes, at = np.unique(np.concatenate([i[mine], j[mine]]), return_inverse=True)
+                a, b = at[: len(mine)], at[len(mine) :]
+                for r in range(len(total)):
+                    p = places_of_one(nodes, n, first + r)
+                    for u, v in ((p[a], p[b]),) if y is None else ((p[a], p[b]), (p[b], p[a])):
+                        here = np.flatnonzero((u >= low) & (u < low + size) & (v >= high) & (v < high + across))
+                        d = x.take(u[here] - low, axis=0).astype(float) - (x if y is None else y).take(v[here] - high, axis=0)
+                        total[r] += w[mine[here]] @ (d * d) / 4
+
+        held, there = [], 0
+        for b in batches:
+            held.append([np.asarray(b.column(k)) for k in range(4)])
+            there += b.num_rows
+            if there >= EDGES:
+                add(held)
+                held, there = [], 0
+        if there:
+            add(held)
+        made = [(names[f], s * step, t[:, f].tolist()) for s, t in totals.items() for f in range(len(names))]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * 3, (pa.string(), pa.int64(), pa.list_(pa.float64())))], ["feature", "first", "sums"])
 
     return dealt.select("pi", "pj", "w", "split").mapInArrow(task, "feature string, first long, sums array<double>")

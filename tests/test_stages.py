@@ -375,3 +375,32 @@ def test_a_clades_pairs_are_the_work_of_many_tasks(spark):
     assert sorted((r["i"], r["j"]) for r in rows) == [(a, b) for a in tips for b in tips if a != b]
     share = {p: sum(r["p"] == p for r in rows) for p in {r["p"] for r in rows}}
     assert len(share) > 2 and max(share.values()) < len(rows) / 2
+
+
+@pytest.mark.parametrize("n", [2, 5, 1000, 70000])
+def test_places_of_one_permutation(n):
+    at = np.arange(0, n, max(1, n // 500))
+    assert all((background.places(at, n, np.int64(k)) == background.places_of_one(at, n, k)).all() for k in (0, 1, 2999))
+
+
+def test_permutations_in_one_pass_of_shared_neighbours(spark, monkeypatch):
+    """Ranks of 20 000 nodes go to the tasks once; nodes with the same neighbours, and one with many edges, give plain sums."""
+    asked = []
+    monkeypatch.setattr(background, "_vectors", lambda *a, own=background._vectors: asked.append(a) or own(*a))
+    monkeypatch.setattr(background, "HEAVY", 50)
+    n, rng = 20_000, np.random.default_rng(1)
+    edges = [(i, i % 7 * 3 + k, 0.5 + k / 4) for i in range(100, 200) for k in range(3)] + [(5, j, 1.0) for j in range(300, 400)] + [(i, i + 1, 0.3) for i in range(9000, 9050)]
+    x = rng.integers(0, n // 2, n).astype(float)
+    values = spark.createDataFrame([(i, "a", float(v)) for i, v in enumerate(x.tolist())], "id long, feature string, value double")
+    got = graph.permutation_p(values, spark.createDataFrame(edges, "i long, j long, w double"), 30).first()
+    order = np.sort(x)
+    rank = (np.searchsorted(order, x, "left") + np.searchsorted(order, x, "right") + 1) / 2
+    i, j, w = (np.array(c) for c in zip(*edges))
+    c = lambda y: 1 - w @ (y[i] - y[j]) ** 2 / (2 * w.sum() * rank.var(ddof=1))
+    hits = sum(round(c(rank[background.places(np.arange(n), n, np.int64(r))]) - c(rank), 12) >= 0 for r in range(30))
+    assert got["c"] == pytest.approx(c(rank)) and got["p"] == pytest.approx((hits + 1) / 31) and len(asked) == 1
+    i, j, w = i.astype(np.int64), j.astype(np.int64), w.astype(float)
+    shared = background._Shared(i, j, w)
+    assert len(shared.count) < 70  # 7 lists of 100 nodes, one of many edges, and 50 chained nodes
+    y = np.stack([rank, x], axis=1)
+    assert shared.sums(y[shared.nodes]) == pytest.approx(w @ (y[i] - y[j]) ** 2)
