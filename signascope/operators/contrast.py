@@ -61,20 +61,32 @@ def meta_comparison(numbers: DataFrame, factors: DataFrame, levels: DataFrame) -
     return stats.bh(ranked.unionByName(tables), "p", ["var", "level"], ["feature"])
 
 
+def _side_counts(expr: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gene, value, a, b): how many cells of either side have a value of a gene.
+
+    All that follows is made from these counts, so cells are read once and never sorted or sent by value.
+    """
+    side = lambda s: F.sum((F.col("side") == s).cast("long"))
+    return saved(expr.join(groups, "cell").groupBy("gene", "value").agg(side("A").alias("a"), side("B").alias("b")))
+
+
 def sparse_rank_sum(expr: DataFrame, groups: DataFrame) -> DataFrame:
     """(gene, auc, p): rank-sum per gene of group A against group B, zeros as one tie block.
 
     ``groups``: (cell, side) with side 'A' or 'B'.  Ranks are within A and B; a non-zero's rank is its place among non-zeros plus
     the number of zeros, and zeros share the mean of their places.
     """
+    return _rank_sum_of_counts(_side_counts(expr, groups), groups)
+
+
+def _rank_sum_of_counts(counts: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = groups.groupBy().agg(F.sum((F.col("side") == "A").cast("long")).alias("na"), F.count(F.lit(1)).alias("n"))
-    some = expr.where("value > 0").join(groups, "cell")
-    ranked = stats.average_rank(some, ["gene"], "value")
-    tie = some.groupBy("gene", "value").agg(F.count(F.lit(1)).alias("t")).groupBy("gene").agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("t3"), F.sum("t").alias("nz"))
-    part = ranked.groupBy("gene").agg(F.sum(F.when(F.col("side") == "A", F.col("rank"))).alias("ra"), F.sum((F.col("side") == "A").cast("long")).alias("nza"))
-    full = part.join(tie, "gene").crossJoin(F.broadcast(sizes))
+    some = counts.where("value > 0").select("gene", "value", "a", (F.col("a") + F.col("b")).alias("t"))
+    rank = F.col("upto") - (F.col("t") - 1) / 2
+    part = stats.running_sum(some, ["gene"], "value", "t", "upto").groupBy("gene").agg(F.sum(rank * F.col("a")).alias("ra"), F.sum("a").alias("nza"), F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("t3"), F.sum("t").alias("nz"))
+    full = part.crossJoin(F.broadcast(sizes))
     z = F.col("n") - F.col("nz")
-    r1 = F.coalesce("ra", F.lit(0.0)) + F.col("nza") * z + (F.col("na") - F.col("nza")) * (z + 1) / 2
+    r1 = F.col("ra") + F.col("nza") * z + (F.col("na") - F.col("nza")) * (z + 1) / 2
     full = full.select("gene", r1.alias("r1"), F.col("na").alias("n1"), "n", (F.col("t3") + z * z * z - z).alias("ties"))
     return _rank_sum(full).select("gene", "auc", "p")
 
@@ -85,12 +97,14 @@ def differential(expr: DataFrame, groups: DataFrame, min_cells: int = 0) -> Data
     Genes must be detected in at least ``min_cells`` of all cells and in some cell of either group.
     """
     found = expr.where("value > 0").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_cells).select("gene")
-    expr = expr.join(found, "gene", "left_semi")
+    counts = _side_counts(expr, groups)
+    kept = counts.join(found, "gene", "left_semi")
     sizes = groups.agg(F.sum((F.col("side") == "A").cast("long")).alias("na"), F.sum((F.col("side") == "B").cast("long")).alias("nb"))
-    means = expr.join(groups, "cell").groupBy("gene").agg(*[F.sum(F.when(F.col("side") == s, F.col("value")).otherwise(0.0)).alias("s" + s) for s in "AB"]).crossJoin(F.broadcast(sizes))
+    total = lambda c: F.sum(F.when(F.col(c) > 0, F.col("value").cast("double") * F.col(c)).otherwise(0.0))
+    means = kept.groupBy("gene").agg(total("a").alias("sA"), total("b").alias("sB")).crossJoin(F.broadcast(sizes))
     bias = 1 / F.sqrt(F.col("na") * F.col("nb"))
     fold = F.log2((F.col("sA") / F.col("na") + bias) / (F.col("sB") / F.col("nb") + bias))
-    out = sparse_rank_sum(expr, groups).join(means.select("gene", fold.alias("log_fc")), "gene")
+    out = _rank_sum_of_counts(counts, groups).join(means.select("gene", fold.alias("log_fc")), "gene")
     return stats.bh(out, "p", [], ["gene"]).select("gene", "log_fc", "auc", "p", "fdr")
 
 

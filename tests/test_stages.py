@@ -404,3 +404,28 @@ def test_permutations_in_one_pass_of_shared_neighbours(spark, monkeypatch):
     assert len(shared.count) < 70  # 7 lists of 100 nodes, one of many edges, and 50 chained nodes
     y = np.stack([rank, x], axis=1)
     assert shared.sums(y[shared.nodes]) == pytest.approx(w @ (y[i] - y[j]) ** 2)
+
+
+def test_differential_reads_cells_twice_and_sends_no_ranks(spark):
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 5, (60, 8)).astype(float)
+    x[:, 7] = 0
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = [(c, f"g{g}", float(x[c, g])) for c in range(60) for g in range(8)]
+    expr = spark.createDataFrame(rows, "cell long, gene string, value double").repartition(3).mapInPandas(counted, "cell long, gene string, value double")
+    groups = spark.createDataFrame([(c, "A" if c % 3 else "B") for c in range(50)], "cell long, side string")
+    got = {r["gene"]: r for r in contrast.differential(expr, groups, 3).collect()}
+    assert seen.value <= 2 * len(rows)
+    a, b = ([c for c in range(50) if bool(c % 3) == s] for s in (True, False))
+    assert set(got) == {f"g{g}" for g in range(7)}
+    for g in range(7):
+        u = sum((x[i, g] > x[j, g]) + (x[i, g] == x[j, g]) / 2 for i in a for j in b)
+        bias = 1 / (len(a) * len(b)) ** 0.5
+        assert got[f"g{g}"]["auc"] == pytest.approx(u / len(a) / len(b))
+        assert got[f"g{g}"]["log_fc"] == pytest.approx(np.log2((x[a, g].mean() + bias) / (x[b, g].mean() + bias)))
