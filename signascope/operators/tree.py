@@ -182,12 +182,28 @@ def clusters_by_min_clade(tree: DataFrame, up: DataFrame, sizes: DataFrame, size
     return path.where("not open").groupBy("node").agg(F.max_by("anc", "hops").alias("cluster"))
 
 
+def _spans(tree: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(low, size, high, nodes): how many nodes have ``size`` tips, ``low`` in their smallest child clade (0: no child) and
+    ``high`` in the parent's clade (null: no parent).
+
+    Written once; a search over sizes counts clusters in it and does not make them.
+    """
+    low = child_clades(tree, sizes).select("node", F.col("least").alias("low"))
+    above = sizes.select(F.col("node").alias("parent"), F.col("size").alias("high"))
+    full = tree.join(sizes, "node").join(low, "node", "left").join(above, "parent", "left")
+    return saved(full.groupBy(F.coalesce("low", F.lit(0)).alias("low"), "size", "high").agg(F.count(F.lit(1)).alias("nodes")))
+
+
+def _clusters(spans: DataFrame, chosen) -> int:
+    return spans.where(chosen).agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0]
+
+
 def clusters_to_target(tree: DataFrame, up: DataFrame, sizes: DataFrame, target: int = 10) -> DataFrame:
     """``clusters_by_size`` at the largest size that gives at least ``target`` clusters (found by halving)."""
-    low, high = 1, int(sizes.agg(F.max("size")).first()[0] or 1)
+    low, high, spans = 1, int(sizes.agg(F.max("size")).first()[0] or 1), _spans(tree, sizes)
     while low < high:
         mid = (low + high + 1) // 2
-        if clusters_by_size(tree, up, sizes, mid).select("cluster").distinct().count() >= target:
+        if _clusters(spans, (F.col("size") <= mid) & (F.col("high").isNull() | (F.col("high") > mid))) >= target:
             low = mid
         else:
             high = mid - 1
@@ -200,15 +216,16 @@ def clusters_at_depth(tree: DataFrame, up: DataFrame, sizes: DataFrame, target:
     The search moves up where a cut gives at least ``target`` clusters and down where it gives fewer, and keeps the cut it
     tried last, which may be one with fewer (halves are rounded to even).
     """
-    low, high, tip = 0, int(sizes.agg(F.max("size")).first()[0] or 1), tips(tree)
-    path, found = up.join(tip, "node"), tip.select("node", F.col("node").alias("cluster"))
+    low, high, tip, cut = 0, int(sizes.agg(F.max("size")).first()[0] or 1), tips(tree), 0
+    spans = _spans(tree, sizes)
     while low != high and (d := round((low + high) / 2)):
-        found = ancestor_at_size(path, sizes, d).withColumnRenamed("anc", "cluster")
-        enough = found.select("cluster").distinct().count() >= target
+        cut = d
+        # nodes that some tip's way up enters at d, and trees that are smaller
+        enough = _clusters(spans, (F.col("low") < d) & (F.col("size") >= d) | F.col("high").isNull() & (F.col("size") < d)) >= target
         if d == (low if enough else high):
             break
         low, high = (d, high) if enough else (low, d)
-    return found
+    return ancestor_at_size(up.join(tip, "node"), sizes, cut).withColumnRenamed("anc", "cluster") if cut else tip.select("node", F.col("node").alias("cluster"))
 
 
 def clusters_cladewise(tree: DataFrame, up: DataFrame, sizes: DataFrame, target: int = 10, by: str = "size") -> DataFrame:

@@ -429,3 +429,33 @@ def test_differential_reads_cells_twice_and_sends_no_ranks(spark):
         bias = 1 / (len(a) * len(b)) ** 0.5
         assert got[f"g{g}"]["auc"] == pytest.approx(u / len(a) / len(b))
         assert got[f"g{g}"]["log_fc"] == pytest.approx(np.log2((x[a, g].mean() + bias) / (x[b, g].mean() + bias)))
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_searches_over_sizes_count_clusters_without_making_them(spark, seed, monkeypatch):
+    """A tree with chains, and a second one of three tips; the cuts are those of a search that makes all clusters."""
+    rows, parent = random_tree(60, seed)
+    more = [("x", None), ("x1", "x"), ("x2", "x1"), ("x3", "x1"), ("x4", "x")]
+    parent = parent | dict(more)
+    t = graph.saved(spark.createDataFrame(rows + more, "node string, parent string"))
+    up = graph.saved(trees.closure(t))
+    sizes = graph.saved(trees.clade_sizes(t, up))
+    tips = sorted(set(parent) - set(parent.values()))
+    size = {x: sum(x in up_of(parent, y) for y in tips) for x in parent}
+    lowest = lambda d: {x: next((y for y in up_of(parent, x) if size[y] >= d), up_of(parent, x)[-1]) for x in tips}
+    highest = lambda s: {x: [y for y in up_of(parent, x) if size[y] <= s][-1] for x in tips}
+    made = []
+    for name in ("ancestor_at_size", "clusters_by_size"):
+        monkeypatch.setattr(trees, name, lambda *a, own=getattr(trees, name): made.append(a) or own(*a))
+    for target in (1, 3, 8, len(tips)):
+        low, high, want = 0, max(size.values()), {x: x for x in tips}
+        while low != high and (d := round((low + high) / 2)):
+            want = lowest(d)
+            enough = len(set(want.values())) >= target
+            if d == (low if enough else high):
+                break
+            low, high = (d, high) if enough else (low, d)
+        assert {r["node"]: r["cluster"] for r in trees.clusters_at_depth(t, up, sizes, target).collect()} == want
+        best = max((s for s in range(1, max(size.values()) + 1) if len(set(highest(s).values())) >= target), default=1)
+        assert {r["node"]: r["cluster"] for r in trees.clusters_to_target(t, up, sizes, target).collect()} == highest(best)
+    assert len(made) <= 8
