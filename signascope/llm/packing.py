@@ -34,8 +34,9 @@ from signascope.llm.common import slices
 SPARE = 4
 #: Entries at which a word cache starts anew.  Only speed depends on it.
 CACHED = 1 << 19
-#: Stripped from the end of words before these are looked up; none of them is part of a letter run in the vocabulary's split.
-MARKS = ".,;:!?"
+#: Stripped from the end of words before these are looked up; none of them is part of a letter run in the vocabulary's split
+#: or ends a special token.
+MARKS = ".,;:!?%#$*&@~=+-_/\"()[]{}"
 #: Python splits words at these, the vocabulary does not: texts that hold one are encoded as they are.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 #: How byte-level vocabularies write a byte that is no visible sign of Latin-1: by the signs from 256 on, in order.
@@ -58,60 +59,55 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Words:
-    """Ids of whole texts as 32-bit numbers in bytes, by way of their words.
+class Words(dict):
+    """Ids of words, and of whole texts by way of their words, as 32-bit numbers in bytes.
 
     The vocabulary drops white space and no token, normalisation or special token reaches across it, so the ids of a
     text are those of its words one after the other.  Marks at a word's end are a run of their own when a letter or
-    digit stands before them.
+    digit stands before them.  A word is encoded when it is first looked up.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.cores: dict[str, bytes] = {}
 
-    def _encode(self, cores: list[str]) -> None:
-        if len(self.cores) > 2 * CACHED:
-            self.cores.clear()
-        rest, put, tokenize = [], self.cores, self.model.tokenize
-        for c in cores:
-            if c.isalpha() and max(c) < "ɐ" and c == c.lower():  # one run of letters in normal form: the model alone
-                put[c] = array("I", [x.id for x in tokenize(c if c.isascii() else c.encode().decode("latin-1").translate(BYTES))]).tobytes()
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            core = word.rstrip(MARKS)
+            letters = core.isalpha() and (core.isascii() or max(core) < "ɐ" and "İ" not in core)
+            if core and not letters and core != word and not (core[-1] < "ɐ" and core[-1].lower()[-1].isalnum()):
+                core = word
+            ids = self._core(core.lower() if letters else core, letters)
+            if len(core) < len(word):
+                ids += self._core(word[len(core) :], False)
+        self[word] = ids
+        return ids
+
+    def _core(self, core: str, letters: bool) -> bytes:
+        ids = self.cores.get(core)
+        if ids is None:
+            if len(self.cores) > 2 * CACHED:
+                self.cores.clear()
+            if letters:  # one run of letters in normal form: the model alone
+                found = [x.id for x in self.model.tokenize(core if core.isascii() else core.encode().decode("latin-1").translate(BYTES))]
             else:
-                rest.append(c)
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.cores[c] = array("I", e.ids).tobytes()
-
-    def _learn(self, new: set[str]) -> None:
-        parts = []
-        for w in new:
-            core = w.rstrip(MARKS)
-            if core and core != w and not (core[-1] < "ɐ" and core[-1].lower()[-1].isalnum()):
-                core = w
-            end = w[len(core) :]
-            parts.append((w, core.lower() if core.isalpha() and max(core) < "ɐ" and "İ" not in core else core, end))
-        cores = {core for _, core, _ in parts if core} | {end for *_, end in parts if end}
-        if missing := cores.difference(self.cores):
-            self._encode(sorted(missing))
-        if missing := cores.difference(self.cores):  # the cache began anew
-            self._encode(sorted(missing))
-        get = self.cores.get
-        self.words.update((w, get(core, b"") + get(end, b"")) for w, core, end in parts)
+                found = self.tokenizer.encode(core, add_special_tokens=False).ids
+            ids = self.cores[core] = array("I", found).tobytes()
+        return ids
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [[] if SEPARATORS.search(t) else t.split() for t in texts]
-        used = set().union(*split)
-        if len(self.words) > CACHED:
-            self.words, self.old = {}, self.words
-        if new := used.difference(self.words):
-            kept = new.intersection(self.old)
-            self.words.update((w, self.old[w]) for w in kept)
-            self._learn(new.difference(kept))
-        get = self.words.__getitem__
-        return [b"".join(map(get, ws)) if ws else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() for t, ws in zip(texts, split)]
+        out, get = [], self.__getitem__
+        for text in texts:
+            if len(self) > CACHED:
+                self.old = self.copy()
+                self.clear()
+            words = [] if SEPARATORS.search(text) else text.split()
+            out.append(b"".join(map(get, words)) if words else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes())
+        return out
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:

@@ -71,6 +71,25 @@ def test_words_give_the_ids_of_the_whole_text(monkeypatch):
         assert [*np.frombuffer(words.ids([text])[0], "<u4").tolist(), 1] == whole_ids(text), text
 
 
+def test_words_ending_in_any_mark_give_the_ids_of_the_whole_text():
+    words, rng = packing.Words(packing.default_tokenizer()), random.Random(6)
+    assert set("%#$*&@~=+-_/") <= set(packing.MARKS)  # noisy words share their core
+    signs = [*packing.MARKS, *"aBé1'>|<ȺʼnßΣ中", "\u0338", "\u0301", " ", " ", "<|endoftext|>", "'s", "Word", "été"]
+    for _ in range(3000):
+        text = "".join(rng.choice(signs) for _ in range(rng.randrange(14)))
+        assert [*np.frombuffer(words.ids([text])[0], "<u4").tolist(), 1] == whole_ids(text), text
+
+
+def test_known_words_are_looked_up_and_not_walked():
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("every older word is visited for a few new ones")
+
+    words = packing.Words(packing.default_tokenizer())
+    words.old = Known({"older": b"1234"})
+    assert words.ids(["older older"]) == [b"12341234"]
+
+
 def test_differencing_is_near_equal_and_rises():
     rng = random.Random(8)
     for _ in range(100):
