@@ -71,6 +71,20 @@ def test_suffix_repeated_and_null_ids_and_empty_table(spark):
     assert suffix.repeats(docs_of(spark, [])).collect() == []
 
 
+def test_suffix_deals_a_text_with_many_copies_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(suffix, "BUCKET", 50)
+    slim = spark.range(400, numPartitions=8).selectExpr("id", "id as h", "if(id < 320, 'same', cast(id div 2 as string)) as m")
+    copies = suffix.materialise(slim.groupBy("m").agg(F.count("*").alias("n")), "texts")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tasks = [x.where("m = 'same'").select(F.spark_partition_id().alias("p")).distinct().count() for x in (suffix._with_copies(slim, copies), slim.join(copies, "m"))]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert tasks[0] > 1 == tasks[1]
+    assert suffix._with_copies(slim, copies).count() == 400
+
+
 # op2, op7
 def held_out_rows(spark, op, sf, col, cut):
     docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
