@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,33 +11,121 @@ from signascope.operators.graph import knn, louvain_levels, louvain_weights, sav
 
 FANOUT = 16  # centres that one cluster is split into at a time
 LEAST = 1e-3  # share of the spread that another iteration must take away
+WHOLE = 1 << 16  # cells of a cluster that one task splits by itself, 32 MB of 64 coordinates
 
 
-def _squared(x, y):
-    return F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``centres`` is nearest to each row of ``x``, the first of equally near ones, and its squared distance."""
+    at, best = np.zeros(len(x), int), np.full(len(x), np.inf)
+    for k, c in enumerate(centres):
+        d = x - c
+        d = np.einsum("ij,ij->i", d, d)
+        closer = d < best
+        at[closer], best[closer] = k, d[closer]
+    return at, best
 
 
-def _means(points: DataFrame, by: list[str]) -> DataFrame:
-    """(by, vec): mean vector of each group."""
-    flat = points.select(*by, F.posexplode("vec")).groupBy(*by, "pos").agg(F.avg("col").alias("x"))
-    return flat.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("vec"))
+def _sums(x: np.ndarray, at: np.ndarray, many: int) -> np.ndarray:
+    """Sum of the rows of ``x`` by number, and how many there are in a last column."""
+    return (np.arange(many)[:, None] == at) @ np.column_stack([x, np.ones(len(x))])
 
 
-def _kmeans(points: DataFrame, wanted: DataFrame, rounds: int) -> DataFrame:
-    """(id, cluster, vec, k): Lloyd's iterations within each cluster of ``wanted`` (cluster, centres), from its first cells by md5."""
-    order = Window.partitionBy("cluster").orderBy("h", "id")
-    first = points.join(wanted, "cluster").withColumn("h", F.md5(F.col("id").cast("string").cast("binary"))).withColumn("k", F.row_number().over(order))
-    centres = first.where(F.col("k") <= F.col("centres")).select("cluster", "k", "vec")
-    member, before = None, None
-    for _ in range(rounds):
-        listed = saved(centres.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("k", "vec"))).alias("all")))
-        near = F.array_min(F.transform("all", lambda c: F.struct(_squared(F.col("vec"), c["vec"]).alias("d"), c["k"].alias("k"))))
-        member = saved(points.join(listed, "cluster").select("id", "cluster", "vec", near.alias("near")).select("id", "cluster", "vec", "near.k", "near.d"))
-        spread = member.agg(F.sum("d")).first()[0] or 0.0
-        if before is not None and spread >= before * (1 - LEAST):
-            break
-        before, centres = spread, _means(member, ["cluster", "k"])
-    return member.select("id", "cluster", "vec", "k")
+class _Lloyd:
+    """Lloyd's iterations of one cluster: from its first cells, until another takes away less than LEAST of the spread."""
+
+    def __init__(self, first: np.ndarray, rounds: int):
+        self.centres, self.names, self.spread, self.left = first, np.arange(1, len(first) + 1), None, rounds
+
+    def next(self, sums: np.ndarray, spread: float) -> bool:
+        """Takes the means of what is nearest to each centre; False, and no change, if that was the last iteration."""
+        self.left -= 1
+        if self.left <= 0 or (self.spread is not None and spread >= self.spread * (1 - LEAST)):
+            return False
+        used = sums[:, -1] > 0
+        self.spread, self.names, self.centres = spread, self.names[used], sums[used, :-1] / sums[used, -1:]
+        return True
+
+
+def _vectors(column) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(len(column), -1)
+
+
+def _split_whole(points: DataFrame, wanted: DataFrame, rounds: int, parts: int) -> DataFrame:
+    """Clusters of ``wanted`` (cluster, centres), each split by one task."""
+
+    def one(table):
+        table = table.combine_chunks().sort_by([("h", "ascending"), ("id", "ascending")]).combine_chunks()
+        x, k = _vectors(table.column("vec").chunk(0)), table.column("centres")[0].as_py()
+        lloyd = _Lloyd(x[:k], rounds)
+        while True:
+            at, d = _nearest(x, lloyd.centres)
+            if not lloyd.next(_sums(x, at, len(lloyd.centres)), d.sum()):
+                break
+        name = table.column("cluster")[0].as_py()
+        names = pa.array([f"{name}.{k}" for k in lloyd.names.tolist()], pa.string()).take(pa.array(at))
+        return pa.table({"id": table.column("id"), "cluster": names, "vec": table.column("vec"), "h": table.column("h")})
+
+    return points.join(wanted, "cluster").repartition(parts, "cluster").groupBy("cluster").applyInArrow(one, points.schema)
+
+
+def _split_large(points: DataFrame, wanted: dict[str, int], rounds: int) -> DataFrame:
+    """Large clusters of ``wanted`` (centres by name), split by all tasks: an iteration is a job that sends sums by centre."""
+    spark, points = points.sparkSession, saved(points.where(F.col("cluster").isin(list(wanted))))
+
+    def by_cluster(b, some):
+        of = b.column("cluster").dictionary_encode()
+        for k, name in enumerate(of.dictionary.to_pylist()):
+            if name in some:
+                yield name, np.flatnonzero(np.asarray(of.indices) == k)
+
+    def first(batches):
+        """Of each cluster the first cells of a task by md5 and id."""
+        held = {}
+        for b in batches:
+            for name, at in by_cluster(b, wanted):
+                t = pa.Table.from_batches([b.take(pa.array(at))])
+                t = pa.concat_tables([held[name], t]) if name in held else t
+                held[name] = t.sort_by([("h", "ascending"), ("id", "ascending")]).slice(0, wanted[name]).combine_chunks()
+        for t in held.values():
+            yield from t.to_batches()
+
+    found = points.mapInArrow(first, points.schema).toArrow().sort_by([("h", "ascending"), ("id", "ascending")]).to_pylist()
+    lloyds = {c: _Lloyd(np.array([r["vec"] for r in found if r["cluster"] == c][:k], float), rounds) for c, k in wanted.items()}
+    going = set(wanted)
+    while going:
+        sent = spark.sparkContext.broadcast({c: lloyds[c].centres for c in going})
+
+        def sums(batches):
+            total = {}
+            for b in batches:
+                x = _vectors(b.column("vec"))
+                for name, at in by_cluster(b, sent.value):
+                    near, d = _nearest(x[at], sent.value[name])
+                    old = total.get(name, (0.0, 0.0))
+                    total[name] = old[0] + _sums(x[at], near, len(sent.value[name])), old[1] + d.sum()
+            for name, (s, d) in total.items():
+                yield pa.RecordBatch.from_pydict({"cluster": [name], "sums": pa.array([s.reshape(-1)], pa.list_(pa.float64())), "spread": [float(d)]})
+
+        made = {}
+        for r in points.mapInArrow(sums, "cluster string, sums array<double>, spread double").toArrow().to_pylist():
+            made.setdefault(r["cluster"], []).append((r["spread"], np.array(r["sums"])))
+        sent.destroy()
+        for c in list(going):
+            # in an order of their own, so that the order of tasks does not decide
+            tasks = sorted(made[c], key=lambda t: (t[0], t[1][0]))
+            if not lloyds[c].next(sum(t[1] for t in tasks).reshape(len(lloyds[c].centres), -1), sum(t[0] for t in tasks)):
+                going.remove(c)
+    sent = spark.sparkContext.broadcast({c: (x.centres, x.names) for c, x in lloyds.items()})
+
+    def named(batches):
+        for b in batches:
+            x, names = _vectors(b.column("vec")), np.zeros(b.num_rows, object)
+            for name, at in by_cluster(b, sent.value):
+                centres, own = sent.value[name]
+                names[at] = np.array([f"{name}.{k}" for k in own.tolist()], object)[_nearest(x[at], centres)[0]]
+            yield b.set_column(b.schema.get_field_index("cluster"), "cluster", pa.array(names.tolist(), pa.string()))
+
+    return points.mapInArrow(named, points.schema)
 
 
 def split_clusters(latent: DataFrame, clusters: DataFrame, cells: int = 100, slack: float = 0.15, rounds: int = 100) -> DataFrame:
@@ -44,18 +133,25 @@ def split_clusters(latent: DataFrame, clusters: DataFrame, cells: int = 100, sla
 
     As long as there are fewer than (1 - ``slack``) of that number, each cluster of more than ``cells`` cells is split by k-means
     into its size over ``cells``, at most ``FANOUT`` at a time, so that a cell is held against a bounded number of
-    centres however large its cluster is.  Clusters of equal cells stay whole.
+    centres however large its cluster is.  A cluster of up to ``WHOLE`` cells is split by one task, all at once; a larger one is
+    worked on by all tasks.  Clusters of equal cells stay whole.
     """
-    points = saved(latent.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).join(clusters.select("id", F.col("cluster").cast("string").alias("cluster")), "id"))
-    target = round(points.count() / cells)
-    now = points.select("cluster").distinct().count()
+    h = F.md5(F.col("id").cast("string").cast("binary"))
+    points = latent.select("id", F.transform("vec", lambda x: x.cast("double")).alias("vec")).join(clusters.select("id", F.col("cluster").cast("string").alias("cluster")), "id")
+    points = saved(points.select("id", "cluster", "vec", h.alias("h")))
+    size = saved(points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+    now, n = size.agg(F.count(F.lit(1)), F.sum("n")).first()
+    target = round((n or 0) / cells)
+    parts = max(4 * points.sparkSession.sparkContext.defaultParallelism, (n or 0) // WHOLE)
     while now < (1 - slack) * target:
-        size = points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-        wanted = saved(size.where(F.col("n") > cells).select("cluster", F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.round(F.col("n") / cells))).cast("int").alias("centres")))
-        split = _kmeans(points.join(wanted.select("cluster"), "cluster", "left_semi"), wanted, rounds)
-        whole = points.join(wanted.select("cluster"), "cluster", "left_anti").select("id", "cluster", "vec")
-        points = saved(split.select("id", F.concat_ws(".", "cluster", "k").alias("cluster"), "vec").unionByName(whole))
-        before, now = now, points.select("cluster").distinct().count()
+        wanted = size.where(F.col("n") > cells).select("cluster", "n", F.least(F.lit(FANOUT), F.greatest(F.lit(2), F.round(F.col("n") / cells))).cast("int").alias("centres"))
+        large = {r["cluster"]: r["centres"] for r in wanted.where(F.col("n") > WHOLE).collect()}
+        split = _split_whole(points, wanted.where(F.col("n") <= WHOLE).select("cluster", "centres"), rounds, parts)
+        if large:
+            split = split.unionByName(_split_large(points, large, rounds))
+        points = saved(split.unionByName(points.join(wanted.select("cluster"), "cluster", "left_anti").select(*points.columns)))
+        size = saved(points.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")))
+        before, now = now, size.count()
         if now == before:
             break
     return points.select("id", "cluster")

@@ -459,3 +459,44 @@ def test_searches_over_sizes_count_clusters_without_making_them(spark, seed, mon
         best = max((s for s in range(1, max(size.values()) + 1) if len(set(highest(s).values())) >= target), default=1)
         assert {r["node"]: r["cluster"] for r in trees.clusters_to_target(t, up, sizes, target).collect()} == highest(best)
     assert len(made) <= 8
+
+
+def _jobs(spark, work) -> int:
+    """Jobs that ``work`` starts."""
+    name = f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def _blobs(spark, n: int, parts: int):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(n, 4)) + 4 * rng.normal(size=(parts, 4))[np.arange(n) % parts]
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+
+
+def test_pools_take_few_jobs(spark):
+    vec = _blobs(spark, 200, 4)
+    found = []
+    n = _jobs(spark, lambda: found.extend(pools.micro_clusters(vec, 10, 8).collect()))
+    assert sorted(r["cell"] for r in found) == list(range(200)) and len({r["pool"] for r in found}) >= 17
+    assert n < 100
+
+
+def test_communities_and_pools_are_the_same_in_driver_and_tasks(spark, monkeypatch):
+    vec = _blobs(spark, 200, 4)
+    edges = graph.saved(graph.louvain_weights(graph.knn(vec, 8)))
+    own = {r["id"]: r["cluster"] for r in graph.louvain_levels(edges).collect()}
+    coarse = spark.createDataFrame(list(own.items()), "id long, cluster long")
+    fine = {tuple(r) for r in pools.split_clusters(vec, coarse, 10).collect()}
+    monkeypatch.setattr(graph, "MOVED_HERE", 20)
+    monkeypatch.setattr(pools, "WHOLE", 25)
+    assert {r["id"]: r["cluster"] for r in graph.louvain_levels(edges).collect()} == own
+    assert {tuple(r) for r in pools.split_clusters(vec, coarse, 10).collect()} == fine
+    # names, not numbers; an edge to itself; no edges at all
+    named = spark.createDataFrame([("b", "c", 1.0), ("c", "b", 1.0), ("x", "y", 1.0), ("x", "x", 1.0)], "i string, j string, w double")
+    assert {tuple(r) for r in graph.louvain_levels(named).collect()} == {("b", "b"), ("c", "b"), ("x", "x"), ("y", "x")}
+    assert graph.louvain_levels(named.limit(0)).collect() == []
