@@ -500,3 +500,13 @@ def test_communities_and_pools_are_the_same_in_driver_and_tasks(spark, monkeypat
     named = spark.createDataFrame([("b", "c", 1.0), ("c", "b", 1.0), ("x", "y", 1.0), ("x", "x", 1.0)], "i string, j string, w double")
     assert {tuple(r) for r in graph.louvain_levels(named).collect()} == {("b", "b"), ("c", "b"), ("x", "x"), ("y", "x")}
     assert graph.louvain_levels(named.limit(0)).collect() == []
+
+
+def test_trajectory_distances_are_dealt_to_tasks(spark, monkeypatch):
+    """All cells lie in one part; their pairs are the work of several tasks, and rounding agrees with decimals."""
+    monkeypatch.setattr(trajectory, "PAIRS", 2_000)
+    edges = spark.createDataFrame([("a", "b", 2.0)], "a string, b string, length double")
+    prog = spark.range(0, 200, 1, 1).select(F.col("id").alias("cell"), F.lit("a").alias("a"), F.lit("b").alias("b"), (F.col("id") / 200).alias("position"))
+    found = trajectory.distances(edges, prog, prog.where("cell % 2 = 0")).select("i", "j", "dist", F.spark_partition_id().alias("p")).collect()
+    assert {(r["i"], r["j"]): round(r["dist"], 9) for r in found} == {(i, j): round(abs(i - j) / 100, 9) for i in range(0, 200, 2) for j in range(200) if i != j}
+    assert len({r["p"] for r in found}) > 4
