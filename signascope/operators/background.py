@@ -261,6 +261,22 @@ def ranks(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _as_bytes(x: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Numbers as one string of bytes for each part between ``cuts``, which passes through Spark without a look at each number."""
+    x = np.ascontiguousarray(x)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * x.itemsize).astype(np.int32)), pa.py_buffer(x)])
+
+
+def _from_bytes(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a column of bytes, and the cuts between its rows."""
+    column = pa.concat_arrays([column.cast(pa.binary())])
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int32)
+    size = np.dtype(kind).itemsize
+    found = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind) if ends[-1] > ends[0] else np.zeros(0, kind)
+    return found, (ends - ends[0]) // size
+
+
 def random_autocorrelation(entries: DataFrame, cells: DataFrame, genes: DataFrame, edges: DataFrame, groups: list[tuple[int, int, float]], size: int, seed: int = 0) -> DataFrame:
     """(grp, bg): autocorrelation of the scores of ``size`` random signatures a group (grp, k, balance).
 
@@ -277,10 +293,9 @@ def random_autocorrelation(entries: DataFrame, cells: DataFrame, genes: DataFram
     rows = names.select("place", "ro").toArrow()
     offsets[np.asarray(rows.column(0))] = np.asarray(rows.column(1))
     listed = entries.join(names.select("gene", F.col("place").cast("int").alias("g")), "gene").groupBy("cell").agg(F.collect_list(F.struct("g", "v")).alias("e"))
-    none = F.lit(None).cast("array<int>")
-    wide = own.join(listed, "cell", "left").select("place", F.col("co").cast("double"), F.col("cs").cast("double"), F.col("e.g").alias("g"), none.alias("h"), F.col("e.v").cast("array<double>").alias("v"))
+    wide = own.join(listed, "cell", "left").select("place", F.col("co").cast("double"), F.col("cs").cast("double"), F.col("e.g").alias("g"), F.col("e.v").cast("array<double>").alias("v"))
     a, b = (own.select(F.col("cell").alias(s), F.col("place").cast("int").alias("p" + s)) for s in "ij")
-    ends = edges.join(a, "i").join(b, "j").select("pi", "pj", F.col("w").cast("double").alias("w"))
+    ends = edges.join(a, "i").join(b, "j").select("pi", "pj", F.col("w").cast("double").alias("w")).sortWithinPartitions("pi", "pj")
     many = len(groups) * size
     if not many or not n:
         return spark.createDataFrame([], "grp int, bg double")
@@ -293,32 +308,43 @@ def random_autocorrelation(entries: DataFrame, cells: DataFrame, genes: DataFram
             cuts = pa.array(np.append(np.arange(0, b.num_rows, LISTED), b.num_rows), pa.int32())
             rows = len(cuts) - 1
             if rows:
-                i, j, w = (pa.ListArray.from_arrays(cuts, b.column(k)) for k in range(3))
+                i, j, w = (_as_bytes(np.asarray(b.column(k)), np.asarray(cuts)) for k in range(3))
                 yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.float64()), pa.nulls(rows, pa.float64()), i, j, w], ["place", "co", "cs", "g", "h", "v"])
 
+    def bytes_of(batches):
+        """Cells, with their genes and values as bytes."""
+        for b in batches:
+            cuts = np.append(0, np.cumsum(b.column("g").value_lengths().fill_null(0).to_numpy()))
+            g, v = (_as_bytes(np.asarray(b.column(c).flatten()), cuts) for c in "gv")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("place", "co", "cs")), g, pa.nulls(b.num_rows, pa.binary()), v], ["place", "co", "cs", "g", "h", "v"])
+
     def measured(batches):
         """Scores of a block of signatures for all cells, their ranks once all cells are there, then sums over the edges."""
         block, held, top, weight, there, early = None, None, None, 0.0, 0, []
 
         def scored(b):
-            lengths = b.column("g").value_lengths().fill_null(0).to_numpy()
-            gene, value = np.asarray(b.column("g").flatten()), np.asarray(b.column("v").flatten())
-            put = np.argsort(gene, kind="stable")
-            gene, value, cell = gene[put], value[put], np.repeat(np.arange(len(lengths)), lengths)[put]
+            (gene, cuts), (value, _) = _from_bytes(b.column("g"), np.int32), _from_bytes(b.column("v"), np.float64)
+            cell = np.repeat(np.arange(b.num_rows), np.diff(cuts))
+            # of the entries only those of the block's genes are sorted
+            mine = np.flatnonzero(used[gene])
+            mine = mine[np.argsort(gene[mine], kind="stable")]
+            gene, value, cell = gene[mine], value[mine], cell[mine]
             raw = np.zeros((len(held), b.num_rows))
-            cuts = np.flatnonzero(np.diff(gene, prepend=-1, append=-1)) if len(gene) else []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if (users := genes_of.get(int(gene[lo]))) is not None:
-                    column = np.bincount(cell[lo:hi], value[lo:hi], b.num_rows)
-                    for c, s in users:
-                        raw[c] += s * column
+            if len(gene):
+                once = np.flatnonzero((np.diff(gene, prepend=-1) != 0) | (np.diff(cell, prepend=-1) != 0))
+                gene, cell, value = gene[once], cell[once], np.add.reduceat(value, once)
+                cuts = np.flatnonzero(np.diff(gene, prepend=-1, append=-1))
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    at, v = cell[lo:hi], value[lo:hi]
+                    for c, s in genes_of[int(gene[lo])]:
+                        raw[c, at] += s * v
             co, cs = np.asarray(b.column("co")), np.asarray(b.column("cs"))
             for c in range(len(held)):
                 raw[c] = (raw[c] + sums[1][c] + co * sums[0][c]) * cs / sums[2][c]
             held[:, np.asarray(b.column("place"))] = raw
 
         def added(b):
-            i, j, w = (np.asarray(b.column(k).flatten()) for k in "ghv")
+            i, j, w = (_from_bytes(b.column(k), kind)[0] for k, kind in (("g", np.int32), ("h", np.int32), ("v", np.float64)))
             for c in range(len(held)):
                 d = held[c, i] - held[c, j]
                 top[c] += (d * d) @ w
@@ -335,6 +361,8 @@ def random_autocorrelation(entries: DataFrame, cells: DataFrame, genes: DataFram
                 genes_of: dict[int, list] = {}
                 for g, c, s in zip(gene.tolist(), sig.tolist(), sign.tolist()):
                     genes_of.setdefault(g, []).append((c, s))
+                used = np.zeros(total, bool)
+                used[list(genes_of)] = True
                 held, top = np.zeros((width, n)), np.zeros(width)
             cell = b.column("place").is_valid()
             found, rest = b.filter(cell), b.filter(pc.invert(cell))
@@ -354,7 +382,7 @@ def random_autocorrelation(entries: DataFrame, cells: DataFrame, genes: DataFram
         grp = [groups[(block * step + c) // size][0] for c in range(len(bg))]
         yield pa.RecordBatch.from_arrays([pa.array(grp, pa.int32()), pa.array(bg, pa.float64())], ["grp", "bg"])
 
-    shape = "place long, co double, cs double, g array<int>, h array<int>, v array<double>"
-    both = saved(wide).unionByName(saved(ends.mapInArrow(packed, shape))).coalesce(1)
+    shape = "place long, co double, cs double, g binary, h binary, v binary"
+    both = saved(wide.mapInArrow(bytes_of, shape)).unionByName(saved(ends.mapInArrow(packed, shape))).coalesce(1)
     every = both.hint("shuffle_replicate_nl").crossJoin(spark.range(0, blocks, 1, blocks).select(F.col("id").cast("int").alias("block")))
     return every.mapInArrow(measured, "grp int, bg double")

@@ -510,3 +510,15 @@ def test_trajectory_distances_are_dealt_to_tasks(spark, monkeypatch):
     found = trajectory.distances(edges, prog, prog.where("cell % 2 = 0")).select("i", "j", "dist", F.spark_partition_id().alias("p")).collect()
     assert {(r["i"], r["j"]): round(r["dist"], 9) for r in found} == {(i, j): round(abs(i - j) / 100, 9) for i in range(0, 200, 2) for j in range(200) if i != j}
     assert len({r["p"] for r in found}) > 4
+
+
+def test_random_signatures_read_bytes(spark):
+    """What passes by each block of signatures holds no lists, whose numbers would be read one by one; parts of such columns are read whole."""
+    expr = spark.createDataFrame([(f"c{i:02d}", f"g{j}", float(i * j % 5)) for i in range(20) for j in range(6)], "cell string, gene string, value double")
+    edges = spark.createDataFrame([(f"c{i:02d}", f"c{(i + 1) % 20:02d}", 0.5) for i in range(20)], "i string, j string, w double")
+    plan = background.random_autocorrelation(*score.scaled(expr), edges, [(1, 3, 1.0)], 9)._jdf.queryExecution().executedPlan().toString()
+    assert "g:binary" in plan and "array<" not in plan
+    column = background._as_bytes(np.arange(9.0), np.array([0, 4, 4, 9]))
+    for part, want, cuts in ((column, range(9), [0, 4, 4, 9]), (column.slice(1), range(4, 9), [0, 0, 5]), (column.slice(1, 1), [], [0, 0]), (column.slice(0, 0), [], [0])):
+        x, at = background._from_bytes(part, np.float64)
+        assert x.tolist() == list(want) and at.tolist() == cuts
