@@ -522,3 +522,11 @@ def test_random_signatures_read_bytes(spark):
     for part, want, cuts in ((column, range(9), [0, 4, 4, 9]), (column.slice(1), range(4, 9), [0, 0, 5]), (column.slice(1, 1), [], [0, 0]), (column.slice(0, 0), [], [0])):
         x, at = background._from_bytes(part, np.float64)
         assert x.tolist() == list(want) and at.tolist() == cuts
+
+
+def test_a_tip_leaves_its_list_before_rows_are_made(spark):
+    t = spark.createDataFrame([("root", None), *[(f"t{k}", "root") for k in range(30)]], "node string, parent string")
+    up = graph.saved(trees.closure(t))
+    found = trees.clade_neighbours(up, trees.tips(t), trees.clade_sizes(t, up), 20, 8)
+    assert "array_remove" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["i"], r["j"], r["w"]) for r in found.collect()) == sorted((f"t{a}", f"t{b}", 1.0) for a in range(30) for b in range(30) if a != b)
